@@ -3,12 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
+from .mixing import mix
+from .neardup import near_duplicates
+from .packing import pack
 from .tables import load
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(load(spark, sf_dir, "documents"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(load(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(load(spark, sf_dir, "documents"))
 
@@ -25,5 +39,10 @@ SELECT doc_id,
 FROM d
 """
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
+QUERIES = {
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 ORACLES = {"op9_exact_dedup": OP9_SQL}
