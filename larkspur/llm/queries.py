@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
+from .fingerprint import document_fingerprints
 from .langid import held_out, identify, train
 from .mixing import mix
 from .neardup import near_duplicates
@@ -36,6 +37,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(load(spark, sf_dir, "documents"))
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(load(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -54,5 +59,6 @@ QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_source_mixing": op8_source_mixing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
 ORACLES = {"op9_exact_dedup": OP9_SQL}
