@@ -11,9 +11,14 @@ from .langid import held_out, identify, train
 from .mixing import mix
 from .neardup import near_duplicates
 from .packing import pack
+from .pii import find_pii
 from .tables import load
 
 
+def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(load(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = train(docs.filter(~held_out() & F.col("lang").isNotNull()))
@@ -54,6 +59,7 @@ FROM d
 """
 
 QUERIES = {
+    "op1_pii_boosting": op1_pii_boosting,
     "op3_language_id": op3_language_id,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
