@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_preferences, swapped_reply_pairs
 from .exact_dedup import exact_groups
 from .fingerprint import document_fingerprints
 from .langid import held_out, identify, train
@@ -19,6 +20,45 @@ def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(load(spark, sf_dir, "documents"))
 
 
+def op2_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = format_preferences(swapped_reply_pairs(load(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return made.withColumns({c: spans(c) for c in ("chosen_spans", "rejected_spans")})
+
+
+OP2_SQL = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p,
+         coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+last AS (SELECT conv_id, max(p) AS p FROM t WHERE role = 'assistant' GROUP BY conv_id),
+reply AS (SELECT t.conv_id, t.p, t.text FROM t JOIN last l ON t.conv_id = l.conv_id AND t.p = l.p),
+pair AS (SELECT a.conv_id, a.p AS n, b.text AS other FROM reply a JOIN reply b ON b.conv_id = xor(a.conv_id, 1)),
+sides AS (
+  SELECT t.conv_id, t.p, t.role, t.text AS chosen, CASE WHEN t.p = n THEN other ELSE t.text END AS rejected, n
+  FROM t JOIN pair USING (conv_id) WHERE t.p <= n),
+prefix AS (
+  SELECT conv_id, coalesce(min(p) FILTER (WHERE chosen <> rejected) - 1, max(p)) AS k FROM sides GROUP BY conv_id),
+shown AS (
+  SELECT s.*, k, '<|' || role || '|>' || chr(10) || chosen || chr(10) || '<|end|>' || chr(10) AS c,
+         '<|' || role || '|>' || chr(10) || rejected || chr(10) || '<|end|>' || chr(10) AS r
+  FROM sides s JOIN prefix USING (conv_id)),
+placed AS (
+  SELECT *, sum(CASE WHEN p > k THEN length(c) ELSE 0 END) OVER w AS c_end,
+         sum(CASE WHEN p > k THEN length(r) ELSE 0 END) OVER w AS r_end
+  FROM shown WINDOW w AS (PARTITION BY conv_id ORDER BY p))
+SELECT conv_id, CAST(max(k) AS INTEGER) AS prefix_turns,
+  coalesce(string_agg(c, '' ORDER BY p) FILTER (WHERE p <= k), '') AS prompt,
+  coalesce(string_agg(c, '' ORDER BY p) FILTER (WHERE p > k), '') AS chosen_completion,
+  coalesce(string_agg(r, '' ORDER BY p) FILTER (WHERE p > k), '') AS rejected_completion,
+  coalesce(string_agg(CAST(CAST(c_end - length(c) + length(role) + 5 AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(c_end - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY p)
+    FILTER (WHERE p > k AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg(CAST(CAST(r_end - length(r) + length(role) + 5 AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(r_end - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY p)
+    FILTER (WHERE p > k AND role = 'assistant'), '') AS rejected_spans
+FROM placed GROUP BY conv_id
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = train(docs.filter(~held_out() & F.col("lang").isNotNull()))
@@ -60,6 +100,7 @@ FROM d
 
 QUERIES = {
     "op1_pii_boosting": op1_pii_boosting,
+    "op2_preference_formatting": op2_preference_formatting,
     "op3_language_id": op3_language_id,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
@@ -67,4 +108,4 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
-ORACLES = {"op9_exact_dedup": OP9_SQL}
+ORACLES = {"op2_preference_formatting": OP2_SQL, "op9_exact_dedup": OP9_SQL}
