@@ -14,6 +14,7 @@ from .neardup import near_duplicates
 from .packing import pack
 from .pii import find_pii
 from .tables import load
+from .toxicity import score_toxicity
 
 
 def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,12 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op5_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = load(spark, sf_dir, "labels").filter(~held_out())
+    scored = score_toxicity(load(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "toxic_tokens", "spans")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"))
 
@@ -103,6 +110,7 @@ QUERIES = {
     "op2_preference_formatting": op2_preference_formatting,
     "op3_language_id": op3_language_id,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_toxicity_crf": op5_toxicity_crf,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_source_mixing": op8_source_mixing,
     "op9_exact_dedup": op9_exact_dedup,
