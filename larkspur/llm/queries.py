@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import format_preferences, swapped_reply_pairs
 from .exact_dedup import exact_groups
 from .fingerprint import document_fingerprints
+from .kneser_ney import quality
 from .langid import held_out, identify, train
 from .mixing import mix
 from .neardup import near_duplicates
@@ -77,6 +78,11 @@ def op5_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "toxic_tokens", "spans")
 
 
+def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = load(spark, sf_dir, "labels").filter("quality = 1")
+    return quality(load(spark, sf_dir, "documents"), trusted.filter(~held_out()), trusted.filter(held_out()))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"))
 
@@ -111,6 +117,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_toxicity_crf": op5_toxicity_crf,
+    "op6_kneser_ney_quality": op6_kneser_ney_quality,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_source_mixing": op8_source_mixing,
     "op9_exact_dedup": op9_exact_dedup,
