@@ -1,30 +1,8 @@
-"""Queries over the catalog tables, with the SQL that must give the same rows."""
+"""All catalog queries, gathered from the modules that register them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import text_queries, vector_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-
-def vec_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten vectors nearest to vector 0 by cosine, among labels below 8, itself excluded."""
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    query = vectors.filter("vec_id = 0").select(F.col("embedding").cast("array<double>").alias("q"))
-    score = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return (
-        vectors.filter("label < 8 AND vec_id <> 0")
-        .select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-        .join(F.broadcast(query))  # one row
-        .select("vec_id", "label", F.round(score, 6).alias("score"))
-        .orderBy(F.desc("score"), "vec_id")
-        .limit(10)
-    )
-
-
-QUERIES = {"vec_topk_filtered": vec_topk_filtered}
-ORACLES = {
-    "vec_topk_filtered": """
-    SELECT e.vec_id, e.label, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-    FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
-    WHERE e.label < 8 AND e.vec_id <> 0 ORDER BY score DESC, vec_id LIMIT 10"""
-}
+__all__ = ["ORACLES", "QUERIES"]
