@@ -36,10 +36,11 @@ def near_in_time(left: DataFrame, right: DataFrame, key: str, seconds: int, most
     Time is cut into slots of that length and a left row asks its own and both neighbouring slots, so it is an equi-join
     whose partners are bounded by the rows of three slots.
     """
-    slot = lambda c: F.floor(F.unix_micros(c) / (seconds * 1_000_000))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    slot = lambda c: F.floor(micros(c) / (seconds * 1_000_000))
     asks = left.withColumn("_slot", F.explode(F.array(*[slot("l_ts") + d for d in (-1, 0, 1)])))
     met = asks.join(right.withColumn("_slot", slot("r_ts")), [key, "_slot"])
-    apart = F.abs(F.unix_micros("l_ts") - F.unix_micros("r_ts"))
+    apart = F.abs(micros("l_ts") - micros("r_ts"))
     met = met.withColumn("micros", apart).filter(F.col("micros") <= seconds * 1_000_000)
     w = Window.partitionBy("l_id").orderBy("micros", "r_id")
     return met.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("_slot")
