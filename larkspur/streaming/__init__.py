@@ -1,0 +1 @@
+"""Structured Streaming over event logs."""
