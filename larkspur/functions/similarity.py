@@ -7,11 +7,12 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .text import skeleton
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp: twice the matching characters over all; null with null."""
     pairs = zip(a, b, strict=True)
@@ -32,7 +33,7 @@ def indel(a: str, b: str) -> float:
     return 2 * common_subsequence(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -50,7 +51,7 @@ def token_set(a: str, b: str) -> float:
     return 100 * max(indel(x, y) for x, y in pairs)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else token_set(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
