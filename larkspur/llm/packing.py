@@ -9,6 +9,7 @@ one global pack is a few sequences for each shard of tens of thousands of pieces
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from pathlib import Path
 from zlib import crc32
@@ -25,8 +26,10 @@ from .tables import materialise, width
 SEQUENCE, END = 2048, 0
 #: Pieces of a packing shard.
 SHARD = 32_768
-#: Words whose ids a worker remembers, about 150 bytes each; beyond, it starts afresh.
-REMEMBERED = 600_000
+#: Words whose ids a worker remembers, about 150 bytes each, and as many that it has met before those.
+REMEMBERED = 500_000
+
+_stop = re.compile(rb"[.,](?<=[a-z].)")
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -40,39 +43,65 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Ids of a text as little-endian uint32 bytes, word by word, with the words met before remembered.
 
-    For tokenizers whose tokens never cross ASCII white space and which drop it, as ``word_bpe_49k.json``: the ids of
-    a text are then those of its words in turn. Whether that holds is checked when the tokenizer is loaded.
+    For tokenizers that lower-case, drop white space and never join letters with what isn't a letter, as
+    ``word_bpe_49k.json``: the ids of a text are then those of its words in turn, and a full stop or comma after a letter
+    may stand apart. Whether that holds is tried when the tokenizer is loaded; other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        probe = "A quick test, isn't it?\n\t42 ÉTÉ  x."
-        self.by_word = self.whole(probe) == b"".join(self.whole(w) for w in probe.split())
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # the words remembered before those in ``known``
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        probe = "A Quick test, isn't it?\n\t42 ÉTÉ., x.y ,z  $$$, a.b Ünder."
+        self.by_word = self.whole(probe) == b"".join(self.whole(w.decode()) for w in self.words(probe))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    @staticmethod
+    def words(text: str) -> list[bytes]:
+        return _stop.sub(rb" \g<0>", text.encode().lower()).split()
+
+    def learn(self, words: list[bytes]) -> None:
+        """Remember the ids of ``words``: of those of letters alone together, of others one by one."""
+        plain, texts = [], []
+        for w in words:
+            (plain if (t := w.decode()).isalpha() else texts).append(t)
+        for at in range(0, len(plain), 1000):
+            part = plain[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):  # letters that come apart
+                texts += part
+                continue
+            flat, ends = ids.tobytes(), (4 * ends).tolist()
+            self.known.update((w.encode(), flat[a:b]) for w, a, b in zip(part, [0, *ends], ends, strict=False))
+        for at in range(0, len(texts), 1000):
+            part = texts[at : at + 1000]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update((w.encode(), np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text (null: none)."""
-        if not self.by_word:
-            yield from (self.whole(t or "") for t in texts)
-            return
         for at in range(0, len(texts), 64):
-            split = [(t or "").encode().split() for t in texts[at : at + 64]]
+            part = [t or "" for t in texts[at : at + 64]]
+            # special tokens are told by their case
+            split = [self.words(t) if self.by_word and "<|" not in t else None for t in part]
+            if len(self.known) > REMEMBERED:
+                self.known, self.before = {}, self.known
+            new = [w for w in set().union(*filter(None, split)) if w not in self.known]
+            old = [w for w in new if w in self.before]
+            self.known.update((w, self.before[w]) for w in old)
+            self.learn([w for w in new if w not in self.known])
             known = self.known
-            new = list({w for words in split for w in words if w not in known})
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list({w for words in split for w in words})
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
-            for words in split:
-                yield b"".join([known[w] for w in words])
+            for words, text in zip(split, part, strict=True):
+                yield self.whole(text) if words is None else b"".join([known[w] for w in words])
 
 
 def encoder(path: str) -> WordEncoder:
