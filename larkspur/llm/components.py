@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edge. Each round is written to the shared folder, so that a lost executor costs one round at most.
     """
     u, v = edges.columns
-    now = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v").distinct()
+    now = materialise(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v").distinct(), "links")
     before = None
     for _ in range(most_rounds):
         now = materialise(_small_star(_large_star(now)).distinct(), "stars")
