@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import iou
+
 
 def order_of(score: str, id_col: str) -> list[Column]:
     return [F.desc_nulls_last(score), F.asc_nulls_last(id_col)]
@@ -101,46 +103,39 @@ def union_first(parts: list[DataFrame], key: str) -> DataFrame:
     return both.withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place", "_part")
 
 
-# ---- greedy over small groups: sequential by nature, one image or scene at a time
+# ---- greedy over small groups (the boxes of an image, the cards of a deck): folds over a group's rows
+
 
+def _listed(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """(group, rows): each group's rows as structs in the order of ``order``."""
+    key = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+    listed = F.array_sort(F.collect_list(key)).alias("rows")
+    return df.groupBy(group).agg(listed).select(F.transform("rows", lambda r: r["row"]).alias("rows"))
 
-def _iou(a, b) -> float:
-    w, h = min(a.x1, b.x1) - max(a.x0, b.x0), min(a.y1, b.y1) - max(a.y0, b.y0)
-    both = max(0.0, w) * max(0.0, h)
-    area = lambda r: max(0.0, r.x1 - r.x0) * max(0.0, r.y1 - r.y0)
-    whole = area(a) + area(b) - both
-    return both / whole if whole > 0 else 0.0
+
+def _nothing(df: DataFrame) -> Column:
+    return F.array().cast(f"array<{df.schema.simpleString()}>")
 
 
 def suppress(boxes: DataFrame, group: str, most: float = 0.45) -> DataFrame:
     """Non-maximum suppression in each group: by score, boxes that overlap none kept so far by ``most`` or more."""
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values(["score", "box_id"], ascending=[False, True])
-        kept: list = []
-        for row in ordered.itertuples():
-            if all(_iou(row, k) < most for k in kept):
-                kept.append(row)
-        return rows.loc[[k.Index for k in kept]]
+    def add(kept: Column, box: Column) -> Column:
+        return F.when(F.exists(kept, lambda k: iou(k, box) >= most), kept).otherwise(F.array_append(kept, box))
 
-    return boxes.groupBy(group).applyInPandas(keep, boxes.schema)
+    listed = _listed(boxes, group, [-F.col("score"), F.col("box_id")])
+    return listed.select(F.explode(F.aggregate("rows", _nothing(boxes), add)).alias("r")).select("r.*")
 
 
 def match_one_to_one(pairs: DataFrame, group: str, least: float = 0.5) -> DataFrame:
     """Greedy one-to-one matches of (left_id, right_id, overlap) in each group, best overlap first."""
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        left: set = set()
-        right: set = set()
-        kept = []
-        for row in rows[rows["overlap"] >= least].sort_values(["overlap", "left_id", "right_id"], ascending=[False, True, True]).itertuples():
-            if row.left_id not in left and row.right_id not in right:
-                left.add(row.left_id)
-                right.add(row.right_id)
-                kept.append(row.Index)
-        return rows.loc[kept]
-
-    return pairs.groupBy(group).applyInPandas(keep, pairs.schema)
+    def add(kept: Column, pair: Column) -> Column:
+        taken = F.exists(kept, lambda k: (k["left_id"] == pair["left_id"]) | (k["right_id"] == pair["right_id"]))
+        return F.when(taken, kept).otherwise(F.array_append(kept, pair))
+
+    listed = _listed(pairs.filter(F.col("overlap") >= least), group, [-F.col("overlap"), F.col("left_id"), F.col("right_id")])
+    return listed.select(F.explode(F.aggregate("rows", _nothing(pairs), add)).alias("r")).select("r.*")
 
 
 def diversity_deck(pool: DataFrame, group: str, axes: list[str], id_col: str, seed: str, limit: int) -> DataFrame:

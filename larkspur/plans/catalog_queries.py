@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_table_queries, evaluation_queries, page_queries, stream_queries, text_queries, vector_queries  # noqa: F401
+from . import catalog_table_queries, evaluation_queries, more_queries, page_queries, stream_queries, text_queries, vector_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
