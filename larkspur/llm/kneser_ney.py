@@ -23,8 +23,9 @@ from .tables import materialise, width
 
 ORDER, BITS = 4, 12
 START = 4095  # the symbol of what stands before a text
-SHARD_CHARS = 16_000_000
-CHUNK = 1 << 20
+#: Characters of a shard, about, and most shards (beyond that they grow).
+SHARD_CHARS, MOST_SHARDS = 32_000_000, 65_536
+CHUNK = 1 << 19
 #: Bits of the filter that keeps most untrusted texts from being shuffled; it has this size whatever the input.
 FILTER_BITS = 1 << 24
 QUANTILE = 0.995
@@ -49,59 +50,82 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return code[real].view(np.int64), owner[real]
 
 
-def _parts(texts: list[str | None]) -> Iterator[slice]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches a few rows at a time, so that a worker holds the texts of those only as Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _parts_of(sizes: list[int]) -> Iterator[slice]:
     start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
+    for i, n in enumerate(sizes):
+        held += n
         if held >= CHUNK:
             yield slice(start, i + 1)
             start, held = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+    if start < len(sizes):
+        yield slice(start, len(sizes))
 
 
-class _Tally:
-    """Distinct keys and their counts, merged as they come."""
+def _parts(texts: list[str | None]) -> Iterator[slice]:
+    return _parts_of([len(t or "") for t in texts])
 
-    def __init__(self) -> None:
-        self.keys, self.counts, self.new = np.empty(0, np.int64), np.empty(0, np.int64), []
 
-    def add(self, codes: np.ndarray) -> None:
-        self.new.append(np.unique(codes, return_counts=True))
-        if sum(len(k) for k, _ in self.new) > 4_000_000:
+class _Tallies:
+    """Distinct grams and their counts by key, merged whenever those that came since have become many."""
+
+    def __init__(self) -> None:
+        self.merged: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        self.new: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.held = 0
+
+    def add(self, key: tuple, codes: np.ndarray) -> None:
+        found = np.unique(codes, return_counts=True)
+        self.new.setdefault(key, []).append(found)
+        self.held += len(found[0])
+        if self.held > 1_000_000:
             self.merge()
 
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([self.keys, *(k for k, _ in self.new)])
-        counts = np.concatenate([self.counts, *(c for _, c in self.new)])
-        self.keys, at = np.unique(keys, return_inverse=True)
-        self.counts, self.new = np.bincount(at, counts, len(self.keys)).astype(np.int64), []
-        return self.keys, self.counts
+    def merge(self) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+        for key, parts in self.new.items():
+            parts = [*parts, *([self.merged[key]] if key in self.merged else [])]
+            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([c for _, c in parts]), len(keys))
+            self.merged[key] = keys, counts.astype(np.int64)
+        self.new, self.held = {}, 0
+        return self.merged
 
 
-def _tallied(rows: DataFrame) -> DataFrame:
-    """(shard, lang, gram, n) of ``rows`` (shard, lang, text), added up within each task."""
+def _tallied(rows: DataFrame, cuts: np.ndarray) -> DataFrame:
+    """(shard, lang, gram, n) of ``rows``, added up within each task; ``cuts`` divide ``at`` into shards.
+
+    ``rows`` has at, lang and text, or packed and size in place of the text.
+    """
+    columns = [c for c in ("at", "lang", "text", "packed", "size") if c in rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies: dict[tuple, _Tally] = {}
-        for batch in batches:
-            shards, langs, texts = (batch.column(i).to_pylist() for i in range(3))
+        tallies = _Tallies()
+        for batch in _slices(batches):
+            shards = np.searchsorted(cuts, batch.column(0).to_numpy()).tolist()
+            langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            if len(columns) == 4:
+                texts = [_unpack(b, n) for b, n in zip(texts, batch.column(3).to_pylist(), strict=True)]
             by_key: dict[tuple, list[int]] = {}
             for i, key in enumerate(zip(shards, langs, strict=True)):
                 by_key.setdefault(key, []).append(i)
             for key, rows_ in by_key.items():
                 own = [texts[i] for i in rows_]
                 for part in _parts(own):
-                    tallies.setdefault(key, _Tally()).add(grams(own[part])[0])
-        for (shard, lang), tally in tallies.items():
-            keys, counts = tally.merge()
+                    tallies.add(key, grams(own[part])[0])
+        for (shard, lang), (keys, counts) in tallies.merge().items():
             for at in range(0, len(keys), 100_000):
                 k, n = keys[at : at + 100_000], counts[at : at + 100_000]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard] * len(k), pa.int32()), pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n)], ["shard", "lang", "gram", "n"]
                 )
 
-    return rows.select("shard", "lang", "text").mapInArrow(run, "shard int, lang string, gram long, n long")
+    return rows.select(*columns).mapInArrow(run, "shard int, lang string, gram long, n long")
 
 
 # ---- training
@@ -120,7 +144,8 @@ def may_be_in(ids: DataFrame) -> np.ndarray:
 
 def _packed(texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
     raw = [(t or "").encode() for t in texts]
-    return pa.array([pa.compress(b, "zstd", asbytes=True) for b in raw], pa.binary()), pa.array(map(len, raw), pa.int64())
+    codec = pa.Codec("zstd", compression_level=9)
+    return pa.array([codec.compress(b, asbytes=True) for b in raw], pa.binary()), pa.array(map(len, raw), pa.int64())
 
 
 def _unpack(packed: bytes | None, size: int) -> str:
@@ -132,7 +157,7 @@ def _prefilter(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             bit = batch.column(3).to_numpy()
             part = batch.filter(pa.array(((shared.value[bit // 64] >> (bit % 64)) & 1).astype(bool)))
             columns = [part.column(0), part.column(1), *_packed(part.column(2).to_pylist())]
@@ -143,20 +168,9 @@ def _prefilter(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     return marked.mapInArrow(run, f"id {kind}, lang string, packed binary, size long")
 
 
-def _unpacked(rows: DataFrame) -> DataFrame:
-    """(shard, lang, text) of compressed texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [_unpack(b, n) for b, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(texts), pa.int32()), batch.column(0), pa.array(texts, pa.string())], ["shard", "lang", "text"])
-
-    return rows.select("lang", "packed", "size").mapInArrow(run, "shard int, lang string, text string")
-
-
 def count_tables(trusted: DataFrame) -> dict[int, DataFrame]:
     """For each order (lang, gram, n): counts for the highest, continuation counts below."""
-    top = _tallied(trusted).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    top = _tallied(trusted, np.empty(0, np.int64)).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     tables = {ORDER: materialise(top, "grams-4")}
     for order in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND((1 << (BITS * order)) - 1).alias("gram")
@@ -211,16 +225,21 @@ def probabilities(wanted: DataFrame, tables: dict[int, DataFrame]) -> DataFrame:
 
 def perplexities(docs: DataFrame, tables: dict[int, DataFrame], total_chars: int) -> DataFrame:
     """(id, lang, perplexity, chars) for each row of ``docs`` (id, lang, text); null where there is no text or no model."""
-    shards = max(1, -(-total_chars // SHARD_CHARS))
-    shard = F.pmod(F.xxhash64("id", F.length("text")), F.lit(shards)).cast("int").alias("shard")
-    placed = docs.select("id", "lang", "text", shard)
-    asked = materialise(_tallied(placed).select("shard", "lang", "gram").distinct(), "asked")
+    # Shards are ranges of ids: where tables are stored in the order of their ids, a task that reads them meets few shards, and
+    # lists the n-grams of each once. Any other order only makes more requests.
+    at = F.coalesce(F.col("id").try_cast("long"), F.xxhash64("id"), F.lit(0)).alias("at")
+    placed = docs.select("id", "lang", "text", at)
+    shards = min(MOST_SHARDS, max(1, -(-total_chars // SHARD_CHARS)))
+    quantiles = docs.select(at).approxQuantile("at", [i / shards for i in range(1, shards)], 0.1 / shards) if shards > 1 else []
+    cuts = np.unique(np.array(quantiles, np.float64)).astype(np.int64)
+    asked = materialise(_tallied(placed, cuts).select("shard", "lang", "gram").distinct(), "asked")
     known = probabilities(asked.select("lang", "gram").distinct(), tables)
     answers = asked.join(known, ["lang", "gram"]).select("shard", "lang", "gram", "logp")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(0), batch.column(1), *_packed(batch.column(2).to_pylist()), batch.column(3)]
+        for batch in _slices(batches):
+            shard = pa.array(np.searchsorted(cuts, batch.column(3).to_numpy()), pa.int32())
+            columns = [batch.column(0), batch.column(1), *_packed(batch.column(2).to_pylist()), shard]
             yield pa.RecordBatch.from_arrays(columns, ["id", "lang", "packed", "size", "shard"])
 
     kind = docs.schema["id"].dataType.simpleString()
@@ -230,14 +249,15 @@ def perplexities(docs: DataFrame, tables: dict[int, DataFrame], total_chars: int
         models = {lang: t.sort_values("gram") for lang, t in table.groupby("lang")}
         out, chars = np.full(len(docs_), np.nan), np.zeros(len(docs_), np.int64)
         for lang, rows in docs_.reset_index(drop=True).groupby("lang"):
-            texts = [_unpack(b, n) for b, n in zip(rows["packed"], rows["size"], strict=True)]
-            chars[rows.index] = [len(t.strip()) for t in texts]
-            if lang not in models:
-                continue
-            keys, logs = models[lang]["gram"].to_numpy(), models[lang]["logp"].to_numpy()
-            for part in _parts(texts):
-                code, owner = grams(texts[part])
-                n = len(texts[part])
+            known = lang in models
+            keys, logs = (models[lang]["gram"].to_numpy(), models[lang]["logp"].to_numpy()) if known else (None, None)
+            for part in _parts_of(rows["size"].tolist()):
+                texts = [_unpack(b, n) for b, n in zip(rows["packed"].iloc[part], rows["size"].iloc[part], strict=True)]
+                chars[rows.index[part]] = [len(t.strip()) for t in texts]
+                if not known:
+                    continue
+                code, owner = grams(texts)
+                n = len(texts)
                 sums = np.bincount(owner, logs[np.searchsorted(keys, code)], minlength=n)
                 seen = np.bincount(owner, minlength=n)
                 with np.errstate(invalid="ignore"):
@@ -271,7 +291,7 @@ def quality(
     trusted = trusted_ids.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct()
     held = held_out_ids.select(F.col(id_col).alias("held_id")).filter("held_id IS NOT NULL").distinct()
     likely = _prefilter(rows.filter("id IS NOT NULL AND text IS NOT NULL"), may_be_in(trusted))
-    tables = count_tables(_unpacked(likely.join(trusted, "id", "left_semi")))
+    tables = count_tables(likely.join(trusted, "id", "left_semi").withColumn("at", F.lit(0).cast("long")))
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     scored = materialise(perplexities(rows, tables, total), "perplexities")
     limits = scored.join(held, scored["id"] == held["held_id"], "left_semi").groupBy("lang").agg(
