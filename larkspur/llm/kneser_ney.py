@@ -21,33 +21,35 @@ from pyspark.sql import functions as F
 
 from .tables import materialise, width
 
-ORDER, BITS = 4, 12
-START = 4095  # the symbol of what stands before a text
+ORDER, BITS = 4, 16
 #: Characters of a shard, about, and most shards (beyond that they grow).
 SHARD_CHARS, MOST_SHARDS = 32_000_000, 65_536
 CHUNK = 1 << 19
 #: Bits of the filter that keeps most untrusted texts from being shuffled; it has this size whatever the input.
 FILTER_BITS = 1 << 24
-QUANTILE = 0.995
+#: Share of a language's trusted documents, not trained on, that are kept. Chosen on training labels against quality 0.
+QUANTILE = 0.95
+#: Where the quantile of few documents would be their maximum, the highest of these that is not is taken.
+SMALLER = (0.9, 0.8)
 
-_lead = "\uffff" * (ORDER - 1)  # a noncharacter
+START = 0xFFFF  # the symbol of what stands before a text: a noncharacter, dropped from texts
+_lead = chr(START) * (ORDER - 1)
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(gram, text) for each character of the texts: 48 bits of its symbol and the three before it in the same text.
+    """(gram, text) for each symbol of the texts: 64 bits of it and the three before it in the same text.
 
-    White space is normalised to single spaces. Characters up to U+07FF are symbols of their own, all others share 2,046.
+    White space is normalised to single spaces. Symbols are UTF-16 code units, so that no two characters share a code: those
+    up to U+FFFF are one symbol, all others two.
     """
-    clean = [" ".join((t or "").split()) for t in texts]
-    points = np.frombuffer("".join([_lead + t for t in clean]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbol = np.where(points < 2048, points, 2048 + points % 2046).astype(np.uint64)
-    symbol[points == 0xFFFF] = START
-    owner = np.repeat(np.arange(len(clean)), np.fromiter(map(len, clean), np.int64, len(clean)) + ORDER - 1)
-    code = symbol.copy()
+    clean = [" ".join((t or "").replace(chr(START), "").split()) for t in texts]
+    symbol = np.frombuffer("".join([_lead + t for t in clean]).encode("utf-16-le", "surrogatepass"), np.uint16)
+    lead = symbol == START
+    owner = (np.cumsum(lead) - 1) // (ORDER - 1)
+    code = symbol.astype(np.uint64)
     for back in range(1, ORDER):
-        code[back:] |= symbol[:-back] << np.uint64(BITS * back)
-    real = points != 0xFFFF
-    return code[real].view(np.int64), owner[real]
+        code[back:] |= symbol[:-back].astype(np.uint64) << np.uint64(BITS * back)
+    return code[~lead].view(np.int64), owner[~lead]
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -168,13 +170,17 @@ def _prefilter(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     return marked.mapInArrow(run, f"id {kind}, lang string, packed binary, size long")
 
 
+def _suffix(order: int) -> Column:
+    """The last ``order`` symbols of a gram; all bits of a long are those of the highest order."""
+    return F.col("gram") if order == ORDER else F.col("gram").bitwiseAND((1 << (BITS * order)) - 1)
+
+
 def count_tables(trusted: DataFrame) -> dict[int, DataFrame]:
     """For each order (lang, gram, n): counts for the highest, continuation counts below."""
     top = _tallied(trusted, np.empty(0, np.int64)).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     tables = {ORDER: materialise(top, "grams-4")}
     for order in range(ORDER - 1, 0, -1):
-        suffix = F.col("gram").bitwiseAND((1 << (BITS * order)) - 1).alias("gram")
-        tables[order] = materialise(tables[order + 1].select("lang", suffix).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")), f"grams-{order}")
+        tables[order] = materialise(tables[order + 1].select("lang", _suffix(order).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")), f"grams-{order}")
     return tables
 
 
@@ -202,14 +208,14 @@ def probabilities(wanted: DataFrame, tables: dict[int, DataFrame]) -> DataFrame:
         if not discounts:
             return wanted.withColumn("logp", F.lit(0.0)).filter("false")
         by_lang = F.create_map(*[x for lang, d in discounts.items() for x in (F.lit(lang), F.array(*[F.lit(v) for v in d]))])
-        key = F.col("gram").bitwiseAND((1 << (BITS * order)) - 1)
-        context = F.shiftright("g", BITS)
+        key = _suffix(order)
+        context = F.shiftrightunsigned("g", BITS)
         counts = table.select("lang", F.col("gram").alias("g"), "n")
         contexts = counts.groupBy("lang", context.alias("h")).agg(
             F.sum("n").alias("total"), F.sum((F.col("n") == 1).cast("long")).alias("n1"),
             F.sum((F.col("n") == 2).cast("long")).alias("n2"), F.sum((F.col("n") > 2).cast("long")).alias("n3"),
         )
-        out = out.withColumn("g", key).withColumn("h", F.shiftright(key, BITS))
+        out = out.withColumn("g", key).withColumn("h", F.shiftrightunsigned(key, BITS))
         out = out.join(counts, ["lang", "g"], "left").join(contexts, ["lang", "h"], "left").withColumn("d", by_lang[F.col("lang")])
         d = lambda i: F.element_at("d", i)
         n = F.coalesce("n", F.lit(0))
@@ -271,6 +277,28 @@ def perplexities(docs: DataFrame, tables: dict[int, DataFrame], total_chars: int
     )
 
 
+def _below_most(at: Column, levels: list[float], n: Column) -> Column:
+    """The first of the quantiles ``at`` of n values that isn't their maximum, or the first."""
+    return F.coalesce(*[F.when(F.ceil(n * q) < n, at[i]) for i, q in enumerate(levels)], at[0])
+
+
+def _limits(held: DataFrame, quantile: float) -> DataFrame:
+    """(lang, threshold): the quantile of each language's perplexities.
+
+    Where a language has so few that this is their maximum, its median times the quantile of perplexity over median of
+    all languages.
+    """
+    levels = [quantile, *[q for q in SMALLER if q < quantile]]
+    own = held.groupBy("lang").agg(
+        F.percentile_approx("perplexity", [quantile, 0.5], 10_000).alias("at"), F.count("perplexity").alias("n")
+    )
+    ratio = held.join(own.select("lang", F.col("at")[1].alias("median")), "lang").select((F.col("perplexity") / F.col("median")).alias("ratio"))
+    pooled = ratio.agg(F.percentile_approx("ratio", levels, 10_000).alias("ratios"), F.count("ratio").alias("all"))
+    few = F.ceil(F.col("n") * quantile) >= F.col("n")
+    wide = F.col("at")[1] * _below_most(F.col("ratios"), levels, F.col("all"))
+    return own.join(F.broadcast(pooled)).select("lang", F.when(few, wide).otherwise(F.col("at")[0]).alias("threshold"))
+
+
 def quality(
     docs: DataFrame,
     trusted_ids: DataFrame,
@@ -283,9 +311,9 @@ def quality(
     """One row per row of ``docs``: id, lang, perplexity, threshold, kept.
 
     Trained on the texts of ``trusted_ids``; the threshold of a language is the ``quantile`` of the perplexities of the
-    documents of ``held_out_ids``, trusted too but not trained on. A document is kept up to the threshold of its language, and
-    where there is none; one without text has no perplexity and isn't kept. A null language is one of its own. Null ids are
-    neither trusted nor held out.
+    documents of ``held_out_ids``, trusted too but not trained on (``_limits`` for languages with few). A document is kept up
+    to the threshold of its language, and where there is none; one without text has no perplexity and isn't kept. A null
+    language is one of its own. Null ids are neither trusted nor held out.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(lang_col, F.lit("")).alias("lang"), F.col(text_col).alias("text"))
     trusted = trusted_ids.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct()
@@ -294,9 +322,7 @@ def quality(
     tables = count_tables(likely.join(trusted, "id", "left_semi").withColumn("at", F.lit(0).cast("long")))
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     scored = materialise(perplexities(rows, tables, total), "perplexities")
-    limits = scored.join(held, scored["id"] == held["held_id"], "left_semi").groupBy("lang").agg(
-        F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
-    )
+    limits = _limits(scored.join(held, scored["id"] == held["held_id"], "left_semi"), quantile)
     limits = limits.withColumnRenamed("lang", "lang_")
     met = scored.join(limits, scored["lang"] == limits["lang_"], "left")
     kept = (F.col("chars") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))

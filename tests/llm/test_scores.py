@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import fingerprint, kneser_ney, langid, pii, toxicity
+from larkspur.llm import fingerprint, kneser_ney, langid, pii, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -189,6 +189,34 @@ def test_quality_of_odd_rows(odd):
     assert kneser_ney.quality(odd.limit(0), ids, ids).count() == 0
 
 
+def test_symbols_do_not_share_codes(spark, make):
+    apart = ["\u4e00", chr(0x4E00 + 2046), "\u0e01", chr(0x0E01 + 2046), "\U0001f600", chr(0x1F600 + 2046)]
+    assert len({tuple(kneser_ney.grams([t])[0].tolist()) for t in apart}) == len(apart)
+    assert kneser_ney.grams(["a\uffffb", "", "\U0001f600"])[1].tolist() == [0, 0, 2, 2]
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + 2046 * (i % 3) + i % 7) for i in range(21)] + ["\uac00", "\ufffd"]
+    texts = ["".join(rng.choice(letters) for _ in range(30)) for _ in range(40)]
+    ids = make(texts).select("doc_id")
+    got = {r.doc_id: r for r in kneser_ney.quality(make(texts), ids.filter("doc_id < 30"), ids.filter("doc_id >= 30")).collect()}
+    expected = brute_model(texts[:30])
+    assert all(got[i].perplexity == pytest.approx(expected(t)) for i, t in enumerate(texts))
+
+
+def test_quality_on_held_out_labels(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = queries.op6_kneser_ney_quality(spark, SF).join(labels.filter(langid.held_out()), "doc_id").collect()
+    junk, good = ([r.kept for r in got if r.quality == q] for q in (0, 1))
+    assert np.mean(junk) < 0.15 and np.mean(good) > 0.85
+
+
+def test_one_odd_trusted_text_does_not_set_the_threshold(spark, make):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["the", "cat", "sat", "on", "mats"]) for _ in range(20)) for _ in range(60)] + ["#x}9^ @@~~ zzq", "$%7!! qjx ]["]
+    ids = make(texts).select("doc_id")
+    got = {r.doc_id: r.kept for r in kneser_ney.quality(make(texts), ids.filter("doc_id < 50"), ids.filter("doc_id BETWEEN 50 AND 60")).collect()}
+    assert not got[60] and not got[61] and sum(got[i] for i in range(60)) > 50
+
+
 def test_fingerprints_against_brute_force(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     order = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
