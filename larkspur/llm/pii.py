@@ -1,15 +1,17 @@
 """Personal data: generators propose overlapping spans, boosted trees score them, calibrated thresholds choose.
 
 Strict patterns give the base spans, which always stay. High-recall generators propose further, overlapping candidates with
-loose forms of the same kinds. Gradient-boosted trees (MLlib) learn from the base spans what a span of each kind looks
-like and where it stands; isotonic regression on rows that they have not seen turns their margins into probabilities. A
-candidate that clears its kind's threshold, and no base span or better candidate stands in its way, is added.
+loose forms of the same kinds. Gradient-boosted trees (MLlib) learn from the base spans, and from loose variants made of
+them in their places, what a span of each kind looks like and where it stands; candidates in a known loose form are no
+examples of either label. Isotonic regression for each kind, on rows that the trees have not seen, turns their margins into
+probabilities. A candidate that clears its kind's threshold, and no base span or better candidate stands in its way, is added.
 
 The text is read once, where it lies. What leaves that scan is a few numbers for each candidate, scored as SQL expressions.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 from hashlib import sha256
@@ -26,7 +28,7 @@ from .tables import materialise
 KINDS = ("email", "ip", "card", "phone")
 #: Candidates that the trees are fitted on, and as many more for the calibration.
 SAMPLE, TREES, DEPTH = 20_000, 8, 3
-#: Least probability with which a candidate is redacted.
+#: Least probability, by the curve of its kind, with which a candidate is redacted.
 THRESHOLD = 0.9
 
 # ---- base spans: fixed patterns
@@ -76,7 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _loose_email = re.compile(r"[^\s@<>,;:()\[\]\"']{1,64}+@[^\s@<>,;:()\[\]\"']{1,190}+")
 _spelled_email = re.compile(r"[\w.+-]{1,64} ?[\[(] ?at ?[\])] ?[\w-]{1,63}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[\w-]{1,63}){1,4}", re.I)
-_loose_ip = re.compile(r"(?<![0-9A-Fa-f.:])(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7})(?![0-9A-Fa-f:])")
+_loose_ip = re.compile(r"(?<![0-9A-Fa-f.:])(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7})(?![0-9A-Fa-f:])")
 _digits = re.compile(r"(?<![0-9])[+(]?[0-9](?:[ ().\-/]{0,3}[0-9]){6,22}+")
 _cues = [
     re.compile(p, re.I)
@@ -100,6 +102,34 @@ def _generate(text: str) -> Iterator[tuple[int, int, int]]:
         yield m.start(), 3, m.end()
 
 
+def _is_ipv6(span: str) -> bool:
+    try:
+        return ipaddress.ip_address(span).version == 6
+    except ValueError:
+        return False
+
+
+def is_loose(span: str, kind: int, f: list[float]) -> bool:
+    """Whether a span has a form that the base patterns don't take: a spelled-out address, IPv6, a grouped number after a word for phones."""
+    if not f[FEATURES.index("valid")]:
+        return False
+    if kind == 3:
+        return f[FEATURES.index("groups")] >= 3 and bool(f[FEATURES.index("cue_1")])
+    return "@" not in span if kind == 0 else kind == 1 and ":" in span
+
+
+def variant(span: str, kind: int) -> str | None:
+    """A base span in a loose form, or None if its kind has none."""
+    seed = sha256(span.encode()).digest()
+    if kind == 0:
+        at, dot = ((" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "."), (" (at) ", "."))[seed[0] % 4]
+        local, domain = span.split("@")
+        return local + at + domain.replace(".", dot)
+    if kind == 1:
+        return str(ipaddress.IPv6Address(seed[1:3] + (bytes(12) + seed[3:5] if seed[0] % 2 else seed[3:17]))) if seed[1] else None
+    return span[1:] if kind == 3 and len(re.findall(r"[0-9]+", span)) >= 3 else None
+
+
 def features(text: str, start: int, kind: int, end: int) -> list[float]:
     """What the trees see of a span: its form, and the characters and cue words around it.
 
@@ -109,11 +139,13 @@ def features(text: str, start: int, kind: int, end: int) -> list[float]:
     digits = "".join(c for c in span if c.isdigit())
     groups = re.findall(r"[0-9]+", span)
     if kind == 1:
-        valid = all(len(g) <= 3 and int(g) <= 255 for g in groups) and len(groups) == 4
+        valid = _is_ipv6(span) if ":" in span else all(len(g) <= 3 and int(g) <= 255 for g in groups) and len(groups) == 4
     elif kind == 2:
         valid = 12 <= len(digits) <= 19 and digits.isascii() and luhn(digits)
+    elif kind == 3:
+        valid = 9 <= len(digits) <= 15
     else:
-        valid = 9 <= len(digits) <= 15 if kind == 3 else "." in span.rpartition("@")[2].strip(".")
+        valid = "." in span.rpartition("@")[2].strip(".") if "@" in span else bool(_spelled_email.fullmatch(span))
     return [
         kind, end - start, len(digits), sum(c.isalpha() for c in span), span.count("."), span.count("-"), span.count(" "),
         span.count("(") + span.count(")"), span.count("@"), len(groups), max(map(len, groups), default=0),
@@ -123,26 +155,40 @@ def features(text: str, start: int, kind: int, end: int) -> list[float]:
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, base, candidates): the base spans of each row, and its candidates with their features; written once."""
+    """(id, base, candidates, variants): the base spans of each row, its candidates and variants with features; written once.
+
+    ``fits`` says whether a candidate is an example for the trees; variants are nothing but examples.
+    """
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-    candidate = pa.struct([*span, ("is_base", pa.bool_()), ("f", pa.list_(pa.float64()))])
+    candidate = pa.struct([*span, ("is_base", pa.bool_()), ("fits", pa.bool_()), ("f", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bases, proposed = [], []
+            bases, proposed, varied = [], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
                 base = base_spans(text)
                 known = set(base)
                 both = sorted(known.union(_generate(text)))
                 bases.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
-                proposed.append([{"start": a, "kind": k, "end": b, "is_base": (a, k, b) in known, "f": [float(x) for x in features(text, a, k, b)]} for a, k, b in both])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, pa.list_(span)), pa.array(proposed, pa.list_(candidate))], ["id", "base", "candidates"])
+                rows, made = [], []
+                for a, k, b in both:
+                    f, is_base = [float(x) for x in features(text, a, k, b)], (a, k, b) in known
+                    fits = is_base or not is_loose(text[a:b], k, f) or any(x < b and a < y for x, _, y in base)
+                    rows.append({"start": a, "kind": k, "end": b, "is_base": is_base, "fits": fits, "f": f})
+                    other = variant(text[a:b], k) if is_base else None
+                    if other is not None:
+                        before = text[max(0, a - 32) : a]
+                        made.append([float(x) for x in features(before + other + text[b : b + 1], len(before), k, len(before) + len(other))])
+                proposed.append(rows)
+                varied.append(made)
+            columns = [pa.array(bases, pa.list_(span)), pa.array(proposed, pa.list_(candidate)), pa.array(varied, pa.list_(pa.list_(pa.float64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "base", "candidates", "variants"])
 
     spans = "array<struct<start: long, kind: int, end: long>>"
-    candidates = "array<struct<start: long, kind: int, end: long, is_base: boolean, f: array<double>>>"
-    return materialise(kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, base {spans}, candidates {candidates}"), "spans")
+    candidates = "array<struct<start: long, kind: int, end: long, is_base: boolean, fits: boolean, f: array<double>>>"
+    return materialise(kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, base {spans}, candidates {candidates}, variants array<array<double>>"), "spans")
 
 
 # ---- the trees
@@ -158,12 +204,14 @@ def _tree_column(node, f: Column) -> Column:
 
 
 def fit(scanned: DataFrame, sample: int = SAMPLE, seed: int = 1):
-    """A function from a column of features to a column of probabilities, or None if there is nothing to learn from.
+    """A function from a column of features to a column of probabilities of its kind, or None if there is nothing to learn from.
 
     ``sample`` candidates of each half, spread by hash, are used: one half grows the trees, the other calibrates them.
     """
-    rows = scanned.select("id", F.posexplode("candidates").alias("place", "c"))
-    rows = rows.select("c.f", F.col("c.is_base").cast("double").alias("label"), F.xxhash64(F.lit(seed), "id", "place").alias("h"))
+    examples = F.transform(F.filter("candidates", lambda c: c["fits"]), lambda c: F.struct(c["f"].alias("f"), c["is_base"].cast("double").alias("label")))
+    variants = F.transform("variants", lambda f: F.struct(f.alias("f"), F.lit(1.0).alias("label")))
+    rows = scanned.select("id", F.posexplode(F.concat(examples, variants)).alias("place", "c"))
+    rows = rows.select("c.f", "c.label", F.xxhash64(F.lit(seed), "id", "place").alias("h"))
     halves = [rows.filter(F.pmod("h", F.lit(2)) == half).orderBy("h").limit(sample) for half in (0, 1)]
     picked = materialise(halves[0].withColumn("half", F.lit(0)).unionByName(halves[1].withColumn("half", F.lit(1))), "candidates")
     counts = {(r.half, r.label): r.n for r in picked.groupBy("half", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -177,14 +225,26 @@ def fit(scanned: DataFrame, sample: int = SAMPLE, seed: int = 1):
     def margin(f: Column) -> Column:
         return sum((_tree_column(r, f) * w for r, w in zip(roots, weights, strict=True)), F.lit(0.0))
 
-    calibration = vectors.filter("half = 1").select(margin(F.col("f")).alias("margin"), "label").coalesce(2)
-    steps = IsotonicRegression(featuresCol="margin").fit(calibration)
-    bounds, values = list(steps.boundaries.toArray()), list(steps.predictions.toArray())
+    seen = vectors.filter("half = 1").select(F.element_at("f", 1).alias("kind"), margin(F.col("f")).alias("margin"), "label").coalesce(2)
+    seen = materialise(seen, "calibration")
+    labels = {(int(r.kind), r.label) for r in seen.select("kind", "label").distinct().collect()}
+    curves: list[list[tuple[float, float]]] = []
+    for kind in range(len(KINDS)):
+        if (kind, 1.0) not in labels:
+            curves.append([])  # nothing tells what this kind looks like
+            continue
+        own = seen.filter(F.col("kind") == kind) if (kind, 0.0) in labels else seen
+        steps = IsotonicRegression(featuresCol="margin").fit(own)
+        bounds, values = steps.boundaries.toArray(), steps.predictions.toArray()
+        curves.append(sorted({float(b): float(v) for b, v in zip(bounds, values, strict=True)}.items()))
 
     def probability(f: Column) -> Column:
-        m, out = margin(f), F.lit(float(values[0]))
-        for bound, value in sorted({b: v for b, v in zip(bounds, values, strict=True)}.items()):
-            out = F.when(m >= bound, float(value)).otherwise(out) if value > values[0] else out
+        m, kind, out = margin(f), F.element_at(f, 1), F.lit(0.0)
+        for i, curve in enumerate(curves):
+            p = F.lit(curve[0][1] if curve else 0.0)
+            for bound, value in curve:
+                p = F.when(m >= bound, value).otherwise(p) if value > curve[0][1] else p
+            out = F.when(kind == i, p).otherwise(out)
         return out
 
     return probability

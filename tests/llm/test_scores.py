@@ -58,6 +58,29 @@ def test_trees_add_numbers_in_the_form_of_phones(spark, make):
     assert sum(r.added for r in got.values() if r.doc_id >= 300) == 0
 
 
+def test_trees_add_loose_forms(spark, make):
+    rng = random.Random(11)
+    n = lambda a, b: rng.randint(a, b)
+    form = lambda: f"{n(200, 999)} {n(200, 999)}-{n(1000, 9999)}"
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(n(4, 9)))
+    strict = [f"mail {name()}@{name()}.com or call +1 {form()} about host {n(1, 255)}.{n(0, 255)}.{n(0, 255)}.{n(0, 255)} today" for _ in range(400)]
+    decoys = [f"order id {n(10**8, 10**9)} came at {n(10, 23)}:{n(10, 59)}:{n(10, 59)} from build {n(300, 999)}.{n(0, 255)}.{n(0, 255)}.{n(0, 255)} to @{name()} or x@{name()}" for _ in range(400)]
+    planted = []
+    for _ in range(200):
+        host = ":".join(f"{n(4096, 65535):x}" for _ in range(8)) if n(0, 1) else f"2001:db8::{n(1, 65535):x}"
+        planted.append((f"{name()} [at] {name()} [dot] com", f"1 {form()}", host))
+    loose = [f"mail {a} or call {b} about host {c} today" for a, b, c in planted]
+    got = {r.doc_id: r for r in pii.find_pii(make(strict + decoys + loose)).collect()}
+    found = [0, 0, 0]
+    for i, spans in enumerate(planted):
+        named = set(got[800 + i].spans.split(","))
+        for k, (kind, part) in enumerate(zip(("email", "phone", "ip"), spans, strict=True)):
+            at = loose[i].index(part)
+            found[k] += f"{kind}:{at}:{at + len(part)}" in named
+    assert min(found) > 180, found
+    assert sum(got[i].added for i in range(800)) == 0
+
+
 def test_language_on_held_out_documents(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(docs.filter(~langid.held_out()))
