@@ -40,9 +40,10 @@ def project(v: Column, rows: list[list[float]]) -> Column:
 
 
 def sign_bits(v: Column) -> Column:
-    """The signs of up to 63 components as bits of a long, the first component lowest."""
-    bits = F.transform(doubles(v), lambda x, i: F.when((i < 63) & (x > 0), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    """The signs of up to 64 components as bits of a long, the first component lowest; longer vectors are an error."""
+    bits = F.transform(doubles(v), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    joined = F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    return F.when(F.size(v) > 64, F.raise_error(F.lit("more than 64 components")).cast("long")).otherwise(joined)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -90,8 +90,9 @@ BITS = "s AS (SELECT vec_id, list_sum(list_transform(range(1, 64), lambda i: CAS
 def hamming_pairs(t):
     """Pairs of sign fingerprints within 12 bits: of 13 bands of their bits one at least is equal."""
     s = t("embeddings").select("vec_id", V.sign_bits(F.col("embedding")).alias("bits"))
-    cuts = [63 * i // 13 for i in range(14)]
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.col("bits").bitwiseAND(((1 << b) - 1) ^ ((1 << a) - 1)).alias("key")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+    cuts = [64 * i // 13 for i in range(14)]
+    mask = lambda a, b: (1 << b) - (1 << a) - (1 << 64 if b == 64 else 0)
+    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.col("bits").bitwiseAND(mask(a, b)).alias("key")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
     keyed = s.select("vec_id", "bits", F.explode(bands).alias("k")).select("vec_id", "bits", "k.*")
     other = keyed.select(F.col("vec_id").alias("b"), F.col("bits").alias("bits_b"), "band", "key")
     met = keyed.join(other, ["band", "key"]).filter("vec_id < b").withColumn("distance", V.hamming(F.col("bits"), F.col("bits_b")))

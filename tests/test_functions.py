@@ -65,3 +65,15 @@ def test_scalars(spark):
     assert one(spark, S.client_ip(F.col("f"), F.col("h")), f=" 1.2.3.4, 5.6.7.8", h="x") == "1.2.3.4"
     assert one(spark, S.seconds_of(F.lit("5m"))) == 300 and one(spark, S.bytes_of(F.lit("2k"))) == 2048
     assert [one(spark, S.plural(F.lit(n), "a", "b", "c")) for n in (1, 3, 11, 25)] == ["a", "b", "c", "c"]
+
+
+def test_hamming_pairs_see_the_last_component(spark, tmp_path):
+    from larkspur.plans import catalog_queries
+
+    ones = [1.0] * 64
+    flipped = lambda *at: [-1.0 if i in at else 1.0 for i in range(64)]
+    rows = [(0, ones), (1, flipped(63)), (2, flipped(*range(12))), (3, flipped(63, *range(12)))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.a, r.b): r.distance for r in catalog_queries.QUERIES["hamming_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 1): 1, (0, 2): 12, (1, 3): 12, (2, 3): 1}
