@@ -6,10 +6,12 @@ Hamming distance over a window is a metric, so the triangle bound of a vantage p
 the distances of unrelated fingerprints crowd around 32, and a radius of 4 would send two thirds of them to both sides
 of each split; over a third of the bits at radius 1 it is one third.)
 
-The top of each tree splits the fingerprints into shards by their distance to vantage points. A fingerprint lives in one
-shard and also goes, as a query, to each later shard that its ball may reach. Within a shard the tree goes on down to
-small leaves, where whole 64-bit distances decide, so the links found are exact. A shard returns a spanning star for each
-group that it has linked, never the pairs of a group.
+The top of each tree splits the fingerprints into shards by their distance to vantage points, which follow from a node's
+number. A fingerprint lives in one shard and also goes, as a query, to each later shard that a value of its ball lives in: where
+the triangle bound cannot rule a side out, the values that go there are told apart. So there are at most as many
+queries as values in a ball (22 for a third of the bits), half of them on average, however many shards. Within a shard the tree goes
+on down to small leaves, where whole 64-bit distances decide, so the links found are exact. A shard returns a spanning star
+for each group that it has linked, never the pairs of a group.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
 from .components import connected_components
-from .tables import materialise, width
+from .tables import HOT, join_hot, materialise, width
 
-#: Fingerprints of a shard, about, and most levels of the sharding tree (its vantage points go to all tasks: 3 * 2^12).
-SHARD, MOST_LEVELS = 2048, 12
-#: Most fingerprints that thresholds are fitted on. They only balance the shards; any thresholds give all links.
-SAMPLE = 16_384
+#: Fingerprints of a shard, about. A shard's tree goes on within its task.
+SHARD = 65_536
+#: Most fingerprints that thresholds are fitted on, and how many levels are; those below split at half a window's bits.
+#: Thresholds only balance the shards; any give all links.
+SAMPLE, FITTED = 16_384, 10
 LEAF = 192
 BLOCK = 1 << 21
 
@@ -87,41 +90,62 @@ def _distance(values: np.ndarray, vantage: int) -> np.ndarray:
     return np.bitwise_count(values ^ np.uint64(vantage))
 
 
-def plant(sample: np.ndarray, radius: int, levels: int, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each window the vantage points and thresholds of a full binary tree, node 1 at the top."""
-    rng, trees = np.random.default_rng(seed), []
-    for shift, mask, _ in windows(radius):
+def vantage_points(nodes: np.ndarray, mask: int, seed: int) -> np.ndarray:
+    """The vantage point of each node of a window's tree: bits drawn from the node's number, so no table is sent around."""
+    x = (nodes.astype(np.uint64) + np.uint64(seed << 48)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) & np.uint64(mask)
+
+
+def plant(sample: np.ndarray, radius: int, levels: int) -> list[np.ndarray]:
+    """For each window the thresholds of the nodes of its upper levels, node 1 at the top: medians of the sample."""
+    levels, trees = min(levels, FITTED), []
+    for seed, (shift, mask, _) in enumerate(windows(radius)):
         values = (sample >> np.uint64(shift)) & np.uint64(mask)
-        vantage = rng.integers(0, mask + 1, 1 << levels, dtype=np.uint64)
         cut = np.full(1 << levels, mask.bit_length() // 2, np.int64)
         at = np.ones(len(values), np.int64)
+        points = vantage_points(np.arange(1 << levels), mask, seed)
         for node in range(1, 1 << levels):
             if len(here := np.flatnonzero(at == node)):
-                d = _distance(values[here], int(vantage[node]))
+                d = _distance(values[here], int(points[node]))
                 cut[node] = int(np.median(d))
                 at[here] = 2 * node + (d > cut[node])
-        trees.append((vantage, cut))
+        trees.append(cut)
     return trees
 
 
 def route(fps: np.ndarray, trees: list, radius: int, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shard, home): where each fingerprint lives, and the later shards that its ball may reach."""
+    """(row, shard, home): where each fingerprint lives, and the later shards where a value of its ball lives.
+
+    A window's radius is 1 at most, so a ball is a value and its flips of one bit. An entry is a row at a node with the set of
+    the flips that live below it, one bit for each.
+    """
     rows, shards, homes = [], [], []
-    for w, ((shift, mask, r), (vantage, cut)) in enumerate(zip(windows(radius), trees, strict=True)):
+    for w, ((shift, mask, r), cuts) in enumerate(zip(windows(radius), trees, strict=True)):
         values = (fps >> np.uint64(shift)) & np.uint64(mask)
-        row, node, home = np.arange(len(fps)), np.ones(len(fps), np.int64), np.ones(len(fps), bool)
+        n, row, node = len(fps), np.arange(len(fps)), np.ones(len(fps), np.int64)
+        flips = np.full(n, mask if r else 0, np.uint64)
+        nothing = np.uint64(0)
         for _ in range(levels):
-            d = np.bitwise_count(values[row] ^ vantage[node]).astype(np.int64)
-            inner = d <= cut[node]
-            # the home side; visitors go to both sides that the triangle bound cannot rule out
-            visit_in, visit_out = ~home & (d - r <= cut[node]), (~home | inner) & (d + r > cut[node])
-            row = np.concatenate([row[home], row[visit_in], row[visit_out]])
-            n = int(home.sum())
-            node = np.concatenate([2 * node[home] + ~inner[home], 2 * node[visit_in], 2 * node[visit_out] + 1])
-            home = np.arange(len(row)) < n
-        rows.append(row)
-        shards.append((w << levels) + node - (1 << levels))
-        homes.append(home)
+            apart = values[row] ^ vantage_points(node, mask, w)
+            d = np.bitwise_count(apart).astype(np.int64)
+            cut = np.where(node < len(cuts), cuts[np.minimum(node, len(cuts) - 1)], mask.bit_length() // 2)
+            # the triangle bound: a flip is one bit nearer (those set in ``apart``) or farther, so only a threshold next to d parts them
+            within = np.where(d < cut, flips, np.where(d <= cut + 1, flips & apart, nothing))
+            beyond = flips & ~within
+            inner = d <= cut
+            own, other = np.where(inner, within, beyond), np.where(inner, beyond, within)
+            away, stay = np.flatnonzero(other[:n]), np.flatnonzero(within[n:]) + n
+            out = np.flatnonzero(beyond[n:]) + n
+            row = np.concatenate([row[:n], row[away], row[stay], row[out]])
+            flips = np.concatenate([own[:n], other[away], within[stay], beyond[out]])
+            node = np.concatenate([2 * node[:n] + ~inner[:n], 2 * node[away] + inner[away], 2 * node[stay], 2 * node[out] + 1])
+        home = np.arange(len(row)) < n
+        kept = home | (node > node[:n][row])  # each two shards ask one another once
+        rows.append(row[kept])
+        shards.append((w << levels) + node[kept] - (1 << levels))
+        homes.append(home[kept])
     return np.concatenate(rows), np.concatenate(shards), np.concatenate(homes)
 
 
@@ -179,33 +203,46 @@ def _leaf(fps: np.ndarray, own: np.ndarray, guests: np.ndarray, radius: int, lin
     _compare(fps, own, guests, radius, links)
 
 
-def search(fps: np.ndarray, home: np.ndarray, window: tuple[int, int, int], radius: int) -> np.ndarray:
-    """The root position of each fingerprint after linking, within the radius, residents to all."""
-    shift, mask, r = window
-    values, links = (fps >> np.uint64(shift)) & np.uint64(mask), _Links(len(fps))
-    todo = [(np.flatnonzero(home), np.flatnonzero(~home), 0)]
+def search(fps: np.ndarray, home: np.ndarray, window: int, radius: int) -> np.ndarray:
+    """The root position of each fingerprint after linking, within the radius, residents to all.
+
+    Where many share a window's value, so that its tree cannot part them, the trees of the other windows go on: of what is
+    within the radius, at least one of them holds no more than its share.
+    """
+    parts, links = windows(radius), _Links(len(fps))
+    values = [(fps >> np.uint64(shift)) & np.uint64(mask) for shift, mask, _ in parts]
+    wider = radius // (len(parts) - 1) if len(parts) > 1 else radius
+    todo = [(np.flatnonzero(home), np.flatnonzero(~home), 0, window, parts[window][2], True)]
     while todo:
-        own, guests, level = todo.pop()
+        own, guests, level, w, r, first = todo.pop()
         if not len(own):
             continue
         if len(own) > LEAF:
-            d_own = _distance(values[own], v := int(values[own[(level * 7919) % len(own)]]))
+            d_own = _distance(values[w][own], v := int(values[w][own[(level * 7919) % len(own)]]))
             cut = int(np.median(d_own))
             cut -= cut == d_own.max()
             inner = d_own <= cut
             if 0 < inner.sum() < len(own):
-                d = _distance(values[guests], v).astype(np.int64)
-                todo.append((own[inner], guests[d - r <= cut], level + 1))
-                todo.append((own[~inner], np.concatenate([guests[d + r > cut], own[inner & (d_own.astype(np.int64) + r > cut)]]), level + 1))
+                d = _distance(values[w][guests], v).astype(np.int64)
+                todo.append((own[inner], guests[d - r <= cut], level + 1, w, r, first))
+                met = np.concatenate([guests[d + r > cut], own[inner & (d_own.astype(np.int64) + r > cut)]])
+                todo.append((own[~inner], met, level + 1, w, r, first))
+                continue
+            if first and len(parts) > 1:
+                todo += [(own, guests, level, other, wider, False) for other in range(len(parts)) if other != window]
                 continue
         _leaf(fps, own, guests, radius, links)
     return links.settle()
 
 
 def links_within(distinct: DataFrame, radius: int = 4, shard: int = SHARD) -> DataFrame:
-    """(u, v): edges that connect exactly what fingerprints (column fp, distinct) within ``radius`` bits connect."""
+    """(u, v): edges that connect exactly what fingerprints (column fp, distinct) within ``radius`` bits connect.
+
+    The number of shards grows with the table; a shard is larger than ``shard`` where many distinct fingerprints share
+    the value of a window, and is read by one task.
+    """
     n = distinct.count()
-    levels = min(MOST_LEVELS, max(0, int(np.ceil(np.log2(max(1, n) / shard)))))
+    levels = max(0, int(np.ceil(np.log2(max(1, n) / shard))))
     sample = np.empty(0, np.uint64)
     if levels:
         rows = distinct.sample(min(0.25, SAMPLE / n), seed=11).limit(2 * SAMPLE).collect()
@@ -222,21 +259,23 @@ def links_within(distinct: DataFrame, radius: int = 4, shard: int = SHARD) -> Da
 
     def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         fps = rows["fp"].to_numpy().view(np.uint64)
-        root = search(fps, rows["home"].to_numpy(), windows(radius)[key[0] >> levels], radius)
+        root = search(fps, rows["home"].to_numpy(), int(key[0]) >> levels, radius)
         far = root != np.arange(len(fps))
         return pd.DataFrame({"u": fps[far].view(np.int64), "v": fps[root[far]].view(np.int64)})
 
     dealt = distinct.select("fp").mapInArrow(deal, "shard long, fp long, home boolean")
-    return dealt.repartition(width(distinct), "shard").groupBy("shard").applyInPandas(link, "u long, v long")
+    parts = max(width(distinct), len(trees) << levels >> 3)
+    return dealt.repartition(parts, "shard").groupBy("shard").applyInPandas(link, "u long, v long")
 
 
 def near_groups(fps: DataFrame, radius: int = 4, shard: int = SHARD) -> DataFrame:
-    """(fp, component_id): for each distinct fingerprint of ``fps`` (id, fp), the smallest id of its component."""
-    distinct = materialise(fps.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
+    """(fp, component_id, copies): for each distinct fingerprint of ``fps`` (id, fp), the smallest id of its component."""
+    distinct = materialise(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "fingerprints")
     roots = connected_components(links_within(distinct, radius, shard))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left")
+    rooted = materialise(rooted.select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "components")
+    return join_hot(rooted.select("fp", "copies", "root"), least, "root", "members").select("fp", "component_id", "copies")
 
 
 def near_duplicates(
@@ -245,16 +284,29 @@ def near_duplicates(
     """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
     Null and wordless texts have fingerprint zero and are linked like any other. Null ids are kept as rows; they never
-    name a component unless it has no other id. Repeated rows give repeated rows; an empty table gives none.
+    name a component unless it has no other id. Repeated rows give repeated rows; an empty table gives none. Only the id
+    and the text are read, so other columns may have any names; texts are read whole, however long.
     """
     fps = materialise(fingerprints(docs, text_col, id_col, size), "simhash")
-    return fps.join(near_groups(fps, radius), "fp").select(
+    groups = materialise(near_groups(fps, radius), "groups")
+    return join_hot(fps, groups, "fp", "copies").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 4, radius: int = 4) -> DataFrame:
-    """The documents that name their component, with all columns of ``docs``; rows without an id stay."""
-    groups = near_duplicates(docs, text_col, id_col, size, radius)
-    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    """The documents that name their component, with all columns of ``docs``; rows without an id stay.
+
+    Ids name documents: of rows that repeat an id, all stay if one of them names its component, and else all go. Ids of more
+    than one in HOT rows are settled by a broadcast.
+    """
+    groups = near_duplicates(docs, text_col, id_col, size, radius).filter(F.col(id_col).isNotNull())
+    named = F.col(id_col) == F.col("component_id")
+    ids = groups.groupBy(F.col(id_col).alias("gone_id")).agg(F.bool_or(named).alias("stays"), F.count(F.lit(1)).alias("copies"))
+    gone = materialise(ids.filter("NOT stays OR copies > 1"), "gone")
+    hot = F.col("copies") * HOT > docs.count()
+    few = F.broadcast(gone.filter(hot).select(F.col("gone_id").alias("hot_id"), "stays"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("key", F.col(f"row.`{id_col}`"))
+    tagged = held.join(few, F.col("key") == F.col("hot_id"), "left")
+    rest = tagged.filter("hot_id IS NULL").join(gone.filter(~hot & ~F.col("stays")), F.col("key") == F.col("gone_id"), "left_anti")
+    return tagged.filter("stays").select("row.*").unionByName(rest.select("row.*"))
