@@ -13,14 +13,18 @@ from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .tables import materialise, width
+from .tables import join_hot, materialise, width
 
 RADIUS = 3
 CELLS = 1 << 22  # comparisons made at once
+#: Fingerprints of one key that are compared within a task; more are compared block by block, in many tasks.
+CROWD = 8192
+#: Bytes of text of a bucket of ids, about, and ids of the sample that bounds are taken from, for each bucket.
+BUCKET, BOUND_SAMPLE = 16 << 20, 32
 
 
 def simhash(text: str) -> int:
@@ -48,36 +52,51 @@ def _likeness(a: int, b: int) -> float:
 # ---- fingerprints of documents, of their edited texts, and of the documents that follow them
 
 
-def _bucketed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(bucket, tail, id, tie, text): ranges of ids, each with the row that follows it in descending order as its tail.
+def _bucket_of(key: Column, bounds: DataFrame) -> tuple[Column, int]:
+    """How many of ``bounds`` (one column of structs, sorted; few) are below a key, by bisection, and the number of buckets."""
+    found = [r[0] for r in bounds.collect()]
+    if not found:
+        return F.lit(0), 1
+    kinds = bounds.schema[0].dataType
+    listed = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, kinds, strict=True)]) for b in found])
+    n, steps = len(found), [1 << i for i in reversed(range(len(found).bit_length()))]
+    step = lambda at, s: F.when((at + s <= n) & (F.element_at(listed, F.least(at + s, F.lit(n))) < key), at + s).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step), n + 1
 
-    Only bucket bounds and the first row of each bucket pass through the driver.
+
+def _bucketed(docs: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, int]:
+    """(bucket, tail, id, tie, text): ranges of (id, tie), each with the row that follows it in descending order as its tail.
+
+    ``tie`` is a hash of the text, so equal and null ids are parted too. Only bucket bounds, from a sample, and the first key
+    of each bucket pass through the driver; the number of buckets grows with the texts, so that a bucket doesn't.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = 4 * width(docs)
-    cuts = sorted(set(rows.select("id").approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n)))
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<long>")
-    rows = rows.select(
-        # ids up to the first cut are in bucket 0; null ids come after all others
-        F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda c: c < F.col("id")))).alias("bucket"),
-        "id", F.xxhash64("text").alias("tie"), "text",
-    )
-    key = F.struct("id", "tie")
-    heads = rows.select("bucket", "id", "tie").groupBy("bucket").agg(F.max(key).alias("head")).orderBy("bucket").collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    key = F.struct("id", F.xxhash64("text").alias("tie"))
+    total = rows.count()
+    mean = rows.sample(min(1.0, 4096 / max(1, total)), seed=3).agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    n = max(4 * width(docs), int(total * mean) // BUCKET)
+    sampled = rows.sample(min(1.0, BOUND_SAMPLE * n / max(1, total)), seed=4).select(key.alias("key"))
+    place = F.floor((F.percent_rank().over(Window.orderBy("key"))) * n)  # the sample is in one partition: a few rows a bucket
+    bounds = sampled.withColumn("place", place).groupBy("place").agg(F.min("key").alias("key")).select("key").distinct().orderBy("key")
+    bucket, n = _bucket_of(key, bounds)
+    rows = rows.select(bucket.alias("bucket"), "id", key["tie"].alias("tie"), "text")
+    head = F.struct("id", "tie")
+    heads = rows.groupBy("bucket").agg(F.max(head).alias("head")).orderBy("bucket").collect()
     follows = [(h.bucket, heads[i - 1].head.id, heads[i - 1].head.tie) for i, h in enumerate(heads)]
-    spark = docs.sparkSession
-    tails = F.broadcast(spark.createDataFrame(follows, "to long, head_id long, head_tie long"))
+    kind = rows.schema["id"].dataType.simpleString()
+    tails = F.broadcast(docs.sparkSession.createDataFrame(follows, f"to int, head_id {kind}, head_tie long"))
     same = rows["id"].eqNullSafe(tails["head_id"]) & (rows["tie"] == tails["head_tie"])
     met = rows.join(tails, same, "left")
-    both = F.array(F.struct(F.lit(False).alias("tail"), F.col("bucket").cast("long").alias("bucket")), F.struct(F.lit(True).alias("tail"), F.col("to").alias("bucket")))
+    both = F.array(F.struct(F.lit(False).alias("tail"), F.col("bucket").alias("bucket")), F.struct(F.lit(True).alias("tail"), F.col("to").alias("bucket")))
     placed = met.select(F.explode(F.filter(both, lambda x: x["bucket"].isNotNull())).alias("at"), "id", "tie", "text")
-    return placed.select("at.bucket", "at.tail", "id", "tie", "text")
+    return placed.select("at.bucket", "at.tail", "id", "tie", "text"), n
 
 
 def with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next) for each row; see ``document_fingerprints``."""
-    rows = _bucketed(docs, text_col, id_col)
-    rows = rows.repartition(width(docs), "bucket").sortWithinPartitions("bucket", "tail", F.desc_nulls_last("id"), F.desc("tie"))
+    rows, buckets = _bucketed(docs, text_col, id_col)
+    # one bucket a partition: neighbours by hash would make some partitions several times as large as others
+    rows = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "tail", F.desc_nulls_last("id"), F.desc("tie"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row before: bucket, id, text, fp; it is done when the next of its bucket has come
@@ -97,11 +116,12 @@ def with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
             if out:
                 id_, n, digest, fp, edited_fp, near_edited, near_next = zip(*out, strict=True)
                 signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, edited_fp)]
-                arrays = [pa.array(id_, pa.int64()), pa.array(n, pa.int64()), pa.array(digest), *signed, pa.array(near_edited), pa.array(near_next)]
+                arrays = [pa.array(id_, batch.schema.field(2).type), pa.array(n, pa.int64()), pa.array(digest), *signed, pa.array(near_edited), pa.array(near_next)]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "n_chars", "edited_sha256", "fp", "edited_fp", "near_edited", "near_next"])
 
+    kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(
-        run, "id long, n_chars long, edited_sha256 string, fp long, edited_fp long, near_edited double, near_next double"
+        run, f"id {kind}, n_chars long, edited_sha256 string, fp long, edited_fp long, near_edited double, near_next double"
     )
 
 
@@ -116,15 +136,15 @@ def block_tables(radius: int = RADIUS) -> list[int]:
     return [x | y for x, y in combinations(blocks, 2)]
 
 
-def _met(fps: np.ndarray, copies: np.ndarray, table: int, masks: np.ndarray, radius: int) -> np.ndarray:
-    """For each of the fingerprints that share a key of ``table``, the copies of others within the radius.
+def _met(own: np.ndarray, fps: np.ndarray, copies: np.ndarray, table: int, masks: np.ndarray, radius: int) -> np.ndarray:
+    """For each of ``own``, the copies of others among ``fps``, of the same key of ``table``, within the radius.
 
     A pair that an earlier table also brings together is that table's.
     """
-    found = np.zeros(len(fps), np.int64)
-    step = max(1, CELLS // len(fps))
-    for at in range(0, len(fps), step):
-        apart = fps[at : at + step, None] ^ fps[None, :]
+    found = np.zeros(len(own), np.int64)
+    step = max(1, CELLS // max(1, len(fps)))
+    for at in range(0, len(own), step):
+        apart = own[at : at + step, None] ^ fps[None, :]
         near = (np.bitwise_count(apart) <= radius) & (apart != 0)
         for mask in masks[:table]:
             near &= (apart & mask) != 0
@@ -132,41 +152,67 @@ def _met(fps: np.ndarray, copies: np.ndarray, table: int, masks: np.ndarray, rad
     return found
 
 
-def neighbour_counts(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, near): for each distinct fp of ``fps`` (column fp), how many rows have another one within the radius.
+def neighbour_counts(distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """(fp, near): for each fp of ``distinct`` (fp, copies), how many rows have another one within the radius.
 
-    Copies are counted before anything is shuffled; only counts leave a task, never pairs.
+    Only counts leave a task, never pairs. Of a key that more than ``crowd`` fingerprints share, blocks of about that many are
+    compared two by two, each in a task of its own.
     """
     masks = np.array(block_tables(radius), np.uint64)
-    distinct = materialise(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("copies")), "counted-fingerprints")
     signed = masks.view(np.int64).tolist()
     keys = F.array(*[F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
     tables = distinct.select("fp", "copies", F.explode(keys).alias("at")).select("at.table", "at.key", "fp", "copies")
-    tables = tables.repartition(width(fps), "table", "key").sortWithinPartitions("table", "key")
+    here = Window.partitionBy("table", "key")
+    tables = tables.repartition(width(distinct), "table", "key").withColumn("n", F.count(F.lit(1)).over(here))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64) for _ in range(4)]
-        for batch in _and_end(batches):
-            if batch is not None:
-                new = [batch.column(i).to_numpy() for i in range(4)]
-                held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            table, key, fp, copies = held
-            if not len(fp):
-                continue
-            starts = np.flatnonzero(np.r_[True, (table[1:] != table[:-1]) | (key[1:] != key[:-1])])
-            ends = np.r_[starts[1:], len(fp)]
-            if batch is not None:  # the last run may go on
-                held = [x[starts[-1] :] for x in held]
-                starts, ends = starts[:-1], ends[:-1]
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, runs in _runs(batches):
             outs = []
-            for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-                near = _met(fp[a:b].view(np.uint64), copies[a:b], int(table[a]), masks, radius)
-                outs.append((fp[a:b][near > 0], near[near > 0]))
-            if outs:
-                found, near = (np.concatenate(x) for x in zip(*outs, strict=True))
+            for asks, asked, fp, copies in runs:
+                others = fp[asked]
+                near = _met(fp[asks].view(np.uint64), others.view(np.uint64), copies[asked], table, masks, radius)
+                outs.append((fp[asks][near > 0], near[near > 0]))
+            found, near = (np.concatenate(x) for x in zip(*outs, strict=True))
+            if len(found):
                 yield pa.RecordBatch.from_pydict({"fp": found, "near": near})
 
-    return tables.mapInArrow(run, "fp long, near long").groupBy("fp").agg(F.sum("near").alias("near"))
+    both = [F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(True).alias("asks"), F.lit(True).alias("asked")]
+    few = tables.filter((F.col("n") > 1) & (F.col("n") <= crowd)).select("table", "key", *both, "fp", "copies")
+    blocks = F.ceil(F.col("n") / crowd).cast("int")
+    many = tables.filter(F.col("n") > crowd).withColumn("mine", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    # block a asks block b
+    side = lambda a, b, asks: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(asks).alias("asks"), F.lit(not asks).alias("asked"))
+    many = many.select("table", "key", F.explode(F.array(side("mine", "other", True), side("other", "mine", False))).alias("at"), "fp", "copies")
+    many = many.select("table", "key", "at.*", "fp", "copies")
+    many = many.repartition(width(distinct), "table", "key", "a", "b").sortWithinPartitions("table", "key", "a", "b")
+    near = [x.mapInArrow(compare, "fp long, near long") for x in (few, many)]
+    return near[0].unionByName(near[1]).groupBy("fp").agg(F.sum("near").alias("near"))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
+    """(table, [(asks, asked, fp, copies) of each run of equal keys]) of sorted batches; a run may span several of them."""
+    held: list[list[np.ndarray]] = []
+    for batch in _and_end(batches):
+        new = [] if batch is None else [[batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]]
+        if new and held and all(held[-1][i][-1] == new[0][i][0] == new[0][i][-1] for i in range(4)):
+            held += new  # the whole batch is of the run that is open
+            continue
+        if not (held := held + new):
+            continue
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        new_run = np.zeros(len(columns[0]), bool)
+        new_run[0] = True
+        for c in columns[:4]:
+            new_run[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(new_run)
+        ends = np.r_[starts[1:], len(new_run)]
+        held = []
+        if batch is not None:  # the last run may go on
+            held = [[c[starts[-1] :] for c in columns]]
+            starts, ends = starts[:-1], ends[:-1]
+        for table in np.unique(columns[0][starts]) if len(starts) else ():
+            of = columns[0][starts] == table
+            yield int(table), [tuple(c[a:b] for c in columns[4:]) for a, b in zip(starts[of], ends[of], strict=True)]
 
 
 def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -180,16 +226,17 @@ def document_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str =
     The edited text has the last floor(n / 2) code points replaced by the first as many (or all) of the next document's.
     Documents follow each other by descending id, null ids last, equal ids by a hash of the text; the first follows the last,
     and a document that is alone follows itself. ``near_docs`` counts the other rows with a fingerprint within the radius,
-    equal ones included. A null text counts as empty and has fingerprint zero.
+    equal ones included. A null text counts as empty and has fingerprint zero. Ids may be of any ordered type; rows that repeat
+    both id and text are rows of their own. Only the id and the text are read, texts whole, however long.
     """
     rows = materialise(with_next(docs, text_col, id_col), "document-fingerprints")
-    near = neighbour_counts(rows.select("fp"), radius)
-    copies = rows.groupBy("fp").agg((F.count(F.lit(1)) - 1).alias("equal"))
-    around = copies.join(near.withColumnRenamed("fp", "near_fp"), copies["fp"] == F.col("near_fp"), "left").select(
-        F.col("fp").alias("fp_"), (F.col("equal") + F.coalesce("near", F.lit(0))).alias("near_docs")
+    distinct = materialise(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("copies")), "counted-fingerprints")
+    near = neighbour_counts(distinct, radius)
+    around = distinct.join(near.withColumnRenamed("fp", "near_fp"), F.col("fp") == F.col("near_fp"), "left").select(
+        "fp", "copies", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("near_docs")
     )
     hex_ = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    return rows.join(around, rows["fp"] == around["fp_"]).select(
+    return join_hot(rows, materialise(around, "neighbours"), "fp", "copies").select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", hex_("fp").alias("fingerprint"),
         hex_("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "near_docs",
     )
