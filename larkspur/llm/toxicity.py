@@ -2,8 +2,8 @@
 
 Labels are of documents, so tokens are labelled first: words that stand significantly more often in toxic documents than in
 clean ones, in many different surroundings (which copies of one document don't give), are toxic in toxic documents; all other
-tokens are clean. A two-state chain over hashed features of words is fitted to such tokens, of a bounded sample of labelled
-documents. Every text is then tagged whole: forward-backward marginals give spans and offsets, and a logistic curve over the
+tokens are clean. A two-state chain over hashed features of words and their neighbours is fitted to all tokens of a bounded
+sample of labelled documents; its gradient is summed up over tasks. Every text is then tagged whole: forward-backward marginals give spans and offsets, and a logistic curve over the
 expected number of toxic tokens, fitted with the weights of the classes in all labelled rows, gives the document's score.
 """
 
@@ -23,7 +23,11 @@ from .tables import materialise
 
 #: Labelled documents that the model is fitted on, by class (clean, toxic), spread by hash.
 SAMPLE = (6000, 3000)
-HASHED, AROUND, WINDOWS, ROUNDS = 1 << 17, 6, 4, 30
+HASHED, ROUNDS = 1 << 17, 30
+#: Tokens of a text that are a chain of their own in the fit; all of them are.
+CHUNK = 128
+#: Tasks that the gradient is summed up in; each sends one array of HASHED numbers.
+TASKS = 16
 #: Marginals below this don't add to a document's sum, or the length of a clean text would.
 FLOOR = 0.1
 #: Evidence for a word: likelihood ratio (G squared) and times as frequent in toxic documents, at least.
@@ -33,9 +37,14 @@ PREDICTED = 0.3
 _word = re.compile(r"[^\W\d_]+")
 
 
-def _features(word: str) -> list[int]:
-    parts = [f"w:{word}", "bias", f"s:{word[-4:]}"] + [f"p:{word[:n]}" for n in (4, 6, 8) if len(word) >= n]
-    return [crc32(p.encode("utf-8", "surrogatepass")) % HASHED for p in parts]
+def _hash(part: str) -> int:
+    return crc32(part.encode("utf-8", "surrogatepass")) % HASHED
+
+
+def _features(word: str) -> tuple[list[int], int, int]:
+    """A word's own features, and what it is to the word after it and to the word before it."""
+    own = [f"w:{word}", "bias", f"s:{word[-4:]}"] + [f"p:{word[:n]}" for n in (4, 6, 8) if len(word) >= n]
+    return [_hash(p) for p in own], _hash(f"l:{word}"), _hash(f"r:{word}")
 
 
 # ---- labelled tokens
@@ -44,7 +53,7 @@ def _features(word: str) -> list[int]:
 def sample_labelled(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_col: str) -> tuple[DataFrame, dict[int, int]]:
     """(id, text, toxic) of the sample, written once, and the number of labelled rows by class.
 
-    The ids of the sample are broadcast (9,000 at most), so no text is shuffled to find it.
+    The ids of the sample are broadcast (9,000 at most), so no text is shuffled to find it; of rows that repeat an id one counts.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IN (0, 1)")
     marked = marked.groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -52,7 +61,8 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, text_col: str, id_col: s
     picked = [marked.filter(F.col("toxic") == k).orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(n) for k, n in enumerate(SAMPLE)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    return materialise(rows.join(ids, "id"), "toxicity-sample"), sizes
+    one = rows.join(ids, "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
+    return materialise(one, "toxicity-sample"), sizes
 
 
 def toxic_words(sample: DataFrame) -> list[str]:
@@ -74,7 +84,7 @@ def toxic_words(sample: DataFrame) -> list[str]:
     expected = (a + b) * (n1 / (n0 + n1))
     g = 2 * (a * F.log(a / expected) + F.when(b > 0, b * F.log(b / (a + b - expected))).otherwise(F.lit(0.0)))
     clear = (a >= 3) & (a / n1 >= TIMES * (b + 0.5) / n0) & (g >= EVIDENCE) & (F.col("before") >= F.greatest(F.lit(3), a / 2))
-    return [r.word for r in seen.filter(clear).orderBy(g.desc(), "word").limit(20_000).collect()]
+    return [r.word for r in seen.filter(clear).orderBy(g.desc(), "word").collect()]
 
 
 # ---- the chain
@@ -86,74 +96,159 @@ class Chain:
     start: float
     moves: np.ndarray  # (2, 2) log potentials, from row to column
 
-    def emission(self, word: str) -> float:
-        return float(self.weights[_features(word)].sum())
-
-
-def fit_chain(windows: list[list[str]], labels: np.ndarray) -> Chain:
-    """Maximum likelihood with a little L2, by AdaGrad over all windows (equally long; padded words are '')."""
-    n, length = labels.shape
-    index: dict[str, int] = {}
-    token = np.array([[index.setdefault(w, len(index)) for w in row] for row in windows])
-    real = np.array([[w != "" for w in row] for row in windows])
-    feats = [_features(w) for w in index]
-    owner, feature = np.repeat(np.arange(len(feats)), [len(f) for f in feats]), np.concatenate(feats)
-    weights, extra = np.zeros(HASHED), np.zeros(5)  # start, then the four moves
-    weights[crc32(b"bias") % HASHED] = -6.0  # most tokens are clean
-    g_w, g_e = np.full(HASHED, 1e-3), np.full(5, 1e-3)
-    y = labels.astype(float) * real
-    pairs = real[:, 1:] & real[:, :-1]
-    for _ in range(ROUNDS):
-        word_score = np.bincount(owner, weights[feature], minlength=len(feats))
-        e = np.where(real, word_score[token], -30.0)
-        moves = extra[1:].reshape(2, 2)
-        alpha, beta = np.zeros((length, n, 2)), np.zeros((length, n, 2))
-        alpha[0, :, 1] = e[:, 0] + extra[0]
-        emit = np.stack([np.zeros_like(e), e], axis=2)
-        for t in range(1, length):
-            alpha[t] = np.logaddexp(alpha[t - 1, :, :1] + moves[0], alpha[t - 1, :, 1:] + moves[1]) + emit[:, t]
-        for t in range(length - 2, -1, -1):
-            ahead = beta[t + 1] + emit[:, t + 1]
-            beta[t] = np.logaddexp(ahead[:, :1] + moves[:, 0], ahead[:, 1:] + moves[:, 1])
-        z = np.logaddexp(alpha[-1, :, 0], alpha[-1, :, 1])
-        p = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z).T
-        error = np.where(real, y - p, 0.0)
-        grad = np.bincount(feature, np.bincount(token.ravel(), error.ravel(), minlength=len(feats))[owner], minlength=HASHED) - 1e-3 * weights
-        move = np.zeros(5)
-        move[0] = error[:, 0].sum()
-        for i in range(2):
-            for j in range(2):
-                is_i, is_j = (y[:, :-1] if i else 1 - y[:, :-1]), (y[:, 1:] if j else 1 - y[:, 1:])
-                joint = np.exp(alpha[:-1, :, i] + moves[i, j] + emit[:, 1:, j].T + beta[1:, :, j] - z).T
-                move[1 + 2 * i + j] = ((is_i * is_j - joint) * pairs).sum()
-        move -= 1e-1 * extra
-        g_w += grad**2
-        g_e += move**2
-        weights += 1.0 * grad / np.sqrt(g_w)
-        extra += 0.4 * move / np.sqrt(g_e)
-    return Chain(weights, float(extra[0]), extra[1:].reshape(2, 2))
-
-
-def train_chain(sample: DataFrame, lexicon: list[str]) -> Chain:
-    """The chain fitted to windows of the sample: around listed words and words that begin like one, and spread evenly."""
-    known, stems = set(lexicon), {w[:5] for w in lexicon}
-    width = 2 * AROUND + 1
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: dict[str, list] = {"words": [], "y": []}
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = _word.findall(text.lower())
-                near = [i for i, w in enumerate(words) if w[:5] in stems]
-                even = range(AROUND, len(words), max(width, len(words) // WINDOWS))
-                for at in [*near[:: max(1, len(near) // (2 * WINDOWS))][: 2 * WINDOWS], *list(even)[:WINDOWS]]:
-                    window = [words[i] if 0 <= i < len(words) else "" for i in range(at - AROUND, at + AROUND + 1)]
-                    rows["words"].append(window)
-                    rows["y"].append([int(toxic == 1 and w in known) for w in window])
-            yield pa.RecordBatch.from_pydict({"words": pa.array(rows["words"], pa.list_(pa.string())), "y": pa.array(rows["y"], pa.list_(pa.int8()))})
+    def emission(self, word: str) -> tuple[float, float, float]:
+        """What a word adds to its own token, to the one after it and to the one before it."""
+        own, left, right = _features(word)
+        return float(self.weights[own].sum()), float(self.weights[left]), float(self.weights[right])
+
+
+def along(parts: np.ndarray) -> np.ndarray:
+    """The emissions of a text's tokens, from what its words add (a row for each word)."""
+    out = parts[:, 0].copy()
+    out[1:] += parts[:-1, 1]
+    out[:-1] += parts[1:, 2]
+    return out
+
+
+@dataclass
+class Labelled:
+    """Texts one after another: distinct words with their features, tokens as places among the words, labels, and where texts begin."""
+
+    own: np.ndarray
+    sizes: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    token: np.ndarray
+    y: np.ndarray
+    begins: np.ndarray
+
+    @staticmethod
+    def of(texts: list[list[str]], labels: list[list[int]]) -> Labelled:
+        index: dict[str, int] = {}
+        token = np.array([index.setdefault(w, len(index)) for t in texts for w in t], np.int32)
+        feats = [_features(w) for w in index]
+        begins = np.zeros(len(token), bool)
+        begins[np.cumsum([0, *[len(t) for t in texts if t]])[:-1]] = True
+        return Labelled(
+            np.array([f for own, _, _ in feats for f in own], np.int32), np.array([len(own) for own, _, _ in feats], np.int32),
+            np.array([x for _, x, _ in feats], np.int32), np.array([x for _, _, x in feats], np.int32),
+            token, np.array([y for row in labels for y in row], np.int8), begins,
+        )
+
+
+def gradient(data: Labelled, weights: np.ndarray, extra: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+    """The gradient of the log likelihood for the weights, then start and the four moves (``extra``)."""
+    out = np.zeros(len(weights) + 5)
+    n = len(data.token)
+    if not n:
+        return out
+    starts = np.cumsum(data.sizes) - data.sizes
+    score = np.add.reduceat(weights[data.own], starts)
+    inside = np.flatnonzero(~data.begins)  # tokens that have one before them in their text
+    e = score[data.token]
+    e[inside] += weights[data.left[data.token[inside - 1]]]
+    e[inside - 1] += weights[data.right[data.token[inside]]]
+
+    # chains of ``chunk`` tokens at most, side by side
+    text = np.cumsum(data.begins) - 1
+    first = np.flatnonzero(data.begins)
+    within = np.arange(n) - first[text]
+    begin = data.begins | (within % chunk == 0)
+    chain = np.cumsum(begin) - 1
+    place = np.arange(n) - np.flatnonzero(begin)[chain]
+    shape = (int(place.max()) + 1, int(chain[-1]) + 1)
+    emit, y, real = np.zeros(shape), np.zeros(shape), np.zeros(shape, bool)
+    emit[place, chain], y[place, chain], real[place, chain] = e, data.y, True
+    start, moves = extra[0], extra[1:].reshape(2, 2)
+    (a00, a01), (a10, a11) = moves
+    forward, back = np.zeros(shape), np.zeros(shape)
+    forward[0] = emit[0] + start
+    for t in range(1, shape[0]):
+        r = forward[t - 1]
+        forward[t] = emit[t] + np.logaddexp(a01, a11 + r) - np.logaddexp(a00, a10 + r)
+    for t in range(shape[0] - 2, -1, -1):
+        ahead = emit[t + 1] + back[t + 1]
+        back[t] = np.where(real[t + 1], np.logaddexp(a10, a11 + ahead) - np.logaddexp(a00, a01 + ahead), 0.0)
+    p = 1 / (1 + np.exp(-np.clip(forward + back, -40, 40)))
+    error = ((y - p) * real)[place, chain]
+
+    by_word = np.bincount(data.token, error, len(data.sizes))
+    np.add.at(out, data.own, np.repeat(by_word, data.sizes))
+    np.add.at(out, data.left, np.bincount(data.token[inside - 1], error[inside], len(data.left)))
+    np.add.at(out, data.right, np.bincount(data.token[inside], error[inside - 1], len(data.right)))
+    out[-5] = error[begin].sum()
+    joint = np.stack([i * forward[:-1] + moves[i, j] + j * (emit[1:] + back[1:]) for i in (0, 1) for j in (0, 1)])
+    joint = np.exp(joint - joint.max(axis=0))
+    joint /= joint.sum(axis=0)
+    is_, then = y[:-1], y[1:]
+    seen = np.stack([(is_ if i else 1 - is_) * (then if j else 1 - then) for i in (0, 1) for j in (0, 1)])
+    out[-4:] = ((seen - joint) * real[1:]).sum(axis=(1, 2))
+    return out
+
+
+class Climb:
+    """AdaGrad on the log likelihood with a little L2."""
 
-    found = sample.select("text", "toxic").mapInArrow(cut, "words array<string>, y array<tinyint>").toArrow()  # bounded by the sample
-    return fit_chain(found.column("words").to_pylist(), np.array(found.column("y").to_pylist()))
+    def __init__(self) -> None:
+        self.weights, self.extra = np.zeros(HASHED), np.zeros(5)
+        self.weights[_hash("bias")] = -6.0  # most tokens are clean
+        self.g_w, self.g_e = np.full(HASHED, 1e-3), np.full(5, 1e-3)
+
+    def step(self, slope: np.ndarray) -> None:
+        grad, move = slope[:-5] - 1e-3 * self.weights, slope[-5:] - 1e-1 * self.extra
+        self.g_w += grad**2
+        self.g_e += move**2
+        self.weights += 1.0 * grad / np.sqrt(self.g_w)
+        self.extra += 0.4 * move / np.sqrt(self.g_e)
+
+    def chain(self) -> Chain:
+        return Chain(self.weights, float(self.extra[0]), self.extra[1:].reshape(2, 2))
+
+
+def fit_chain(texts: list[list[str]], labels: list[list[int]], rounds: int = ROUNDS) -> Chain:
+    """The chain of texts at hand."""
+    climb, data = Climb(), Labelled.of(texts, labels)
+    for _ in range(rounds):
+        climb.step(gradient(data, climb.weights, climb.extra))
+    return climb.chain()
+
+
+_kept = ("own", "sizes", "left", "right", "token", "y", "begins")
+
+
+def train_chain(sample: DataFrame, lexicon: list[str], rounds: int = ROUNDS) -> Chain:
+    """The chain fitted to all tokens of the sample: of toxic documents the listed words are toxic, all else is clean."""
+    spark = sample.sparkSession
+    known = spark.sparkContext.broadcast(frozenset(lexicon))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts = [_word.findall(t.lower()) for t in part.column(0).to_pylist()]
+                labels = [[int(toxic == 1 and w in known.value) for w in t] for t, toxic in zip(texts, part.column(1).to_pylist(), strict=True)]
+                data = Labelled.of(texts, labels)
+                yield pa.RecordBatch.from_arrays([pa.array([getattr(data, k).tobytes()], pa.binary()) for k in _kept], list(_kept))
+
+    dealt = sample.select("text", "toxic").repartition(TASKS)
+    rows = materialise(dealt.mapInArrow(index, ", ".join(f"{k} binary" for k in _kept)), "toxicity-training")
+    climb = Climb()
+    kinds = (np.int32,) * 5 + (np.int8, bool)
+    for _ in range(rounds):
+        now = spark.sparkContext.broadcast((climb.weights, climb.extra))
+
+        def slope(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(HASHED + 5)
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    data = Labelled(*[np.frombuffer(c[i].as_py(), kind) for c, kind in zip(batch.columns, kinds, strict=True)])
+                    total += gradient(data, *now.value)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["slope"])
+
+        found = rows.coalesce(TASKS).mapInArrow(slope, "slope binary").toArrow().column(0)  # TASKS rows at most
+        climb.step(sum((np.frombuffer(x.as_py()) for x in found), np.zeros(HASHED + 5)))
+        now.destroy()
+    return climb.chain()
 
 
 def marginals(emissions: list[np.ndarray], chain: Chain) -> list[np.ndarray]:
@@ -187,17 +282,26 @@ def marginals(emissions: list[np.ndarray], chain: Chain) -> list[np.ndarray]:
 
 
 class _Emissions(dict):
-    """Emissions of the words met so far, started afresh when they have become many."""
+    """The row of ``table`` for each word met so far, started afresh when they have become many."""
+
+    MOST = 400_000
 
     def __init__(self, chain: Chain):
         super().__init__()
-        self.chain = chain
+        self.chain, self.table = chain, np.empty((self.MOST, 3))
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        self.table[at] = self.chain.emission(word)
+        return at
 
-    def __missing__(self, word: str) -> float:
-        if len(self) > 400_000:
+    def of(self, words: list[str]) -> np.ndarray:
+        """The emissions of a text's tokens."""
+        if len(self) + len(words) > self.MOST:
             self.clear()
-        self[word] = value = self.chain.emission(word)
-        return value
+            if len(words) > self.MOST:  # one text of more words than that
+                return along(np.array([self.chain.emission(w) for w in words]))
+        return along(self.table[np.array([self[w] for w in words], np.int64)])
 
 
 def tag(docs: DataFrame, chain: Chain, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -214,7 +318,7 @@ def tag(docs: DataFrame, chain: Chain, text_col: str = "text", id_col: str = "do
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                emissions = [np.array([known[w.lower()] for w in _word.findall(t)], float) for t in texts]
+                emissions = [known.of([w.lower() for w in _word.findall(t)]) for t in texts]
                 sums, spans = [], []
                 for text, p in zip(texts, marginals(emissions, shared.value), strict=True):
                     sums.append(float(p[p >= FLOOR].sum()))
@@ -249,7 +353,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
 
     A text without words, or null, gets the score of one without toxic tokens. Null labels and ids teach nothing; of
     repeated labels the largest counts. With one class only, or no words that tell the classes apart, all documents get
-    the share of toxic labels (0 without labels).
+    the share of toxic labels (0 without labels). Rows that repeat an id are scored one by one; other columns are not read, and
+    texts are tagged whole, however long.
     """
     sample, sizes = sample_labelled(docs, labels, text_col, id_col, label_col)
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
