@@ -18,22 +18,25 @@ def client_ip(forwarded: Column, host: Column) -> Column:
 
 
 def salted_hash(value: Column, day: Column) -> Column:
-    return F.sha2(F.concat_ws(":", F.date_format(day, "yyyy-MM-dd"), value), 256)
+    """The SHA-256 of a value and the day's date, which is the salt."""
+    return F.sha2(F.concat_ws(":", value, F.date_format(day, "yyyy-MM-dd")), 256)
 
 
 def seconds_of(text: Column) -> Column:
-    """90, 90s, 5m or 2h as seconds; null for anything else."""
-    unit = F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?)\s*(s|m|h)?\s*$", 2)
-    n = F.nullif(F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?)\s*(s|m|h)?\s*$", 1), F.lit("")).cast("double")
-    return n * F.when(unit == "h", 3600).when(unit == "m", 60).otherwise(1)
-
-
-def bytes_of(text: Column) -> Column:
-    """10, 10k, 10m or 1g (with or without a final b) as bytes."""
-    pattern = r"(?i)^\s*(\d+(?:\.\d+)?)\s*([kmg])?i?b?\s*$"
-    unit = F.lower(F.regexp_extract(text, pattern, 2))
-    n = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("double")
-    return (n * F.when(unit == "g", 1 << 30).when(unit == "m", 1 << 20).when(unit == "k", 1 << 10).otherwise(1)).cast("long")
+    """30, 30s, 5m, 2h or a sum like 1m30s as seconds; null for anything else, and for parts that sum up to nothing."""
+    raw, part = F.lower(F.trim(text)), r"(\d+(?:\.\d+)?)\s*([hms])"
+    parts = F.regexp_extract_all(raw, F.lit(r"(\d+(?:\.\d+)?\s*[hms])"), F.lit(1))
+    unit = lambda p: F.when(p.endswith("h"), 3600).when(p.endswith("m"), 60).otherwise(1)
+    one = lambda p: F.trim(F.regexp_replace(p, "[hms]", "")).cast("double") * unit(p)
+    total = F.aggregate(parts, F.lit(0.0), lambda s, p: s + one(p))
+    only_parts = F.trim(F.regexp_replace(raw, part, "")) == ""
+    return F.when(raw.rlike(r"^\d+(\.\d+)?$"), raw.try_cast("double")).when(only_parts & (total > 0), total)
+
+
+def size_of(text: Column) -> Column:
+    """(width, height) of a size like 1200x1600, or null."""
+    sides = [F.regexp_extract(F.lower(text), r"^\s*(\d+)\s*x\s*(\d+)\s*$", i).try_cast("int") for i in (1, 2)]
+    return F.when(sides[0].isNotNull(), F.struct(sides[0].alias("width"), sides[1].alias("height")))
 
 
 def plural(n: Column, one: str, few: str, many: str) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # The letters that all five transliterations agree on, and those in which each differs.
 SHARED = {
@@ -114,9 +119,67 @@ def match_tokens(text: Column) -> Column:
     return F.filter(found, lambda t: F.length(t) >= 2)
 
 
-def words(text: Column) -> Column:
-    """ASCII words in lower case, for indexes."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
+def tokens(text: Column) -> Column:
+    """Runs of letters and digits of any script, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
+# The endings of the Russian stemmer of the Snowball family, by step.
+GERUND = "(?<=[ая])(?:в|вши|вшись)|ив|ивши|ившись|ыв|ывши|ывшись"
+REFLEXIVE = "ся|сь"
+ADJECTIVE = "ее|ие|ые|ое|ими|ыми|ей|ий|ый|ой|ем|им|ым|ом|его|ого|ему|ому|их|ых|ую|юю|ая|яя|ою|ею"
+PARTICIPLE = "(?<=[ая])(?:ем|нн|вш|ющ|щ)|ивш|ывш|ующ"
+VERB = (
+    "(?<=[ая])(?:ла|на|ете|йте|ли|й|л|ем|н|ло|но|ет|ют|ны|ть|ешь|нно)|ила|ыла|ена|ейте|уйте|ите|или|ыли|ей|уй|ил|ыл|им|ым|ен|ило|ыло|ено|ят|ует|уют|ит|ыт|ены|ить|ыть|ишь|ую|ю"
+)
+NOUN = "а|ев|ов|ие|ье|е|иями|ями|ами|еи|ии|и|ией|ей|ой|ий|й|иям|ям|ием|ем|ам|ом|о|у|ах|иях|ях|ы|ь|ию|ью|ю|ия|ья|я"
+
+
+_vowels = "аеиоуыэюя"
+_head = re.compile(f"[^{_vowels}]*[{_vowels}]")
+# behind the second group of vowels and the consonant after it
+_second = re.compile(f"[^{_vowels}]*[{_vowels}]+[^{_vowels}]+[{_vowels}]+[^{_vowels}]")
+_gerund, _reflexive, _verb, _noun = (re.compile(f"(?:{x})$") for x in (GERUND, REFLEXIVE, VERB, NOUN))
+_adjectival = re.compile(f"(?:{PARTICIPLE})?(?:{ADJECTIVE})$")
+_derived, _superlative = re.compile("(?:ость|ост)$"), re.compile("(?:ейше|ейш)$")
+_token = re.compile(r"[^\W_]+")
+
+
+@lru_cache(1 << 16)
+def stem_word(word: str) -> str:
+    """The stem of a Russian word in lower case; words without Cyrillic letters stay as they are.
+
+    Endings are taken off behind the first vowel only, derivational ones behind the second group of vowels and consonants.
+    """
+    plain = word.replace("ё", "е")
+    if not (start := _head.match(plain)):
+        return plain
+    head, rest = plain[: start.end()], plain[start.end() :]
+    if (without := _gerund.sub("", rest)) == rest:
+        rest = _reflexive.sub("", rest)
+        endings = (_adjectival, _verb, _noun)
+        without = next((x for e in endings if (x := e.sub("", rest)) != rest), rest)
+    rest = without.removesuffix("и")
+    second = _second.match(plain)
+    if second and len(head) + len(shorter := _derived.sub("", rest)) >= second.end():
+        rest = shorter
+    if rest.endswith("нн"):
+        rest = rest[:-1]
+    elif (shorter := _superlative.sub("", rest)) != rest:
+        rest = shorter[:-1] if shorter.endswith("нн") else shorter
+    else:
+        rest = rest.removesuffix("ь")
+    return head + rest
+
+
+def word_list(text: str | None) -> list[str]:
+    """The words of an index: runs of letters and digits in lower case, Russian ones by their stem."""
+    return [w if w.isascii() else stem_word(w) for w in _token.findall((text or "").lower())]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def words(text: pd.Series) -> pd.Series:
+    return text.map(word_list)
 
 
 def skeleton(token: Column) -> Column:

@@ -27,16 +27,22 @@ def bucket(score: Column, gap: Column, floor: float, least_gap: float = 0.03) ->
     return F.when(score.isNull() | (score < floor), "failed").when(gap.isNull() | (gap >= least_gap), "confident").otherwise("unsure")
 
 
-def choose(rule: str, a: Column, b: Column) -> Column:
-    """One of two results (structs id, score, confident) by a rule."""
-    agree = a["id"] == b["id"]
-    rules = {
-        "max_score": F.when(b["score"] > a["score"], b).otherwise(a),
-        "agree_else_first": F.when(agree, a).otherwise(a),
-        "agree_else_none": F.when(agree, a),
-        "confident_else_first": F.when(b["confident"] & ~a["confident"], b).otherwise(a),
-    }
-    return F.when(a["id"].isNull(), b).when(b["id"].isNull(), a).otherwise(rules[rule])
+def choose(rule: str, local: Column, model: Column) -> Column:
+    """One of two results (structs id, score, visual, confident) by a rule; a side without an id gives way to the other.
+
+    ``merge`` takes the model's. ``max_score`` takes the local one if its score is larger. ``confident_else_cv`` takes the
+    model's if that is confident. ``agree_else_llm`` takes the model's, and so does ``agree_else_cv`` unless the two differ and
+    the local one has the larger visual score.
+    """
+    clearer = (local["id"] != model["id"]) & (local["visual"] > model["visual"])
+    takes_local = {
+        "merge": F.lit(False), "agree_else_llm": F.lit(False), "max_score": local["score"] > model["score"],
+        "confident_else_cv": ~F.coalesce(model["confident"], F.lit(False)), "agree_else_cv": clearer,
+    }[rule]
+    out = F.when(local["id"].isNull(), model)
+    if rule != "merge":
+        out = out.when(model["id"].isNull(), local)
+    return out.when(F.coalesce(takes_local, F.lit(False)), local).otherwise(model)
 
 
 def route_near(hits: DataFrame, group: str, score: str, id_col: str, proximity: float, most: int = 5) -> DataFrame:

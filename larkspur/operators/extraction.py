@@ -10,61 +10,87 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The tags whose text makes a block.
-BLOCK_TAGS = ("h1", "h2", "h3", "h4", "h5", "p", "li", "span", "dt", "dd", "td")
+BLOCK_TAGS = ("div", "span", "p", "li", "td", "dt", "dd", "h1", "h2", "h3", "h4")
+#: Tags that end an open one of the same set when they begin.
+SIBLINGS = ({"p"}, {"li"}, {"dt", "dd"}, {"td"})
 CHUNK = 2000
 
 
 class _Blocks(HTMLParser):
-    """Texts of block tags in document order, white space squeezed; a block within a block ends the outer one."""
+    """Texts of block tags in the order in which the tags begin, white space squeezed; a block's text has that of the blocks in it.
+
+    A block is (tag, text, leaf): a leaf holds no other block with text.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, str]] = []
-        self.tag, self.held, self.silent = "", [], 0
+        self.pieces: list[str] = []
+        self.spans: list[list] = []  # tag, first piece, end, number of the block
+        self.open: list[list] = []
+        self.silent = 0
 
-    def close_block(self) -> None:
-        if self.tag and (text := " ".join("".join(self.held).split())):
-            self.blocks.append((self.tag, text))
-        self.tag, self.held = "", []
+    def shut(self, depth: int) -> None:
+        for span in self.open[depth:]:
+            span[2] = len(self.pieces)
+        del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("script", "style"):
             self.silent += 1
         elif tag in BLOCK_TAGS:
-            self.close_block()
-            self.tag = tag
+            for group in SIBLINGS:
+                if self.open and self.open[-1][0] in group and (tag in group or (group == {"p"} and tag not in ("span",))):
+                    self.shut(len(self.open) - 1)
+            span = [tag, len(self.pieces), None]
+            self.spans.append(span)
+            self.open.append(span)
         elif tag == "br":
-            self.held.append(" ")
+            self.pieces.append(" ")
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
             self.silent = max(0, self.silent - 1)
-        elif tag == self.tag:
-            self.close_block()
+        elif tag in BLOCK_TAGS:
+            for depth in range(len(self.open) - 1, -1, -1):
+                if self.open[depth][0] == tag:
+                    self.shut(depth)
+                    break
 
     def handle_data(self, data: str) -> None:
-        if self.tag and not self.silent:
-            self.held.append(data)
-
-
-def parse_blocks(html: str | None) -> list[tuple[str, str]]:
+        if not self.silent:
+            self.pieces.append(data)
+
+    def blocks(self) -> list[tuple[str, str, bool]]:
+        self.shut(0)
+        texts = [" ".join("".join(self.pieces[a:b]).split()) for _, a, b in self.spans]
+        out = []
+        for i, (tag, _, end) in enumerate(self.spans):
+            # what begins after it and before its end is in it; those come next
+            inner = i + 1
+            while inner < len(self.spans) and not texts[inner]:
+                inner += 1
+            if texts[i]:
+                out.append((tag, texts[i], inner == len(self.spans) or self.spans[inner][1] >= end))
+        return out
+
+
+def parse_blocks(html: str | None) -> list[tuple[str, str, bool]]:
     parser = _Blocks()
     parser.feed(html or "")
     parser.close()
-    parser.close_block()
-    return parser.blocks
+    return parser.blocks()
 
 
 def blocks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, ok, error, blocks): the block texts of each page as (tag, text); a page that fails keeps its row and says why."""
-    item = pa.struct([("tag", pa.string()), ("text", pa.string())])
+    """(id, ok, error, blocks): the block texts of each page as (tag, text, leaf); a page that fails keeps its row and says why."""
+    item = pa.struct([("tag", pa.string()), ("text", pa.string()), ("leaf", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok, error, out = [], [], []
             for html in batch.column(1):
                 try:
-                    out.append([{"tag": a, "text": b} for a, b in parse_blocks(html.as_py())])
+                    out.append([{"tag": a, "text": b, "leaf": c} for a, b, c in parse_blocks(html.as_py())])
                     ok.append(True)
                     error.append(None)
                 except (ValueError, AssertionError) as e:
@@ -75,16 +101,18 @@ def blocks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ok boolean, error string, blocks array<struct<tag: string, text: string>>")
+    return rows.mapInArrow(run, f"id {kind}, ok boolean, error string, blocks array<struct<tag: string, text: string, leaf: boolean>>")
 
 
 def value_after(texts: Column, labels: list[str], longest: int = 400, look: int = 4) -> Column:
-    """The first text that is no label itself among the ``look`` after a label (with or without a colon); null if too long."""
-    is_label = lambda t: F.lower(F.rtrim(t, F.lit(": "))).isin(*[x.lower() for x in labels])
-    at = F.transform(texts, lambda t, i: F.when(is_label(t), i))
-    first = F.array_min(F.filter(at, lambda i: i.isNotNull()))
-    window = F.when(first.isNotNull(), F.slice(texts, first + 2, F.lit(look)))
-    found = F.try_element_at(F.filter(window, lambda t: ~is_label(t)), F.lit(1))
+    """The first text that is no label itself among the ``look`` after a label (with or without a colon); null if too long.
+
+    Where only labels follow a label, the next place where one stands is tried.
+    """
+    is_label = lambda t: t.isin(*labels) | F.rtrim(t, F.lit(":")).isin(*labels)
+    after = lambda i: F.try_element_at(F.filter(F.slice(texts, i + 2, F.lit(look)), lambda t: ~is_label(t)), F.lit(1))
+    values = F.filter(F.transform(texts, lambda t, i: F.when(is_label(t), after(i))), lambda v: v.isNotNull())
+    found = F.try_element_at(values, F.lit(1))
     return F.when(F.length(found) <= longest, found)
 
 
@@ -154,10 +182,15 @@ def chunk_paragraphs(docs: DataFrame, id_col: str, text_col: str, longest: int =
 
 
 def sections(texts: DataFrame, id_col: str, block_col: str) -> DataFrame:
-    """(id, section, heading, text) of blocks (tag, text): a section begins at each heading, the lead one has none."""
-    rows = texts.select(F.col(id_col).alias("id"), F.posexplode(block_col).alias("pos", "b")).select("id", "pos", "b.tag", "b.text")
+    """(id, section, heading, text) of blocks (tag, text, leaf): a section begins at each heading, the lead one has none.
+
+    Text comes from leaves only, so none comes twice.
+    """
+    leaves = F.filter(F.col(block_col), lambda b: b["leaf"] | b["tag"].rlike("^h[1-4]$"))
+    rows = texts.select(F.col(id_col).alias("id"), F.posexplode(leaves).alias("pos", "b")).select("id", "pos", "b.tag", "b.text")
     w = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("section", F.sum(F.col("tag").rlike("^h[1-5]$").cast("int")).over(w))
-    pieces = F.sort_array(F.collect_list(F.when(~F.col("tag").rlike("^h[1-5]$"), F.struct("pos", "text"))))
-    heading = F.max(F.when(F.col("tag").rlike("^h[1-5]$"), F.col("text")))
+    is_heading = F.col("tag").rlike("^h[1-4]$")
+    rows = rows.withColumn("section", F.sum(is_heading.cast("int")).over(w))
+    pieces = F.sort_array(F.collect_list(F.when(~is_heading, F.struct("pos", "text"))))
+    heading = F.max(F.when(is_heading, F.col("text")))
     return rows.groupBy("id", "section").agg(heading.alias("heading"), F.array_join(F.transform(pieces, lambda p: p["text"]), "\n\n").alias("text"))

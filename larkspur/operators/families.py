@@ -2,48 +2,42 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` in the cluster's shared checkpoint folder, or checkpointed where a folder was set on the context, else as it is."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.scratch import written
+from .joins import skewed
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (two columns): the smallest node that each can reach.
 
     Every node takes the least label among itself and its neighbours and then its label's label, until none changes;
-    jumping labels makes long chains settle in logarithmic rounds.
+    jumping labels makes long chains settle in logarithmic rounds. The links of a hub are met by a bounded broadcast.
     """
     a, b = edges.columns
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
-    links = _written(links.union(links.select("v", "u")).distinct())
-    labels = _written(links.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("root")))
-    for _ in range(most_rounds):
-        near = links.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("u")).select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        jump = step.select(F.col("node").alias("j"), F.col("root").alias("far"))
-        after = _written(step.join(jump, F.col("root") == F.col("j")).select("node", "was", F.least("root", "far").alias("root")))
+    links = written(links.union(links.select("v", "u")).distinct())
+    labels = written(links.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("root"), F.count(F.lit(1)).alias("degree")))
+    while True:
+        # of as many links as a node has, so many ask for its label
+        asked = labels.select(F.col("node").alias("v"), F.col("root").alias("near"), "degree")
+        near = skewed(links, asked, "v", "degree").groupBy("u").agg(F.min("near").alias("near"))
+        step = written(labels.join(near, F.col("node") == F.col("u")).select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"), "degree"))
+        shares = step.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+        jump = step.select(F.col("node").alias("root"), F.col("root").alias("far")).join(shares, "root")
+        after = written(skewed(step, written(jump), "root", "n").select("node", "was", F.least("root", "far").alias("root"), "degree"))
         changed = after.filter("root <> was").limit(1).count()
-        labels = after.select("node", "root")
+        labels = after.select("node", "root", "degree")
         if not changed:
-            return labels
-    raise RuntimeError(f"components have not settled after {most_rounds} rounds")
+            return labels.select("node", "root")
 
 
 def families(items: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
-    """(family_id, members) of components of two or more; the id is the smallest member."""
+    """(family_id, members) of components of two or more: the smallest member and how many there are."""
     c = components(edges)
-    return c.join(items, c["node"] == items[id_col], "left_semi").groupBy(F.col("root").alias("family_id")).agg(F.array_sort(F.collect_set("node")).alias("members")).filter(F.size("members") > 1)
+    known = c.join(items.select(F.col(id_col).alias("node")), "node", "left_semi")
+    return known.groupBy(F.col("root").alias("family_id")).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
 
 
 def family_of(ids: DataFrame, components_: DataFrame, id_col: str) -> DataFrame:

@@ -11,6 +11,25 @@ def lookup(df: DataFrame, dim: DataFrame, on: Column, adds: list[str]) -> DataFr
     return df.join(dim, on, "left").select(*[df[c] for c in df.columns], *[dim[c] for c in adds])
 
 
+#: A key of more than one in HOT rows is hot; there are fewer than HOT such keys, which bounds what is broadcast for them.
+HOT = 1024
+
+
+def skewed(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` joined with ``table``, whose ``key`` is unique and whose ``weight`` counts the rows that have it.
+
+    Keys with more than one in HOT rows are met by a broadcast (HOT rows at most), all others by a shuffle, so no task
+    gets the rows of a hot key. Rows without a partner are left out; ``table`` is read twice.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot, adds = F.col(weight) * HOT > total, [c for c in table.columns if c not in (key, weight)]
+    few = F.broadcast(table.filter(hot).select(key, F.struct(F.lit(1).alias("_one"), *adds).alias("_hot")))
+    tagged = rows.join(few, key, "left")
+    done = tagged.filter("_hot IS NOT NULL").select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in adds])
+    rest = tagged.filter("_hot IS NULL").select(*rows.columns).join(table.filter(~hot).select(key, *adds), key)
+    return done.unionByName(rest)
+
+
 def with_fallback(df: DataFrame, primary: DataFrame, secondary: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Columns of the primary card, else the secondary's, else null."""
     p = primary.select(F.col(key).alias("_p"), *[F.col(c).alias(f"_p_{c}") for c in columns])
@@ -46,8 +65,8 @@ def near_in_time(left: DataFrame, right: DataFrame, key: str, seconds: int, most
     return met.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("_slot")
 
 
-def contained(names: DataFrame, keys: DataFrame, least: int = 6, ratio: float = 0.5) -> DataFrame:
-    """(name, key): names that contain, or are contained in, exactly one key; both of ``least`` characters at least.
+def containing(names: DataFrame, keys: DataFrame, least: int = 6, ratio: float = 0.5) -> DataFrame:
+    """(name, key): names that contain, or are contained in, a key; both of ``least`` characters, the shorter ``ratio`` of the longer at least.
 
     The shorter one's first ``least`` characters must stand somewhere in the longer one, so pieces of that length are the
     equi-join's keys: names and keys each offer all their pieces and their own first one.
@@ -62,7 +81,12 @@ def contained(names: DataFrame, keys: DataFrame, least: int = 6, ratio: float =
     met = inside.unionByName(around).select("name", "key").distinct()
     within = F.contains(F.col("key"), F.col("name")) | F.contains(F.col("name"), F.col("key"))
     long_enough = F.least(F.length("name"), F.length("key")) >= ratio * F.greatest(F.length("name"), F.length("key"))
-    met = met.filter(within & long_enough)
+    return met.filter(within & long_enough)
+
+
+def contained(names: DataFrame, keys: DataFrame, least: int = 6, ratio: float = 0.5) -> DataFrame:
+    """(name, key) of ``containing`` for the names that have exactly one key."""
+    met = containing(names, keys, least, ratio)
     return met.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("name"))).filter("_n = 1").drop("_n")
 
 
@@ -91,3 +115,47 @@ def similar_names(rows: DataFrame, group: str, id_col: str, name: str, most: int
     allowed = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.least(F.length("name"), F.length("name2")) / 3)))
     found = met.withColumn("edits", F.levenshtein("name", "name2")).filter(F.col("edits") <= allowed)
     return found.select(F.col("g").alias(group), F.col("id").alias("a"), F.col("id2").alias("b"), "edits")
+
+
+def near_hashes(left: DataFrame, right: DataFrame, id_col: str, bits: str, most: int) -> DataFrame:
+    """(a, b, a_copies, b_copies, distance): pairs of 64-bit hashes (longs) of two tables at most ``most`` bits apart.
+
+    Equal hashes are one class, named by its smallest id and counted. The bits are cut into ``most`` + 2 blocks, of which two at
+    least are equal in such a pair, so classes meet on pairs of blocks; a pair is kept where its first two equal blocks are.
+    """
+    parts = most + 2
+    cuts = [64 * i // parts for i in range(parts + 1)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    blocks = [signed(((1 << b) - 1) ^ ((1 << a) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    pairs = [(i, j) for i in range(parts) for j in range(i + 1, parts)]
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        one = df.groupBy(F.col(bits).alias(f"{name}_bits")).agg(F.min(id_col).alias(name), F.count(F.lit(1)).alias(f"{name}_copies"))
+        keys = [F.struct(F.lit(n).alias("table"), F.col(f"{name}_bits").bitwiseAND(F.lit(blocks[i] | blocks[j])).alias("key")) for n, (i, j) in enumerate(pairs)]
+        return one.filter(F.col(f"{name}_bits").isNotNull()).withColumn("k", F.explode(F.array(*keys))).select("*", "k.*").drop("k")
+
+    met = keyed(left, "a").join(keyed(right, "b"), ["table", "key"])
+    apart = F.col("a_bits").bitwiseXOR(F.col("b_bits"))
+    equal = F.filter(F.array(*[F.when(apart.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(blocks)]), lambda i: i.isNotNull())
+    first = F.array(*[F.lit(i * parts + j) for i, j in pairs])
+    here = F.element_at(first, F.col("table") + 1) == F.element_at(equal, 1) * parts + F.element_at(equal, 2)
+    met = met.withColumn("distance", F.bit_count(apart)).filter((F.col("distance") <= most) & here)
+    return met.select("a", "b", "a_copies", "b_copies", "distance")
+
+
+def near_hashes_within(rows: DataFrame, group: str, id_col: str, bits: str, most: int) -> DataFrame:
+    """(group, a, b): of each group the pairs of different 64-bit hashes at most ``most`` bits apart, each hash named by its smallest id.
+
+    Hashes meet on pairs of blocks of their bits, as in ``near_hashes``.
+    """
+    parts = most + 2
+    cuts = [64 * i // parts for i in range(parts + 1)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    blocks = [signed(((1 << b) - 1) ^ ((1 << a) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    pairs = [(i, j) for i in range(parts) for j in range(i + 1, parts)]
+    one = rows.filter(F.col(bits).isNotNull()).groupBy(group, F.col(bits).alias("bits")).agg(F.min(id_col).alias("id"))
+    keys = F.array(*[F.struct(F.lit(n).alias("table"), F.col("bits").bitwiseAND(F.lit(blocks[i] | blocks[j])).alias("key")) for n, (i, j) in enumerate(pairs)])
+    keyed = one.withColumn("k", F.explode(keys)).select(group, "id", "bits", "k.*")
+    other = keyed.select(group, F.col("id").alias("b"), F.col("bits").alias("b_bits"), "table", "key")
+    met = keyed.withColumnRenamed("id", "a").join(other, [group, "table", "key"]).filter("a < b")
+    return met.filter(F.bit_count(F.col("bits").bitwiseXOR(F.col("b_bits"))) <= most).select(group, "a", "b").distinct()

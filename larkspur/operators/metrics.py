@@ -1,10 +1,12 @@
-"""Evaluation: hits, ranks, F1, thresholds, intervals, percentiles. Sweeps are windows over distinct thresholds."""
+"""Evaluation: hits, ranks, F1, thresholds, intervals, percentiles. Sweeps are running sums over distinct thresholds."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def share(condition: Column) -> Column:
     """The mean of a condition; null conditions count as false."""
@@ -40,22 +42,46 @@ def macro_f1(predictions: DataFrame, truth: str, predicted: str) -> DataFrame:
     return met.agg(F.avg(f1).alias("f1"))
 
 
+def running(by: DataFrame, group: list[str], order: str, sums: list[str]) -> DataFrame:
+    """``by`` (one row for each group and value of ``order``) with ``<sum>_upto``, the sums up to and with each row, and ``following``, the
+    group's next value of ``order``.
+
+    Rows are dealt to partitions by ranges and written; each range sums up by itself and adds what lies before it in its
+    group, so a group of any number of values is no single task's.
+    """
+    dealt = by.repartitionByRange(int(by.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group, order)
+    dealt = written(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = dealt.groupBy(*group, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums], F.min(order).alias("_first"))
+    over = Window.partitionBy(*group).orderBy("_part")  # a row for each range
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*group, "_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums], F.lead("_first").over(over).alias("_next"))
+    met = dealt.join(parts.withColumnsRenamed({g: f"_{g}" for g in group} | {"_part": "_range"}), (F.col("_part") == F.col("_range")) & _same(group))
+    w = Window.partitionBy(*group, "_part").orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    added = [(F.sum(c).over(upto) + F.col(f"_{c}")).alias(f"{c}_upto") for c in sums]
+    return met.select(*by.columns, *added, F.coalesce(F.lead(order).over(w), F.col("_next")).alias("following"))
+
+
+def _same(group: list[str]) -> Column:
+    out = F.lit(True)
+    for g in group:
+        out = out & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return out
+
+
 def abstention_sweep(rows: DataFrame, correct: str, confidence: str) -> DataFrame:
     """(threshold, precision, recall, f1) for every distinct confidence: answers below it are withheld."""
-    by = rows.groupBy(F.col(confidence).alias("threshold")).agg(F.sum(F.col(correct).cast("long")).alias("right"), F.count(F.lit(1)).alias("n"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    w = Window.orderBy(F.desc("threshold"))  # over distinct thresholds, pre-aggregated
-    by = by.withColumn("right", F.sum("right").over(w)).withColumn("shown", F.sum("n").over(w)).crossJoin(F.broadcast(total))
-    p, r = F.col("right") / F.col("shown"), F.col("right") / F.col("total")
+    by = rows.groupBy((-F.col(confidence)).alias("low")).agg(F.sum(F.col(correct).cast("long")).alias("right"), F.count(F.lit(1)).alias("n"))
+    by, total = running(by, [], "low", ["right", "n"]), rows.count()
+    p, r = F.col("right_upto") / F.col("n_upto"), F.col("right_upto") / F.lit(max(1, total))
     f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
-    return by.select("threshold", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+    return by.select((-F.col("low")).alias("threshold"), p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 
 def auroc(rows: DataFrame, positive: str, score: str) -> DataFrame:
     """One row: auroc, by rank sums; equal scores share their mean rank."""
-    by = rows.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)  # over distinct scores
-    mean_rank = F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2
+    by = running(rows.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count(F.lit(1)).alias("n")), [], score, ["n"])
+    mean_rank = F.col("n_upto") - F.col("n") + (F.col("n") + 1) / 2
     sums = by.withColumn("rank", mean_rank).agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("np"), F.sum("n").alias("all"))
     negatives = F.col("all") - F.col("np")
     return sums.select(F.try_divide(F.col("r") - F.col("np") * (F.col("np") + 1) / 2, F.col("np") * negatives).alias("auroc"))
@@ -82,13 +108,10 @@ def refusal_threshold(rows: DataFrame, positive: str, score: str) -> DataFrame:
     Where the classes separate that is the midpoint of the gap between them. Null with fewer than two distinct scores.
     """
     by = rows.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(score)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    by = by.withColumn("mid", (F.col(score) + F.lead(score).over(w)) / 2)
-    by = by.withColumn("neg_below", F.sum(F.col("n") - F.col("p")).over(upto)).withColumn("pos_below", F.sum("p").over(upto))
-    total = rows.agg(F.sum(F.col(positive).cast("long")).alias("all_p"))
-    correct = F.col("neg_below") + F.col("all_p") - F.col("pos_below")
-    best = by.crossJoin(F.broadcast(total)).filter("mid IS NOT NULL").withColumn("correct", correct)
+    by = running(by, [], score, ["p", "n"]).withColumn("mid", (F.col(score) + F.col("following")) / 2)
+    total = rows.agg(F.coalesce(F.sum(F.col(positive).cast("long")), F.lit(0))).first()[0]
+    correct = (F.col("n_upto") - F.col("p_upto")) + F.lit(total) - F.col("p_upto")
+    best = by.filter("mid IS NOT NULL").withColumn("correct", correct)
     return best.agg(F.min_by("mid", F.struct((-F.col("correct")).alias("c"), "mid")).alias("threshold"), F.max("correct").alias("correct"))
 
 
@@ -99,22 +122,25 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     return F.struct(((middle - spread) / (1 + zz / n)).alias("low"), ((middle + spread) / (1 + zz / n)).alias("high"))
 
 
-def percentiles(values: Column, p: float) -> dict[str, Column]:
-    """Six definitions of a percentile that are in use, as columns over a sorted array of doubles."""
-    n = F.size(values)
-    at = lambda i: F.try_element_at(values, i.cast("int") + 1)
-    inside = lambda i: F.greatest(F.lit(0), F.least(n - 1, i))
-    position = (n - 1) * F.lit(p)
-    low = F.floor(position)
-    linear = at(low) + (at(inside(low + 1)) - at(low)) * (position - low)
-    return {
-        "linear": linear,
-        "nearest_rank": at(inside(F.ceil(n * F.lit(p)) - 1)),
-        "rounded_index": at(inside(F.bround(position, 0))),
-        "floor_index": at(inside(F.floor(n * F.lit(p)))),
-        "lower": at(low),
-        "higher": at(inside(F.ceil(position))),
-    }
+def percentiles(rows: DataFrame, group: str, value: str, p: float) -> DataFrame:
+    """(group, linear, nearest_rank, rounded_index, floor_index, lower, higher): six definitions of a percentile that are in use.
+
+    Values are counted first; the few order statistics that are needed are looked up where the running count passes them.
+    """
+    by = running(rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n")), [group], value, ["n"])
+    total = by.groupBy(group).agg(F.max("n_upto").alias("total"))
+    n, position = F.col("total"), (F.col("total") - 1) * F.lit(p)
+    inside = lambda i: F.greatest(F.lit(0), F.least(n - 1, i)).cast("long")
+    places = {
+        "low": F.floor(position), "next": inside(F.floor(position) + 1), "nearest_rank": inside(F.ceil(n * F.lit(p)) - 1),
+        "rounded_index": inside(F.bround(position, 0)), "floor_index": inside(F.floor(n * F.lit(p))), "higher": inside(F.ceil(position)),
+    }
+    asked = total.select(F.col(group).alias("_g"), (position - F.floor(position)).alias("_share"), *[c.cast("long").alias(f"_{k}") for k, c in places.items()])
+    met = by.join(asked, by[group].eqNullSafe(F.col("_g")))  # one row a group
+    here = lambda at: (F.col("n_upto") > at) & (F.col("n_upto") - F.col("n") <= at)
+    found = met.groupBy(group).agg(F.first("_share").alias("_share"), *[F.max(F.when(here(F.col(f"_{k}")), F.col(value))).alias(k) for k in places])
+    linear = F.col("low") + (F.col("next") - F.col("low")) * F.col("_share")
+    return found.select(group, linear.alias("linear"), "nearest_rank", "rounded_index", "floor_index", F.col("low").alias("lower"), "higher")
 
 
 def best_by_lift(runs: DataFrame, group: str, config: str, score: str, n: str, weight: str, baseline: str, least: int = 5) -> DataFrame:
@@ -124,9 +150,21 @@ def best_by_lift(runs: DataFrame, group: str, config: str, score: str, n: str, w
     return lifted.groupBy(group).agg(F.max_by(config, F.struct("lift", n, -F.col(weight))).alias("config"), F.max("lift").alias("lift"))
 
 
-def sign_test(fixed: int, broken: int) -> float:
-    """Two-sided binomial p of a paired comparison; counts come from Spark."""
-    from math import comb
+def sign_test(pairs: DataFrame, better: Column, worse: Column) -> DataFrame:
+    """One row: fixed, broken, and the two-sided binomial p of as uneven a split.
 
-    n, k = fixed + broken, min(fixed, broken)
-    return min(1.0, 2 * sum(comb(n, i) for i in range(k + 1)) / 2**n) if n else 1.0
+    The sum over the smaller side is an expression over logarithms of factorials, for up to a million pairs that differ.
+    """
+    fixed, broken = F.sum((better & ~worse).cast("long")), F.sum((worse & ~better).cast("long"))
+    counts = pairs.agg(F.coalesce(fixed, F.lit(0)).alias("fixed"), F.coalesce(broken, F.lit(0)).alias("broken"))
+    n, k = F.col("fixed") + F.col("broken"), F.least("fixed", "broken")
+    # ln C(n, i) = ln C(n, i - 1) + ln(n - i + 1) - ln i, from ln 1
+    start = F.struct(F.lit(0.0).alias("log"), F.exp(-n * F.log(F.lit(2.0))).alias("p"))
+
+    def add(held: Column, i: Column) -> Column:
+        log = held["log"] + F.log(n - i + 1) - F.log(i)
+        return F.struct(log.alias("log"), (held["p"] + F.exp(log - n * F.log(F.lit(2.0)))).alias("p"))
+
+    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>"))
+    p = F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(steps, start, add, lambda held: held["p"])))
+    return counts.select("fixed", "broken", p.alias("p"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.vectors import iou
 
@@ -141,7 +142,8 @@ def match_one_to_one(pairs: DataFrame, group: str, least: float = 0.5) -> DataFr
 def diversity_deck(pool: DataFrame, group: str, axes: list[str], id_col: str, seed: str, limit: int) -> DataFrame:
     """A deck of each group: in a seeded order, again and again the card that shows most unseen values of the axes.
 
-    The pool must have been limited before: a group is dealt in one task.
+    Cards with the same values on all axes differ by their order only, so of each such set the first ``limit`` are all that can be
+    dealt; what a task gets is bounded by the sets of values.
     """
 
     def deal(rows: pd.DataFrame) -> pd.DataFrame:
@@ -159,5 +161,7 @@ def diversity_deck(pool: DataFrame, group: str, axes: list[str], id_col: str, se
         return out
 
     shuffled = pool.withColumn("_order", F.sha2(F.concat_ws(":", F.lit(seed), F.col(id_col)), 256))
-    schema = pool.schema.add("place", "long")
+    first = Window.partitionBy(group, *axes).orderBy("_order", id_col)
+    shuffled = shuffled.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= limit).drop("_n")
+    schema = StructType([*pool.schema.fields, StructField("place", LongType())])
     return shuffled.groupBy(group).applyInPandas(deal, schema)

@@ -1,71 +1,264 @@
-"""Lexical and hybrid retrieval over batches of queries: inverted tables, rank fusion, reranking, gates."""
+"""Lexical and hybrid retrieval over batches of queries: one index, score matrices by blocks, rank fusion, reranking, gates.
+
+An index has a row for each document with its terms and how often they come, written once. A batch of queries is a small table
+(terms by queries); blocks of it of a fixed size go to all tasks, which score their documents in numpy and give back the best of
+each batch only, so what is shuffled doesn't grow with documents times queries.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import word_list, words
+from ..sources.scratch import written
 from . import ranking
+from .joins import skewed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, POOL, HEAD, HEAD_CHARS = 60, 50, 20, 500
+#: Cells (terms by queries, or components by queries) of a block that goes to all tasks: 32 MB.
+CELLS = 1 << 22
+
+
+@dataclass
+class Index:
+    """``rows`` (id, dl, terms: array of (term, tf)), how many there are and how long they are on average."""
+
+    rows: DataFrame
+    n: int
+    avgdl: float
+
+    def postings(self) -> DataFrame:
+        return self.rows.select("id", "dl", F.explode("terms").alias("t")).select("t.term", "id", "t.tf", "dl")
+
+    def frequencies(self) -> DataFrame:
+        """(term, df)"""
+        return self.rows.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    def of(self, ids: DataFrame) -> Index:
+        """The documents of ``ids`` (id), with the statistics of the whole collection."""
+        return Index(self.rows.join(ids, "id", "left_semi"), self.n, self.avgdl)
+
+
+def build_index(docs: DataFrame, id_col: str, text_col: str) -> Index:
+    """The index of all documents, those without words too. Counting happens within a row, so nothing is shuffled."""
+    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    term = pa.struct([("term", pa.string()), ("tf", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                counted = [Counter(word_list(t)) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, counted)])
+                flat = pa.StructArray.from_arrays(
+                    [pa.array([w for c in counted for w in c], pa.string()), pa.array([n for c in counted for n in c.values()], pa.int64())], fields=list(term)
+                )
+                terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.total() for c in counted], pa.int64()), terms], ["id", "dl", "terms"])
 
+    kind = held.schema["id"].dataType.simpleString()
+    rows = written(held.mapInArrow(count, f"id {kind}, dl long, terms array<struct<term: string, tf: long>>"), "index")
+    n, avgdl = rows.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    return Index(rows, n, avgdl or 0.0)
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, id, tf) of ASCII words."""
-    tokens = docs.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col))).alias("term"))
-    return tokens.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
 
+def idf_of(df: Column, n: int, kind: str = "smooth") -> Column:
+    """Inverse frequency by one of the three formulas in use: smooth, tfidf (which are equal but for a constant) and plain."""
+    return {"smooth": F.log((n + 1) / (df + 1)) + 1, "tfidf": F.log((1 + n) / (1 + df)), "plain": F.log(1 + n / (1 + df))}[kind]
 
-def idf_table(post: DataFrame, n: int, kind: str = "smooth") -> DataFrame:
-    """(term, df, idf) by one of the three formulas in use: smooth, tfidf (which are equal but for a constant) and plain."""
-    df = F.col("df")
-    idf = {"smooth": F.log((n + 1) / (df + 1)) + 1, "tfidf": F.log((1 + n) / (1 + df)), "plain": F.log(1 + n / (1 + df))}[kind]
-    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", idf)
 
+def idf_table(index: Index, kind: str = "smooth") -> DataFrame:
+    """(term, df, idf)"""
+    return index.frequencies().withColumn("idf", idf_of(F.col("df"), index.n, kind))
 
-def bm25(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int | None = POOL, zeros: bool = False) -> DataFrame:
-    """(query_id, id, score): BM25 (k1 1.5, b 0.75) of every document for each query (query_id, text).
 
-    Inverse frequencies below zero become a quarter of the mean one. Statistics are of the whole collection, so filters must
-    come after. ``zeros`` also gives documents without a common word, with score 0.
+# ---- scoring by blocks
+
+
+def _blocks(weights: DataFrame, cells: int = CELLS) -> Iterator[tuple[list, list[str], np.ndarray]]:
+    """(queries, terms, matrix) for blocks of the queries of ``weights`` (query_id, term, w) that have a bounded size.
+
+    Queries are dealt to blocks by a hash; each block is gathered by itself, so memory is bounded by a block.
     """
-    post = postings(docs, id_col, text_col)
-    lengths = docs.select(F.col(id_col).alias("id"), F.size(words(F.col(text_col))).alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row
-    df = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("raw").alias("mean"))
-    idf = df.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    met = asked.join(idf, "term").join(post, "term").join(lengths, "id")
-    tf = F.col("tf")
-    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = met.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    if zeros:
-        every = queries.select("query_id").crossJoin(docs.select(F.col(id_col).alias("id")))
-        scored = every.join(scored, ["query_id", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return ranking.top_k(scored, ["query_id"], "score", "id", k) if k else scored
-
-
-def tfidf(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, term, w): (1 + ln tf) times inverse frequency, at length one per document."""
-    post = postings(docs, id_col, text_col)
-    w = (1 + F.log("tf")) * F.col("idf")
-    weighted = post.join(idf_table(post, n, "tfidf"), "term").select("id", "term", w.alias("w"))
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).filter("norm > 0")
-    return weighted.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    weights = written(weights, "asked")
+    rows, queries = weights.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()
+    side = max(1, int(cells**0.5))
+    n = max(1, -(-rows // (4 * side)), -(-queries // side))
+    for block in range(n):
+        own = weights.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).toArrow()
+        if not len(own):
+            continue
+        q, t = own.column("query_id").combine_chunks().dictionary_encode(), own.column("term").combine_chunks().dictionary_encode()
+        matrix = np.zeros((len(t.dictionary), len(q.dictionary)))
+        np.add.at(matrix, (t.indices.to_numpy(), q.indices.to_numpy()), own.column("w").to_numpy())
+        yield q.dictionary, t.dictionary, matrix
+
+
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Which cells are among the k largest of their column; of equal ones those of the first rows."""
+    if len(scores) <= k:
+        return np.ones(scores.shape, bool)
+    least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+    above, equal = scores > least, scores == least
+    return above | (equal & (np.cumsum(equal, axis=0) <= k - above.sum(axis=0)))
+
+
+def score_terms(
+    index: Index, weights: DataFrame, k: int | None, part: str = "bm25", zeros: bool = False, scale: DataFrame | None = None
+) -> DataFrame:
+    """(query_id, id, score, rank): the best ``k`` documents of each query of ``weights`` (query_id, term, w), or all (without rank).
+
+    A term of a document counts w times its part: ``bm25`` saturates tf by length, ``log`` is 1 + ln tf, ``one`` is 1; the sum is
+    multiplied by ``scale`` (id, scale), and documents without one are left out. Scores are rounded to six digits; equal ones go by
+    id. Documents without a term of the query come in only with ``zeros``.
+    """
+    id_type, mean = index.rows.schema["id"].dataType.simpleString(), index.avgdl or 1.0
+    query_type = weights.schema["query_id"].dataType.simpleString()
+    rows = index.rows.withColumn("scale", F.lit(1.0)) if scale is None else index.rows.join(scale, "id")
+    found = []
+    for queries, vocabulary, matrix in _blocks(weights):
+        shared = rows.sparkSession.sparkContext.broadcast((queries, vocabulary, matrix))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            queries, vocabulary, matrix = shared.value
+            step = max(1, (CELLS // 2) // matrix.shape[1])
+            for batch in batches:
+                batch = batch.take(pc.sort_indices(batch.column(0)))
+                ids, dl, lists, scales = batch.column(0), batch.column(1).to_numpy().astype(float), batch.column(2), batch.column(3).to_numpy()
+                flat = lists.flatten()
+                place = pc.index_in(flat.field(0), vocabulary)
+                owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+                known = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+                term, owner = place.fill_null(0).to_numpy()[known], owner[known]
+                tf = flat.field(1).to_numpy()[known].astype(float)
+                if part == "bm25":
+                    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[owner] / mean))
+                else:
+                    weight = 1 + np.log(tf) if part == "log" else np.ones(len(tf))
+                bounds = np.searchsorted(owner, np.arange(len(lists) + 1))
+                for at in range(0, len(lists), step):
+                    here = min(step, len(lists) - at)
+                    scores = np.zeros((here, matrix.shape[1]))
+                    for i in range(here):
+                        a, b = bounds[at + i], bounds[at + i + 1]
+                        if a < b:
+                            scores[i] = weight[a:b] @ matrix[term[a:b]]
+                    scores = np.round(scores * scales[at : at + here, None], 6) + 0.0
+                    kept = _best(scores, k) if k else np.ones(scores.shape, bool)
+                    row, column = np.nonzero(kept if zeros else kept & (scores != 0))
+                    yield pa.RecordBatch.from_arrays([queries.take(pa.array(column)), ids.take(pa.array(row + at)), pa.array(scores[row, column])], ["query_id", "id", "score"])
 
+        found.append(rows.select("id", "dl", "terms", "scale").mapInArrow(run, f"query_id {query_type}, id {id_type}, score double"))
+    out = rows.sparkSession.createDataFrame([], f"query_id {query_type}, id {id_type}, score double") if not found else found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return ranking.top_k(out, ["query_id"], "score", "id", k) if k else out
 
-def tfidf_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score): the nearest documents by cosine for the ids in ``queries`` (query_id)."""
-    q = vectors.join(queries, vectors["id"] == queries["query_id"]).select("query_id", "term", F.col("w").alias("qw"))
-    met = vectors.join(q, "term").filter("id <> query_id")
-    scored = met.groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, per_group: bool = False, other_groups: bool = False) -> DataFrame:
+    """(query_id, id, group, score, rank): the ``k`` largest dot products of ``vectors`` (id, vector, group) with each of ``queries``
+    (query_id, vector, group), itself excluded; with ``per_group`` of each group, with ``other_groups`` of other groups than its own.
+
+    Queries go to all tasks by blocks of a fixed size; tasks multiply matrices and give back the best of each batch. Scores are
+    rounded to six digits, equal ones go by id.
+    """
+    types = [queries.schema["query_id"], vectors.schema["id"], vectors.schema["group"]]
+    out_type = ", ".join(f"{name} {f.dataType.simpleString()}" for name, f in zip(("query_id", "id", "group"), types, strict=True)) + ", score double"
+    queries = written(queries.select("query_id", "vector", "group"), "queries")
+    count, size = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    blocks, found = max(1, -(-count * max(1, size or 1) // CELLS)), []
+    for block in range(blocks):
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+        if not len(own):
+            continue
+        names, asked = own.column(0).combine_chunks(), own.column(2).to_pylist()
+        shared = vectors.sparkSession.sparkContext.broadcast((names, np.array(own.column(1).to_pylist(), float), asked))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, matrix, asked = shared.value
+            column_of: dict = {}
+            for i, name in enumerate(names.to_pylist()):
+                column_of.setdefault(name, []).append(i)
+            for batch in batches:
+                batch = batch.take(pc.sort_indices(batch.column(0)))
+                ids, lists, groups = (batch.column(i) for i in range(3))
+                values = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
+                scores = np.round(values @ matrix.T, 6) + 0.0
+                for row, name in enumerate(ids.to_pylist()):
+                    if name in column_of:
+                        scores[row, column_of[name]] = -np.inf
+                codes: dict = {}
+                theirs = np.array([codes.setdefault(g, len(codes)) for g in groups.to_pylist()])
+                if other_groups:
+                    scores[theirs[:, None] == np.array([codes.get(g, -1) for g in asked])[None, :]] = -np.inf
+                for members in [np.flatnonzero(theirs == g) for g in range(len(codes))] if per_group else [np.arange(len(lists))]:
+                    own = scores[members]
+                    row, column = np.nonzero(_best(own, k) & (own > -np.inf))
+                    at = pa.array(members[row])
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(column)), ids.take(at), groups.take(at), pa.array(own[row, column])], ["query_id", "id", "group", "score"])
+
+        found.append(vectors.select("id", "vector", "group").mapInArrow(run, out_type))
+    out = vectors.sparkSession.createDataFrame([], out_type) if not found else found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return ranking.top_k(out, ["query_id", "group"] if per_group else ["query_id"], "score", "id", k)
+
+
+# ---- lexical scores
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """(query_id, term, times)"""
+    return queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+
+
+def bm25(queries: DataFrame, index: Index, k: int | None = POOL, zeros: bool = True, where: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank): BM25 (k1 1.5, b 0.75) for each query (query_id, text).
+
+    Inverse frequencies below zero become a quarter of the mean one over the whole vocabulary. ``where`` (id) limits the documents after
+    the statistics are taken. With ``zeros``, places of the pool that no document with a common word takes go to the others, by id.
+    """
+    raw = F.log(index.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    terms = written(index.frequencies().select("term", raw.alias("raw")), "frequencies")
+    mean = terms.agg(F.avg("raw")).first()[0] or 0.0
+    idf = F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw"))
+    weights = terms.join(_asked(queries), "term").select("query_id", "term", (F.col("times") * idf).alias("w"))
+    return score_terms(index if where is None else index.of(where), weights, k, "bm25", zeros)
+
+
+def tfidf_neighbours(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the nearest other documents by cosine of (1 + ln tf) idf, for the ids in ``queries`` (query_id)."""
+    idf = written(idf_table(index, "tfidf").filter("idf <> 0"), "idf")
+    w = (1 + F.log("tf")) * F.col("idf")
+    weighted = skewed(index.postings(), idf, "term", "df").select("id", (w * w).alias("square"))
+    scales = written(weighted.groupBy("id").agg((1 / F.sqrt(F.sum("square"))).alias("scale")), "scales")
+    own = index.of(queries.select(F.col("query_id").alias("id"))).postings().join(idf, "term").join(scales, "id")
+    weights = own.select(F.col("id").alias("query_id"), "term", (w * F.col("idf") * F.col("scale")).alias("w"))
+    scored = score_terms(index, weights, k + 1, "log", scale=scales).filter("id <> query_id").drop("rank")
     return ranking.top_k(scored, ["query_id"], "score", "id", k)
 
 
+def recall_mass(queries: DataFrame, index: Index, k: int | None = None, kind: str = "smooth") -> DataFrame:
+    """(query_id, id, mass, recall, rank): idf mass of the query's distinct words that a document has, and its share of all."""
+    asked = _asked(queries).select("query_id", "term").join(idf_table(index, kind).select("term", F.col("idf").alias("w")), "term")
+    asked = written(asked, "masses")
+    total = asked.groupBy("query_id").agg(F.sum("w").alias("total"))
+    met = score_terms(index, asked, k, "one").withColumnRenamed("score", "mass").join(total, "query_id")
+    return met.select("query_id", "id", "mass", F.round(F.col("mass") / F.col("total"), 6).alias("recall"), *(["rank"] if k else []))
+
+
+# ---- fusion, reranking, gates
+
+
 def fuse_ranks(*lists: DataFrame, k: int = RRF_K) -> DataFrame:
     """(query_id, id, score): reciprocal rank fusion of lists (query_id, id, rank from 1); ties by id."""
     both = lists[0].select("query_id", "id", "rank")
@@ -112,16 +305,6 @@ def matched(color: Column | None = None, grapes: Column | None = None, **equal:
     return out
 
 
-def recall_mass(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(query_id, id, mass, recall): idf mass of the query's distinct words that a document has, and its share of all."""
-    post = postings(docs, id_col, text_col)
-    idf = idf_table(post, n)
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(idf.select("term", "idf"), "term")
-    total = asked.groupBy("query_id").agg(F.sum("idf").alias("total"))
-    met = asked.join(post.select("term", "id"), "term").groupBy("query_id", "id").agg(F.sum("idf").alias("mass"))
-    return met.join(total, "query_id").select("query_id", "id", F.round("mass", 6).alias("mass"), F.round(F.col("mass") / F.col("total"), 6).alias("recall"))
-
-
 def fuse_scores(visual: DataFrame, text: DataFrame, weight: float = 0.2, pad: float = 0.03, penalty: Column | None = None) -> DataFrame:
     """(query_id, id, cv, relative, final): visual plus weighted relative text score over the union of both candidate sets.
 

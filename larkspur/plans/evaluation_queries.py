@@ -95,9 +95,8 @@ SELECT event_type, round(a[floor(pos)::INT + 1] + (a[least(n - 1, floor(pos) + 1
   a[greatest(0, least(n - 1, ceil(n * 0.95::DOUBLE) - 1))::INT + 1] AS nearest_rank, a[round_even(pos, 0)::INT + 1] AS rounded_index,
   a[least(n - 1, floor(n * 0.95::DOUBLE))::INT + 1] AS floor_index, a[floor(pos)::INT + 1] AS lower, a[ceil(pos)::INT + 1] AS higher FROM i""")
 def percentile_variants(t):
-    v = t("events").filter("value IS NOT NULL").groupBy("event_type").agg(F.sort_array(F.collect_list(F.round("value", 4))).alias("a"))
-    found = M.percentiles(F.col("a"), 0.95)
-    return v.select("event_type", *[(F.round(c, 6) if k == "linear" else c).alias(k) for k, c in found.items()])
+    v = t("events").select("event_type", F.round("value", 4).alias("value"))
+    return M.percentiles(v, "event_type", "value", 0.95).withColumn("linear", F.round("linear", 6))
 
 
 @query(f"""WITH {PRED}, s AS (SELECT unnest(list_concat(['all'], CASE WHEN toxic = 1 THEN ['toxic'] ELSE ['clean'] END)) AS stratum, pred = quality AS hit, conf FROM p)

@@ -19,14 +19,14 @@ def name_keys(t):
     return t("part").select("p_partkey", T.slug(name, "page").alias("slug"), T.name_key(F.concat("p_name", "p_brand")).alias("key"), tokens.alias("tokens"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT p_brand AS g, p_partkey AS id, p_name AS name FROM part WHERE p_type = 'PROMO'),
+@query("""WITH RECURSIVE p AS (SELECT p_brand AS g, p_partkey AS id, p_name AS name FROM part),
 e AS (SELECT a.id AS u, b.id AS v FROM p a JOIN p b ON a.g = b.g AND a.id <> b.id WHERE levenshtein(a.name, b.name) <= least(2, greatest(1, least(length(a.name), length(b.name)) // 3))),
 r(u, root) AS (SELECT u, u FROM e UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.u)
 SELECT root AS family_id, count(*) AS members FROM (SELECT u, min(root) AS root FROM r GROUP BY 1) GROUP BY 1""")
 def name_families(t):
-    p = t("part").filter("p_type = 'PROMO'").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    p = t("part").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     edges = joins.similar_names(p, "g", "id", "name").select("a", "b")
-    return families.families(p, edges, "id").select("family_id", F.size("members").cast("long").alias("members"))
+    return families.families(p, edges, "id")
 
 
 @query("""WITH s AS (SELECT user_id, event_id, sha256('7:' || user_id || ':' || event_id) AS h FROM events)
@@ -102,12 +102,11 @@ def clear_winner(t):
     return decisions.strictly_best(f, "p_brand", "n").select("p_brand", "p_size", "n")
 
 
-@query("""WITH tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM documents), d AS (SELECT term, count(DISTINCT id)::DOUBLE AS df FROM tok GROUP BY 1),
+@query(r"""WITH tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM documents), d AS (SELECT term, count(DISTINCT id)::DOUBLE AS df FROM tok GROUP BY 1),
 n AS (SELECT count(*)::DOUBLE AS n FROM documents) SELECT round(list_sort(list(i))[len(list(i)) // 2 + 1], 6) AS upper_median FROM (SELECT ln(1 + n / (1 + df)) AS i FROM d, n)""")
 def distinctive_threshold(t):
     """The upper median of the vocabulary's plain inverse frequencies, from counts by value."""
-    d = t("documents")
-    values = retrieval.idf_table(retrieval.postings(d, "doc_id", "text"), d.count(), "plain").groupBy("df", "idf").agg(F.count(F.lit(1)).alias("n"))
+    values = retrieval.idf_table(retrieval.build_index(t("documents"), "doc_id", "text"), "plain").groupBy("df", "idf").agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window
 
     w = Window.orderBy("idf")  # over distinct document frequencies
@@ -116,7 +115,7 @@ def distinctive_threshold(t):
 
 
 @query("""SELECT o_orderkey, (year(DATE '2000-02-28') - year(o_orderdate) - (strftime(DATE '2000-02-28', '%m%d') < strftime(o_orderdate, '%m%d'))::INT)::INT AS age,
-  sha256('2000-02-28:' || o_orderstatus) AS hashed FROM orders""")
+  sha256(o_orderstatus || ':2000-02-28') AS hashed FROM orders""")
 def ages_and_hashes(t):
     day = F.lit("2000-02-28").cast("date")
     return t("orders").select("o_orderkey", S.age(F.col("o_orderdate"), day).alias("age"), S.salted_hash(F.col("o_orderstatus"), day).alias("hashed"))

@@ -5,31 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, doubles
+from ..functions.vectors import doubles
 from ..operators import ranking, retrieval
 
 
 class Retriever:
     """Hybrid search over ``items`` (id, kind, text, any filter columns) and ``vectors`` (id, embedding).
 
-    All questions of a batch go through one plan; there is no loop over them.
+    All questions of a batch go through one plan; there is no loop over them. The index is built once, when it is first asked.
     """
 
     def __init__(self, items: DataFrame, vectors: DataFrame | None = None, pool: int = retrieval.POOL):
-        self.items, self.vectors, self.pool = items, vectors, pool
+        self.items, self.vectors, self.pool, self.index = items, vectors, pool, None
 
     def lexical(self, queries: DataFrame, where: Column | None = None) -> DataFrame:
         """BM25 over the whole collection; the filter comes after, so it doesn't change the statistics."""
-        hits = retrieval.bm25(queries, self.items, "id", "text", None)
-        if where is not None:
-            hits = hits.join(self.items.filter(where).select("id"), "id", "left_semi")
-        return ranking.top_k(hits, ["query_id"], "score", "id", self.pool)
+        self.index = self.index or retrieval.build_index(self.items, "id", "text")
+        allowed = None if where is None else self.items.filter(where).select("id")
+        return retrieval.bm25(queries, self.index, self.pool, where=allowed)
 
-    def dense(self, queries: DataFrame, where: Column | None = None) -> DataFrame:
-        """Nearest by cosine of unit vectors for queries (query_id, vector); the filter comes before."""
+    def dense(self, queries: DataFrame, where: Column | None = None, k: int | None = None) -> DataFrame:
+        """Nearest by dot product of unit vectors for queries (query_id, vector), themselves excluded; the filter comes before."""
         own = self.vectors if where is None else self.vectors.join(self.items.filter(where).select("id"), "id", "left_semi")
-        met = own.select("id", doubles("embedding").alias("v")).join(queries.select("query_id", doubles("vector").alias("q")))
-        return ranking.top_k(met.select("query_id", "id", dot(F.col("v"), F.col("q")).alias("score")), ["query_id"], "score", "id", self.pool)
+        none = F.lit(0).alias("group")
+        asked = queries.select("query_id", doubles("vector").alias("vector"), none)
+        return retrieval.nearest(own.select("id", doubles("embedding").alias("vector"), none), asked, k or self.pool).drop("group")
 
     def search(self, queries: DataFrame, k: int = 8, where: Column | None = None, scorer: Column | None = None, refuse_below: float | None = None) -> DataFrame:
         """(query_id, id, rank, score, tier) for queries (query_id, text and, with vectors, vector).
@@ -60,7 +60,7 @@ class Retriever:
     def similar(self, ids: DataFrame, k: int = 8) -> DataFrame:
         """More like the items of ``ids`` (id), by their stored vectors, themselves excluded."""
         q = self.vectors.join(ids, "id", "left_semi").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
-        return self.dense(q).filter("id <> query_id").withColumn("rank", F.row_number().over(_by_score())).filter(F.col("rank") <= k)
+        return self.dense(q, k=k)
 
     def get(self, ids: DataFrame) -> DataFrame:
         return self.items.join(ids, "id", "left_semi")
@@ -69,9 +69,3 @@ class Retriever:
         from ..operators.aggregates import popular
 
         return popular(self.items, column, n)
-
-
-def _by_score():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

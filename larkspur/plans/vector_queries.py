@@ -5,60 +5,61 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import joins, retrieval
 from ..operators import ranking as R
 from .registry import query
 
 DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-def _scores(t, queries: str):
-    """Scores of all vectors for a stated set of query vectors (one row each, few: Spark checks the size to broadcast)."""
-    e = t("embeddings")
-    q = e.filter(queries).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), V.doubles("embedding").alias("q"))
-    pairs = e.select("vec_id", "label", V.doubles("embedding").alias("v")).join(q, F.col("vec_id") != F.col("query_id"))
-    return pairs.select("query_id", "query_label", "vec_id", "label", V.dot(F.col("v"), F.col("q")).alias("score"))
+def _nearest(t, k: int, where: str = "true", **options):
+    """The nearest of the vectors that ``where`` takes, for every vector whose id is divisible by 100."""
+    e = t("embeddings").select(F.col("vec_id").alias("id"), V.doubles("embedding").alias("vector"), F.col("label").alias("group"))
+    asked = e.filter("id % 100 = 0").withColumnRenamed("id", "query_id")
+    found = retrieval.nearest(e.withColumnRenamed("group", "label").filter(where).withColumnRenamed("label", "group"), asked, k, **options)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.col("group").alias("label"), "score", "rank")
 
 
-SCORES = f"""s AS (SELECT b.vec_id AS query_id, b.label AS query_label, a.vec_id, a.label, {DOT} AS score
+SCORES = f"""s AS (SELECT b.vec_id AS query_id, b.label AS query_label, a.vec_id, a.label, round({DOT}, 6) AS score
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE b.vec_id % 100 = 0)"""
+TOP = "SELECT query_id, vec_id, label, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE {0}) WHERE rank <= {1}"
 
 
-@query(f"SELECT a.vec_id, a.label, round({DOT}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id <> 0 AND a.label < 8 ORDER BY score DESC, a.vec_id LIMIT 10")
+@query(f"WITH {SCORES} {TOP.format('label < 8', 10)}")
 def vec_topk_filtered(t):
-    s = _scores(t, "vec_id = 0").filter("label < 8")
-    return s.select("vec_id", "label", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+    return _nearest(t, 10, "label < 8")
 
 
-@query(f"WITH {SCORES} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5")
+@query(f"WITH {SCORES} {TOP.format('true', 5)}")
 def vec_neighbors_excl_self(t):
-    return R.top_k(_scores(t, "vec_id % 100 = 0"), ["query_id"], "score", "vec_id", 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return _nearest(t, 5)
 
 
-@query(f"""WITH {SCORES}, b AS (SELECT query_id, label, max(score) AS score, arg_min(vec_id, (-score, vec_id)) AS vec_id FROM s GROUP BY 1, 2)
-SELECT query_id, label, round(score, 6) AS score, vec_id FROM b""")
-def vec_best_view_per_label(t):
-    return R.best_view(_scores(t, "vec_id % 100 = 0"), ["query_id", "label"], "score", "vec_id").withColumn("score", F.round("score", 6))
+BEST = f"{SCORES}, b AS (SELECT query_id, label, max(score) AS score, arg_min(vec_id, (-score, vec_id)) AS vec_id FROM s GROUP BY 1, 2)"
 
 
-BEST = f"{SCORES}, b AS (SELECT query_id, label, round(max(score), 6) AS score FROM s GROUP BY 1, 2)"
+def _best(t):
+    """The best view of each label."""
+    return _nearest(t, 1, per_group=True).drop("rank")
 
 
-def _best(t):
-    return _scores(t, "vec_id % 100 = 0").groupBy("query_id", "label").agg(F.round(F.max("score"), 6).alias("score"))
+@query(f"WITH {BEST} SELECT query_id, label, score, vec_id FROM b")
+def vec_best_view_per_label(t):
+    return _best(t)
 
 
 @query(f"""WITH {BEST}, f AS (SELECT *, coalesce((lag(score) OVER w - score > 0.03)::INT, 0) AS fell FROM b WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, label))
 SELECT query_id, label, score, CAST(sum(fell) OVER (PARTITION BY query_id ORDER BY score DESC, label) AS INT) AS cluster FROM f""")
 def score_chain_clusters(t):
-    return R.chain_groups(_best(t), ["query_id"], "score", "label", 0.03)
+    return R.chain_groups(_best(t).drop("vec_id"), ["query_id"], "score", "label", 0.03)
 
 
 @query(f"""WITH {BEST}, f AS (SELECT *, coalesce((lag(score) OVER w - score > 0.03)::INT, 0) AS fell FROM b WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, label)),
 c AS (SELECT query_id, label, score, CAST(sum(fell) OVER (PARTITION BY query_id ORDER BY score DESC, label) AS INT) AS cluster FROM f),
 m AS (SELECT query_id, cluster, max(score) AS best FROM c GROUP BY 1, 2)
-SELECT c.*, round(c.score - m.best, 6) AS gap FROM c LEFT JOIN m ON m.query_id = c.query_id AND m.cluster = c.cluster + 1""")
+SELECT c.query_id, c.label, c.score, c.cluster, round(c.score - m.best, 6) AS gap FROM c LEFT JOIN m ON m.query_id = c.query_id AND m.cluster = c.cluster + 1""")
 def gap_next_group(t):
-    c = R.chain_groups(_best(t), ["query_id"], "score", "label", 0.03)
+    c = R.chain_groups(_best(t).drop("vec_id"), ["query_id"], "score", "label", 0.03)
     return R.gap_to_next_cluster(c, ["query_id"], "score").withColumn("gap", F.round("gap", 6))
 
 
@@ -83,20 +84,23 @@ def zero_shot_margin(t):
     return best.select("vec_id", "truth", "label", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), (F.col("margin") >= 0.05).alias("sure"))
 
 
-BITS = "s AS (SELECT vec_id, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)::INT) ELSE 0 END))::BIGINT AS bits FROM embeddings)"
+# The sign bits of 32 components each, and the same with up to five of them flipped by a rule.
+HALF = "list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i + {0}] > 0 THEN (1::BIGINT << (i - 1)::INT) ELSE 0 END))::BIGINT"
+BITS = f"""h AS (SELECT vec_id, {HALF.format(0)} AS lo, {HALF.format(32)} AS hi FROM embeddings),
+a AS (SELECT lo, hi, min(vec_id) AS a, count(*) AS a_copies FROM h GROUP BY 1, 2),
+f AS (SELECT vec_id, xor(lo, (1::BIGINT << (vec_id % 16)::INT) | (1::BIGINT << (vec_id % 7)::INT) | (1::BIGINT << (vec_id % 5)::INT)) AS lo, hi FROM h),
+b AS (SELECT lo, hi, min(vec_id) AS b, count(*) AS b_copies FROM f GROUP BY 1, 2)"""
 
 
-@query(f"WITH {BITS} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.bits, b.bits)) <= 12")
+@query(f"""WITH {BITS}, p AS (SELECT a, b, a_copies, b_copies, (bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)))::INT AS distance FROM a, b)
+SELECT *, CASE WHEN distance <= 2 THEN 'same' ELSE 'near' END AS bucket FROM p WHERE distance <= 6""")
 def hamming_pairs(t):
-    """Pairs of sign fingerprints within 12 bits: of 13 bands of their bits one at least is equal."""
-    s = t("embeddings").select("vec_id", V.sign_bits(F.col("embedding")).alias("bits"))
-    cuts = [64 * i // 13 for i in range(14)]
-    mask = lambda a, b: (1 << b) - (1 << a) - (1 << 64 if b == 64 else 0)
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.col("bits").bitwiseAND(mask(a, b)).alias("key")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    keyed = s.select("vec_id", "bits", F.explode(bands).alias("k")).select("vec_id", "bits", "k.*")
-    other = keyed.select(F.col("vec_id").alias("b"), F.col("bits").alias("bits_b"), "band", "key")
-    met = keyed.join(other, ["band", "key"]).filter("vec_id < b").withColumn("distance", V.hamming(F.col("bits"), F.col("bits_b")))
-    return met.filter("distance <= 12").select(F.col("vec_id").alias("a"), "b", "distance").distinct()
+    """Hashes and altered hashes within 6 bits: pairs of the first of each class of equal hashes, with the sizes of their classes."""
+    h = t("embeddings").select("vec_id", V.sign_bits(F.col("embedding")).alias("bits"))
+    bit = lambda m: F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("vec_id") % m).cast("int"))
+    altered = h.select("vec_id", F.col("bits").bitwiseXOR(bit(16).bitwiseOR(bit(7)).bitwiseOR(bit(5))).alias("bits"))
+    found = joins.near_hashes(h, altered, "vec_id", "bits", 6)
+    return found.withColumn("bucket", F.when(F.col("distance") <= 2, "same").otherwise("near"))
 
 
 @query(f"""WITH {SCORES}, fam AS (SELECT vec_id AS anchor, label FROM embeddings WHERE vec_id % 100 = 0),
@@ -105,9 +109,11 @@ near AS (SELECT query_id AS anchor, vec_id, row_number() OVER (PARTITION BY quer
 SELECT 'family' AS kind, * FROM same WHERE place <= 3 UNION ALL SELECT 'neighbour', * FROM near WHERE place <= 3""")
 def hard_negatives(t):
     """For anchors: members of the same family, and nearest vectors outside it."""
-    e = t("embeddings")
+    e = t("embeddings").select("vec_id", "label")
     anchors = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("anchor"), "label")
-    same = e.join(anchors, "label").filter("vec_id <> anchor").select("anchor", "vec_id", (-F.col("vec_id")).alias("score"))
-    near = _scores(t, "vec_id % 100 = 0").filter("label <> query_label").select(F.col("query_id").alias("anchor"), "vec_id", "score")
-    top = lambda df, kind: R.top_k(df, ["anchor"], "score", "vec_id", 3, "place").select(F.lit(kind).alias("kind"), "anchor", "vec_id", "place")
-    return top(same, "family").unionByName(top(near, "neighbour"))
+    # one more than is asked, as an anchor may be among them
+    members = R.capped(e, ["label"], [F.col("vec_id")], 4)
+    same = members.join(anchors, "label").filter("vec_id <> anchor").select("anchor", "vec_id", (-F.col("vec_id")).alias("score"))
+    same = R.top_k(same, ["anchor"], "score", "vec_id", 3, "place").select(F.lit("family").alias("kind"), "anchor", "vec_id", "place")
+    near = _nearest(t, 3, other_groups=True)
+    return same.unionByName(near.select(F.lit("neighbour").alias("kind"), F.col("query_id").alias("anchor"), "vec_id", F.col("rank").alias("place")))

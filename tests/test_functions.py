@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,17 +64,43 @@ def test_scalars(spark):
     day = lambda y, m, d: F.lit(dt.date(y, m, d))
     assert one(spark, S.age(day(2004, 2, 29), day(2022, 2, 28))) == 17 and one(spark, S.age(day(2004, 2, 29), day(2022, 3, 1))) == 18
     assert one(spark, S.client_ip(F.col("f"), F.col("h")), f=" 1.2.3.4, 5.6.7.8", h="x") == "1.2.3.4"
-    assert one(spark, S.seconds_of(F.lit("5m"))) == 300 and one(spark, S.bytes_of(F.lit("2k"))) == 2048
+    assert [one(spark, S.seconds_of(F.lit(x).cast("string"))) for x in ("5m", "1m30s", "90", "0s", "5x", "")] == [300, 90, 90, None, None, None]
+    assert tuple(one(spark, S.size_of(F.lit("1200X1600")))) == (1200, 1600) and one(spark, S.size_of(F.lit("12"))) is None
+    assert one(spark, S.salted_hash(F.lit("1.2.3.4"), day(2024, 1, 2))) == hashlib.sha256(b"1.2.3.4:2024-01-02").hexdigest()
     assert [one(spark, S.plural(F.lit(n), "a", "b", "c")) for n in (1, 3, 11, 25)] == ["a", "b", "c", "c"]
 
 
-def test_hamming_pairs_see_the_last_component(spark, tmp_path):
-    from larkspur.plans import catalog_queries
+def test_near_hashes_see_the_last_component(spark):
+    from larkspur.operators import joins
 
     ones = [1.0] * 64
     flipped = lambda *at: [-1.0 if i in at else 1.0 for i in range(64)]
-    rows = [(0, ones), (1, flipped(63)), (2, flipped(*range(12))), (3, flipped(63, *range(12)))]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {(r.a, r.b): r.distance for r in catalog_queries.QUERIES["hamming_pairs"](spark, str(tmp_path)).collect()}
-    assert got == {(0, 1): 1, (0, 2): 12, (1, 3): 12, (2, 3): 1}
+    rows = [(0, ones), (1, flipped(63)), (2, flipped(*range(12))), (3, flipped(63, *range(12))), (4, ones)]
+    h = spark.createDataFrame(rows, "id long, v array<double>").select("id", V.sign_bits(F.col("v")).alias("bits"))
+    got = {(r.a, r.b): (r.distance, r.a_copies, r.b_copies) for r in joins.near_hashes(h, h, "id", "bits", 12).filter("a < b").collect()}
+    assert got == {(0, 1): (1, 2, 1), (0, 2): (12, 2, 1), (1, 3): (12, 1, 1), (2, 3): (1, 1, 1)}
+
+
+def test_near_hashes_against_brute_force(spark):
+    import numpy as np
+
+    from larkspur.operators import joins
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(-(1 << 62), 1 << 62, 60)
+    near = base.copy()
+    for i in range(60):
+        for b in rng.integers(0, 63, rng.integers(0, 9)):
+            near[i] ^= 1 << int(b)
+    frame = lambda x: spark.createDataFrame([(i, int(v), "g") for i, v in enumerate(x)], "id long, bits long, g string")
+    want = {(i, j) for i in range(60) for j in range(60) if int(base[i] ^ near[j]).bit_count() <= 6}
+    assert {(r.a, r.b) for r in joins.near_hashes(frame(base), frame(near), "id", "bits", 6).collect()} == want and len(want) > 20
+    both = np.unique(np.concatenate([base, near]))
+    pairs = {(i, j) for i in range(len(both)) for j in range(i + 1, len(both)) if int(both[i] ^ both[j]).bit_count() <= 6}
+    assert {(r.a, r.b) for r in joins.near_hashes_within(frame(both), "g", "id", "bits", 6).collect()} == pairs
+
+
+def test_stems():
+    pairs = {"вино": "вин", "вина": "вин", "красное": "красн", "красного": "красн", "полусухое": "полусух", "важность": "важност", "длинный": "длин", "ёлка": "елк", "wine": "wine", "был": "был"}
+    assert {w: T.stem_word(w) for w in pairs} == pairs
+    assert T.word_list("Été, ВИНО_x 2019") == ["été", "вин", "x", "2019"] and T.word_list(None) == []

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import decisions, extraction, families, joins, metrics, ranking, recommend, retrieval, rules, sampling
+from larkspur.operators import decisions, extraction, families, joins, labels, matching, metrics, ranking, recommend, retrieval, rules, sampling
 from larkspur.plans.retriever import Retriever
 from larkspur.sources import readers, sinks
 from larkspur.streaming import state
@@ -68,7 +68,10 @@ def test_metrics_by_hand(spark):
     assert (best.threshold, best.precision, best.recall) == (0.7, 1, 0.75) and best.f1 == pytest.approx(1.5 / 1.75)
     hits = spark.createDataFrame([(["a"], ["b", "a"]), ([], []), (["c"], [])], "e array<string>, g array<string>")
     assert [r.h for r in hits.select(metrics.hit(F.col("e"), F.col("g")).alias("h")).collect()] == [True, True, False]
-    assert metrics.sign_test(8, 1) == pytest.approx(20 / 512)
+    pairs = spark.createDataFrame([(True, False)] * 8 + [(False, True), (True, True)], "a boolean, b boolean")
+    got = metrics.sign_test(pairs, F.col("a"), F.col("b")).first()
+    assert (got.fixed, got.broken) == (8, 1) and got.p == pytest.approx(20 / 512)
+    assert metrics.sign_test(pairs.limit(0), F.col("a"), F.col("b")).first().p == 1
 
 
 def test_rules(spark):
@@ -104,9 +107,14 @@ def test_deck_shows_new_values_first(spark):
 
 def test_blocks_and_values(spark):
     html = "<h1> A  b </h1><p>Temp:</p><p>10-12</p><script>x</script><p>c<br>d</p><p> </p>"
-    assert extraction.parse_blocks(html) == [("h1", "A b"), ("p", "Temp:"), ("p", "10-12"), ("p", "c d")]
+    assert extraction.parse_blocks(html) == [("h1", "A b", True), ("p", "Temp:", True), ("p", "10-12", True), ("p", "c d", True)]
+    assert [b[:2] for b in extraction.parse_blocks("<div>A</div><p>B</p><div>C</div>")] == [("div", "A"), ("p", "B"), ("div", "C")]
+    nested = extraction.parse_blocks("<div>a <p>b<span>c</span></p> d</div><ul><li>e<li>f</ul>")
+    assert nested == [("div", "a bc d", False), ("p", "bc", False), ("span", "c", True), ("li", "e", True), ("li", "f", True)]
+    tries = spark.createDataFrame([(["Temp", "Temp:", "x", "Temp"],), (["Temp", "Temp:", "Temp", "Temp", "Temp", "q", "Temp", "7"],), (["Temp", "y" * 401],)], "t array<string>")
+    assert [r.v for r in tries.select(extraction.value_after(F.col("t"), ["Temp"]).alias("v")).collect()] == ["x", "q", None]
     df = spark.createDataFrame([(["x", "Temp:", "10-12", "y"],)], "t array<string>")
-    got = df.select(extraction.value_after(F.col("t"), ["temp"]).alias("v")).select("v", extraction.range_of(F.col("v")).alias("r")).first()
+    got = df.select(extraction.value_after(F.col("t"), ["Temp"]).alias("v")).select("v", extraction.range_of(F.col("v")).alias("r")).first()
     assert got.v == "10-12" and got.r == [10, 12]
     long = spark.createDataFrame([(1, "a" * 30 + "\n" + "b" * 5 + "\n" + "c" * 5), (2, None)], "id int, t string")
     assert [r.text for r in extraction.chunk_paragraphs(long, "id", "t", 20).orderBy("chunk").collect()] == ["a" * 30, "b" * 5 + "\n\n" + "c" * 5]
@@ -127,13 +135,134 @@ def test_sampling(spark):
 
 
 def test_retriever_relaxes_once(spark):
-    items = spark.createDataFrame([("a", "wine", "dry red oak", "red"), ("b", "wine", "sweet white", "white")], "id string, kind string, text string, color string")
+    items = spark.createDataFrame([("a", "wine", "dry red oak", "red"), ("b", "wine", "sweet white", "white"), ("c", "wine", "plain", "white")], "id string, kind string, text string, color string")
     q = spark.createDataFrame([(1, "red oak"), (2, "sweet")], "query_id int, text string")
-    got = {(r.query_id, r.id, r.tier) for r in Retriever(items).search(q, 1, F.col("color") == "red").collect()}
-    assert got == {(1, "a", "strict"), (2, "b", "relaxed")}
+    found = Retriever(items)
+    # a document without a common word fills the pool, so a filter that leaves one gives it
+    got = {(r.query_id, r.id, r.tier) for r in found.search(q, 1, F.col("color") == "red").collect()}
+    assert got == {(1, "a", "strict"), (2, "a", "strict")}
+    got = {(r.query_id, r.id, r.tier) for r in found.search(q, 1, F.col("color") == "blue").collect()}
+    assert got == {(1, "a", "relaxed"), (2, "b", "relaxed")}
     assert rows(retrieval.refuse(spark.createDataFrame([(1, 0.2), (2, 0.9)], "query_id int, s double"), "s", 0.5)) == [(2, 0.9)]
 
 
+def test_russian_questions_find_their_items(spark):
+    items = spark.createDataFrame([("a", "красное сухое вино Крым"), ("b", "белое полусладкое Кубань"), ("c", "oak wine")], "id string, text string")
+    q = spark.createDataFrame([(1, "крымские вина"), (2, "полусладкого белого"), (3, "OAK")], "query_id int, text string")
+    best = {r.query_id: (r.id, r.score > 0) for r in retrieval.bm25(q, retrieval.build_index(items, "id", "text"), 1).collect()}
+    assert {k: v[0] for k, v in best.items()} == {1: "a", 2: "b", 3: "c"}
+
+
+def test_pools_are_filled_by_id(spark):
+    items = spark.createDataFrame([(i, "oak" if i == 7 else "else" if i else None) for i in range(9)], "id int, text string")
+    q = spark.createDataFrame([(1, "oak")], "query_id int, text string")
+    index = retrieval.build_index(items, "id", "text")
+    assert [r.id for r in retrieval.bm25(q, index, 4).orderBy("rank").collect()] == [7, 0, 1, 2]
+    assert [r.id for r in retrieval.bm25(q, index, 4, zeros=False).collect()] == [7]
+    assert index.n == 9 and retrieval.bm25(q, index, 4, where=items.filter("id > 5").select("id")).count() == 3
+
+
+def test_query_blocks_lose_nothing(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    vectors = spark.createDataFrame([(i, rng.normal(size=8).tolist(), i % 3) for i in range(60)], "id int, vector array<double>, group int")
+    asked = vectors.filter("id < 20").withColumnRenamed("id", "query_id")
+    words = ["a", "b", "c", "d", "e"]
+    index = retrieval.build_index(spark.createDataFrame([(i, " ".join(rng.choice(words, 6))) for i in range(40)], "id int, text string"), "id", "text")
+    q = spark.createDataFrame([(i, " ".join(rng.choice(words, 3))) for i in range(9)], "query_id int, text string")
+    whole = [rows(retrieval.nearest(vectors, asked, 4, other_groups=True)), rows(retrieval.bm25(q, index, 5))]
+    monkeypatch.setattr(retrieval, "CELLS", 40)
+    assert [rows(retrieval.nearest(vectors, asked, 4, other_groups=True)), rows(retrieval.bm25(q, index, 5))] == whole
+    assert len(whole[0]) == 80 and len(whole[1]) == 45
+
+
+def test_components_of_a_hub(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(2999, 3000), (5000, 5001)], "a int, b int")
+    got = {r.node: r.root for r in families.components(edges).collect()}
+    assert all(got[i] == 0 for i in range(3001)) and got[5001] == 5000
+
+
+def test_running_sums_by_ranges(spark):
+    import random
+
+    rng = random.Random(5)
+    values = [(g, v, rng.randint(1, 5)) for g in "ab" for v in rng.sample(range(1000), 200)]
+    got = metrics.running(spark.createDataFrame(values, "g string, v int, n long"), ["g"], "v", ["n"]).collect()
+    for g in "ab":
+        own = sorted((v, n) for h, v, n in values if h == g)
+        upto, want = 0, {}
+        for k, (v, n) in enumerate(own):
+            upto += n
+            want[v] = (upto, own[k + 1][0] if k + 1 < len(own) else None)
+        assert {r.v: (r.n_upto, r.following) for r in got if r.g == g} == want
+
+
+def test_choices_between_two_results(spark):
+    side = "struct<id: string, score: double, visual: double, confident: boolean>"
+    df = spark.createDataFrame([(("a", 0.9, 0.9, True), ("b", 0.5, 0.5, True)), (("a", 0.9, 0.9, True), ("b", 0.5, 0.5, False)), (("a", 0.9, 0.9, True), ("a", 0.5, 0.5, True)), ((None, None, None, None), ("b", 0.5, 0.5, False)), (("a", 0.1, 0.1, False), (None, None, None, None))], f"l {side}, m {side}")
+    picked = {r: [x.s for x in df.select(decisions.choose(r, F.col("l"), F.col("m"))["score"].alias("s")).collect()] for r in ("merge", "max_score", "confident_else_cv", "agree_else_cv", "agree_else_llm")}
+    assert picked == {"merge": [0.5, 0.5, 0.5, 0.5, None], "max_score": [0.9, 0.9, 0.9, 0.5, 0.1], "confident_else_cv": [0.5, 0.9, 0.5, 0.5, 0.1], "agree_else_cv": [0.9, 0.9, 0.5, 0.5, 0.1], "agree_else_llm": [0.5, 0.5, 0.5, 0.5, 0.1]}
+
+
+def test_identity_veto_and_coverage(spark):
+    arrays = "name array<string>, winery array<string>, grapes array<string>"
+    card = f"card struct<{arrays.replace(' array', ': array')}>, read struct<{arrays.replace(' array', ': array')}>, ocr array<string>"
+    c = (["rubin"], ["orlov", "estate"], ["merlo"])
+    df = spark.createDataFrame([(c, (["sapfir", "merlo"], ["orlov"], []), ["sapfir"]), (c, (["sapfir"], ["orlov"], []), ["rubin", "sapfir"]), (c, (["sapfir"], ["other"], []), ["sapfir"]), (c, (["rubin"], ["orlov"], []), ["x"]), (c, ([], ["orlov"], []), ["x"])], card)
+    side = lambda x: {f: F.col(f"{x}.{f}") for f in ("name", "winery", "grapes")}
+    assert [r.v for r in df.select(labels.name_conflicts(side("read"), side("card"), F.col("ocr")).alias("v")).collect()] == [True, False, False, False, False]
+    cards = spark.createDataFrame([(1, "a", ["chardonnay", "reserve"]), (1, "b", ["merlot"])], "query_id int, id string, tokens array<string>")
+    label = spark.createDataFrame([(1, "shardone"), (1, "merlo")], "query_id int, token string")
+    found = {r.id: r.found for r in labels.covered(cards, "tokens", label).collect()}
+    assert found == {"a": ["chardonnay"], "b": ["merlot"]}
+    field = {"name": F.array(F.lit("chardonnay"), F.lit("vino")), "winery": F.array(F.lit("x")), "grapes": F.array().cast("array<string>"), "year": F.lit(2019), "sweetness": F.lit("dry")}
+    score = labels.card_score(field, F.array(F.lit("chardonnay")), {"year": F.lit(2018), "sweetness": F.lit("dry")}, ["vino"])
+    assert spark.range(1).select(score.alias("s")).first().s == pytest.approx(1.0 - 0.3 + 0.2)
+
+
+def test_fuzzy_words_of_labels(spark):
+    q = spark.createDataFrame([(1, "krasnostop"), (1, "krasnostob"), (1, "2019"), (2, "skalis"), (2, "abc")], "query_id int, token string")
+    idf = spark.createDataFrame([("krasnostop", 2.0), ("skalistyj", 1.0), ("2018", 5.0), ("abd", 3.0)], "word string, idf double")
+    got = {(r.query_id, r.token, r.word): round(r.likeness, 2) for r in labels.vocabulary_matches(q, idf.select("word")).collect()}
+    assert got == {(1, "krasnostop", "krasnostop"): 1.0, (1, "krasnostob", "krasnostop"): 0.9, (2, "skalis", "skalistyj"): 0.8}
+    cards = spark.createDataFrame([("a", "krasnostop"), ("b", "skalistyj")], "id string, word string")
+    assert {(r.query_id, r.id): round(r.mass, 2) for r in labels.fuzzy_mass(q, cards, idf).collect()} == {(1, "a"): 2.0, (2, "b"): 0.8}
+
+
+def test_groups_of_equal_and_near_content(spark):
+    rows_ = [("g", "a", "x", 0, 1.0), ("g", "b", "x", 1, 3.0), ("g", "c", "y", 0b111, 2.0), ("g", "d", "z", (1 << 40) - 1, 9.0), ("h", "e", "x", 0, 1.0)]
+    df = spark.createDataFrame(rows_, "group string, file string, digest string, bits long, score double").withColumn("area", F.lit(0)).withColumn("mtime", F.lit(0))
+    assert {r.file: r.root for r in matching.content_groups(df, "group").collect()} == {"a": "b", "b": "b", "c": "b", "d": "d", "e": "e"}
+
+
+def test_one_to_one_merge_and_orphans(spark):
+    left, right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string"), spark.createDataFrame([(1, "c")], "k int, y string")
+    assert rows(matching.merged_one_to_one(left, right, "k")) == [(1, "a", "c"), (2, "b", None)]
+    with pytest.raises(Exception, match="repeated on the right"):
+        matching.merged_one_to_one(left, right.union(right), "k").collect()
+    files = spark.createDataFrame([("a.jpg", "jpg"), ("small_a.jpg", "jpg"), ("b.mp4", "mp4"), ("c.png", "png")], "file string, ext string")
+    used = spark.createDataFrame([("c.png",)], "file string")
+    assert [r.file for r in matching.orphans(files, used, F.col("file").startswith("small_"), F.col("ext"), ("jpg", "png")).collect()] == ["a.jpg"]
+
+
+def test_box_ranker_learns(spark):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(200)], "id int, a double, b double, right int")
+    model = labels.train_box_ranker(df, ["a", "b"], "right")
+    got = model.transform(df).select("right", "prediction").collect()
+    assert all(r.right == r.prediction for r in got)
+
+
+def test_vectors_of_colors(spark):
+    from larkspur.operators import profiles
+
+    table = {("red", True): {"body": 0.7, "acid": 0.4}, ("white", True): {"body": 0.3}}
+    df = spark.createDataFrame([("red", True, None), ("red", True, 0.9), ("white", True, None), ("blue", True, None)], "c string, s boolean, b double")
+    got = df.select(profiles.vector_of(F.col("c"), F.col("s"), table, {"body": F.col("b")}).alias("v")).collect()
+    assert [(r.v.acid, r.v.body) for r in got] == [(0.4, 0.7), (0.4, 0.9), (None, 0.3), (None, None)]
+    assert [r.x for r in df.limit(1).select(profiles.excluded([F.lit("Красное сладкое")], F.array(F.lit("сладкого"))).alias("x")).collect()] == [True]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "t.csv").write_text("﻿slug,name\n a ,x\na,x\na,y\nb,\n")
     df = readers.csv_text(spark, str(tmp_path / "t.csv"), ["slug", "name"])
