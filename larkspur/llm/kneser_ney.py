@@ -12,18 +12,21 @@ network compressed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import materialise, width
 
 ORDER, BITS = 4, 16
-#: Characters of a shard, about, and most shards (beyond that they grow).
-SHARD_CHARS, MOST_SHARDS = 32_000_000, 65_536
+#: Characters of a shard, about, and most quantiles of ids that are asked for; further shards divide what lies between them evenly.
+SHARD_CHARS, QUANTILES = 16_000_000, 16_384
+#: Languages up to which a table of one row for each is broadcast (about 100 bytes a row); beyond, it is joined by a shuffle.
+MOST_BROADCAST = 10_000
 CHUNK = 1 << 19
 #: Bits of the filter that keeps most untrusted texts from being shuffled; it has this size whatever the input.
 FILTER_BITS = 1 << 24
@@ -99,20 +102,68 @@ class _Tallies:
         return self.merged
 
 
-def _tallied(rows: DataFrame, cuts: np.ndarray) -> DataFrame:
-    """(shard, lang, gram, n) of ``rows``, added up within each task; ``cuts`` divide ``at`` into shards.
+@dataclass
+class Places:
+    """How rows are dealt to shards: by ranges of ``at``, cut evenly once more, and rows of a frequent ``at`` by ``salt`` too."""
+
+    cuts: np.ndarray
+    pieces: int
+    hot: dict[int, int]  # shards of a frequent value
+
+    def shard(self, at: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        range_ = np.searchsorted(self.cuts, at)
+        out = range_ * self.pieces
+        if self.pieces > 1 and len(self.cuts):
+            low, high = (np.r_[self.cuts[0] - 1, self.cuts, self.cuts[-1]][range_ + i].astype(float) for i in (0, 1))
+            share = (at - low) / np.maximum(high - low, 1)
+            out = out + np.clip(share * self.pieces, 0, self.pieces - 1).astype(np.int64)
+        if self.hot:
+            values = np.array(sorted(self.hot))
+            shards = np.array([self.hot[v] for v in values.tolist()])
+            place = np.minimum(np.searchsorted(values, at), len(values) - 1)
+            of = np.flatnonzero(values[place] == at)
+            first = np.cumsum(shards) - shards
+            out[of] = -1 - (first[place[of]] + salt[of] % shards[place[of]])
+        return out
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """``docs`` (id, lang, text) with ``at``, a number to order by, and ``salt``, a hash of the text.
+
+    Shards are ranges of ids: where tables are stored in the order of their ids, a task that reads them meets few shards, and
+    lists the n-grams of each once. Any other order only makes more requests.
+    """
+    at = F.coalesce(F.col("id").try_cast("long"), F.xxhash64("id"))
+    salt = F.xxhash64("text")
+    return docs.select("id", "lang", "text", F.when(F.col("id").isNull(), salt).otherwise(at).alias("at"), salt.alias("salt"))
+
+
+def _places(placed: DataFrame, size: int) -> Places:
+    total = placed.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    shards = max(1, -(-total // size))
+    ranges = min(QUANTILES, shards)
+    quantiles = placed.approxQuantile("at", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
+    hot: dict[int, int] = {}
+    if shards > 1:  # values with more text than a shard: no more than there are shards
+        chars = placed.groupBy("at").agg(F.sum(F.length("text")).alias("chars")).filter(F.col("chars") > size)
+        hot = {r.at: -(-r.chars // size) for r in chars.collect()}
+    return Places(np.unique(np.array(quantiles, np.float64)).astype(np.int64), -(-shards // ranges), hot)
+
 
-    ``rows`` has at, lang and text, or packed and size in place of the text.
+def _tallied(rows: DataFrame, places: Places) -> DataFrame:
+    """(shard, lang, gram, n) of ``rows``, added up within each task.
+
+    ``rows`` has at, salt, lang and text, or packed and size in place of the text.
     """
-    columns = [c for c in ("at", "lang", "text", "packed", "size") if c in rows.columns]
+    columns = [c for c in ("at", "salt", "lang", "text", "packed", "size") if c in rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies = _Tallies()
         for batch in _slices(batches):
-            shards = np.searchsorted(cuts, batch.column(0).to_numpy()).tolist()
-            langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            if len(columns) == 4:
-                texts = [_unpack(b, n) for b, n in zip(texts, batch.column(3).to_pylist(), strict=True)]
+            shards = places.shard(batch.column(0).to_numpy(), batch.column(1).to_numpy()).tolist()
+            langs, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            if len(columns) == 5:
+                texts = [_unpack(b, n) for b, n in zip(texts, batch.column(4).to_pylist(), strict=True)]
             by_key: dict[tuple, list[int]] = {}
             for i, key in enumerate(zip(shards, langs, strict=True)):
                 by_key.setdefault(key, []).append(i)
@@ -124,10 +175,10 @@ def _tallied(rows: DataFrame, cuts: np.ndarray) -> DataFrame:
             for at in range(0, len(keys), 100_000):
                 k, n = keys[at : at + 100_000], counts[at : at + 100_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * len(k), pa.int32()), pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n)], ["shard", "lang", "gram", "n"]
+                    [pa.array([shard] * len(k), pa.int64()), pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n)], ["shard", "lang", "gram", "n"]
                 )
 
-    return rows.select(*columns).mapInArrow(run, "shard int, lang string, gram long, n long")
+    return rows.select(*columns).mapInArrow(run, "shard long, lang string, gram long, n long")
 
 
 # ---- training
@@ -177,104 +228,113 @@ def _suffix(order: int) -> Column:
 
 def count_tables(trusted: DataFrame) -> dict[int, DataFrame]:
     """For each order (lang, gram, n): counts for the highest, continuation counts below."""
-    top = _tallied(trusted, np.empty(0, np.int64)).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    one = trusted.withColumn("at", F.lit(0).cast("long")).withColumn("salt", F.lit(0).cast("long"))
+    top = _tallied(one, Places(np.empty(0, np.int64), 1, {})).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     tables = {ORDER: materialise(top, "grams-4")}
     for order in range(ORDER - 1, 0, -1):
         tables[order] = materialise(tables[order + 1].select("lang", _suffix(order).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")), f"grams-{order}")
     return tables
 
 
-def _discounts(table: DataFrame) -> dict[str, tuple[float, float, float]]:
-    """Chen and Goodman's three discounts of each language, from its counts of counts."""
-    kinds = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)]
-    out = {}
-    for r in table.groupBy("lang").agg(*kinds).collect():  # a row per language
-        n1, n2, n3, n4 = (max(1, r[f"n{i}"]) for i in range(1, 5))
-        y = n1 / (n1 + 2 * n2)
-        raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-        out[r.lang] = tuple(min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw))
-    return out
+def _discounts(table: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3, symbols): Chen and Goodman's discounts of each language, from its counts of counts."""
+    kinds = [F.greatest(F.sum((F.col("n") == i).cast("long")), F.lit(1)).alias(f"n{i}") for i in range(1, 5)]
+    n1, n2, n3, n4 = (F.col(f"n{i}") for i in range(1, 5))
+    y = n1 / (n1 + 2 * n2)
+    raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+    held = [F.least(F.greatest(d, F.lit(0.05)), F.lit(i + 0.95)).alias(f"d{i + 1}") for i, d in enumerate(raw)]
+    return table.groupBy("lang").agg(*kinds, (F.count(F.lit(1)) + 1).alias("symbols")).select("lang", *held, "symbols")
+
+
+def _per_language(rows: DataFrame):
+    """What to do to a table of one row a language before a join: broadcast it, unless ``rows`` has too many languages."""
+    return F.broadcast if rows.select("lang").distinct().count() <= MOST_BROADCAST else lambda table: table
 
 
 def probabilities(wanted: DataFrame, tables: dict[int, DataFrame]) -> DataFrame:
-    """(lang, gram, logp) for each row of ``wanted`` (lang, gram): natural logarithm of the last symbol's probability.
+    """(lang, gram, logp) for each row of ``wanted`` (lang, gram; distinct, written): natural logarithm of the last symbol's probability.
 
-    Languages without trusted text are left out.
+    From the lowest order up, each for its own distinct n-grams only, so the short contexts that most n-grams share are
+    joined while the tables are small. Languages without trusted text are left out.
     """
-    symbols = tables[1].groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("symbols"))
-    out = wanted.join(symbols, "lang").withColumn("p", F.lit(1.0) / F.col("symbols"))
+    asked = {ORDER: wanted.select("lang", F.col("gram").alias("g"))}
+    for order in range(ORDER - 1, 0, -1):
+        shorter = F.col("g").bitwiseAND((1 << (BITS * order)) - 1).alias("g")
+        asked[order] = materialise(asked[order + 1].select("lang", shorter).distinct(), f"asked-{order}")
+    per_language = _per_language(tables[1])
+    below = None
     for order in range(1, ORDER + 1):
-        table, discounts = tables[order], _discounts(tables[order])
-        if not discounts:
-            return wanted.withColumn("logp", F.lit(0.0)).filter("false")
-        by_lang = F.create_map(*[x for lang, d in discounts.items() for x in (F.lit(lang), F.array(*[F.lit(v) for v in d]))])
-        key = _suffix(order)
-        context = F.shiftrightunsigned("g", BITS)
-        counts = table.select("lang", F.col("gram").alias("g"), "n")
-        contexts = counts.groupBy("lang", context.alias("h")).agg(
+        counts = tables[order].select("lang", F.col("gram").alias("g"), "n")
+        context = F.shiftrightunsigned("g", BITS).alias("h")
+        contexts = counts.groupBy("lang", context).agg(
             F.sum("n").alias("total"), F.sum((F.col("n") == 1).cast("long")).alias("n1"),
             F.sum((F.col("n") == 2).cast("long")).alias("n2"), F.sum((F.col("n") > 2).cast("long")).alias("n3"),
         )
-        out = out.withColumn("g", key).withColumn("h", F.shiftrightunsigned(key, BITS))
-        out = out.join(counts, ["lang", "g"], "left").join(contexts, ["lang", "h"], "left").withColumn("d", by_lang[F.col("lang")])
-        d = lambda i: F.element_at("d", i)
+        discounts = materialise(_discounts(tables[order]), f"discounts-{order}")
+        out = asked[order].join(per_language(discounts), "lang").withColumn("h", context)
+        if order == 1:  # one context a language
+            out = out.join(per_language(contexts.drop("h")), "lang").withColumn("lower", F.lit(1.0) / F.col("symbols"))
+        else:
+            out = out.join(contexts, ["lang", "h"], "left").withColumn("s", F.col("g").bitwiseAND((1 << (BITS * (order - 1))) - 1)).join(below, ["lang", "s"])
+        out = out.join(counts, ["lang", "g"], "left")
         n = F.coalesce("n", F.lit(0))
-        cut = F.when(n == 0, F.lit(0.0)).when(n == 1, d(1)).when(n == 2, d(2)).otherwise(d(3))
-        gamma = (d(1) * F.col("n1") + d(2) * F.col("n2") + d(3) * F.col("n3")) / F.col("total")
-        p = F.when(F.col("total").isNull(), F.col("p")).otherwise((n - cut) / F.col("total") + gamma * F.col("p"))
-        out = out.withColumn("p", p).select("lang", "gram", "p")
-    return out.select("lang", "gram", F.log("p").alias("logp"))
+        cut = F.when(n == 0, F.lit(0.0)).when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+        gamma = (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total")
+        p = F.when(F.col("total").isNull(), F.col("lower")).otherwise((n - cut) / F.col("total") + gamma * F.col("lower"))
+        out = out.select("lang", "g", p.alias("lower"))
+        below = materialise(out, f"probabilities-{order}").withColumnRenamed("g", "s") if order < ORDER else out
+    return out.select("lang", F.col("g").alias("gram"), F.log("lower").alias("logp"))
 
 
 # ---- scoring
 
 
-def perplexities(docs: DataFrame, tables: dict[int, DataFrame], total_chars: int) -> DataFrame:
+def perplexities(docs: DataFrame, tables: dict[int, DataFrame], shard_chars: int = SHARD_CHARS) -> DataFrame:
     """(id, lang, perplexity, chars) for each row of ``docs`` (id, lang, text); null where there is no text or no model."""
-    # Shards are ranges of ids: where tables are stored in the order of their ids, a task that reads them meets few shards, and
-    # lists the n-grams of each once. Any other order only makes more requests.
-    at = F.coalesce(F.col("id").try_cast("long"), F.xxhash64("id"), F.lit(0)).alias("at")
-    placed = docs.select("id", "lang", "text", at)
-    shards = min(MOST_SHARDS, max(1, -(-total_chars // SHARD_CHARS)))
-    quantiles = docs.select(at).approxQuantile("at", [i / shards for i in range(1, shards)], 0.1 / shards) if shards > 1 else []
-    cuts = np.unique(np.array(quantiles, np.float64)).astype(np.int64)
-    asked = materialise(_tallied(placed, cuts).select("shard", "lang", "gram").distinct(), "asked")
-    known = probabilities(asked.select("lang", "gram").distinct(), tables)
+    placed = _placed(docs)
+    places = _places(placed, shard_chars)
+    asked = materialise(_tallied(placed, places).select("shard", "lang", "gram").distinct(), "asked")
+    known = probabilities(materialise(asked.select("lang", "gram").distinct(), "asked-4"), tables)
     answers = asked.join(known, ["lang", "gram"]).select("shard", "lang", "gram", "logp")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            shard = pa.array(np.searchsorted(cuts, batch.column(3).to_numpy()), pa.int32())
+            shard = pa.array(places.shard(batch.column(3).to_numpy(), batch.column(4).to_numpy()), pa.int64())
             columns = [batch.column(0), batch.column(1), *_packed(batch.column(2).to_pylist()), shard]
             yield pa.RecordBatch.from_arrays(columns, ["id", "lang", "packed", "size", "shard"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    sent = placed.mapInArrow(pack, f"id {kind}, lang string, packed binary, size long, shard int")
-
-    def score(docs_: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        models = {lang: t.sort_values("gram") for lang, t in table.groupby("lang")}
-        out, chars = np.full(len(docs_), np.nan), np.zeros(len(docs_), np.int64)
-        for lang, rows in docs_.reset_index(drop=True).groupby("lang"):
-            known = lang in models
-            keys, logs = (models[lang]["gram"].to_numpy(), models[lang]["logp"].to_numpy()) if known else (None, None)
-            for part in _parts_of(rows["size"].tolist()):
-                texts = [_unpack(b, n) for b, n in zip(rows["packed"].iloc[part], rows["size"].iloc[part], strict=True)]
-                chars[rows.index[part]] = [len(t.strip()) for t in texts]
-                if not known:
+    sent = placed.mapInArrow(pack, f"id {kind}, lang string, packed binary, size long, shard long")
+
+    def score(sent_: pa.Table, table: pa.Table) -> pa.Table:
+        langs = sent_.column("lang")
+        out, chars = np.full(len(sent_), np.nan), np.zeros(len(sent_), np.int64)
+        for lang in langs.unique().to_pylist():
+            here = np.flatnonzero(pa.compute.equal(langs, lang).to_numpy())
+            model = table.filter(pa.compute.equal(table.column("lang"), lang)) if len(table) else table
+            keys = model.column("gram").to_numpy()
+            order = np.argsort(keys, kind="stable")
+            keys, logs = keys[order], model.column("logp").to_numpy()[order]
+            rows = sent_.take(pa.array(here))
+            packed, sizes = rows.column("packed"), rows.column("size").to_pylist()
+            for part in _parts_of(sizes):
+                texts = [_unpack(b.as_py(), n) for b, n in zip(packed[part.start : part.stop], sizes[part], strict=True)]
+                chars[here[part]] = [len(t.strip()) for t in texts]
+                if not len(keys):
                     continue
                 code, owner = grams(texts)
                 n = len(texts)
                 sums = np.bincount(owner, logs[np.searchsorted(keys, code)], minlength=n)
                 seen = np.bincount(owner, minlength=n)
                 with np.errstate(invalid="ignore"):
-                    out[rows.index[part]] = np.where(seen > 0, np.exp(-sums / np.maximum(seen, 1)), np.nan)
-        return pd.DataFrame({"id": docs_["id"].to_numpy(), "lang": docs_["lang"].to_numpy(), "perplexity": out, "chars": chars})
+                    out[here[part]] = np.where(seen > 0, np.exp(-sums / np.maximum(seen, 1)), np.nan)
+        columns = [sent_.column("id"), langs, pa.array(out, pa.float64(), from_pandas=True), pa.array(chars)]
+        return pa.Table.from_arrays(columns, ["id", "lang", "perplexity", "chars"])
 
-    n = width(docs)
+    # about two shards a partition, however many there are
+    n = max(width(docs), (len(places.cuts) + 1) * places.pieces // 2)
     met = sent.repartition(n, "shard").groupBy("shard").cogroup(answers.repartition(n, "shard").groupBy("shard"))
-    return met.applyInPandas(score, f"id {kind}, lang string, perplexity double, chars long").withColumn(
-        "perplexity", F.nanvl("perplexity", F.lit(None).cast("double"))
-    )
+    return met.applyInArrow(score, f"id {kind}, lang string, perplexity double, chars long")
 
 
 def _below_most(at: Column, levels: list[float], n: Column) -> Column:
@@ -292,7 +352,8 @@ def _limits(held: DataFrame, quantile: float) -> DataFrame:
     own = held.groupBy("lang").agg(
         F.percentile_approx("perplexity", [quantile, 0.5], 10_000).alias("at"), F.count("perplexity").alias("n")
     )
-    ratio = held.join(own.select("lang", F.col("at")[1].alias("median")), "lang").select((F.col("perplexity") / F.col("median")).alias("ratio"))
+    own = materialise(own, "quantiles")
+    ratio = held.join(_per_language(own)(own.select("lang", F.col("at")[1].alias("median"))), "lang").select((F.col("perplexity") / F.col("median")).alias("ratio"))
     pooled = ratio.agg(F.percentile_approx("ratio", levels, 10_000).alias("ratios"), F.count("ratio").alias("all"))
     few = F.ceil(F.col("n") * quantile) >= F.col("n")
     wide = F.col("at")[1] * _below_most(F.col("ratios"), levels, F.col("all"))
@@ -313,17 +374,17 @@ def quality(
     Trained on the texts of ``trusted_ids``; the threshold of a language is the ``quantile`` of the perplexities of the
     documents of ``held_out_ids``, trusted too but not trained on (``_limits`` for languages with few). A document is kept up
     to the threshold of its language, and where there is none; one without text has no perplexity and isn't kept. A null
-    language is one of its own. Null ids are neither trusted nor held out.
+    language is one of its own. Null ids are neither trusted nor held out; rows that repeat an id are rows of their own. Other
+    columns are not read; texts are read whole, however long, by 500 rows at a time.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(lang_col, F.lit("")).alias("lang"), F.col(text_col).alias("text"))
     trusted = trusted_ids.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct()
     held = held_out_ids.select(F.col(id_col).alias("held_id")).filter("held_id IS NOT NULL").distinct()
     likely = _prefilter(rows.filter("id IS NOT NULL AND text IS NOT NULL"), may_be_in(trusted))
-    tables = count_tables(likely.join(trusted, "id", "left_semi").withColumn("at", F.lit(0).cast("long")))
-    total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    scored = materialise(perplexities(rows, tables, total), "perplexities")
-    limits = _limits(scored.join(held, scored["id"] == held["held_id"], "left_semi"), quantile)
-    limits = limits.withColumnRenamed("lang", "lang_")
-    met = scored.join(limits, scored["lang"] == limits["lang_"], "left")
+    tables = count_tables(likely.join(trusted, "id", "left_semi"))
+    scored = materialise(perplexities(rows, tables), "perplexities")
+    limits = materialise(_limits(scored.join(held, scored["id"] == held["held_id"], "left_semi"), quantile), "limits")
+    limits = _per_language(limits)(limits.withColumnRenamed("lang", "lang_"))
+    met = scored.join(limits, F.col("lang") == F.col("lang_"), "left")
     kept = (F.col("chars") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return met.select(F.col("id").alias(id_col), F.col("lang"), "perplexity", "threshold", kept.alias("kept"))
