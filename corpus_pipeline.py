@@ -18,8 +18,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model is learned from the labelled documents of ``docs`` that are not held out.
     """
     model = langid.train(docs.filter(~langid.held_out() & F.col("lang").isNotNull()))
-    found = langid.identify(docs, model, lang_out="_lang_pred", score_out="_score")
-    return found.filter((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = (_free(name, docs.columns) for name in ("lang_pred", "score"))
+    found = langid.identify(docs, model, lang_out=lang, score_out=score)
+    return found.filter((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
