@@ -10,19 +10,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-# The letters that all five transliterations agree on, and those in which each differs.
-SHARED = {
-    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "к": "k", "л": "l", "м": "m",
-    "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ч": "ch", "ш": "sh",
-    "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+# The five transliterations, each whole; keys of different tables must not be mixed.
+TABLES = {
+    "page": {
+        "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "yo", "ж": "zh", "з": "z", "и": "i", "й": "j", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+        "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "cz", "ч": "ch", "ш": "sh", "щ": "shh", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+    },
+    "maker": {
+        "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+        "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+    },
+    "upload": {
+        "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "yo", "ж": "zh", "з": "z", "и": "i", "й": "j", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+        "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "cz", "ч": "ch", "ш": "sh", "щ": "sh", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya", "є": "ye",
+        "і": "i", "ї": "yi", "ґ": "g", "№": "",
+    },
+    "census": {
+        "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "yo", "ж": "zh", "з": "z", "и": "i", "й": "j", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+        "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "cz", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+    },
+    "label": {
+        "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+        "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+    },
 }
-SCHEMES = {
-    "page": {"ё": "yo", "й": "j", "ц": "cz", "щ": "shh"},
-    "maker": {"ё": "e", "й": "y", "ц": "ts", "щ": "shch"},
-    "upload": {"ё": "yo", "й": "j", "ц": "cz", "щ": "sh", "є": "ye", "і": "i", "ї": "yi", "ґ": "g", "№": ""},
-    "census": {"ё": "yo", "й": "j", "ц": "cz", "щ": "shch"},
-    "label": {"ё": "e", "й": "y", "ц": "ts", "щ": "shch"},
-}
+# Endings of images, starts of thumbnails' names, accented letters, years and volumes in names.
 IMAGE_EXTENSIONS = ("webp", "png", "jpg", "jpeg", "jfif", "heic", "tif", "tiff", "gif", "avif", "bmp")
 VARIANT_PREFIXES = ("thumbnail_", "small_", "medium_", "large_")
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
@@ -32,8 +44,8 @@ VOLUME = r"(?<![\d.,])(0[.,]\d{1,3}|1[.,]5|3[.,]0)(?:\s*л)?(?![\d.,])"
 
 
 def transliterate(text: Column, scheme: str) -> Column:
-    """Lower-cased text with Cyrillic letters in Latin ones by one of SCHEMES; other characters stay."""
-    table = SHARED | SCHEMES[scheme]
+    """Lower-cased text with Cyrillic letters in Latin ones by one of TABLES; other characters stay."""
+    table = TABLES[scheme]
     out = F.lower(text)
     for letter, latin in table.items():
         if len(latin) > 1:
@@ -185,6 +197,7 @@ def words(text: pd.Series) -> pd.Series:
 def skeleton(token: Column) -> Column:
     """The consonants by sound: vowels go, like-sounding letters meet, repeats are squeezed."""
     out = token
+    # Letters that sound alike.
     for a, b in (("ch", "sh"), ("sch", "sh"), ("ph", "f"), ("th", "t"), ("x", "ks")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.regexp_replace(F.translate(F.translate(out, "cqwyjz", "kkviis"), "aeiou", ""), r"(.)\1+", "$1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Least score of a style, least number of shared axes, bonus of a typical grape.
 THRESHOLD, MIN_SHARED, BONUS = 0.80, 3, 0.10
 
 
@@ -46,7 +47,7 @@ def sensory(sugar: Column, text: Column, color: Column, profile: Column, abv: Co
     ``profile`` is a struct of the mean grape profile (acidity, tannin, body, aromatic_intensity), any of them null.
     """
     sugar, text, color = F.lower(F.coalesce(sugar, F.lit(""))), F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(color, F.lit("")))
-    # Sweetness by sugar category, caps and defaults by color.
+    # Sweetness by sugar category, caps and defaults by color, words that tell bubbles and oak.
     sweet = F.create_map(*[F.lit(x) for kv in (("экстра брют", 0.02), ("брют", 0.08), ("сухое", 0.05), ("полусухое", 0.30), ("полусладкое", 0.55), ("сладкое", 0.85)) for x in kv])[sugar]
     by_color = lambda values, default: F.coalesce(F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[color], F.lit(default))
     bubbles = F.contains(sugar, F.lit("брют")) | text.rlike("пет нат|пет-нат|pet nat|petnat")

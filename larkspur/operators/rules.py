@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The grammar of a rule file.
 _COMPARED = re.compile(r"(>=|<=)\s*(?:(-?\d+(?:\.\d+)?)|(\w+)\.(\w+))")
 _NEAR = re.compile(r"~=\s*(\w+)\.(\w+)\s*±\s*(-?\d+(?:\.\d+)?)")
 _SAME = re.compile(r"matches\s+(\w+)\.(\w+)")

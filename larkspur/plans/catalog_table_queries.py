@@ -142,29 +142,30 @@ def relevance_bands(t):
     return ranking.bands(p, ["p_brand"], [F.desc("p_size"), F.desc("q")]).select("p_partkey", "p_brand", "q", "band")
 
 
-DISHES = [("dessert", 0.8, 0.2, 0.6), ("fish", 0.0, 0.4, 0.2), ("roast", 0.0, 0.8, 0.85), ("salad", 0.1, 0.3, 0.25)]
+# Rules of our own, to try every form that a rule can have.
+DISHES = [("curry", 0.8, 0.5, 0.6), ("stew", 0.1, 0.7, 0.9), ("toast", 0.0, 0.3, 0.2), ("wings", 0.45, 0.65, 0.3)]
 RULES = [
-    {"id": "sweet", "when": {"dish.sweet": ">=0.5"}, "require": {"wine.sweet": ">=dish.sweet"}, "weight": 1.3, "explain": "as sweet as the dish"},
-    {"id": "fat", "when": {"dish.fat": ">=0.6"}, "require": {"wine.acid": ">=0.5"}, "weight": 1.0, "explain": "acid cuts fat"},
-    {"id": "weight", "when": {"always": True}, "require": {"wine.body": "~=dish.heavy ± 0.2"}, "weight": 1.0, "explain": "as heavy as the dish"},
-    {"id": "delicate", "when": {"dish.heavy": "<=0.3"}, "penalize": {"wine.body": ">=0.6"}, "weight": 0.9, "explain": "drowns the dish"},
+    {"id": "heat", "when": {"dish.heat": ">=0.35"}, "require": {"wine.cool": ">=dish.heat"}, "weight": 0.7, "explain": "cools the dish"},
+    {"id": "oil", "when": {"dish.oil": ">=0.55"}, "require": {"wine.sharp": ">=0.4"}, "weight": 1.1, "explain": "cuts the oil"},
+    {"id": "bulk", "when": {"always": True}, "require": {"wine.mass": "~=dish.bulk ± 0.25"}, "weight": 0.6, "explain": "as full as the dish"},
+    {"id": "drown", "when": {"dish.bulk": "<=0.35"}, "penalize": {"wine.mass": ">=0.7"}, "weight": 0.5, "explain": "drowns the dish"},
 ]
-BLOCKS = [{"condition": {"dish.sweet": ">=0.6", "wine.sweet": "<=0.15"}}]
+BLOCKS = [{"condition": {"dish.heat": ">=0.75", "wine.cool": "<=0.2"}}]
 
 
 def _paired(t):
     body = F.when(F.col("p_size") % 6 != 0, F.col("p_size") % 11 / 11.0)
-    wine = F.named_struct(F.lit("sweet"), F.col("p_size") % 10 / 10.0, F.lit("acid"), F.col("p_partkey") % 7 / 7.0, F.lit("body"), body)
-    dishes = F.array(*[F.struct(F.lit(n).alias("tag"), F.named_struct(F.lit("sweet"), F.lit(s), F.lit("fat"), F.lit(f), F.lit("heavy"), F.lit(h)).alias("dish")) for n, s, f, h in DISHES])
+    wine = F.named_struct(F.lit("cool"), F.col("p_size") % 10 / 10.0, F.lit("sharp"), F.col("p_partkey") % 7 / 7.0, F.lit("mass"), body)
+    dishes = F.array(*[F.struct(F.lit(n).alias("tag"), F.named_struct(F.lit("heat"), F.lit(s), F.lit("oil"), F.lit(f), F.lit("bulk"), F.lit(h)).alias("dish")) for n, s, f, h in DISHES])
     pairs = t("part").select("p_partkey", wine.alias("wine"), F.explode(dishes).alias("d")).select("p_partkey", "wine", "d.tag", "d.dish")
     return rules.scored(pairs, RULES, BLOCKS)
 
 
-RULED = """w AS (SELECT p_partkey, p_size % 10 / 10.0::DOUBLE AS sweet, p_partkey % 7 / 7.0::DOUBLE AS acid, CASE WHEN p_size % 6 <> 0 THEN p_size % 11 / 11.0::DOUBLE END AS body FROM part),
-d(tag, dsweet, fat, heavy) AS (VALUES ('dessert', 0.8::DOUBLE, 0.2::DOUBLE, 0.6::DOUBLE), ('fish', 0.0, 0.4, 0.2), ('roast', 0.0, 0.8, 0.85), ('salad', 0.1, 0.3, 0.25)),
-f AS (SELECT *, dsweet >= 0.5 AS on1, dsweet >= 0.5 AND sweet >= dsweet AS r1, fat >= 0.6 AS on2, fat >= 0.6 AND acid >= 0.5 AS r2, coalesce(abs(body - heavy) <= 0.2, FALSE) AS r3,
-  heavy <= 0.3 AS on4, heavy <= 0.3 AND coalesce(body >= 0.6, FALSE) AS r4 FROM w, d WHERE NOT (dsweet >= 0.6 AND sweet <= 0.15)),
-g AS (SELECT *, greatest(0, least(1, (r1::INT * 1.3::DOUBLE + r2::INT + r3::INT - r4::INT * 0.9::DOUBLE) / (on1::INT * 1.3::DOUBLE + on2::INT + 1 + on4::INT * 0.9::DOUBLE))) AS score FROM f)"""
+RULED = """w AS (SELECT p_partkey, p_size % 10 / 10.0::DOUBLE AS cool, p_partkey % 7 / 7.0::DOUBLE AS sharp, CASE WHEN p_size % 6 <> 0 THEN p_size % 11 / 11.0::DOUBLE END AS mass FROM part),
+d(tag, heat, oil, bulk) AS (VALUES ('curry', 0.8::DOUBLE, 0.5::DOUBLE, 0.6::DOUBLE), ('stew', 0.1, 0.7, 0.9), ('toast', 0.0, 0.3, 0.2), ('wings', 0.45, 0.65, 0.3)),
+f AS (SELECT *, heat >= 0.35 AS on1, heat >= 0.35 AND cool >= heat AS r1, oil >= 0.55 AS on2, oil >= 0.55 AND sharp >= 0.4 AS r2, coalesce(abs(mass - bulk) <= 0.25, FALSE) AS r3,
+  bulk <= 0.35 AS on4, bulk <= 0.35 AND coalesce(mass >= 0.7, FALSE) AS r4 FROM w, d WHERE NOT (heat >= 0.75 AND cool <= 0.2)),
+g AS (SELECT *, greatest(0, least(1, (r1::INT * 0.7::DOUBLE + r2::INT * 1.1::DOUBLE + r3::INT * 0.6::DOUBLE - r4::INT * 0.5::DOUBLE) / (on1::INT * 0.7::DOUBLE + on2::INT * 1.1::DOUBLE + 0.6::DOUBLE + on4::INT * 0.5::DOUBLE))) AS score FROM f)"""
 
 
 @query(f"WITH {RULED}, h AS (SELECT p_partkey, tag, round(score, 6) AS score, row_number() OVER (PARTITION BY p_partkey ORDER BY round(score, 6) DESC, tag) AS rank FROM g WHERE round(score, 6) > 0) SELECT * FROM h WHERE rank <= 3")
@@ -173,7 +174,7 @@ def rule_scores(t):
     return rules.best_tags(s, "p_partkey", "tag").select("p_partkey", "tag", "score", "rank")
 
 
-@query(f"WITH {RULED} SELECT p_partkey, tag, CASE WHEN r1 THEN 'as sweet as the dish' WHEN r2 THEN 'acid cuts fat' WHEN r3 THEN 'as heavy as the dish' END AS why FROM g WHERE round(score, 6) > 0")
+@query(f"WITH {RULED} SELECT p_partkey, tag, CASE WHEN r2 THEN 'cuts the oil' WHEN r1 THEN 'cools the dish' WHEN r3 THEN 'as full as the dish' END AS why FROM g WHERE round(score, 6) > 0")
 def rule_explain(t):
     s = _paired(t).filter(F.round("score", 6) > 0)
     return s.select("p_partkey", "tag", rules.best_explanation(F.col("why")).alias("why"))

@@ -138,15 +138,21 @@ def fallback_names(t):
     return joins.with_fallback(c, primary, secondary, "k", ["place"]).select("c_custkey", F.coalesce("place", F.lit("none")).alias("place"))
 
 
-@query()
+@query("""WITH l AS (SELECT l_orderkey AS image, list({'id': l_linenumber, 'x': l_quantity, 'y': l_linenumber::DOUBLE} ORDER BY l_extendedprice DESC, l_linenumber, l_quantity) AS bs FROM lineitem GROUP BY 1),
+k AS (SELECT image, list_reduce(list_transform(bs, lambda b: [b]), lambda acc, v: CASE WHEN len(list_filter(acc, lambda k: greatest(0, 10 - abs(k.x - v[1].x)) * greatest(0, 4 - abs(k.y - v[1].y))
+  / (80 - greatest(0, 10 - abs(k.x - v[1].x)) * greatest(0, 4 - abs(k.y - v[1].y))) >= 0.45)) > 0 THEN acc ELSE list_concat(acc, v) END) AS kept FROM l), u AS (SELECT image, unnest(kept) AS b FROM k) SELECT image, b.id AS box_id FROM u""")
 def suppressed_boxes(t):
-    """Boxes made of order lines, thinned per order; a greedy fold, so no SQL."""
+    """Boxes made of order lines, thinned per order."""
     x, y = F.col("l_quantity"), F.col("l_linenumber").cast("double")
     b = t("lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("box_id"), F.col("l_extendedprice").alias("score"), x.alias("x0"), y.alias("y0"), (x + 10).alias("x1"), (y + 4).alias("y1"))
     return ranking.suppress(b, "image").select("image", "box_id")
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT p_brand, p_partkey, p_type, p_size % 5 AS size, row_number() OVER (PARTITION BY p_brand ORDER BY sha256('2024-01-01:' || p_partkey), p_partkey) AS o FROM part),
+r(p_brand, place, ids, types, sizes) AS (SELECT p_brand, 0, []::BIGINT[], []::VARCHAR[], []::INT[] FROM (SELECT DISTINCT p_brand FROM p)
+  UNION ALL SELECT r.p_brand, r.place + 1, list_append(ids, c.id), list_append(types, c.p_type), list_append(sizes, c.size) FROM r, LATERAL (SELECT arg_min(x, x.k) AS c FROM (SELECT p_partkey AS id, p_type, size,
+    ((list_contains(r.types, p_type))::INT + (list_contains(r.sizes, size))::INT) * 1000000 + o AS k FROM p WHERE p.p_brand = r.p_brand AND NOT list_contains(r.ids, p_partkey)) x) y WHERE r.place < 10 AND c IS NOT NULL)
+SELECT p_brand, ids[-1] AS p_partkey, place::BIGINT AS place FROM r WHERE place > 0""")
 def diversity_deck(t):
     """A deck of ten parts for each brand, as many new sizes and types first as there are."""
     p = t("part").select("p_brand", "p_partkey", "p_type", (F.col("p_size") % 5).alias("size"))

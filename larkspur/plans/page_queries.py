@@ -32,7 +32,9 @@ def html_sections(t):
     return X.sections(X.blocks(t("pages"), "page_id", "html"), "id", "blocks").select(F.col("id").alias("page_id"), "section", "heading", F.length("text").alias("chars"))
 
 
-@query()
+@query("""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents),
+f AS (SELECT doc_id, list_reduce(list_transform(parts, lambda x: [x]), lambda acc, x: CASE WHEN length(acc[-1]) + 2 + length(x[1]) <= 2000 THEN list_concat(acc[:-2], [acc[-1] || chr(10) || chr(10) || x[1]]) ELSE list_concat(acc, x) END) AS chunks FROM p WHERE len(parts) > 0),
+i AS (SELECT doc_id, chunks, unnest(range(len(chunks))) AS i FROM f) SELECT doc_id || '#' || i AS chunk_id, doc_id AS id, i::INT AS chunk, chunks[i + 1] AS text FROM i""")
 def chunk_articles(t):
     return X.chunk_paragraphs(t("documents"), "doc_id", "text")
 

@@ -28,6 +28,11 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"latest_state_stream": latest_state_stream, "rate_limit_stream": rate_limit_stream, "sessions": sessions}
 ORACLES |= {
+    "rate_limit_stream": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r(user_id, n, id, allowed, t1, t2, t3) AS (SELECT user_id, n, event_id, TRUE, us, NULL::BIGINT, NULL::BIGINT FROM e WHERE n = 1 UNION ALL
+  SELECT user_id, n, id, ok, CASE WHEN ok THEN us ELSE t1 END, CASE WHEN ok THEN t1 ELSE t2 END, CASE WHEN ok THEN t2 ELSE t3 END
+  FROM (SELECT e.user_id, e.n, e.event_id AS id, e.us, t1, t2, t3, coalesce(t3 <= e.us - 21600000000, TRUE) AS ok FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id AS key, id, allowed FROM r""",
     "latest_state_stream": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "sessions": """WITH g AS (SELECT user_id, ts, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 1800000000)::INT, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
