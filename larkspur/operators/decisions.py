@@ -17,6 +17,31 @@ def evidence_gate(evidence: DataFrame, group: str, id_col: str, repeated: Column
     return led.filter((F.col("_place") == 1) & enough & (F.col("inliers") - F.col("_next") >= 8)).drop("_next", "_place")
 
 
+def independent(e: dict[str, Column]) -> Column:
+    """Whether evidence (inliers, matches, coverage) stands by itself."""
+    finite = ~F.isnan(e["inliers"]) & ~F.isnan(e["matches"]) & ~F.isnan(e["coverage"])
+    enough = (e["matches"] >= e["inliers"]) & (e["inliers"] >= 16) & (e["inliers"] / F.greatest(e["matches"], F.lit(1)) >= 0.25) & (e["coverage"] >= 0.025)
+    return F.coalesce(finite & enough, F.lit(False))
+
+
+def strongly_supported(chosen: DataFrame) -> DataFrame:
+    """Of chosen evidence (inliers, matches, label_inliers) what a label supports too."""
+    share = F.col("inliers") / F.greatest(F.col("matches"), F.lit(1))
+    return chosen.filter((F.coalesce("label_inliers", F.lit(0)) >= 16) & (F.col("inliers") >= 24) & (share >= 0.4))
+
+
+def rescue_queue(leaders: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` of all disagreeing queries (query_id, label_inliers, inliers, matches): by the label's support of the visual leader, its
+    inliers, and their share."""
+    share = F.col("inliers") / F.greatest(F.col("matches"), F.lit(1))
+    return leaders.orderBy(F.desc("label_inliers"), F.desc("inliers"), F.desc(share), "query_id").limit(most)
+
+
+def rescue_candidates(visual: Column, local: Column, n: int = 3) -> Column:
+    """The first of both lists, each once."""
+    return F.array_distinct(F.concat(F.slice(visual, 1, n), F.slice(local, 1, n)))
+
+
 def decide(visual: Column, score: Column, margin: Column, floors: tuple[float, float, float]) -> Column:
     """found, or not_found if anything is below its floor; a margin of null (no rival) is enough."""
     ok = (visual >= floors[0]) & (score >= floors[1]) & (margin.isNull() | (margin >= floors[2]))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_list, words
+from ..functions.vectors import dot
 from ..sources.scratch import written
 from . import ranking
 from .joins import skewed
@@ -213,6 +214,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, per_group: bool = Fa
     return ranking.top_k(out, ["query_id", "group"] if per_group else ["query_id"], "score", "id", k)
 
 
+def nearest_of_several(vectors: DataFrame, queries: DataFrame, k: int, extra: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the largest product of an item with any of a question's vectors (query_id, part, vector); the best ``k``, and the
+    ``extra`` items (query_id, id) that are to be scored too.
+
+    The best of an item is among the best ``k`` of the vector that gives it, so each vector's best are enough.
+    """
+    none = F.lit(0).alias("group")
+    parts = queries.select(F.struct("query_id", "part").alias("query_id"), "vector", none)
+    found = nearest(vectors.select("id", "vector", none), parts.withColumn("query_id", F.to_json("query_id")), k)
+    key = F.from_json("query_id", f"struct<query_id: {queries.schema['query_id'].dataType.simpleString()}>")["query_id"]
+    best = found.select(key.alias("query_id"), "id", "score")
+    out = ranking.top_k(best.groupBy("query_id", "id").agg(F.max("score").alias("score")), ["query_id"], "score", "id", k)
+    if extra is None:
+        return out
+    more = extra.join(out.select("query_id", "id"), ["query_id", "id"], "left_anti").join(vectors.select("id", F.col("vector").alias("v")), "id").join(queries, "query_id")
+    scored = more.groupBy("query_id", "id").agg(F.round(F.max(dot(F.col("v"), F.col("vector"))), 6).alias("score"))
+    return out.unionByName(scored.withColumn("rank", F.lit(None).cast("int")))
+
+
 # ---- lexical scores
 
 

@@ -94,3 +94,27 @@ def mapping(spark: SparkSession, path: str, value: str = "string", wrapped: str
     bare = F.from_json("value", f"map<string, {value}>")
     inner = F.from_json("value", f"struct<`{wrapped}`: map<string, {value}>>")[wrapped]
     return text.select(F.explode(F.coalesce(inner, bare)))
+
+
+def dimension(spark: SparkSession, path: str, schema: str, root: str | None = None) -> DataFrame:
+    """A small YAML list of records (under ``root``) as a table; the file is read on the driver."""
+    import yaml
+
+    held = yaml.safe_load(b"".join(r.content for r in spark.read.format("binaryFile").load(path).select("content").collect()).decode("utf-8-sig")) or {}
+    records = (held.get(root) or []) if root else held
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in records], schema)
+
+
+def usable_references(listed: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, missing) of references (slug, file, usable): those that may be used and whose file (file) is there; and how many of each slug are not."""
+    wanted = listed.filter(F.coalesce(F.col("usable"), F.lit(True))).select("slug", "file").distinct()
+    missing = wanted.join(files.select("file"), "file", "left_anti").groupBy("slug").agg(F.count(F.lit(1)).alias("missing"))
+    return wanted.join(files.select("file").distinct(), "file", "left_semi"), missing
+
+
+def extra_fields(rows: DataFrame, key: str, category: str, photo: str, seq: str) -> DataFrame:
+    """(key, category, photos): each key's first category that isn't empty, and all its photo names in order."""
+    filled = F.col(category).isNotNull() & (F.trim(category) != "")
+    listed = F.array_sort(F.collect_list(F.when(F.col(photo).isNotNull(), F.struct(seq, photo))))
+    return rows.groupBy(key).agg(F.min_by(F.col(category), F.when(filled, F.col(seq))).alias("category"), F.transform(listed, lambda x: x[photo]).alias("photos"))

@@ -60,3 +60,16 @@ def markdown(df: DataFrame, most: int = 200) -> str:
     rows = df.limit(most).collect()
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
+
+
+def documents(df: DataFrame, path: str, kind: str) -> None:
+    """Documents as JSON lines, by kind, written over those that were there."""
+    df.write.mode("overwrite").partitionBy(kind).json(path)
+
+
+def catalog(df: DataFrame, path: str, audits: dict[str, DataFrame]) -> None:
+    """A catalog as Parquet and JSON lines, with audit tables as CSV beside it."""
+    df.write.mode("overwrite").parquet(f"{path}/catalog.parquet")
+    df.write.mode("overwrite").json(f"{path}/catalog.jsonl")
+    for name, table in audits.items():
+        table.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name}.csv")

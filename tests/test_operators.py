@@ -296,3 +296,80 @@ def test_late_windows(spark, tmp_path):
     spark.createDataFrame([("a", t0), ("a", t0 + timedelta(minutes=1)), ("a", t0 + timedelta(hours=2))], "k string, ts timestamp").write.parquet(str(tmp_path / "log"))
     out = state.drain(state.tumbling(state.read_log(spark, str(tmp_path / "log")), "ts", "10 minutes", "5 minutes", ["k"]))
     assert [r.n for r in out.collect()] == [2]
+
+
+PAGE = """<html><head><meta property="og:title" content="Orlov — Wines"><script type="application/ld+json">{"@type": "Article", "headline": "News", "author": {"name": " Ann "}, "datePublished": "2024-05-06T10:00"}</script></head>
+<body><h1>Orlov</h1><div><span>Region</span><span>Coast</span></div><p>Area:</p><p>1 250,5 га</p><h2>One</h2><p>LONG founded in 1998</p><h2>Tail</h2><h3>Other</h3><p>LONG founded in 1998</p>
+<a href="/wineries/orlov">x</a><a href="/wineries/pavlov">y</a><a href="/wines/rubin">z</a></body></html>""".replace("LONG", "w" * 150)
+
+
+def test_pages_become_documents(spark):
+    from larkspur.operators import documents
+
+    pages = spark.createDataFrame([("orlov", PAGE)], "slug string, html string")
+    labels_ = {"region": ["Region"], "locality": ["Place"], "climate": ["Climate"], "area": ["Area"]}
+    m = documents.makers(pages, "slug", "html", labels_).first()
+    assert (m.name, m.name_from, m.region_name, m.locality, m.area, m.founded, m.neighbours) == ("Orlov — Wines", "meta", "Coast", None, 1250.5, 1998, ["pavlov"])
+    assert m.about == "w" * 150 + " founded in 1998"
+    a = documents.articles(pages, "slug", "html", ["Tail"]).first()
+    assert (a.title, a.title_from, a.body_from, a.author, a.date, a.year, a.headings) == ("News", "jsonld", "dom", "Ann", "2024-05-06", 2024, ["One"])
+    i = documents.items(pages, "slug", "html", r"\s+— Wines$", {"region": ["Region"]}).first()
+    assert (i.name, i.fields.region, i.similar) == ("Orlov", "Coast", ["rubin"])
+
+
+def test_broken_answers_are_salvaged(spark):
+    from larkspur.operators import documents
+
+    raw = ['talk {"winery": "Orlov", "name": "null", "year": 2019, "sparkling": true, "grapes": ["a", "b"], "text": "x y"} end', '{"name": "Rubin", "year": "1900", "grapes": ["a", "b', " no object "]
+    got = [r.s for r in spark.createDataFrame([(x,) for x in raw], "r string").select(documents.salvaged(F.col("r")).alias("s")).collect()]
+    assert (got[0].winery, got[0].name, got[0].year, got[0].sparkling, got[0].grapes, got[0].text) == ("Orlov", None, 2019, True, ["a", "b"], "x y")
+    assert (got[1].name, got[1].year, got[1].grapes, got[1].sparkling) == ("Rubin", None, ["a"], None) and got[2].text == "no object"
+    shown = spark.createDataFrame([("wine", "s", "d", "t"), ("chunk", "s", "d", "t"), ("x", "s", "d", "t")], "kind string, source string, derived string, title string")
+    shown = shown.select(documents.public(F.col("kind"), {c: F.col(c) for c in ("source", "derived", "title")}).alias("p"))
+    assert [tuple(r.p) for r in shown.collect()] == [("s", "d", None), (None, None, "t"), ("s", "d", "t")]
+
+
+def test_intervals(spark):
+    from larkspur.operators import intervals
+
+    df = spark.createDataFrame([("g", 0.0, 5.0), ("g", 4.0, 6.0), ("g", 6.5, 7.0), ("g", 20.0, 22.0)], "g string, a double, b double")
+    assert rows(intervals.runs(df, "g", "a", "b", 1.0)) == [("g", 0, 0.0, 7.0, 3), ("g", 1, 20.0, 22.0, 1)]
+    c = spark.createDataFrame([("g", 10.0), ("g", 40.0), ("g", 62.0), ("h", 5.0)], "g string, c double")
+    assert rows(intervals.borders(c, "g", "c", 0, 100)) == [("g", 10.0, 0.0, 25.0), ("g", 40.0, 25.0, 51.0), ("g", 62.0, 51.0, 100.0), ("h", 5.0, 0.0, 100.0)]
+    assert rows(intervals.near_middle(c, "g", "c", 100, 0.03)) == [("g", 40.0), ("g", 62.0), ("h", 5.0)]
+    assert rows(intervals.near_middle(c, "g", "c", 100, 0.01)) == [("g", 40.0), ("h", 5.0)]
+    model = intervals.clusters(spark.createDataFrame([([0.0, i / 100],) for i in range(20)] + [([9.0, i / 100],) for i in range(20)], "v array<double>"), "v", 2)
+    assert sorted(round(x[0]) for x in model.clusterCenters()) == [0, 9]
+
+
+def test_questions_of_several_vectors(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.6, 0.6]), (4, [-1.0, -1.0])], "id int, vector array<double>")
+    q = spark.createDataFrame([(7, 0, [1.0, 0.0]), (7, 1, [0.0, 0.9])], "query_id int, part int, vector array<double>")
+    got = retrieval.nearest_of_several(v, q, 2, spark.createDataFrame([(7, 4), (7, 1)], "query_id int, id int"))
+    assert {(r.id, r.score, r["rank"]) for r in got.collect()} == {(1, 1.0, 1), (2, 0.9, 2), (4, -0.9, None)}
+
+
+def test_evidence_that_stands_by_itself(spark):
+    df = spark.createDataFrame([(1, 20.0, 40.0, 0.1, 20), (2, 30.0, 60.0, 0.1, 16), (3, 20.0, 10.0, 0.1, 0), (4, float("nan"), 10.0, 0.1, 0)], "query_id int, inliers double, matches double, coverage double, label_inliers int")
+    cols = {c: F.col(c) for c in ("inliers", "matches", "coverage")}
+    assert [r.x for r in df.orderBy("query_id").select(decisions.independent(cols).alias("x")).collect()] == [True, True, False, False]
+    assert [r.query_id for r in decisions.strongly_supported(df).collect()] == [2]
+    assert [r.query_id for r in decisions.rescue_queue(df, 2).collect()] == [1, 2]
+    both = spark.range(1).select(decisions.rescue_candidates(F.array(*map(F.lit, "abcd")), F.array(*map(F.lit, "bxyz"))).alias("x"))
+    assert both.first().x == ["a", "b", "c", "x", "y"]
+
+
+def test_references_and_outputs(spark, tmp_path):
+    listed = spark.createDataFrame([("a", "1.jpg", True), ("a", "2.jpg", None), ("b", "3.jpg", False), ("b", "4.jpg", True)], "slug string, file string, usable boolean")
+    found, missing = readers.usable_references(listed, spark.createDataFrame([("1.jpg",), ("4.jpg",)], "file string"))
+    assert rows(found.select("slug", "file")) == [("a", "1.jpg"), ("b", "4.jpg")] and rows(missing) == [("a", 1)]
+    extra = spark.createDataFrame([("k", 2, "red", "p2"), ("k", 1, " ", "p1"), ("k", 3, "white", None)], "k string, n int, c string, p string")
+    assert rows(readers.extra_fields(extra, "k", "c", "p", "n")) == [("k", "red", ["p1", "p2"])]
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "id int, kind string")
+    sinks.documents(df, str(tmp_path / "docs"), "kind")
+    sinks.catalog(df, str(tmp_path / "out"), {"audit": df})
+    assert spark.read.json(str(tmp_path / "docs")).count() == 2 and spark.read.parquet(str(tmp_path / "out/catalog.parquet")).count() == 2
+    assert spark.read.option("header", True).csv(str(tmp_path / "out/audit.csv")).columns == ["id", "kind"]
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "dim.yaml").write_text(yaml.safe_dump({"styles": [{"slug": "a", "n": 1}, {"slug": "b"}]}))
+    assert rows(readers.dimension(spark, str(tmp_path / "dim.yaml"), "slug string, n int", "styles")) == [("a", 1), ("b", None)]
