@@ -95,9 +95,11 @@ def mix(
     together they are to give as many words as there are. ``taken`` is the words that the mix takes of a document, repeats
     counted, ``epochs`` times its size at most; a document without words gives none. Repeated rows are rows of their own
     and may be taken differently. The same rows give the same mix however they are partitioned, but for which of two
-    wholly equal (id, size) rows is which.
+    wholly equal (id, text) rows is which. Texts are counted whole, however long; only id, text and source are read, so other
+    columns may have any names. Up to BROADCAST_ROWS sources their table is broadcast, beyond it is shuffled: the rows are the same.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    text = F.col(text_col)
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("tie"))
     sized = materialise(sized, "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     # one row per source: the order of the sources is a global one
@@ -112,9 +114,9 @@ def mix(
     )
     aimed = materialise(aimed, "aimed")
     side = F.broadcast(aimed) if n <= BROADCAST_ROWS else aimed
-    dealt = sized.join(side, sized["source"].eqNullSafe(aimed["_source"])).withColumn(
-        "shard", F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.col("shards"))
-    )
+    met = sized.join(side, sized["source"].eqNullSafe(aimed["_source"]))
+    empty = met.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))  # they have no place on a line
+    dealt = met.filter("size > 0").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id", "size", "tie"), F.col("shards")))
 
     line = dealt.groupBy("_source", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"))
     quotas = apportion(line, ["_source"], "shard", "words", "source_quota").select(
@@ -122,7 +124,7 @@ def mix(
     )
     quotas = materialise(quotas, "quotas")
 
-    order = Window.partitionBy("_source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id", "size")
+    order = Window.partitionBy("_source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id", "size", "tie")
     placed = dealt.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     met = placed.join(quotas, placed["_source"].eqNullSafe(quotas["q_source"]) & (placed["shard"] == quotas["q_shard"]))
 
@@ -135,8 +137,9 @@ def mix(
     run = _overlap(a, b, first * block, F.least(run_end * block, F.col("words"))) + F.when(
         run_end > blocks, _overlap(a, b, F.lit(0), (run_end - blocks) * block)
     ).otherwise(F.lit(0))
-    taken = F.when(F.col("size") > 0, F.col("size") * whole + run).otherwise(F.lit(0)).cast("long")
-    return met.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), F.col("source").alias(source_col))
+    names = ["id", "size", "source_size", "target", "taken", "source"]
+    out = met.withColumn("taken", (F.col("size") * whole + run).cast("long")).select(*names).unionByName(empty.select(*names))
+    return out.withColumnsRenamed({"id": id_col, "source": source_col})
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
