@@ -47,14 +47,21 @@ def merged_scores(lists: DataFrame, keys: list[str], score: str, mode: str = "ma
 
 def latency(df: DataFrame, group: list[str], value: str, ok: str | None = None, limit: float | None = None) -> DataFrame:
     """Counts, mean, deviation and nearest-rank percentiles of a measure, its errors and the share within a limit."""
-    good = F.col(ok) if ok else F.lit(True)
+    from .metrics import at_places
+
+    good = F.coalesce(F.col(ok), F.lit(False)) if ok else F.lit(True)
     v = F.when(good, F.col(value))
-    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CASE WHEN {ok or 'true'} THEN `{value}` END)")
     out = [F.count(F.lit(1)).alias("n"), F.sum((~good).cast("long")).alias("errors"), F.min(v).alias("least"), F.avg(v).alias("mean"), F.max(v).alias("most"), F.stddev_samp(v).alias("stdev")]
-    out += [at(p).alias(n) for p, n in ((0.5, "p50"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"))]
     if limit is not None:
         out.append(F.avg((v <= limit).cast("double")).alias("within"))
-    return df.groupBy(*group).agg(*out)
+    shares = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    # the smallest value that a share of all is not above
+    places = {name: F.greatest(F.lit(0), F.ceil(F.round(F.col("total") * share, 9)) - 1) for name, share in shares.items()}
+    ranks = at_places(df.select(*group, v.alias("_value")), group, "_value", places).drop("total").withColumnsRenamed({g: f"_{g}" for g in group})
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return df.groupBy(*group).agg(*out).join(ranks, same, "left").drop(*[f"_{g}" for g in group])
 
 
 def variation(values: str):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LONGEST = 200
@@ -48,3 +48,13 @@ def profile(swipes: DataFrame, items: DataFrame, axes: list[str], style: str) ->
 def toggled(events: DataFrame, key: list[str]) -> DataFrame:
     """Keys that are on: toggled an odd number of times."""
     return events.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1").select(*key)
+
+
+def support(log: DataFrame, key: str, id_col: str, kind: str, ts: str, seconds: int) -> DataFrame:
+    """(id, support): how many kinds the key's other rows have that lie within ``seconds`` of each row; a moving window, no pairs."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    held = log.select(F.col(key).alias("_k"), F.col(id_col), F.col(kind).alias("_kind"), at.alias("_at"))
+    near = lambda *by: Window.partitionBy(*by).orderBy("_at").rangeBetween(-seconds * 1_000_000, seconds * 1_000_000)
+    kinds = F.size(F.collect_set("_kind").over(near("_k")))
+    alone = ((F.count(F.lit(1)).over(near("_k", "_kind")) == 1) & F.col("_kind").isNotNull()).cast("int")  # its own kind counts if another row has it
+    return held.select(id_col, (kinds - alone).cast("long").alias("support"))

@@ -122,24 +122,30 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     return F.struct(((middle - spread) / (1 + zz / n)).alias("low"), ((middle + spread) / (1 + zz / n)).alias("high"))
 
 
-def percentiles(rows: DataFrame, group: str, value: str, p: float) -> DataFrame:
-    """(group, linear, nearest_rank, rounded_index, floor_index, lower, higher): six definitions of a percentile that are in use.
+def at_places(rows: DataFrame, group: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """(group, total, places): of each group's sorted values those at some places from 0, columns over ``total``, the number of values.
 
-    Values are counted first; the few order statistics that are needed are looked up where the running count passes them.
+    Values are counted first, and looked up where the running count passes the places; no group's values are gathered.
     """
-    by = running(rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n")), [group], value, ["n"])
-    total = by.groupBy(group).agg(F.max("n_upto").alias("total"))
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    by = running(counted, group, "_v", ["n"])
+    total = by.groupBy(*group).agg(F.max("n_upto").alias("total"))
+    asked = total.select(*[F.col(g).alias(f"_{g}") for g in group], "total", *[c.cast("long").alias(f"_{k}") for k, c in places.items()])
+    met = by.join(asked, _same(group))  # one row a group
+    here = lambda at: (F.col("n_upto") > at) & (F.col("n_upto") - F.col("n") <= at)
+    return met.groupBy(*group, "total").agg(*[F.max(F.when(here(F.col(f"_{k}")), F.col("_v"))).alias(k) for k in places])
+
+
+def percentiles(rows: DataFrame, group: str, value: str, p: float) -> DataFrame:
+    """(group, linear, nearest_rank, rounded_index, floor_index, lower, higher): six definitions of a percentile that are in use."""
     n, position = F.col("total"), (F.col("total") - 1) * F.lit(p)
-    inside = lambda i: F.greatest(F.lit(0), F.least(n - 1, i)).cast("long")
+    inside = lambda i: F.greatest(F.lit(0), F.least(n - 1, i))
     places = {
         "low": F.floor(position), "next": inside(F.floor(position) + 1), "nearest_rank": inside(F.ceil(n * F.lit(p)) - 1),
         "rounded_index": inside(F.bround(position, 0)), "floor_index": inside(F.floor(n * F.lit(p))), "higher": inside(F.ceil(position)),
     }
-    asked = total.select(F.col(group).alias("_g"), (position - F.floor(position)).alias("_share"), *[c.cast("long").alias(f"_{k}") for k, c in places.items()])
-    met = by.join(asked, by[group].eqNullSafe(F.col("_g")))  # one row a group
-    here = lambda at: (F.col("n_upto") > at) & (F.col("n_upto") - F.col("n") <= at)
-    found = met.groupBy(group).agg(F.first("_share").alias("_share"), *[F.max(F.when(here(F.col(f"_{k}")), F.col(value))).alias(k) for k in places])
-    linear = F.col("low") + (F.col("next") - F.col("low")) * F.col("_share")
+    found = at_places(rows, [group], value, places)
+    linear = F.col("low") + (F.col("next") - F.col("low")) * (position - F.floor(position))
     return found.select(group, linear.alias("linear"), "nearest_rank", "rounded_index", "floor_index", F.col("low").alias("lower"), "higher")
 
 

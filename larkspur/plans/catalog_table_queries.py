@@ -124,13 +124,7 @@ s AS (SELECT a.event_id, count(DISTINCT b.event_type) AS support FROM e a LEFT J
 SELECT event_id, support, support >= 2 AS supported FROM s""")
 def batch_support(t):
     """How many kinds of the user's other events lie within an hour of each event."""
-    e = t("events")
-    left = e.select("user_id", F.col("event_id").alias("l_id"), F.col("ts").alias("l_ts"))
-    right = e.select("user_id", F.col("event_id").alias("r_id"), F.col("ts").alias("r_ts"), "event_type")
-    near = joins.near_in_time(left, right, "user_id", 3600, 2**31 - 1).filter("l_id <> r_id")
-    support = near.groupBy(F.col("l_id").alias("event_id")).agg(F.countDistinct("event_type").alias("support"))
-    out = e.select("event_id").join(support, "event_id", "left").select("event_id", F.coalesce("support", F.lit(0)).alias("support"))
-    return out.withColumn("supported", F.col("support") >= 2)
+    return events.support(t("events"), "user_id", "event_id", "event_type", "ts", 3600).withColumn("supported", F.col("support") >= 2)
 
 
 @query("""WITH x AS (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1), p AS (SELECT p_partkey, p_brand, p_size, round(coalesce(q, 0), 2) AS q FROM part LEFT JOIN x ON l_partkey = p_partkey),
