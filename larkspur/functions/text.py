@@ -107,6 +107,12 @@ def is_variant_name(name: Column) -> Column:
     return F.lower(name).rlike("^(" + "|".join(VARIANT_PREFIXES) + ")")
 
 
+def original_of(name: Column) -> Column:
+    """The name of the image that a thumbnail is of; other names are null."""
+    pattern = "(?i)^(" + "|".join(VARIANT_PREFIXES) + ")(.+)$"
+    return F.nullif(F.regexp_extract(name, pattern, 2), F.lit(""))
+
+
 def has_cyrillic(text: Column) -> Column:
     return text.rlike("[а-яА-ЯёЁ]")
 

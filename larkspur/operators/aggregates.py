@@ -30,6 +30,18 @@ def usage(df: DataFrame, elements: str) -> DataFrame:
     ).crossJoin(F.broadcast(df.select(F.explode(elements).alias("e")).agg(F.countDistinct("e").alias("distinct_used"))))
 
 
+def unused(df: DataFrame, elements: str, known: DataFrame) -> DataFrame:
+    """The known elements (one column) that no row has."""
+    name = known.columns[0]
+    return known.join(df.select(F.explode(elements).alias(name)).distinct(), name, "left_anti")
+
+
+def worst(df: DataFrame, group: str, score: str, least: int, n: int) -> DataFrame:
+    """(group, n, mean): the ``n`` groups of ``least`` rows with the lowest mean."""
+    by = df.groupBy(group).agg(F.count(score).alias("n"), F.avg(score).alias("mean")).filter(F.col("n") >= least)
+    return by.orderBy("mean", group).limit(n)
+
+
 def census(df: DataFrame, bucket: str, example: str, k: int = 5) -> DataFrame:
     """(bucket, n, examples): counts, and the first ``k`` examples by name without gathering all."""
     from . import ranking

@@ -38,6 +38,26 @@ def with_fallback(df: DataFrame, primary: DataFrame, secondary: DataFrame, key:
     return met.select(*[df[c] for c in df.columns], *[F.coalesce(f"_p_{c}", f"_s_{c}").alias(c) for c in columns])
 
 
+def unknown(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """(key, n): values of a key that a dimension doesn't have, and how many rows have them."""
+    return df.filter(F.col(key).isNotNull()).join(dim.select(key).distinct(), key, "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def by_key_or(df: DataFrame, dim: DataFrame, keys: list[Column], dim_key: str, adds: list[str]) -> DataFrame:
+    """``df`` with columns of a dimension, met by the first of several keys that it has."""
+    d = dim.select(F.col(dim_key).alias("_d"), F.struct(*adds).alias("_a"))
+    out = df.withColumn("_row", F.monotonically_increasing_id())
+    asked = out.select("_row", F.posexplode(F.array(*keys)).alias("_step", "_key")).filter("_key IS NOT NULL")
+    best = asked.join(d, F.col("_key") == F.col("_d")).groupBy("_row").agg(F.min_by("_a", "_step").alias("_a"))
+    return out.join(best, "_row", "left").select(*df.columns, *[F.col(f"_a.{c}").alias(c) for c in adds])
+
+
+def thumbnails(files: DataFrame, name: str, original: Column) -> DataFrame:
+    """``files`` that are thumbnails of an image that is there."""
+    held = files.withColumn("_original", original)
+    return held.join(files.select(F.col(name).alias("_original")).distinct(), "_original", "left_semi").select(*files.columns)
+
+
 def supplement(known: DataFrame, more: DataFrame, key: str) -> DataFrame:
     """``known`` and the rows of ``more`` whose key it doesn't have."""
     return known.unionByName(more.join(known.select(key), key, "left_anti"), allowMissingColumns=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles
-from ..operators import ranking, retrieval
+from ..operators import intents, ranking, retrieval
 
 
 class Retriever:
@@ -57,13 +57,38 @@ class Retriever:
         new = retrieval.rerank(met, scorer).select("query_id", "id", F.col("new_rank").alias("rank"), F.col("new_score").alias("score"))
         return new if refuse_below is None else retrieval.refuse(new, "score", refuse_below)
 
+    def ask(self, queries: DataFrame, k: int = 8, where: Column | None = None, active: Column | None = None, **options) -> DataFrame:
+        """(query_id, id, rank, score, tier, intent): ``search`` in the collections (column ``kind`` of the items) that each question's intent asks for.
+
+        ``active`` says of a question whether it sets filters. A question about pairing searches wines, and wines and knowledge if these are
+        fewer than ``k``. ``where`` filters wines only.
+        """
+        asked = queries.withColumn("intent", intents.intent(F.col("text"), active))
+        found = []
+        for name, kinds in intents.COLLECTIONS.items():
+            own = asked.filter(F.col("intent") == name).drop("intent")
+            hits = self.search(own, k, self._among(kinds, where), **options)
+            if name == "pairing":
+                hits = intents.first_or_wider(hits, self.search(own, k, self._among(intents.COLLECTIONS["default"], where), **options), k)
+            found.append(hits.withColumn("intent", F.lit(name)))
+        out = found[0]
+        for more in found[1:]:
+            out = out.unionByName(more)
+        return out
+
+    @staticmethod
+    def _among(kinds: list[str], where: Column | None) -> Column:
+        full = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+        return F.col("kind").isin(*kinds) & intents.passes(F.col("kind"), full, F.lit(True))
+
     def similar(self, ids: DataFrame, k: int = 8) -> DataFrame:
         """More like the items of ``ids`` (id), by their stored vectors, themselves excluded."""
         q = self.vectors.join(ids, "id", "left_semi").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
         return self.dense(q, k=k)
 
     def get(self, ids: DataFrame) -> DataFrame:
-        return self.items.join(ids, "id", "left_semi")
+        """The items of ``ids`` (id, and any further columns such as a rank, which are kept to order by); unknown ids are left out."""
+        return ids.join(self.items, "id")
 
     def popular(self, column: str, n: int) -> DataFrame:
         from ..operators.aggregates import popular

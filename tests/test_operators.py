@@ -373,3 +373,35 @@ def test_references_and_outputs(spark, tmp_path):
     yaml = pytest.importorskip("yaml")
     (tmp_path / "dim.yaml").write_text(yaml.safe_dump({"styles": [{"slug": "a", "n": 1}, {"slug": "b"}]}))
     assert rows(readers.dimension(spark, str(tmp_path / "dim.yaml"), "slug string, n int", "styles")) == [("a", 1), ("b", None)]
+
+
+def test_questions_go_where_they_belong(spark):
+    items = spark.createDataFrame(
+        [("w1", "wines", "красное вино к мясу", "red"), ("w2", "wines", "белое вино", "white"), ("y1", "wineries", "винодельня Орлова", None), ("k1", "knowledge", "танины вина", None), ("k2", "knowledge", "почва", None)],
+        "id string, kind string, text string, color string",
+    )
+    q = spark.createDataFrame([(1, "красное вино к мясу"), (2, "Что такое танины"), (3, "винодельня Орлова")], "query_id int, text string")
+    r = Retriever(items)
+    got = {(x.query_id, x.intent): x.id for x in r.ask(q, 1).collect()}
+    assert got == {(1, "pairing"): "w1", (2, "fact"): "k1", (3, "travel"): "y1"}
+    wide = [x.id for x in r.ask(q.filter("query_id = 1"), 3).orderBy("rank").collect()]
+    assert len(wide) == 3 and wide[0] == "w1" and set(wide) & {"k1", "k2"}
+    assert [x.id for x in r.ask(q.filter("query_id = 1"), 1, F.col("color") == "white").collect()] == ["w2"]
+    ranked = spark.createDataFrame([("k1", 2), ("w1", 1), ("none", 3)], "id string, rank int")
+    assert [x.id for x in r.get(ranked).orderBy("rank").collect()] == ["w1", "k1"]
+
+
+def test_lookups_and_leftovers(spark):
+    from larkspur.functions import text as T
+    from larkspur.operators import aggregates
+
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "a"), (3, "q", "z"), (4, None, None)], "id int, k string, other string")
+    dim = spark.createDataFrame([("a", 10), ("b", 20)], "key string, v int")
+    assert {r.id: r.v for r in joins.by_key_or(df, dim, [F.col("k"), F.col("other")], "key", ["v"]).collect()} == {1: 10, 2: 20, 3: None, 4: None}
+    assert rows(joins.unknown(df, dim.withColumnRenamed("key", "k"), "k")) == [("q", 1)]
+    files = spark.createDataFrame([("a.jpg",), ("small_a.jpg",), ("large_b.jpg",)], "name string")
+    assert rows(joins.thumbnails(files, "name", T.original_of(F.col("name")))) == [("small_a.jpg",)]
+    tags = spark.createDataFrame([(["a", "b"], 1.0), (["b"], 0.0)], "tags array<string>, score double")
+    assert rows(aggregates.unused(tags, "tags", spark.createDataFrame([("a",), ("c",)], "tag string"))) == [("c",)]
+    scores = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("b", 0.2), ("b", 0.4), ("c", 0.0)], "g string, s double")
+    assert [(r.g, r.n) for r in aggregates.worst(scores, "g", "s", 2, 1).collect()] == [("b", 2)]
