@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import format_preferences, swapped_reply_pairs
+from .chat import format_preferences, partnered_pairs
 from .exact_dedup import exact_groups
 from .fingerprint import document_fingerprints
 from .kneser_ney import quality
@@ -23,41 +23,56 @@ def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = format_preferences(swapped_reply_pairs(load(spark, sf_dir, "conversations")))
+    made = format_preferences(partnered_pairs(load(spark, sf_dir, "conversations")))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return made.withColumns({c: spans(c) for c in ("chosen_spans", "rejected_spans")})
 
 
 OP2_SQL = r"""
 WITH t AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p,
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS p,
          coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL),
-last AS (SELECT conv_id, max(p) AS p FROM t WHERE role = 'assistant' GROUP BY conv_id),
-reply AS (SELECT t.conv_id, t.p, t.text FROM t JOIN last l ON t.conv_id = l.conv_id AND t.p = l.p),
-pair AS (SELECT a.conv_id, a.p AS n, b.text AS other FROM reply a JOIN reply b ON b.conv_id = xor(a.conv_id, 1)),
+draw AS (
+  SELECT conv_id, count(*) AS n, list(p ORDER BY p) FILTER (WHERE role = 'assistant') AS told,
+         md5(arg_min(role || chr(10) || text, p)) AS opening,
+         ('0x' || substr(md5('branch:' || conv_id), 1, 8))::BIGINT AS b, ('0x' || substr(md5('order:' || conv_id), 1, 8))::BIGINT AS place,
+         ('0x' || substr(md5('circle:' || conv_id), 1, 8))::BIGINT AS c
+  FROM t GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'assistant') > 0),
+sized AS (SELECT *, told[b % len(told) + 1] - 1 AS branch, count(*) OVER (PARTITION BY opening) AS size FROM draw),
+grouped AS (SELECT *, size = 1 AS lone, CASE WHEN size = 1 THEN '' ELSE opening END AS g FROM sized),
+placed AS (SELECT *, c % CAST(ceil(count(*) OVER (PARTITION BY g) / 512.0) AS BIGINT) AS circle FROM grouped),
+pair AS (
+  SELECT conv_id, lone, branch, coalesce(lead(conv_id) OVER w, first_value(conv_id) OVER w) AS partner
+  FROM placed WINDOW w AS (PARTITION BY g, circle ORDER BY place, conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+two AS (SELECT a.*, b.branch AS their_branch FROM pair a JOIN pair b ON b.conv_id = a.partner),
+chosen AS (SELECT conv_id, p, role, text FROM t SEMI JOIN pair USING (conv_id)),
+rejected AS (
+  SELECT a.conv_id, t.p, t.role, t.text FROM two a JOIN t ON t.conv_id = a.partner WHERE NOT lone
+  UNION ALL SELECT a.conv_id, t.p, t.role, t.text FROM two a JOIN t ON t.conv_id = a.conv_id WHERE lone AND t.p <= branch
+  UNION ALL SELECT a.conv_id, t.p - their_branch + branch, t.role, t.text FROM two a JOIN t ON t.conv_id = a.partner WHERE lone AND t.p > their_branch),
 sides AS (
-  SELECT t.conv_id, t.p, t.role, t.text AS chosen, CASE WHEN t.p = n THEN other ELSE t.text END AS rejected, n
-  FROM t JOIN pair USING (conv_id) WHERE t.p <= n),
+  SELECT conv_id, p, c.role AS c_role, c.text AS c_text, r.role AS r_role, r.text AS r_text
+  FROM chosen c FULL JOIN rejected r USING (conv_id, p)),
 prefix AS (
-  SELECT conv_id, coalesce(min(p) FILTER (WHERE chosen <> rejected) - 1, max(p)) AS k FROM sides GROUP BY conv_id),
+  SELECT conv_id, coalesce(min(p) FILTER (WHERE c_role IS DISTINCT FROM r_role OR c_text IS DISTINCT FROM r_text) - 1, max(p)) AS k FROM sides GROUP BY conv_id),
 shown AS (
-  SELECT s.*, k, '<|' || role || '|>' || chr(10) || chosen || chr(10) || '<|end|>' || chr(10) AS c,
-         '<|' || role || '|>' || chr(10) || rejected || chr(10) || '<|end|>' || chr(10) AS r
+  SELECT s.*, k, coalesce('<|' || c_role || '|>' || chr(10) || c_text || chr(10) || '<|end|>' || chr(10), '') AS c,
+         coalesce('<|' || r_role || '|>' || chr(10) || r_text || chr(10) || '<|end|>' || chr(10), '') AS r
   FROM sides s JOIN prefix USING (conv_id)),
-placed AS (
+placed_ AS (
   SELECT *, sum(CASE WHEN p > k THEN length(c) ELSE 0 END) OVER w AS c_end,
          sum(CASE WHEN p > k THEN length(r) ELSE 0 END) OVER w AS r_end
   FROM shown WINDOW w AS (PARTITION BY conv_id ORDER BY p))
-SELECT conv_id, CAST(max(k) AS INTEGER) AS prefix_turns,
+SELECT conv_id, any_value(partner) AS partner, CAST(max(k) AS INTEGER) AS prefix_turns,
   coalesce(string_agg(c, '' ORDER BY p) FILTER (WHERE p <= k), '') AS prompt,
   coalesce(string_agg(c, '' ORDER BY p) FILTER (WHERE p > k), '') AS chosen_completion,
   coalesce(string_agg(r, '' ORDER BY p) FILTER (WHERE p > k), '') AS rejected_completion,
-  coalesce(string_agg(CAST(CAST(c_end - length(c) + length(role) + 5 AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(c_end - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY p)
-    FILTER (WHERE p > k AND role = 'assistant'), '') AS chosen_spans,
-  coalesce(string_agg(CAST(CAST(r_end - length(r) + length(role) + 5 AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(r_end - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY p)
-    FILTER (WHERE p > k AND role = 'assistant'), '') AS rejected_spans
-FROM placed GROUP BY conv_id
+  coalesce(string_agg(CAST(CAST(c_end - length(c) + length(c_role) + 5 AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(c_end - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY p)
+    FILTER (WHERE p > k AND c_role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg(CAST(CAST(r_end - length(r) + length(r_role) + 5 AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(r_end - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY p)
+    FILTER (WHERE p > k AND r_role = 'assistant'), '') AS rejected_spans
+FROM placed_ JOIN pair USING (conv_id) GROUP BY conv_id
 """
 
 
