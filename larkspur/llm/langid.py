@@ -1,13 +1,12 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counting is distributed: each task adds up a (language, bucket) matrix of the texts that it reads, and the matrices meet in
-one small aggregation. The log-probability matrix, of at most MOST_LANGUAGES * BUCKETS * 4 bytes (32 MB), is broadcast;
+one small aggregation. The log-probability matrix, of at most 4 * CELLS bytes (32 MB), is broadcast;
 texts are scored in numpy by batches, as the product of a sparse n-gram count matrix and that matrix.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,24 +15,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, MOST_LANGUAGES, SIZES = 1 << 15, 256, (1, 2, 3)
+#: Buckets, halved until the matrix has no more than CELLS cells.
+BUCKETS, CELLS, SIZES = 1 << 15, 1 << 23, (1, 2, 3)
 ALPHA = 0.5
 UNKNOWN = "und"
 #: Evidence counts as that of so many n-grams at most when it is turned into a probability.
 EVIDENCE = 40.0
 CHUNK = 1 << 19  # characters scored at once
 
-_letter = re.compile(r"[^\W\d_]")
-
 
 @dataclass
 class Model:
     languages: list[str]
-    log_p: np.ndarray  # (BUCKETS, languages), float32
+    log_p: np.ndarray  # (buckets, languages), float32
     prior: np.ndarray
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def grams(texts: list[str], buckets_: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text) of every n-gram of the lower-cased texts; none crosses from one text to the next."""
     joined = "\n".join(texts)
     lower = joined.lower()
@@ -57,7 +55,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             mixed = h ^ (h >> np.uint32(15))
             mixed = mixed * np.uint32(0x85EBCA6B)
             mixed ^= mixed >> np.uint32(13)
-            buckets.append((mixed % np.uint32(BUCKETS))[~crosses].astype(np.int32))
+            buckets.append((mixed % np.uint32(buckets_))[~crosses].astype(np.int32))
             owners.append(text[: len(points) - at][~crosses])
     if not buckets:
         return np.empty(0, np.int32), np.empty(0, np.int32)
@@ -78,27 +76,35 @@ def _chunks(lengths: list[int]) -> Iterator[slice]:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", alpha: float = ALPHA) -> Model:
     """A model of every language in ``labelled``; rows with a null text or language don't count."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    per_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(per_lang) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    per_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(CELLS >> 8).collect()
+    if len(per_lang) == CELLS >> 8:
+        raise ValueError(f"{CELLS >> 8} values of {lang_col} or more: these are no languages")
     languages = [r.lang for r in per_lang]
     index = {lang: i for i, lang in enumerate(languages)}
+    buckets = BUCKETS
+    while buckets * len(languages) > CELLS:
+        buckets //= 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(index), BUCKETS), np.int64)
+        total = np.zeros((len(index), buckets), np.int64)
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in _chunks([len(t) for t in texts]):
-                bucket, owner = grams(texts[part])
+                bucket, owner = grams(texts[part], buckets)
                 of = np.array([index[x] for x in langs[part]], np.int64)
-                total += np.bincount(of[owner] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
+                cells = of[owner] * buckets + bucket
+                if total.size <= 1 << 20:
+                    total += np.bincount(cells, minlength=total.size).reshape(total.shape)
+                else:  # a matrix for each chunk would be the larger part of the work
+                    found, n = np.unique(cells, return_counts=True)
+                    total.ravel()[found] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"cell": at, "n": total.ravel()[at]})
 
-    cells = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(len(languages) * BUCKETS)
+    cells = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most
+    total = np.zeros(len(languages) * buckets)
     total[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.float64)
-    total = total.reshape(-1, BUCKETS).T + alpha
+    total = total.reshape(-1, buckets).T + alpha
     seen = np.array([r.n for r in per_lang], float)
     return Model(languages, np.log(total / total.sum(axis=0)).astype(np.float32), np.log(seen / max(1, seen.sum())))
 
@@ -109,10 +115,10 @@ def classify(model: Model, texts: list[str | None]) -> tuple[list[str], list[flo
     The evidence of a text is taken as if it had at most EVIDENCE n-grams, so the probability says how clearly its
     n-grams speak for the language, and does not go to 1 with the length alone. Ties go to the first language by name.
     """
-    whole = [t if t and model.languages and _letter.search(t) else "" for t in texts]
+    whole = [t if t and model.languages and any(map(str.isalpha, t)) else "" for t in texts]
     langs, scores = [], []
     for part in _chunks([len(t) for t in whole]):
-        bucket, owner = grams(whole[part])
+        bucket, owner = grams(whole[part], len(model.log_p))
         n = len(whole[part])
         sums = np.zeros((n, len(model.languages)))
         for k in range(len(model.languages)):
@@ -132,21 +138,22 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
     """``docs`` with all its columns and two more; columns of those names are replaced.
 
     A null text, and one without a letter, is ``und`` with score 0; so is every text if no language was learned. The
-    rows stay where they are: no shuffle.
+    rows stay where they are: no shuffle. Repeated rows stay repeated; texts are scored whole, however long.
     """
     kept = [c for c in docs.columns if c not in (lang_out, score_out)]
-    held = docs.select(*[F.col(f"`{c}`") for c in kept])
-    at = kept.index(text_col)
+    held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])  # any names on the way to the tasks
+    at, names = kept.index(text_col), [*held.columns, "lang", "score"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = classify(shared.value, batch.column(at).to_pylist())
             columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, lang_out, score_out])
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
-    return held.mapInArrow(run, f"{schema + ', ' if schema else ''}`{lang_out}` string, `{score_out}` double")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema)
+    found = held.mapInArrow(run, f"{schema}, lang string, score double")
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("lang").alias(lang_out), F.col("score").alias(score_out))
 
 
 def held_out(id_col: str = "doc_id"):

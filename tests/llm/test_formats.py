@@ -128,8 +128,80 @@ def test_preferences_by_hand(spark):
 
 
 def test_pairs_with_odd_turns(spark):
-    rows = [(0, 0, "user", None), (0, 1, "assistant", "a"), (1, 0, None, "q"), (1, 0, None, "q"), (1, 1, "assistant", "b"), (2, 0, "user", "alone"), (None, 0, "user", "x"), (3, 0, "assistant", "c")]
+    rows = [(0, 0, "user", None), (0, 1, "assistant", "a"), (2, 0, None, "q"), (2, 0, None, "q"), (2, 1, "assistant", "b"), (4, 0, "user", "no reply"), (None, 0, "user", "x"), (6, 0, "assistant", "c")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("clash"))
-    got = {r.conv_id: r for r in chat.swapped_reply_pairs(df).collect()}
-    assert set(got) == {0, 1} and got[0].rejected[-1].text == "b" and [t.role for t in got[1].chosen] == ["unknown", "unknown", "assistant"]
-    assert chat.format_preferences(chat.swapped_reply_pairs(df.limit(0))).count() == 0
+    for ids in (df, df.withColumn("conv_id", F.concat(F.lit("c"), "conv_id"))):
+        got = chat.partnered_pairs(ids).collect()
+        assert len(got) == 3 and len({r.partner for r in got}) == 3 and all(r.partner != r.conv_id for r in got)
+    two = {r.conv_id: r for r in chat.partnered_pairs(df).collect()}[2]
+    assert [t.role for t in two.chosen] == ["unknown", "unknown", "assistant"] and two.rejected[:2] == two.chosen[:2]
+    lone = chat.partnered_pairs(df.filter("conv_id = 0")).first()
+    assert lone.partner == 0 and lone.chosen == lone.rejected
+    assert chat.format_preferences(chat.partnered_pairs(df.limit(0))).count() == 0
+
+
+def test_pairs_of_one_opening_share_a_prefix(spark):
+    """A hot opening makes several circles; whole conversations meet, so prefixes vary and no conversation is lost."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "hi" if t == 0 or t < c % 5 else f"{c} {t}") for c in range(60) for t in range(6)]
+    rows += [(100 + c, t, "user" if t % 2 == 0 else "assistant", f"alone {c} {t}") for c in range(20) for t in range(6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pairs = chat.partnered_pairs(df, circle=20)
+    made = {r.conv_id: r for r in chat.format_preferences(pairs).collect()}
+    held = {r.conv_id: r for r in pairs.collect()}
+    assert set(made) == set(range(60)) | set(range(100, 120)) and sorted(r.partner for r in held.values()) == sorted(made)
+    assert all((r.partner < 60) == (c < 60) and r.partner != c for c, r in held.items())
+    for c, r in held.items():
+        same = next((i for i, (a, b) in enumerate(zip(r.chosen, r.rejected)) if a != b), min(len(r.chosen), len(r.rejected)))
+        assert made[c].prefix_turns == same and (c >= 60 or same >= 1)
+    assert len({r.prefix_turns for c, r in made.items() if c < 60}) > 2 and len({r.prefix_turns for c, r in made.items() if c >= 60}) > 1
+
+
+def test_preferences_keep_columns_of_any_name(spark):
+    turns = "array<struct<role: string, text: string>>"
+    a, b = [("user", "hi"), ("assistant", "yo")], [("user", "hi"), ("assistant", "no")]
+    names = ["_a", "_b", "_ra", "row", "n", "a.b", "prompt", "prefix_turns"]
+    df = spark.createDataFrame([(*names, a, b)], ", ".join(f"`{x}` string" for x in names) + f", chosen {turns}, rejected {turns}")
+    got = chat.format_preferences(df)
+    assert got.columns == [*names[:6], *chat.OUT]
+    assert got.first()["a.b"] == "a.b" and got.first()["prefix_turns"] == 1
+
+
+def highest_quotients(votes, seats):
+    won = dict.fromkeys(votes, 0)
+    for _ in range(seats):
+        won[min(votes, key=lambda k: (-votes[k] / (2 * won[k] + 1), k))] += 1
+    return won
+
+
+def test_taken_against_brute_force(spark, make):
+    """Seats by highest quotients for sources and shards, and the words of a seeded run of blocks counted one by one."""
+    rng = random.Random(12)
+    docs = make([(i // 2, " ".join(["w"] * rng.choice([0, 1, 3, 17, 40])), "en", rng.choice("aab") if i % 9 else None) for i in range(300)])
+    shard, seed, block, epochs = 400, 8, 8, 3
+    got = mixing.mix(docs, shard=shard, seed=seed, block=block).collect()
+    size_of = {r.source: r.source_size for r in got}
+    total = sum(r.size for r in got)
+    key = lambda s: (s is None, s or "")
+    aims = {key(r.source): r.target for r in got}
+    seats = highest_quotients(aims, round(total / block))
+    held = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), F.xxhash64(F.lit(seed + 1), "doc_id").alias("order"))
+    want = []
+    for source, source_size in size_of.items():
+        shards = max(1, -(-source_size // shard))
+        own = held.filter(F.col("source").eqNullSafe(F.lit(source))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), "size", "tie"), F.lit(shards)))
+        first = spark.range(shards).select(F.xxhash64(F.lit(seed + 2), F.lit(source).cast("string"), "id").alias("f")).collect()
+        rows = own.collect()
+        words = {k: sum(r["size"] for r in rows if r.shard == k) for k in range(shards)}
+        quota = highest_quotients({k: w for k, w in words.items() if w}, seats[key(source)])
+        want += [(r.doc_id, 0, 0) for r in rows if r["size"] == 0]
+        for k in quota:
+            line = sorted((r for r in rows if r.shard == k and r["size"]), key=lambda r: (r.order, r.doc_id, r["size"], r.tie))
+            blocks = -(-words[k] // block)
+            whole, rest = divmod(min(quota[k], blocks * epochs), blocks)
+            lies = [i for i, r in enumerate(line) for _ in range(r["size"])]
+            taken = [r["size"] * whole for r in line]
+            for b in range(first[k].f % blocks, first[k].f % blocks + rest):
+                for i in lies[b % blocks * block : (b % blocks + 1) * block]:
+                    taken[i] += 1
+            want += [(r.doc_id, r["size"], t) for r, t in zip(line, taken, strict=True)]
+    assert sorted((r.doc_id, r["size"], r.taken) for r in got) == sorted(want)

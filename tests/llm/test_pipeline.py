@@ -52,3 +52,21 @@ def test_stages(spark):
         copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
     assert copies == {i: n for i, n in taken.items() if n}
     check_pack(out["source_mixing"], out["best_fit_packing"].collect())
+
+
+def test_odd_and_empty_tables(spark, odd):
+    """Every stage keeps the columns, whatever their names, and takes nulls, blanks, repeats and an empty table."""
+    from pyspark.sql import functions as F
+
+    for name in ("_score", "lang_pred", "a.b", "gone_id", "_copy", "_times"):
+        odd = odd.withColumn(name, F.lit("clash"))
+    for docs in (odd, odd.limit(0)):
+        now = docs
+        for name, stage in pipeline.STAGES:
+            out = materialise(stage(spark, now, SF), name)
+            assert out.count() <= now.count() or name in ("source_mixing", "best_fit_packing")
+            if name != "best_fit_packing":
+                assert out.columns == docs.columns
+                assert all(r["a.b"] == r["_score"] == "clash" for r in out.collect())
+            now = out
+        assert (now.count() > 0) == (docs is odd)
