@@ -231,3 +231,57 @@ def unit_vectors(t):
     e = t("embeddings").select("vec_id", V.doubles("embedding").alias("e"))
     axes = lambda i: F.struct(F.col("e")[i].alias("a"), F.col("e")[i + 1].alias("b"))
     return e.select("vec_id", F.round(V.unit(F.col("e"))[0], 6).alias("first"), F.round(V.masked_distance(axes(0), axes(2), ["a", "b"]), 6).alias("apart"))
+
+
+@query(_sql("sweetness, acidity, tannin, body, oak, aromatic, bubbles, confidence", ["0.05::DOUBLE, 0.6::DOUBLE, 0.55::DOUBLE, 0.73::DOUBLE, 0.6::DOUBLE, NULL::DOUBLE, 0.0::DOUBLE, 0.67::DOUBLE", "0.08, NULL, 0.1, 0.8, 0.1, 0.5, 0.6, 0.83", "NULL, NULL, 0.05, 0.46, 0.1, NULL, 0.0, 0.0"]))
+def sensory_profiles(t):
+    """The axes of three cards: a red one in oak, a white brut, a rosé of which nothing is known but its strength."""
+    from ..operators import recommend
+
+    d = _dealt(t, ["дуб", "", ""])
+    pick = lambda xs, kind: F.element_at(F.array(*[F.lit(x) for x in xs]).cast(f"array<{kind}>"), F.col("i") + 1)
+    axes = {"acidity": [0.6, None, None], "tannin": [None, 0.3, None], "body": [0.7, 0.9, None], "aromatic_intensity": [None, 0.5, None]}
+    profile = F.struct(*[pick(v, "double").alias(k) for k, v in axes.items()])
+    s = recommend.sensory(pick(["сухое", "брют", None], "string"), F.col("text"), pick(["красное", "белое", "розовое"], "string"), profile, pick([13.0, None, 14.0], "double"))
+    named = ("sweetness", "acidity", "tannin", "body", "oak", "aromatic_intensity", "bubbles", "confidence")
+    return d.select("conv_id", s.alias("s")).select("conv_id", *[F.round(f"s.{n}", 6).alias(n.removesuffix("_intensity")) for n in named])
+
+
+@query("""SELECT p_partkey, 'size=' || printf('%.2f', p_size::DOUBLE) || ' price=' || printf('%.2f', p_retailprice) AS shown, '[1] ' || p_name || chr(10) || '[2] ' || p_brand AS block, CASE WHEN p_size % 3 = 0 THEN 'host' WHEN p_size % 3 = 1 THEN '1.2.3.4' ELSE 'unknown' END AS ip,
+  split_part(p_name || '__' || p_size, '__', 1) AS slug FROM part""")
+def scalar_texts(t):
+    """Vectors and excerpts as text, client addresses, slugs of file names."""
+    m = F.col("p_size") % 3
+    ip = S.client_ip(F.when(m == 1, " 1.2.3.4, 9.9.9.9").when(m == 2, " "), F.when(m == 0, "host"))
+    shown = S.vector_text(["size", "price"], F.struct(F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price")))
+    return t("part").select("p_partkey", shown.alias("shown"), S.excerpts(F.array("p_name", "p_brand")).alias("block"), ip.alias("ip"), S.slug_of_file(F.concat_ws("__", "p_name", "p_size")).alias("slug"))
+
+
+@query("""WITH b AS (SELECT p_partkey, p_size::DOUBLE AS x, p_partkey % 13 / 13.0::DOUBLE AS u, p_partkey % 7 / 7.0::DOUBLE AS v FROM part)
+SELECT p_partkey, round(greatest(0, least(x + 10, 40) - greatest(x, 20)) / 10, 6) AS inside, len(list_distinct([floor(u * 6) * 6 + floor(v * 6), floor(v * 6) * 6 + floor(u * 6), 35])) / 36.0::DOUBLE AS covered FROM b""")
+def box_shares(t):
+    """How much of a box lies in another, and how many cells of a grid points fall into."""
+    x, u, v = F.col("p_size").cast("double"), F.col("p_partkey") % 13 / 13.0, F.col("p_partkey") % 7 / 7.0
+    box = lambda a, b: F.struct(a.alias("x0"), F.lit(0.0).alias("y0"), b.alias("x1"), F.lit(1.0).alias("y1"))
+    point = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    points = F.array(point(u, v), point(v, u), point(F.lit(1.0), F.lit(1.0)))
+    return t("part").select("p_partkey", F.round(V.inside_share(box(x, x + 10), box(F.lit(20.0), F.lit(40.0))), 6).alias("inside"), V.grid_coverage(points).alias("covered"))
+
+
+@query("""WITH l AS (SELECT p_brand, list({'l': p_partkey % 7, 'r': p_partkey % 5, 'o': p_size / 50.0::DOUBLE} ORDER BY p_size DESC, p_partkey % 7, p_partkey % 5) AS ps FROM part WHERE p_size >= 25 GROUP BY 1),
+k AS (SELECT p_brand, list_reduce(list_transform(ps, lambda p: [p]), lambda acc, v: CASE WHEN len(list_filter(acc, lambda k: k.l = v[1].l OR k.r = v[1].r)) > 0 THEN acc ELSE list_concat(acc, v) END) AS kept FROM l), u AS (SELECT p_brand, unnest(kept) AS m FROM k)
+SELECT p_brand, m.l AS left_id, m.r AS right_id, m.o AS overlap FROM u""")
+def one_to_one_matches(t):
+    """Greedy matches of two sides in each brand, best overlap first."""
+    from ..operators import ranking
+
+    pairs = t("part").select("p_brand", (F.col("p_partkey") % 7).alias("left_id"), (F.col("p_partkey") % 5).alias("right_id"), (F.col("p_size") / 50.0).alias("overlap"))
+    return ranking.match_one_to_one(pairs, "p_brand", 0.5)
+
+
+@query("""WITH h AS (SELECT doc_id, md5(coalesce(text, '')) AS m FROM documents), x AS (SELECT doc_id, ('0x' || substr(m, 1, 8))::BIGINT AS a, ('0x' || substr(m, 9, 8))::BIGINT AS b, ('0x' || substr(m, 17, 8))::BIGINT AS c, ('0x' || substr(m, 25, 8))::BIGINT AS d FROM h)
+SELECT doc_id, (bit_count(xor(a, c)) + bit_count(xor(b, d)))::INT AS apart FROM x""")
+def hex_distances(t):
+    """Differing bits of the halves of a digest, as hexadecimal texts with the top bit in use."""
+    m = F.md5(F.coalesce("text", F.lit("")))
+    return t("documents").select("doc_id", V.hamming_hex(F.substring(m, 1, 16), F.substring(m, 17, 16)).alias("apart"))
