@@ -290,18 +290,21 @@ class _Emissions(dict):
         super().__init__()
         self.chain, self.table = chain, np.empty((self.MOST, 3))
 
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        self.table[at] = self.chain.emission(word)
-        return at
-
-    def of(self, words: list[str]) -> np.ndarray:
-        """The emissions of a text's tokens."""
-        if len(self) + len(words) > self.MOST:
+    def learn(self, words: set[str]) -> None:
+        """Make rows for the words that have none, all at once."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > self.MOST:
             self.clear()
-            if len(words) > self.MOST:  # one text of more words than that
-                return along(np.array([self.chain.emission(w) for w in words]))
-        return along(self.table[np.array([self[w] for w in words], np.int64)])
+            new = list(words)
+            self.table = np.empty((max(self.MOST, len(new)), 3))
+        if not new:
+            return
+        feats, at, weights = [_features(w) for w in new], len(self), self.chain.weights
+        sizes = np.array([len(own) for own, _, _ in feats])
+        rows = self.table[at : at + len(new)]
+        rows[:, 0] = np.add.reduceat(weights[[f for own, _, _ in feats for f in own]], np.cumsum(sizes) - sizes)
+        rows[:, 1], rows[:, 2] = weights[[x for _, x, _ in feats]], weights[[x for _, _, x in feats]]
+        self.update(zip(new, range(at, at + len(new)), strict=True))
 
 
 def tag(docs: DataFrame, chain: Chain, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -318,7 +321,9 @@ def tag(docs: DataFrame, chain: Chain, text_col: str = "text", id_col: str = "do
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                emissions = [known.of([w.lower() for w in _word.findall(t)]) for t in texts]
+                words = [_word.findall(low) if len(low := t.lower()) == len(t) else [w.lower() for w in _word.findall(t)] for t in texts]
+                known.learn(set().union(*words))
+                emissions = [along(known.table[np.array([known[w] for w in ws], np.int64)]) for ws in words]
                 sums, spans = [], []
                 for text, p in zip(texts, marginals(emissions, shared.value), strict=True):
                     sums.append(float(p[p >= FLOOR].sum()))
