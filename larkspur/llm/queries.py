@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .annulus import cluster
 from .chat import format_preferences, partnered_pairs
 from .exact_dedup import exact_groups
 from .fingerprint import document_fingerprints
@@ -12,8 +13,10 @@ from .kneser_ney import quality
 from .langid import held_out, identify, train
 from .mixing import mix
 from .neardup import near_duplicates
+from .negatives import hard_negatives
 from .packing import pack
 from .pii import find_pii
+from .sharding import place, rendezvous
 from .tables import load
 from .toxicity import score_toxicity
 
@@ -127,6 +130,75 @@ SELECT doc_id,
 FROM d
 """
 
+
+
+def op11_annulus_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster(load(spark, sf_dir, "embeddings"))
+    written = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(written, 256).alias("centroid_sha256"))
+
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """The rounds unrolled: c0 the first centroids, a0 the first assignment, and so on."""
+    parts = [
+        """e AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(embedding) = 64)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1)::INTEGER AS k, v FROM e QUALIFY k < {k})""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, e.v, k, (list_inner_product(e.v, e.v) - 2 * list_inner_product(e.v, c.v) + list_inner_product(c.v, c.v))::BIGINT AS d
+  FROM e CROSS JOIN c{i} c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  WITH s AS (SELECT k, j, floor(sum(v[j]) / count(*)) AS m FROM a{i} CROSS JOIN range(1, 65) r(j) GROUP BY k, j)
+  SELECT k, list(m ORDER BY j) AS v FROM s GROUP BY k
+  UNION ALL SELECT k, v FROM c{i} WHERE k NOT IN (SELECT k FROM a{i}))""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, a.k AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(c.v, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.k = a.k"""
+
+
+#: Shards of the query, all of one weight; `grown_shard` has one more.
+SHARDS = 24
+
+
+def op12_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, text = load(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    facts = docs.select(
+        "doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"),
+        rendezvous(F.col("doc_id"), [1.0] * (SHARDS + 1)).alias("grown_shard"),
+    )
+    return place(facts, [1.0] * SHARDS).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op13_quantised_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved))
+
+
+OP13_SQL = r"""
+WITH e AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON b.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT * FROM s WHERE label = own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       (row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id))::INTEGER AS rank,
+       s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.own AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+QUALIFY rank <= 5
+"""
+
 QUERIES = {
     "op1_pii_boosting": op1_pii_boosting,
     "op2_preference_formatting": op2_preference_formatting,
@@ -138,5 +210,8 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_annulus_clustering": op11_annulus_clustering,
+    "op12_rendezvous_sharding": op12_rendezvous_sharding,
+    "op13_quantised_negatives": op13_quantised_negatives,
 }
-ORACLES = {"op2_preference_formatting": OP2_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLES = {"op2_preference_formatting": OP2_SQL, "op9_exact_dedup": OP9_SQL, "op11_annulus_clustering": _op11_sql(), "op13_quantised_negatives": OP13_SQL}
