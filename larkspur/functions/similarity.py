@@ -20,12 +20,16 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def common_subsequence(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        corner = 0
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """The length of the longest common subsequence, with a bit for each character of ``a``: one step a character of ``b``."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for x in b:
+        met = row & places.get(x, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(a) - row.bit_count()
 
 
 def indel(a: str, b: str) -> float:
@@ -69,8 +73,10 @@ def token_similarity(a: Column, b: Column) -> Column:
 
 
 def close_token(query: Column, word: Column) -> Column:
-    """1 for equal tokens; numbers and tokens under four letters 0; ratios from 0.8 on; 0.85 for a shared start of five."""
-    ratio = indel_ratio(query, word)
-    prefix = (F.length(query) >= 5) & (F.length(word) >= 5) & (F.substring(query, 1, 5) == F.substring(word, 1, 5))
+    """1 for equal tokens; numbers and tokens under four letters 0; ratios from 0.8 on; 0.85 if one of five letters or more begins the other."""
+    # as many letters as the shorter one has can be common, so most pairs need no count
+    bound = 2 * F.least(F.length(query), F.length(word)) / (F.length(query) + F.length(word))
+    ratio = F.when(bound >= 0.8, indel_ratio(query, word))
+    prefix = (F.least(F.length(query), F.length(word)) >= 5) & (F.startswith(query, word) | F.startswith(word, query))
     never = query.rlike("^[0-9]+$") | word.rlike("^[0-9]+$") | (F.least(F.length(query), F.length(word)) < 4)
     return F.when(query == word, 1.0).when(never, 0.0).when(ratio >= 0.8, ratio).when(prefix, 0.85).otherwise(0.0)

@@ -60,7 +60,7 @@ def makers(pages: DataFrame, id_col: str, html_col: str, labels: dict[str, list[
     name = X.layered({"meta": {"name": X.meta(F.col("html"), "og:title")}, "dom": {"name": first}}, ["name"])
     value = lambda field, longest=400: X.value_after(F.col("texts"), labels[field], longest)
     about = paragraphs(F.col("blocks"), MAKER_PARAGRAPH)
-    near = F.array_except(X.links(F.col("html"), "/wineries/"), F.array(F.col("id").cast("string")))
+    near = X.links(F.col("html"), "wineries", F.col("id"))
     return p.select(
         "id", *name, value("region", 60).alias("region_name"), value("locality").alias("locality"), value("climate").alias("climate"),
         area(value("area", 40)).alias("area"), about.alias("about"), founded(about).alias("founded"), near.alias("neighbours"),
@@ -92,7 +92,7 @@ def items(pages: DataFrame, id_col: str, html_col: str, suffix: str, labels: dic
     first = F.try_element_at(texts_of(F.col("blocks"), ["h1"]), F.lit(1))
     name = F.trim(F.regexp_replace(F.coalesce(X.meta(F.col("html"), "og:title"), first), suffix, ""))
     fields = F.struct(*[X.value_after(F.col("texts"), words).alias(field) for field, words in labels.items()])
-    similar = F.array_except(X.links(F.col("html"), "/wines/"), F.array(F.col("id").cast("string")))
+    similar = X.links(F.col("html"), "wines", F.col("id"))
     return p.select("id", F.nullif(name, F.lit("")).alias("name"), fields.alias("fields"), similar.alias("similar"))
 
 

@@ -45,6 +45,29 @@ def profile(swipes: DataFrame, items: DataFrame, axes: list[str], style: str) ->
     return met.select("user_id", F.coalesce("likes", F.lit(0)).alias("likes"), "swipes", *[axis(a) for a in axes], F.array_join(names, ",").alias("styles"))
 
 
+def taste(swipes: DataFrame, items: DataFrame, axes: list[str], style: str) -> DataFrame:
+    """(user_id, style, swipes, likes, one sum per axis): what ``profile`` is made of; on a stream of swipes it is kept up as they come.
+
+    Swipes of unknown items have a null style and count as swipes only. ``items`` is a table.
+    """
+    met = swipes.join(items.withColumn("_known", F.lit(True)), "item_id", "left")
+    liked = F.coalesce((F.col("verdict") == "like") & F.col("_known"), F.lit(False))
+    sums = [F.sum(F.when(liked, F.coalesce(F.col(a), F.lit(0.0))).otherwise(0.0)).alias(a) for a in axes]
+    return met.groupBy("user_id", F.col(style).alias("style")).agg(F.count(F.lit(1)).alias("swipes"), F.sum(liked.cast("long")).alias("likes"), *sums)
+
+
+def profile_of(tastes: DataFrame, axes: list[str]) -> DataFrame:
+    """The profiles that ``profile`` gives, of the sums that ``taste`` keeps."""
+    from . import ranking
+
+    totals = tastes.groupBy("user_id").agg(F.sum("likes").alias("likes"), F.sum("swipes").alias("swipes"), *[F.sum(a).alias(a) for a in axes])
+    top = ranking.top_k(tastes.filter("likes > 0"), ["user_id"], "likes", "style", 3)
+    styles = top.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "style"))).alias("s"))
+    axis = lambda a: F.when(F.col("likes") > 0, F.round(F.col(a) / F.col("likes"), 4)).otherwise(0.5).alias(a)
+    names = F.coalesce(F.transform("s", lambda x: x["style"]), F.array().cast("array<string>"))
+    return totals.join(styles, "user_id", "left").select("user_id", "likes", "swipes", *[axis(a) for a in axes], F.array_join(names, ",").alias("styles"))
+
+
 def toggled(events: DataFrame, key: list[str]) -> DataFrame:
     """Keys that are on: toggled an odd number of times."""
     return events.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1").select(*key)

@@ -116,10 +116,24 @@ def value_after(texts: Column, labels: list[str], longest: int = 400, look: int
     return F.when(F.length(found) <= longest, found)
 
 
+_META = r"""(?is)<meta\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
+_ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag's text, in either quotes or none, its basic entities resolved; empty if it isn't there."""
+    pattern = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    value = F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])  # one of them at most
+    for entity, sign in _ENTITIES:
+        value = F.replace(value, F.lit(entity), F.lit(sign))
+    return value
+
+
 def meta(html: Column, name: str) -> Column:
-    """The content of a meta tag by property, else by name."""
-    one = lambda attr: F.nullif(F.regexp_extract(html, rf'(?is)<meta[^>]*\b{attr}="{name}"[^>]*\bcontent="([^"]*)"', 1), F.lit(""))
-    return F.coalesce(one("property"), one("name"))
+    """The content of the first meta tag with that property, else of the first with that name; attributes in any order."""
+    tags = F.regexp_extract_all(html, F.lit(_META), F.lit(0))
+    content = lambda attr: attribute(F.try_element_at(F.filter(tags, lambda t: attribute(t, attr) == name), F.lit(1)), "content")
+    return F.coalesce(*[F.nullif(stripped(content(attr)), F.lit("")) for attr in ("property", "name")])
 
 
 def title(html: Column) -> Column:
@@ -127,19 +141,31 @@ def title(html: Column) -> Column:
 
 
 def json_ld(html: Column, types: list[str]) -> Column:
-    """The first JSON-LD block of one of the types, as variant; broken ones are passed over."""
-    found = F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
+    """The first JSON-LD object of one of the types, as variant, single or in a list; broken blocks are passed over."""
+    found = F.regexp_extract_all(html, F.lit(r"(?s)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
     parsed = F.transform(found, lambda j: F.try_parse_json(j))
+    each = F.flatten(F.transform(parsed, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))))
     kind = lambda v: F.try_variant_get(v, "$['@type']", "string")
-    return F.try_element_at(F.filter(parsed, lambda v: kind(v).isin(*types)), F.lit(1))
+    return F.try_element_at(F.filter(each, lambda v: kind(v).isin(*types)), F.lit(1))
 
 
-def links(html: Column, prefix: str = "/", exclude: tuple[str, ...] = ()) -> Column:
+def targets(html: Column, prefix: str = "/", exclude: tuple[str, ...] = ()) -> Column:
     """Distinct link targets under a prefix, in order of first appearance, without the excluded ones."""
     found = F.regexp_extract_all(html, F.lit(rf'(?i)href="{prefix}([^"/?#]+)'), F.lit(1))
     return F.array_except(F.array_distinct(found), F.array(*[F.lit(e) for e in exclude]).cast("array<string>"))
 
 
+def links(html: Column, entity: Column | str, exclude: Column | str | None = None) -> Column:
+    """Distinct slugs of links to an entity (``/entity/slug`` wherever it stands), in order of first appearance.
+
+    Left out are the page's own one (``exclude``), and ``map`` and ``page``, which are no entities.
+    """
+    column = lambda x: F.lit(x) if x is None or isinstance(x, str) else x
+    found = F.regexp_extract_all(html, F.concat(F.lit("/"), column(entity), F.lit(r"/([a-z0-9_\-]+)")), F.lit(1))
+    no = F.array_compact(F.array(F.lit("map"), F.lit("page"), column(exclude).cast("string")))
+    return F.array_except(F.array_distinct(found), no)
+
+
 def layered(layers: dict[str, dict[str, Column]], fields: list[str]) -> list[Column]:
     """Per field the first filled value of the layers in order, and ``<field>_from``, the layer that gave it."""
     out = []
@@ -163,12 +189,13 @@ def range_of(text: Column) -> Column:
     return F.when(F.size(found) >= 2, F.transform(F.slice(found, 1, 2), lambda x: x.cast("int")))
 
 
-def chunk_paragraphs(docs: DataFrame, id_col: str, text_col: str, longest: int = CHUNK, split: str = "\n") -> DataFrame:
-    """(chunk_id, id, chunk, text): paragraphs packed in order into chunks of at most ``longest`` characters.
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
-    A longer paragraph is a chunk of its own, whole. A fold over the paragraphs of each text, without a shuffle.
-    """
-    parts = F.filter(F.transform(F.split(F.coalesce(text_col, F.lit("")), split), lambda p: F.trim(p)), lambda p: p != "")
+
+def _packed(parts: Column, longest: int) -> Column:
+    """Paragraphs put together in order, parted by empty lines, as long as the text stays within ``longest``."""
 
     def add(done: Column, p: Column) -> Column:
         last = F.try_element_at(done, F.lit(-1))
@@ -176,11 +203,47 @@ def chunk_paragraphs(docs: DataFrame, id_col: str, text_col: str, longest: int =
         joined = F.array_append(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.concat(last, F.lit("\n\n"), p))
         return F.when(fits, joined).otherwise(F.array_append(done, p))
 
-    chunks = F.aggregate(parts, F.array().cast("array<string>"), add)
-    out = docs.select(F.col(id_col).alias("id"), F.posexplode(chunks).alias("chunk", "text"))
+    return F.aggregate(parts, F.array().cast("array<string>"), add)
+
+
+def chunk_paragraphs(docs: DataFrame, id_col: str, text_col: str, longest: int = CHUNK, split: str = "\n") -> DataFrame:
+    """(chunk_id, id, chunk, text): paragraphs packed in order into chunks of at most ``longest`` characters.
+
+    A longer paragraph is a chunk of its own, whole. A fold over the paragraphs of each text, without a shuffle.
+    """
+    parts = F.filter(F.transform(F.split(F.coalesce(text_col, F.lit("")), split), lambda p: F.trim(p)), lambda p: p != "")
+    out = docs.select(F.col(id_col).alias("id"), F.posexplode(_packed(parts, longest)).alias("chunk", "text"))
     return out.select(F.concat_ws("#", "id", "chunk").alias("chunk_id"), "id", "chunk", "text")
 
 
+def chunk_sections(docs: DataFrame, id_col: str, body: Column, headings: Column, longest: int = CHUNK) -> DataFrame:
+    """(chunk_id, id, chunk, heading, text): bodies cut where their headings first stand, long parts packed by paragraphs.
+
+    What stands before the first heading is a chunk without one. Headings that the body doesn't hold are passed over; of two at
+    one place the later by name gets the text. Parts longer than ``longest`` are cut at empty lines and packed; a longer
+    paragraph stays whole. Empty bodies give nothing. All within the row: no shuffle, however many headings.
+    """
+    held = docs.select(F.col(id_col).alias("id"), body.alias("body"), F.coalesce(headings, F.array().cast("array<string>")).alias("hs"))
+    held = held.filter("body <> ''")
+    place = F.transform("hs", lambda h: F.struct((F.position(h, F.col("body")) - 1).alias("at"), h.alias("heading")))
+    held = held.withColumn("found", F.array_sort(F.filter(place, lambda p: p["at"] >= 0)))
+    chunk = lambda heading, text: F.struct(heading.cast("string").alias("heading"), text.alias("text"))
+    size, whole = F.length("body"), F.array(chunk(F.lit(None), F.col("body")))
+    lead = chunk(F.lit(None), stripped(F.substring("body", F.lit(1), F.try_element_at("found", F.lit(1))["at"])))
+    stop = lambda i: F.coalesce(F.try_element_at("found", i + 2)["at"], size)
+    parts = F.transform("found", lambda p, i: chunk(p["heading"], stripped(F.substring("body", p["at"] + 1, stop(i) - p["at"]))))
+    cut = F.filter(F.array_insert(parts, 1, lead), lambda c: c["text"] != "")
+    held = held.select("id", F.when(F.size("found") == 0, whole).otherwise(cut).alias("chunks"))
+
+    def split(c: Column) -> Column:
+        paragraphs = F.filter(F.transform(F.split(c["text"], r"\n{2,}"), stripped), lambda p: p != "")
+        packed = F.transform(_packed(paragraphs, longest), lambda text: chunk(c["heading"], text))
+        return F.when((F.length(c["text"]) <= longest) | (F.size(packed) == 0), F.array(c)).otherwise(packed)
+
+    out = held.select("id", F.posexplode(F.flatten(F.transform("chunks", split))).alias("chunk", "c"))
+    return out.select(F.concat_ws("#", "id", "chunk").alias("chunk_id"), "id", "chunk", "c.heading", "c.text")
+
+
 def sections(texts: DataFrame, id_col: str, block_col: str) -> DataFrame:
     """(id, section, heading, text) of blocks (tag, text, leaf): a section begins at each heading, the lead one has none.
 

@@ -44,14 +44,18 @@ sj AS (SELECT user_id, string_agg(style, ',' ORDER BY r) AS styles FROM st WHERE
 SELECT user_id, coalesce(likes, 0) AS likes, swipes, coalesce(round(sa / likes, 4), 0.5) AS size_axis, coalesce(round(pa / likes, 4), 0.5) AS price_axis, coalesce(styles, '') AS styles
 FROM c LEFT JOIN a USING (user_id) LEFT JOIN sj USING (user_id)""")
 def taste_profile(t):
-    e = t("events")
+    return events.profile(*swipes_and_items(t("events"), t("part")), ["size_axis", "price_axis"], "style")
+
+
+def swipes_and_items(e, part):
+    """Events as verdicts on parts, and parts as items with a style and two axes."""
     verdict = F.when(F.col("event_type").isin("click", "purchase"), "like").otherwise("pass")
     swipes = e.select("user_id", F.get_json_object("props", "$.k").cast("long").alias("item_id"), verdict.alias("verdict"))
-    items = t("part").select(
+    items = part.select(
         F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("style"), F.when(F.col("p_size") % 5 != 0, F.col("p_size") / 49.0).alias("size_axis"),
         (F.col("p_retailprice") / 1999.0).alias("price_axis"),
     )
-    return events.profile(swipes, items, ["size_axis", "price_axis"], "style")
+    return swipes, items
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")

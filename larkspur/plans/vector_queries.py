@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import joins, retrieval
 from ..operators import ranking as R
+from ..sources.scratch import folder
+from ..sources.segments import Segments, point_id
 from .registry import query
 
 DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -117,3 +121,28 @@ def hard_negatives(t):
     same = R.top_k(same, ["anchor"], "score", "vec_id", 3, "place").select(F.lit("family").alias("kind"), "anchor", "vec_id", "place")
     near = _nearest(t, 3, other_groups=True)
     return same.unionByName(near.select(F.lit("neighbour").alias("kind"), F.col("query_id").alias("anchor"), "vec_id", F.col("rank").alias("place")))
+
+
+@query("""WITH n AS (SELECT vec_id, CASE WHEN vec_id % 7 = 3 THEN list_transform(embedding, lambda x: -x::DOUBLE) ELSE embedding::DOUBLE[] END AS v FROM embeddings WHERE vec_id % 11 <> 4),
+s AS (SELECT q.vec_id AS query_id, n.vec_id, round(list_dot_product(n.v, q.v), 6) AS score FROM n JOIN n q ON q.vec_id <> n.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def segmented_search(t):
+    """The nearest vectors in a table that grew by batches: a fifth added, a seventh turned round, an eleventh removed, one batch twice; as after a rebuild."""
+    e = t("embeddings").select(F.col("vec_id").alias("id"), V.doubles("embedding").alias("vector"))
+    table = Segments(e.sparkSession, f"{folder(e.sparkSession)}/segments-{uuid.uuid4().hex}", 64)
+    turned = e.withColumn("vector", F.transform("vector", lambda x: -x))
+    table.create(e.filter("id % 5 <> 0"))
+    table.upsert(e.filter("id % 5 = 0"), 1)
+    table.upsert(turned.filter("id % 7 = 3"), 2)
+    table.remove(e.filter("id % 11 = 4").select("id"), 3)
+    table.upsert(turned.filter("id % 7 = 3"), 2)
+    now = table.read().select("id", "vector", F.lit(0).alias("group"))
+    found = retrieval.nearest(now, now.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), 5)
+    return found.select("query_id", F.col("id").alias("vec_id"), "score", "rank")
+
+
+@query("""WITH h AS (SELECT vec_id, sha1(unhex('SPACE') || encode(vec_id::VARCHAR)) AS h FROM embeddings)
+SELECT vec_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][('0x' || h[17])::INT % 4 + 1] || h[18:20] || '-' || h[21:32] AS point FROM h""".replace("SPACE", uuid.uuid5(uuid.NAMESPACE_URL, "larkspur:points").hex))
+def point_ids(t):
+    """The keys under which vectors are put into a table."""
+    return t("embeddings").select("vec_id", point_id(F.col("vec_id")).alias("point"))

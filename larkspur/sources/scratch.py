@@ -26,3 +26,12 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table from ``written`` that nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        spark = table.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

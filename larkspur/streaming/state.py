@@ -18,18 +18,26 @@ def _folder(spark: SparkSession) -> str:
     return f"{folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, and return what it has written.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drain(stream: DataFrame, mode: str = "append", rocksdb: bool = False) -> DataFrame:
+    """Run a stream over all that is there, and return what it has written; state with lists and timers needs ``rocksdb``.
 
     In append mode it goes to files with exactly-once commits; in update and complete mode each batch's rows are written under
     the batch's number, and of complete results the last batch counts.
     """
     spark, at = stream.sparkSession, _folder(stream.sparkSession)
     writer = stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    if rocksdb:  # read when the stream starts
+        spark.conf.set(provider, ROCKSDB)
     if mode == "append":
         q = writer.format("parquet").option("path", f"{at}/out").start()
     else:
         q = writer.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).start()
+    spark.conf.set(provider, before)
     q.awaitTermination()
     # the folder is read with the stream's schema: without input there are no files
     schema = stream.schema if mode == "append" else stream.schema.add("batch", "long")
@@ -46,6 +54,20 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return out
 
 
+def follow(stream: DataFrame, at: str) -> None:
+    """Carry a stream on in a folder, over all that is new: its state and progress, and each batch's changed rows under the batch's number.
+
+    A batch that is repeated after a failure replaces its own rows.
+    """
+    writer = stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).outputMode("update")
+    writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).start().awaitTermination()
+
+
+def followed(spark: SparkSession, at: str, schema, keys: list[str]) -> DataFrame:
+    """The newest row of each key that a stream has written by ``follow``."""
+    return current(spark.read.schema(schema.add("batch", "long")).parquet(f"{at}/out"), keys, ["batch"]).drop("batch")
+
+
 def read_log(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFrame:
     """A folder (or one file) of a log as a stream, its schema taken from what is there."""
     schema = spark.read.parquet(path).schema
