@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # The tags whose text makes a block.
 BLOCK_TAGS = ("div", "span", "p", "li", "td", "dt", "dd", "h1", "h2", "h3", "h4")
@@ -149,6 +153,69 @@ def json_ld(html: Column, types: list[str]) -> Column:
     return F.try_element_at(F.filter(each, lambda v: kind(v).isin(*types)), F.lit(1))
 
 
+# Keys that tell an object of a page's pushed data.
+PUSHED = ("wine", "attributes", "grapeSorts", "gastronomy")
+_PUSH = re.compile(r'self\.__next_f\.push\(\[1,\s*"((?:[^"\\]|\\.)*)"\]\)', re.DOTALL)
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.DOTALL)
+
+
+def pushed_objects(html: str | None, keys: tuple[str, ...] = PUSHED) -> list[str]:
+    """The texts of the JSON objects in a page's pushed data that have one of the keys themselves, in the order in which they end.
+
+    Pushes are parts of one text. Braces are matched by a scan that passes over strings with their escapes, so braces in
+    values don't count. What isn't JSON is passed over.
+    """
+    joined = "".join(_PUSH.findall(html or ""))
+    try:
+        joined = json.loads(f'"{joined}"', strict=False)
+    except json.JSONDecodeError:
+        return []
+    found, open_ = [], []
+    for token in _TOKEN.finditer(joined):
+        if token[0] == "{":
+            open_.append([token.start(), False])
+        elif token[0] == "}":
+            if open_:
+                start, wanted = open_.pop()
+                if wanted and _is_json(joined[start : token.end()]):
+                    found.append(joined[start : token.end()])
+        elif open_ and token[0][1:-1] in keys and joined[token.end() :].lstrip().startswith(":"):
+            open_[-1][1] = True
+    return found
+
+
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text)
+    except json.JSONDecodeError:
+        return False
+    return True
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def push_payloads(html: pd.Series) -> pd.Series:
+    """The objects of pushed data in each page, as JSON texts."""
+    return html.map(pushed_objects)
+
+
+def pushed_fields(payloads: Column) -> Column:
+    """(name, description, abv, rating, vintage, grapes, food) of payloads: of each the first filled value, in an object's ``attributes`` or itself."""
+    held = F.transform(payloads, lambda p: F.try_parse_json(p))
+    inner = F.transform(held, lambda v: F.when(F.startswith(F.try_variant_get(v, "$.attributes", "string"), F.lit("{")), F.try_variant_get(v, "$.attributes", "variant")).otherwise(v))
+    first = lambda values: F.try_element_at(F.filter(values, lambda x: x.isNotNull()), F.lit(1))
+    of = lambda *names: first(F.transform(inner, lambda v: F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{n}", "string"), F.lit("")) for n in names])))
+
+    def listed(*names: str) -> Column:
+        each = lambda v, n: F.transform(F.try_variant_get(v, f"$.{n}", "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$.name", "string"), F.when(~F.startswith(F.try_variant_get(x, "$", "string"), F.lit("{")), F.try_variant_get(x, "$", "string"))))
+        return F.filter(first(F.transform(inner, lambda v: F.coalesce(*[each(v, n) for n in names]))), lambda x: F.coalesce(x != "", F.lit(False)))
+
+    return F.struct(
+        of("name", "title").alias("name"), of("description", "text", "content").alias("description"), of("alcohol", "strength", "abv").alias("abv"),
+        of("rating", "publicRating").alias("rating"), of("year", "vintage").alias("vintage"), listed("grapeSorts", "grapes", "sorts").alias("grapes"),
+        listed("gastronomy", "foodPairings", "dishes").alias("food"),
+    )
+
+
 def targets(html: Column, prefix: str = "/", exclude: tuple[str, ...] = ()) -> Column:
     """Distinct link targets under a prefix, in order of first appearance, without the excluded ones."""
     found = F.regexp_extract_all(html, F.lit(rf'(?i)href="{prefix}([^"/?#]+)'), F.lit(1))

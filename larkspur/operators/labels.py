@@ -202,6 +202,52 @@ def box_weights(boxes: DataFrame, image: str, width: Column, height: Column, lea
     return held.withColumn("weight", weight).drop("_held")
 
 
+# What a text box of a label must have (score, middle third of the width, height), where labels are, how boxes hang together, and margins.
+SURE, LEFT, RIGHT, LOWEST = 0.5, 0.18, 0.82, 0.008
+CENTRE_Y, FAR, LINE_GAP, SIDE_SLACK = 0.58, 1.5, 6.0, 0.1
+MARGIN_X, MARGIN_Y, MARGIN = 0.18, 0.15, 0.02
+LEAST_WIDTH, LEAST_HEIGHT, GROW_UP = 0.45, 0.32, 0.3
+
+
+def grown_regions(boxes: DataFrame, image: str, width: Column, height: Column) -> DataFrame:
+    """(image, x0, y0, x1, y1): the region of an image's label, grown from one of its text boxes (image, x0, y0, x1, y1, score).
+
+    It starts at a large box near where labels are, and takes in whatever box lies within some line heights above or below and beside
+    it, until none is left that does; then come margins and a least size, within the image. Images without a box that counts
+    give no row. An image's boxes are put together, so they must be as few as a picture has.
+    """
+    w, h = width.cast("double"), height.cast("double")
+    x = (F.col("x0") + F.col("x1")) / 2
+    counts = (F.col("score") >= SURE) & x.between(LEFT * w, RIGHT * w) & (F.col("y1") - F.col("y0") >= LOWEST * h)
+    held = boxes.filter(counts).groupBy(image).agg(F.max(w).alias("w"), F.max(h).alias("h"), F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]))).alias("bs"))
+    area = lambda b: (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
+    held = held.withColumn("_most", F.array_max(F.transform("bs", area)))
+    off = lambda b: F.hypot(((b["x0"] + b["x1"]) / 2 - 0.5 * F.col("w")) / F.col("w"), ((b["y0"] + b["y1"]) / 2 - CENTRE_Y * F.col("h")) / F.col("h"))
+    rated = F.transform("bs", lambda b, i: F.struct((area(b) / F.col("_most") - FAR * off(b)).alias("fit"), (-i).alias("i"), b.alias("b")))
+    tall = F.array_sort(F.transform("bs", lambda b: b["y1"] - b["y0"]))
+    n = F.size("bs")
+    held = held.withColumns({"seed": F.array_max(rated)["b"], "_line": (F.element_at(tall, ((n + 1) / 2).cast("int")) + F.element_at(tall, (n / 2).cast("int") + 1)) / 2})
+
+    def grow(r: Column, _: Column) -> Column:
+        slack = SIDE_SLACK * F.col("w")
+        near = lambda b: (F.greatest(b["y0"] - r["y1"], r["y0"] - b["y1"], F.lit(0.0)) <= LINE_GAP * F.col("_line")) & (F.least(b["x1"], r["x1"] + slack) > F.greatest(b["x0"], r["x0"] - slack))
+        met = F.filter("bs", near)
+        edge = lambda c, pick, best: pick(r[c], F.coalesce(best(F.transform(met, lambda b: b[c])), r[c])).alias(c)
+        return F.struct(edge("x0", F.least, F.array_min), edge("y0", F.least, F.array_min), edge("x1", F.greatest, F.array_max), edge("y1", F.greatest, F.array_max))
+
+    # each step takes in a box at least, if any is left that lies near
+    region = F.aggregate(F.sequence(F.lit(1), n), F.col("seed"), grow)
+    held = held.select(image, "w", "h", region.alias("r")).select(image, "w", "h", "r.*")
+    mx, my = MARGIN_X * (F.col("x1") - F.col("x0")) + MARGIN * F.col("w"), MARGIN_Y * (F.col("y1") - F.col("y0")) + MARGIN * F.col("h")
+    held = held.select(image, "w", "h", (F.col("x0") - mx).alias("x0"), (F.col("y0") - my).alias("y0"), (F.col("x1") + mx).alias("x1"), (F.col("y1") + my).alias("y1"))
+    wide, more = LEAST_WIDTH * F.col("w"), LEAST_HEIGHT * F.col("h") - (F.col("y1") - F.col("y0"))
+    narrow, middle = F.col("x1") - F.col("x0") < wide, (F.col("x0") + F.col("x1")) / 2
+    x0, x1 = F.when(narrow, middle - wide / 2).otherwise(F.col("x0")), F.when(narrow, middle + wide / 2).otherwise(F.col("x1"))
+    y0, y1 = F.when(more > 0, F.col("y0") - GROW_UP * more).otherwise(F.col("y0")), F.when(more > 0, F.col("y1") + (1 - GROW_UP) * more).otherwise(F.col("y1"))
+    zero = F.lit(0.0)
+    return held.select(image, F.greatest(zero, x0).alias("x0"), F.greatest(zero, y0).alias("y0"), F.least(F.col("w"), x1).alias("x1"), F.least(F.col("h"), y1).alias("y1"))
+
+
 def centrality(width: Column) -> Column:
     return 1.0 - F.least(F.lit(1.0), F.abs((F.col("x0") + F.col("x1")) / 2 / width - 0.5) * 2)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,6 +117,45 @@ def refusal_threshold(rows: DataFrame, positive: str, score: str) -> DataFrame:
     return best.agg(F.min_by("mid", F.struct((-F.col("correct")).alias("c"), "mid")).alias("threshold"), F.max("correct").alias("correct"))
 
 
+def open_set_confidences(candidates: DataFrame, query: str, visual: str, label: str, shared: str, score: Callable[[Column, Column], Column]) -> DataFrame:
+    """(kind, correct, confidence): each query's best candidate (``positive``), and that of the same query without its true one (``negative``).
+
+    A candidate's confidence is ``score(visual, gap)``, its gap what it lacks to the best visual score, of the others only where the true
+    one is taken out: the gap would tell that it is missing. A query without its true candidate, with no other, or
+    whose picture is ``shared`` gives no negative. Candidates are one too many, so no second search is made; equal confidences
+    go to a true candidate first.
+    """
+    w, truth = Window.partitionBy(query), F.col(label)
+    top = lambda c: F.max(c).over(w)
+    held = candidates.withColumn("_best", top(F.col(visual))).withColumn("_rest", top(F.when(~truth, F.col(visual))))
+    conf = lambda best: score(F.col(visual), F.col(visual) - F.col(best))
+    by = held.groupBy(query).agg(
+        F.max(conf("_best")).alias("p"), F.max_by(truth, F.struct(conf("_best").alias("c"), truth.alias("t"))).alias("correct"),
+        F.max(F.when(~truth, conf("_rest"))).alias("n"), F.bool_or(truth).alias("has"), F.bool_or(F.coalesce(F.col(shared), F.lit(False))).alias("shared"),
+    )
+    both = F.array(F.struct(F.lit("positive").alias("kind"), "correct", F.col("p").alias("confidence")), F.when(F.col("has") & ~F.col("shared"), F.struct(F.lit("negative").alias("kind"), F.lit(False).alias("correct"), F.col("n").alias("confidence"))))
+    return by.select(F.explode(both).alias("r")).select("r.*").filter("confidence IS NOT NULL")
+
+
+def open_set_sweep(confidences: DataFrame) -> DataFrame:
+    """(threshold, accuracy, answered_right, rejected, rejected_outside) at every distinct confidence; answers are given from it on.
+
+    Right are positives that are answered rightly and negatives that are refused; the other shares are of all positives, and of all negatives.
+    """
+    positive = F.col("kind") == "positive"
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    by = confidences.groupBy((-F.col("confidence")).alias("low")).agg(count(positive & F.col("correct")).alias("right"), count(positive).alias("inside"), count(~positive).alias("outside"))
+    total = confidences.agg(count(positive), count(~positive)).first()
+    inside, outside = total[0] or 0, total[1] or 0
+    by = running(by, [], "low", ["right", "inside", "outside"])
+    refused = F.lit(outside) - F.col("outside_upto")
+    share_of = lambda c, n: F.coalesce(F.try_divide(c, F.lit(n)), F.lit(0.0))
+    return by.select(
+        (-F.col("low")).alias("threshold"), share_of(F.col("right_upto") + refused, inside + outside).alias("accuracy"), share_of(F.col("right_upto"), inside).alias("answered_right"),
+        share_of(F.lit(inside) - F.col("inside_upto"), inside).alias("rejected"), share_of(refused, outside).alias("rejected_outside"),
+    )
+
+
 def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     """(low, high): the 95 % interval of a share."""
     p, zz = k / n, z * z

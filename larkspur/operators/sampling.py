@@ -41,6 +41,52 @@ def deranged(df: DataFrame, group: str, id_col: str, seed: str) -> DataFrame:
     return df.withColumn("donor", F.when(donor != F.col(id_col), donor))
 
 
+def seeded_places(items: DataFrame, group: str, id_col: str, seed: str) -> DataFrame:
+    """(group, id, place, total): the items' places from 0 in a seeded order of their group, and the group's size.
+
+    Places are counted within the first hex digits of the order's key and shifted by what comes before, so no task sorts a whole group.
+    """
+    key = stable_order(F.lit(seed), F.col(id_col).cast("string"))
+    held = items.select(group, id_col, key.alias("_key"), F.substring(key, 1, 3).alias("_bin"))
+    bins = held.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("n"))  # 4,096 a group at most
+    whole = Window.partitionBy(group)
+    bins = bins.select(group, "_bin", F.coalesce(F.sum("n").over(whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("n").over(whole).alias("total"))
+    met = held.join(bins, [group, "_bin"])
+    return met.select(group, id_col, (F.col("_before") + F.row_number().over(Window.partitionBy(group, "_bin").orderBy("_key", id_col)) - 1).alias("place"), "total")
+
+
+def scenes(items: DataFrame, backgrounds: DataFrame, seed: str, per_item: int, most: int = 4, same_maker: float = 0.5) -> DataFrame:
+    """(scene, id, file, neighbours, background, seed): ``per_item`` scenes of each item (id, maker, file), drawn by the seed alone.
+
+    A scene has up to ``most`` other files, without repeats: with probability ``same_maker`` of the maker's files, else of all; of all too where the maker
+    has no other. They stand next to each other in a seeded circle of the pool, from a drawn place on, so a scene looks up a few places and no
+    pool is gathered. ``background`` is one of ``backgrounds`` (file), null if there are none. Items without a file give no scene.
+    """
+    held = items.filter("file IS NOT NULL")
+    pool = lambda rows, name: seeded_places(rows.distinct(), "pool", "file", f"{seed}:{name}")
+    makers = pool(held.filter("maker IS NOT NULL").select(F.concat(F.lit("m:"), F.col("maker").cast("string")).alias("pool"), "file"), "maker")
+    everything = pool(held.select(F.lit("all").alias("pool"), "file"), "all")
+    wide = everything.select("file", F.col("place").alias("_place"), F.col("total").alias("_total"))
+    own = held.withColumn("pool", F.concat(F.lit("m:"), F.col("maker").cast("string"))).join(makers, ["pool", "file"], "left").join(wide, "file")
+    scene = own.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(per_item)))).withColumn("scene", F.concat_ws("-", "id", "n"))
+    draw = lambda what: hash_share(f"{seed}:{what}", F.col("scene"))
+    narrow = (draw("pool") < same_maker) & (F.coalesce("total", F.lit(0)) > 1)
+    pick = lambda a, b: F.when(narrow, F.col(a)).otherwise(F.col(b) if isinstance(b, str) else b)
+    scene = scene.withColumns({"pool": pick("pool", F.lit("all")), "own": pick("place", "_place"), "others": pick("total", "_total") - 1})
+    scene = scene.select("scene", "id", "file", "pool", "own", "others", F.least(F.floor(draw("count") * (most + 1)), F.lit(most), "others").cast("int").alias("count"), F.floor(draw("start") * F.col("others")).alias("start"))
+    drawn = scene.filter("count > 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+    at = (F.col("start") + F.col("j")) % F.col("others")  # among the others, so the own place is stepped over
+    drawn = drawn.withColumn("place", at + (at >= F.col("own")).cast("int"))
+    found = drawn.join(makers.unionByName(everything).select("pool", "place", F.col("file").alias("neighbour")), ["pool", "place"])
+    beside = found.groupBy("scene").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "neighbour"))), lambda x: x["neighbour"]).alias("neighbours"))
+    behind = pool(backgrounds.filter("file IS NOT NULL").select(F.lit("back").alias("pool"), "file"), "back")
+    total = behind.agg(F.max("total")).first()[0]
+    out = scene.join(beside, "scene", "left").withColumn("place", F.floor(draw("back") * F.lit(total or 0)))
+    out = out.withColumn("place", F.least("place", F.lit((total or 1) - 1))).drop("pool").join(behind.select("place", F.col("file").alias("background")), "place", "left")
+    none = F.array().cast(f"array<{items.schema['file'].dataType.simpleString()}>")
+    return out.select("scene", "id", "file", F.coalesce("neighbours", none).alias("neighbours"), "background", F.floor(draw("seed") * (2**31 - 1)).alias("seed"))
+
+
 def without(pairs: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs that no exclusion list names."""
     return pairs.join(excluded.select(*keys).distinct(), keys, "left_anti")

@@ -109,3 +109,22 @@ def section_chunks(t):
     body = F.regexp_replace("html", r"(?:<[^>]*>)+", "\n\n")
     headings = F.regexp_extract_all(F.col("html"), F.lit(r"<(?:h[1-4]|li)[^>]*>(?:<a [^>]*>)?([^<]+)<"), F.lit(1))
     return X.chunk_sections(t("pages"), "page_id", body, headings)
+
+
+@query(r"""SELECT page_id, 'wine' || page_id || ' {' AS name, url AS description, (page_id % 7 + 8)::VARCHAR || '.5' AS abv, CASE WHEN page_id % 3 = 0 THEN (1990 + page_id % 30)::VARCHAR END AS vintage,
+  CASE WHEN page_id % 3 = 0 THEN lang ELSE 'a"b,' || lang END AS grapes, page_id % 3 = 2 AS cut FROM (SELECT *, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang FROM pages)""")
+def pushed_data(t):
+    """Fields of objects pushed into pages: escaped, in several pushes, with braces and quotes in their values, own or under ``attributes``."""
+    lang = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
+    quoted = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    body = F.concat(
+        F.lit('{"attributes": {"title": "wine'), F.col("page_id").cast("string"), F.lit(' {", "text": "'), F.col("url"), F.lit('", "alcohol": '), (F.col("page_id") % 7 + 8).cast("string"),
+        F.lit('.5, "grapes": ['), F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(F.lit('"a\\"b", ')), F.lit('{"name": "'), lang, F.lit('"}]'),
+        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(', "year": "'), (1990 + F.col("page_id") % 30).cast("string"), F.lit('"'))).otherwise(""), F.lit("}}"),
+    )
+    escaped = quoted(F.concat(F.lit('1:["$", {"x": "}"}, '), body, F.lit("]")))
+    push = lambda text: F.concat(F.lit('<script>self.__next_f.push([1,"'), text, F.lit('"])</script>'))
+    cut = F.col("page_id") % 3 == 2
+    page = F.concat(F.col("html"), push(F.when(cut, F.substring(escaped, 1, 8)).otherwise(escaped)), F.when(cut, push(F.substring(escaped, F.lit(9), F.length(escaped)))).otherwise(F.lit("")))
+    found = t("pages").select("page_id", cut.alias("cut"), X.pushed_fields(X.push_payloads(page)).alias("f"))
+    return found.select("page_id", "f.name", "f.description", "f.abv", "f.vintage", F.array_join("f.grapes", ",").alias("grapes"), "cut")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import joins, retrieval
+from ..operators import joins, metrics, retrieval, stages
 from ..operators import ranking as R
 from ..sources.scratch import folder
 from ..sources.segments import Segments, point_id
@@ -146,3 +146,48 @@ SELECT vec_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9',
 def point_ids(t):
     """The keys under which vectors are put into a table."""
     return t("embeddings").select("vec_id", point_id(F.col("vec_id")).alias("point"))
+
+
+_PART = "list_dot_product(a.embedding[1:{0}]::DOUBLE[], b.embedding[1:{0}]::DOUBLE[])"
+
+
+@query(f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS id, round({_PART.format(8)}, 6) AS score, round({_PART.format(24)}, 6) AS coarse, round({DOT}, 6) AS costly
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE b.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 24),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coarse DESC, rank) AS place, max(coarse) OVER (PARTITION BY query_id) AS top FROM r),
+f AS (SELECT * FROM p WHERE top >= 0.2 AND (place <= 3 OR rank <= 2))
+SELECT query_id, id, rank, coarse, costly, row_number() OVER (PARTITION BY query_id ORDER BY costly DESC, CASE WHEN place <= 3 THEN place ELSE 100 + rank END)::INT AS final FROM f""")
+def stage_cascade(t):
+    """Vectors by 8 components, then by 24, then whole for the few that are left."""
+    e = t("embeddings").select(F.col("vec_id").alias("id"), V.doubles("embedding").alias("vector"))
+    first = e.select("id", F.slice("vector", 1, 8).alias("vector"), F.lit(0).alias("group"))
+    found = retrieval.nearest(first, first.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), 24)
+
+    def scored(n: int, name: str):
+        part = F.slice("vector", 1, n).alias("v")
+
+        def add(rows):
+            met = rows.join(e.filter("id % 100 = 0").select(F.col("id").alias("query_id"), part.alias("q")), "query_id").join(e.select("id", part), "id")
+            return met.withColumn(name, F.round(V.dot(F.col("v"), F.col("q")), 6)).drop("v", "q")
+
+        return add
+
+    return stages.staged(found, scored(24, "coarse"), scored(64, "costly"), gate=0.2)
+
+
+@query(f"""WITH {BEST}, c AS (SELECT b.*, label = q AS truth, query_id % 300 = 0 AS shared FROM b JOIN (SELECT vec_id AS query_id, label AS q FROM embeddings) USING (query_id)),
+g AS (SELECT *, score - max(score) OVER w AS gap, score - max(score) FILTER (WHERE NOT truth) OVER w AS gap_rest, bool_or(truth) OVER w AS has FROM c WINDOW w AS (PARTITION BY query_id)),
+z AS (SELECT *, round(score + 0.5::DOUBLE * gap + 0.03::DOUBLE * (vec_id % 10), 6) AS conf, round(score + 0.5::DOUBLE * gap_rest + 0.03::DOUBLE * (vec_id % 10), 6) AS conf_rest FROM g),
+v AS (SELECT 'positive' AS kind, max(conf) AS confidence, bool_or(truth) FILTER (WHERE conf = m) AS correct FROM (SELECT *, max(conf) OVER (PARTITION BY query_id) AS m FROM z) GROUP BY query_id
+  UNION ALL SELECT 'negative', max(conf_rest), FALSE FROM z WHERE NOT truth AND has AND NOT shared GROUP BY query_id),
+n AS (SELECT count(*) FILTER (WHERE kind = 'positive') AS p, count(*) FILTER (WHERE kind = 'negative') AS n FROM v)
+SELECT t.confidence AS threshold, round((count(*) FILTER (WHERE kind = 'positive' AND correct AND v.confidence >= t.confidence) + count(*) FILTER (WHERE kind = 'negative' AND v.confidence < t.confidence)) / any_value(n.p + n.n)::DOUBLE, 6) AS accuracy,
+  round(count(*) FILTER (WHERE kind = 'positive' AND correct AND v.confidence >= t.confidence) / any_value(n.p)::DOUBLE, 6) AS answered_right, round(count(*) FILTER (WHERE kind = 'positive' AND v.confidence < t.confidence) / any_value(n.p)::DOUBLE, 6) AS rejected,
+  round(count(*) FILTER (WHERE kind = 'negative' AND v.confidence < t.confidence) / any_value(n.n)::DOUBLE, 6) AS rejected_outside FROM (SELECT DISTINCT confidence FROM v) t, v, n GROUP BY t.confidence""")
+def open_set_sweep(t):
+    """Labels of vectors as an open set: every vector once with its own label among the candidates, once without it and its gaps anew."""
+    own = t("embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q"))
+    c = _best(t).join(own, "query_id").withColumns({"truth": F.col("label") == F.col("q"), "shared": F.col("query_id") % 300 == 0})
+    score = lambda visual, gap: F.round(visual + 0.5 * gap + 0.03 * (F.col("vec_id") % 10), 6)
+    sweep = metrics.open_set_sweep(metrics.open_set_confidences(c, "query_id", "score", "truth", "shared", score))
+    return sweep.select("threshold", *[F.round(x, 6).alias(x) for x in ("accuracy", "answered_right", "rejected", "rejected_outside")])
