@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from .text import skeleton
 
@@ -80,3 +80,31 @@ def close_token(query: Column, word: Column) -> Column:
     prefix = (F.least(F.length(query), F.length(word)) >= 5) & (F.startswith(query, word) | F.startswith(word, query))
     never = query.rlike("^[0-9]+$") | word.rlike("^[0-9]+$") | (F.least(F.length(query), F.length(word)) < 4)
     return F.when(query == word, 1.0).when(never, 0.0).when(ratio >= 0.8, ratio).when(prefix, 0.85).otherwise(0.0)
+
+
+def likeness(a: str, b: str) -> float:
+    """``close_token`` of two tokens that are at hand."""
+    if a == b:
+        return 1.0
+    shorter = min(len(a), len(b))
+    if a.isdigit() or b.isdigit() or shorter < 4:
+        return 0.0
+    if 10 * shorter >= 4 * (len(a) + len(b)) and (ratio := indel(a, b)) >= 0.8:
+        return ratio
+    return 0.85 if shorter >= 5 and (a.startswith(b) or b.startswith(a)) else 0.0
+
+
+def _parted(a: pd.Series, b: pd.Series, alike: bool) -> pd.Series:
+    return pd.Series([[x for x in s if any(likeness(x, y) >= 0.8 for y in t) == alike] for s, t in zip(a, b, strict=True)], dtype=object)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def like_tokens(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The tokens of ``a`` that are like one of ``b``; both arrays of a row's few tokens."""
+    return _parted(a, b, True)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def unlike_tokens(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The tokens of ``a`` that are like none of ``b``."""
+    return _parted(a, b, False)

@@ -273,12 +273,23 @@ def first_match(text: Column, ladder: list[tuple[str, str]], default: str | None
     return out.otherwise(F.lit(default)) if out is not None else F.lit(default)
 
 
+# Kinds of files that are told by their extension, and extensions of photos.
+EXTENSION_KINDS = {
+    "svg": "svg_logo", "geojson": "geojson_map", "xml": "xml_sitemap", "pdf": "pdf_doc", "tif": "tif_scan", "tiff": "tif_scan", "heic": "heic_photo", "jfif": "jfif_photo",
+}
+PHOTO_EXTENSIONS = ("webp", "jpg", "jpeg", "png")
+
+
 def noise_class(name: Column) -> Column:
-    """What a file that belongs to nothing looks like: by extension, then camera and random names."""
-    ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
-    stem = F.regexp_replace(name, r"\.[A-Za-z0-9]+$", "")
-    return (
-        F.when(ext.isin("mp4", "mov", "webm", "avi"), "video").when(ext.isin("pdf", "doc", "docx", "xls", "xlsx", "csv", "txt"), "document")
-        .when(~ext.isin(*IMAGE_EXTENSIONS), "other_extension").when(stem.rlike(r"(?i)^(img|dsc|dscn|pxl|photo|image)[_-]?\d+"), "camera")
-        .when(stem.rlike(r"^[0-9a-fA-F-]{16,}$"), "random_name").otherwise("other")
-    )
+    """What a file that belongs to nothing looks like: by extension, then a camera's name, then a long one of mixed signs without a break, else a photo.
+
+    Extensions that are no photo's give ``other_ext_`` with them, or with ``none``.
+    """
+    ext = F.lower(F.regexp_extract(name, r"(?s)^.+\.([^.]+)$", 1))
+    stem = F.when(ext == "", name).otherwise(F.regexp_extract(name, r"(?s)^(.+)\.[^.]+$", 1))
+    base = without_hashes(stem)
+    kinds = sum((base.rlike(p).cast("int") for p in (r"\p{Lu}", r"\p{Ll}", r"\p{Nd}")), F.lit(0))
+    random = ~base.rlike("[_ -]") & (F.length(base) >= 16) & (kinds >= 2)
+    told = F.create_map(*[F.lit(x) for kv in EXTENSION_KINDS.items() for x in kv])[ext]
+    other = F.when(~ext.isin(*PHOTO_EXTENSIONS), F.concat(F.lit("other_ext_"), F.when(ext == "", "none").otherwise(ext)))
+    return F.coalesce(told, other, F.when(base.rlike(r"(?i)^(dsc|img|pxl|mg)[_-]?\d"), "camera_original").when(random, "random_s3_name").otherwise("other_photo"))

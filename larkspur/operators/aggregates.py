@@ -80,3 +80,38 @@ def variation(values: str):
     """Population deviation over the mean of positive values; null with fewer than two of them."""
     positive = F.when(F.col(values) > 0, F.col(values))
     return F.when(F.count(positive) >= 2, F.try_divide(F.stddev_pop(positive), F.avg(positive)))
+
+
+def report(rows: DataFrame, status: str, image: str, fields: list[str], numbers: list[str]) -> DataFrame:
+    """(section, name, value, share): how many rows have each status, each of some fields, an image and different ones, and percentiles of
+    numbers (0, 5, 50, 95, 100, by linear interpolation) over the rows with an image."""
+    from .metrics import at_places
+
+    total = rows.count()
+    share = lambda n: F.try_divide(n.cast("double"), F.lit(total))
+    row = lambda section, name, n, part: F.struct(section.alias("section"), name.alias("name"), n.cast("double").alias("value"), part.cast("double").alias("share"))
+    by = rows.groupBy(F.coalesce(F.col(status).cast("string"), F.lit("none")).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    out = by.select(row(F.lit("status"), F.col("s"), F.col("n"), share(F.col("n"))).alias("r"))
+    counts = rows.agg(*[F.count(f).alias(f"f{i}") for i, f in enumerate(fields)], F.count(image).alias("i"), F.count_distinct(image).alias("d"))
+    filled = [row(F.lit("filled"), F.lit(f), F.col(f"f{i}"), share(F.col(f"f{i}"))) for i, f in enumerate(fields)]
+    images = [row(F.lit("images"), F.lit("with"), F.col("i"), share(F.col("i"))), row(F.lit("images"), F.lit("different"), F.col("d"), F.lit(None))]
+    out = out.unionByName(counts.select(F.explode(F.array(*filled, *images)).alias("r")))
+    for number in numbers:
+        points, places = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}, {}
+        for name, p in points.items():
+            at = (F.col("total") - 1) * F.lit(p)
+            places |= {f"{name}_low": F.floor(at), f"{name}_high": F.ceil(at)}
+        found = at_places(rows.filter(F.col(image).isNotNull()), [], number, places)
+        weight = lambda p: (F.col("total") - 1) * F.lit(p) - F.floor((F.col("total") - 1) * F.lit(p))
+        value = lambda name, p: F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * weight(p)
+        out = out.unionByName(found.select(F.explode(F.array(*[row(F.lit(number), F.lit(n), value(n, p), F.lit(None)) for n, p in points.items()])).alias("r")))
+    return out.select("r.*")
+
+
+def flag_rate(rows: DataFrame, group: list[str], flag: str) -> DataFrame:
+    """(group, total, flagged, rate, unreadable): of the rows whose flag is known how many have it, to four digits; null flags are unreadable."""
+    on = F.coalesce(F.sum(F.col(flag).cast("long")), F.lit(0))
+    known = F.count(flag)
+    by = rows.groupBy(*group).agg(known.alias("total"), on.alias("flagged"), (F.count(F.lit(1)) - known).alias("unreadable"))
+    rate = F.coalesce(F.round(F.try_divide(F.col("flagged"), F.col("total")), 4), F.lit(0.0))
+    return by.select(*group, "total", "flagged", rate.alias("rate"), "unreadable")

@@ -110,6 +110,22 @@ def contained(names: DataFrame, keys: DataFrame, least: int = 6, ratio: float =
     return met.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("name"))).filter("_n = 1").drop("_n")
 
 
+def sharing_words(names: DataFrame, keys: DataFrame, least: int = 4, mark: str = "_") -> DataFrame:
+    """(name): names with a word (of ``least`` letters, parted by ``mark``) that stands anywhere in a key.
+
+    A word is looked up by the piece of ``least`` letters of it that fewest keys have; a word without such a piece is in none.
+    """
+    n, k = names.columns[0], keys.columns[0]
+    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - least + 1), lambda i: F.substring(c, i, F.lit(least))))
+    word = names.select(F.col(n).alias("name"), F.explode(F.array_distinct(F.split(F.col(n), mark))).alias("word")).filter(F.length("word") >= least)
+    held = keys.select(F.col(k).alias("key")).filter(F.length("key") >= least).distinct().select("key", F.explode(pieces(F.col("key"))).alias("p"))
+    counts = held.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    each = word.select("word").distinct().select("word", F.explode(pieces(F.col("word"))).alias("p")).join(counts, "p", "left")
+    rarest = each.groupBy("word").agg(F.min_by("p", F.struct(F.coalesce("n", F.lit(0)), "p")).alias("p"), F.min(F.coalesce("n", F.lit(0))).alias("n")).filter("n > 0")
+    found = rarest.join(held, "p").filter(F.contains(F.col("key"), F.col("word"))).select("word").distinct()
+    return word.join(found, "word", "left_semi").select("name").distinct()
+
+
 def _piece(part: int, start: Column, end: Column):
     return lambda d: F.struct(F.lit(part).alias("part"), F.substring("name", F.greatest(F.lit(1), start + 1 + d), end - start).alias("piece"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import close_token, token_similarity
+from ..functions.similarity import close_token, like_tokens, unlike_tokens, token_similarity
 from ..functions.text import transliterate
 
 # Capital, small, digit and Greek look-alikes and the Cyrillic letters they stand for.
@@ -157,18 +157,32 @@ def fuzzy_mass(queries: DataFrame, cards: DataFrame, idf: DataFrame, least: floa
     return weighed.join(cards.select("id", "word").distinct(), "word").groupBy("query_id", "id").agg(F.sum("w").alias("mass"))
 
 
+# Words that tell nothing of whose or which wine it is.
+GENERIC = (
+    "вино винное wine wines winery vineyards estate family семейная винодельня усадьба поместье урожай vintage reserve резерв резерва коллекция collection серия "
+    "series терруар terroir линия line вторая second авторское красное белое розовое red white rose сухое полусухое сладкое полусладкое dry sweet semi brut брют "
+    "игристое sparkling выдержанное"
+)
+
+
 def name_conflicts(read: dict[str, Column], card: dict[str, Column], ocr: Column) -> Column:
     """Whether the label names another item of the same maker, and the text that was read apart bears it out.
 
-    All are arrays of tokens that are told apart by equality: makers must share half of the card's tokens; the names, without what makers
-    and grapes say, must both be there and share none; the text must have one of the read name's and none of the card's.
+    All are arrays of Latin tokens; they are told apart by likeness, from 0.8 on. Numbers and generic words say nothing. Of the card's maker half of
+    the tokens at least must be read; the names, without what makers and grapes say, must both be there and have none that is alike; the
+    text must have one like the read name's and none like the card's. What isn't read is no conflict.
     """
-    maker = F.try_divide(F.size(F.array_intersect(card["winery"], read["winery"])), F.size(card["winery"])) >= 0.5
-    context = F.array_union(F.array_union(card["winery"], card["grapes"]), F.array_union(read["winery"], read["grapes"]))
-    said, known = F.array_except(read["name"], context), F.array_except(card["name"], context)
-    apart = (F.size(said) > 0) & (F.size(known) > 0) & (F.size(F.array_intersect(said, known)) == 0)
-    heard = (F.size(F.array_intersect(said, ocr)) > 0) & (F.size(F.array_intersect(known, ocr)) == 0)
-    return F.coalesce(maker & apart & heard & (F.size(read["winery"]) > 0), F.lit(False))
+    none = F.array().cast("array<string>")
+    held = lambda side, field: F.coalesce(side[field], none)
+    generic = query_tokens(F.lit(GENERIC))
+    own = lambda tokens: unlike_tokens(F.filter(F.array_distinct(tokens), lambda t: ~t.rlike("^[0-9]+$")), generic)
+    maker, said_maker = own(held(card, "winery")), own(held(read, "winery"))
+    context = F.array_distinct(F.concat(held(card, "winery"), held(card, "grapes"), held(read, "winery"), held(read, "grapes")))
+    said, known = unlike_tokens(own(held(read, "name")), context), unlike_tokens(own(held(card, "name")), context)
+    same = F.coalesce(F.try_divide(F.size(like_tokens(maker, said_maker)), F.size(maker)) >= 0.5, F.lit(False)) & (F.size(said_maker) > 0)
+    apart = (F.size(said) > 0) & (F.size(known) > 0) & (F.size(like_tokens(said, known)) == 0)
+    text = F.coalesce(ocr, none)
+    return same & apart & (F.size(like_tokens(said, text)) > 0) & (F.size(like_tokens(known, text)) == 0)
 
 
 def distinctive(tokens: Column, idf: DataFrame, queries: DataFrame, least: float) -> DataFrame:

@@ -43,29 +43,44 @@ def merged_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return once(left, "left").join(once(right, "right"), key, "left")
 
 
-def cascade(names: DataFrame, keys: DataFrame, overrides: DataFrame | None = None, least: int = 6) -> DataFrame:
-    """(name, key, status): the key that each name belongs to, by the first step that finds one.
+def cascade(names: DataFrame, keys: DataFrame, overrides: DataFrame | None = None, reviewed: DataFrame | None = None, least: int = 6) -> DataFrame:
+    """(name, key, status, extra): the key that each name belongs to, by the first step that finds one.
 
-    Steps: ``override`` (name, key; a null key rejects the name), ``exact``, ``substring`` (contained in, or containing, exactly one key of
-    ``least`` characters), and for what is left ``ambiguous`` where several contain it and ``no_ref`` where none does.
+    Steps: ``exact``; ``substring`` (contained in, or containing, exactly one key of ``least`` characters); ``override`` (name, key) for names
+    that are still without one, if there is such a key. What is left is ``ambiguous`` where several keys contain it, ``weak_overlap`` where one has a
+    word of it (of four letters, parted by ``_``) in it, else ``no_ref``. A ``reviewed`` row (name, keys) always holds: the first of its keys that
+    there are, the others in ``extra``; without any the name is ``rejected``.
     """
     n, k = names.select("name").distinct(), keys.select("key").distinct()
-    found = []
-    if overrides is not None:
-        found.append(n.join(overrides.select("name", "key"), "name").withColumn("status", F.when(F.col("key").isNull(), "rejected").otherwise("override")))
-        n = n.join(overrides.select("name"), "name", "left_anti")
-    exact = n.join(k, n["name"] == k["key"]).withColumn("status", F.lit("exact"))
+    none = F.lit(None).cast(dict(k.dtypes)["key"])
+    exact = n.join(k, n["name"] == k["key"]).select("name", "key", F.lit("exact").alias("status"))
     left = n.join(k, n["name"] == k["key"], "left_anti")
-    unique = joins.contained(left, k, least).select("name", "key").withColumn("status", F.lit("substring"))
-    left = left.join(unique.select("name"), "name", "left_anti")
-    several = joins.containing(left, k, least).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    rest = left.join(several, "name", "left").select("name", F.lit(None).cast(dict(k.dtypes)["key"]).alias("key"), F.when(F.col("n") > 1, "ambiguous").otherwise("no_ref").alias("status"))
-    for part in (exact, unique, rest):
-        found.append(part.select("name", "key", "status"))
-    out = found[0].select("name", "key", "status")
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+    near = joins.containing(left, k, least).groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("_k"))
+    weak = joins.sharing_words(left, k).withColumn("_weak", F.lit(True))
+    status = F.when(F.col("_n") == 1, "substring").when(F.col("_n") > 1, "ambiguous").when(F.col("_weak"), "weak_overlap").otherwise("no_ref")
+    rest = left.join(near, "name", "left").join(weak, "name", "left").select("name", F.when(F.col("_n") == 1, F.col("_k")).alias("key"), status.alias("status"))
+    if overrides is not None:
+        said = overrides.select("name", F.col("key").alias("_said")).join(k.select(F.col("key").alias("_said")), "_said", "left_semi")
+        rest = rest.join(said, "name", "left")
+        fill = F.col("key").isNull() & F.col("_said").isNotNull()
+        rest = rest.select("name", F.when(fill, F.col("_said")).otherwise(F.col("key")).alias("key"), F.when(fill, "override").otherwise(F.col("status")).alias("status"))
+    out = exact.unionByName(rest).withColumn("extra", F.array().cast(f"array<{dict(k.dtypes)['key']}>"))
+    if reviewed is None:
+        return out
+    listed = reviewed.select("name", F.posexplode_outer("keys").alias("_at", "key")).join(k.withColumn("_known", F.lit(True)), "key", "left")
+    kept = F.sort_array(F.collect_list(F.when(F.col("_known"), F.struct("_at", "key"))))
+    vetted = listed.groupBy("name").agg(F.transform(kept, lambda x: x["key"]).alias("_keys"))
+    met = out.join(vetted, "name", "left")
+    first, decided = F.try_element_at("_keys", F.lit(1)), F.col("_keys").isNotNull()
+    named = F.when(decided & first.isNotNull(), "reviewed").when(decided, "rejected").otherwise(F.col("status"))
+    more = F.when(decided, F.slice("_keys", 2, F.greatest(F.lit(1), F.size("_keys")))).otherwise(F.col("extra"))
+    return met.select("name", F.when(decided, first).otherwise(F.col("key")).alias("key"), named.alias("status"), more.alias("extra"))
+
+
+def shared_keys(matched: DataFrame) -> DataFrame:
+    """(key, names): keys that several names were given, with these in order."""
+    by = matched.filter("key IS NOT NULL").groupBy("key").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    return by.filter(F.size("names") > 1)
 
 
 def clearly_nearest(candidates: DataFrame, anchors: DataFrame, key: str, most_hours: float, runner_up_hours: float) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -197,21 +198,29 @@ def best_by_lift(runs: DataFrame, group: str, config: str, score: str, n: str, w
     return lifted.groupBy(group).agg(F.max_by(config, F.struct("lift", n, -F.col(weight))).alias("config"), F.max("lift").alias("lift"))
 
 
-def sign_test(pairs: DataFrame, better: Column, worse: Column) -> DataFrame:
-    """One row: fixed, broken, and the two-sided binomial p of as uneven a split.
+def half_tail(k: int, n: int) -> float:
+    """The probability of at most ``k`` heads among ``n`` fair throws, as an incomplete beta function by its continued fraction; any size."""
+    if k >= n:
+        return 1.0
+    a, b = n - k, k + 1  # I_1/2(a, b)
+    front = math.exp(math.lgamma(n + 1) - math.lgamma(a) - math.lgamma(b) - (n + 1) * math.log(2))
+    if a < b:  # the fraction converges on the other side
+        return 1.0 - half_tail(n - k - 1, n)
+    tiny, x = 1e-300, 0.5
+    c, d = 1.0, 1.0 / (1 - (a + b) * x / (a + 1))
+    value = d
+    for m in range(1, 100_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1.0 / ((1 + step * d) or tiny), (1 + step / c) or tiny
+            value *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return min(1.0, front * value / a)
 
-    The sum over the smaller side is an expression over logarithms of factorials, for up to a million pairs that differ.
-    """
-    fixed, broken = F.sum((better & ~worse).cast("long")), F.sum((worse & ~better).cast("long"))
-    counts = pairs.agg(F.coalesce(fixed, F.lit(0)).alias("fixed"), F.coalesce(broken, F.lit(0)).alias("broken"))
-    n, k = F.col("fixed") + F.col("broken"), F.least("fixed", "broken")
-    # ln C(n, i) = ln C(n, i - 1) + ln(n - i + 1) - ln i, from ln 1
-    start = F.struct(F.lit(0.0).alias("log"), F.exp(-n * F.log(F.lit(2.0))).alias("p"))
-
-    def add(held: Column, i: Column) -> Column:
-        log = held["log"] + F.log(n - i + 1) - F.log(i)
-        return F.struct(log.alias("log"), (held["p"] + F.exp(log - n * F.log(F.lit(2.0)))).alias("p"))
-
-    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>"))
-    p = F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(steps, start, add, lambda held: held["p"])))
-    return counts.select("fixed", "broken", p.alias("p"))
+
+def sign_test(pairs: DataFrame, better: Column, worse: Column) -> DataFrame:
+    """One row: fixed, broken, and the two-sided binomial p of as uneven a split, for any number of pairs."""
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    fixed, broken = pairs.agg(count(better & ~worse), count(worse & ~better)).first()
+    p = min(1.0, 2 * half_tail(min(fixed, broken), fixed + broken)) if fixed + broken else 1.0
+    return pairs.sparkSession.createDataFrame([(fixed, broken, p)], "fixed long, broken long, p double")

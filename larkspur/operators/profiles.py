@@ -30,27 +30,43 @@ def basis(bases: list[tuple[str, Column]], default: str = "unavailable") -> Colu
     return out.otherwise(F.lit(default))
 
 
-# Sweetness, sparkle and strength by words, half-sweet ones before sweet ones.
-SWEETNESS_WORDS = [("полуслад|semi.?sweet", "semi_sweet"), ("полусух|semi.?dry", "semi_dry"), ("сладк|sweet", "sweet"), ("сух|dry", "dry"), ("брют|brut", "brut")]
-SPARKLING_WORDS = "игрист|шампан|sparkling|brut|брют"
+# Sweetness by words, the first that is there; words of sparkling wines; strength where none is given; axes by color, still and sparkling.
+SWEETNESS_WORDS = {
+    "полусладк": 0.55, "сладк": 0.85, "десертн": 0.85, "ликёрн": 0.85, "ликерн": 0.85, "полусух": 0.35, "брют": 0.05, "brut": 0.05, "сух": 0.10, "dry": 0.10,
+}
+SPARKLING_WORDS = (
+    "игрист", "шампан", "champagne", "просекко", "prosecco", "асти", "asti", "креман", "cremant", "пет-нат", "pet-nat", "petnat", "cava", "кава",
+)
+STRENGTH = 12.5
+AXES = ("sweetness", "acidity", "tannin", "body", "oak", "aromatic_intensity", "bubbles")
+BY_COLOR = {
+    ("белое", True): (0.20, 0.69, 0.05, 0.58, 0.17, 0.69, 0.00), ("белое", False): (0.29, 0.71, 0.05, 0.49, 0.08, 0.68, 0.73),
+    ("красное", True): (0.15, 0.63, 0.62, 0.72, 0.38, 0.75, 0.00), ("красное", False): (0.27, 0.60, 0.38, 0.55, 0.15, 0.75, 0.67),
+    ("розовое", True): (0.13, 0.62, 0.17, 0.51, 0.06, 0.60, 0.00), ("розовое", False): (0.20, 0.72, 0.17, 0.49, 0.08, 0.65, 0.78),
+    ("оранжевое", True): (0.05, 0.69, 0.42, 0.64, 0.18, 0.68, 0.00), ("оранжевое", False): (0.05, 0.69, 0.42, 0.64, 0.18, 0.68, 0.60),
+}
 
 
 def keyword_sweetness(text: Column) -> Column:
-    out = None
-    for pattern, value in SWEETNESS_WORDS:
-        hit = F.lower(text).rlike(pattern)
-        out = F.when(hit, value) if out is None else out.when(hit, value)
+    """The sweetness (0 to 1) of the first of the words that a text has in it, null if none."""
+    out = F.lit(None).cast("double")
+    for word, value in reversed(SWEETNESS_WORDS.items()):
+        out = F.when(F.contains(F.lower(text), F.lit(word)), value).otherwise(out)
     return out
 
 
 def keyword_sparkling(text: Column) -> Column:
-    return F.coalesce(F.lower(text).rlike(SPARKLING_WORDS), F.lit(False))
+    return F.coalesce(F.lower(text).rlike("|".join(SPARKLING_WORDS)), F.lit(False))
 
 
-def strength(given: Column, text: Column, default: float = 12.5) -> Column:
-    """The given strength, else the first percentage of a text, else a default."""
-    said = F.nullif(F.regexp_extract(F.replace(text, F.lit(","), F.lit(".")), r"(\d{1,2}(?:\.\d+)?)\s*%", 1), F.lit("")).cast("double")
-    return F.coalesce(given, said, F.lit(default))
+def heuristic_profile(color: Column, name: Column, description: Column, abv: Column) -> Column:
+    """The axes by color and by the words of name and description, with ``abv_percent``; null without one of the known colors."""
+    text = F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(description, F.lit("")))
+    known = F.lower(F.trim(color))
+    table = {key: dict(zip(AXES, values, strict=True)) for key, values in BY_COLOR.items()}
+    axes = vector_of(known, ~keyword_sparkling(text), table, {"sweetness": keyword_sweetness(text)})
+    whole = F.struct(*[axes[a].alias(a) for a in AXES], F.coalesce(abv.cast("double"), F.lit(STRENGTH)).alias("abv_percent"))
+    return F.when(known.isin(*{c for c, _ in BY_COLOR}), whole)
 
 
 def vector_of(color: Column, still: Column, table: dict[tuple[str, bool], dict[str, float]], overrides: dict[str, Column]) -> Column:
@@ -66,42 +82,82 @@ def vector_of(color: Column, still: Column, table: dict[tuple[str, bool], dict[s
     return F.struct(*fields)
 
 
-def without_negatives(wish: Column, pattern: str = r"(?iuU)\b(?:не|без|no|not|without)\s+([\p{L}]+)") -> Column:
-    """(wish, unwanted): the words that a wish excludes, and the wish without them."""
+# What a wish may exclude, with the words before it, and what the excluded words stand for.
+EXCLUDES = r"(?iuU)\b(?:не(?:\s+(?:хочу|люблю|надо))?|без)\s+(красн\w*|бел\w*|розов\w*|сладк\w*|полусладк\w*|сух\w*)"
+
+
+def without_negatives(wish: Column, pattern: str = EXCLUDES) -> Column:
+    """(wish, unwanted): the words that a wish excludes, in lower case, and the wish without them and what stands before them."""
     found = F.regexp_extract_all(F.coalesce(wish, F.lit("")), F.lit(pattern), F.lit(1))
-    rest = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(wish, F.lit("")), pattern, " "), r"\s+", " "))
-    return F.struct(rest.alias("wish"), F.array_distinct(F.transform(found, F.lower)).alias("unwanted"))
+    return F.struct(F.regexp_replace(F.coalesce(wish, F.lit("")), pattern, "").alias("wish"), F.transform(found, F.lower).alias("unwanted"))
 
 
 def excluded(fields: list[Column], unwanted: Column) -> Column:
-    """Whether any field has one of the unwanted words in it, by its first four letters."""
+    """Whether any field has one of the unwanted words in it, by its first four letters; for wishes in free words, without filters."""
     joined = F.lower(F.concat_ws(" ", *fields))
     return F.exists(unwanted, lambda w: F.contains(joined, F.substring(w, 1, 4)))
 
 
+def chosen_by(wish: Column, color: Column, sugar: Column, region: Column, regions: dict[str, str]) -> Column:
+    """Whether an item is one that a wish asks for: its color, sweetness and region where the wish names them, and none that it excludes.
+
+    What a wish excludes are filters too: an excluded word bars the color or the sweetness that it stands for.
+    """
+    from . import intents
+
+    parted = without_negatives(F.trim(wish))
+    asked = intents.extracted_filters(parted["wish"], regions)
+    fits = F.lit(True)
+    for name, actual in (("color", color), ("sugar", sugar), ("region", region)):
+        fits = fits & (asked[name].isNull() | (F.lower(F.coalesce(actual, F.lit(""))) == F.lower(asked[name])))
+    barred = lambda word: intents.extracted_filters(word, {})
+    off = lambda w: F.coalesce(barred(w)["color"] == F.lower(color), F.lit(False)) | F.coalesce(barred(w)["sugar"] == F.lower(sugar), F.lit(False))
+    return fits & ~F.exists(parted["unwanted"], off)
+
+
+# Grapes of light and of full wines, and what tells of oak, as Latin tokens.
+LIGHT_GRAPES = ("pino nuar", "aligote", "rislin", "sovinon blan", "kokur", "gamaj")
+FULL_GRAPES = ("kaberne sovinon", "saperavi", "krasnostop", "sira", "shiraz", "malbek")
+OAK_TOKENS = ("dub", "dubov", "bochk", "barrik", "vyderzh", "tanin")
+
+
 def suggest(cards: DataFrame, requests: DataFrame, rules: DataFrame, k: int = 3) -> DataFrame:
-    """(request_id, id, score, rank): the best cards (id, maker, name, fields) for each request (request_id, dish, fields), of different makers.
+    """(request_id, id, score, rank, reasons): the best cards for each request, of different makers; equal scores go by name, then id.
 
-    ``rules`` (dish, field, value, weight) add up over a card's fields (array of (field, value)); where a dish has weights for ``category``
-    and the card's isn't among them, 1 is taken off. Of several grapes the largest weight counts. A request's own fields (array of
-    (field, value)) must all be the card's. Equal scores go by name, then id.
+    Cards: id, maker, name, category, sweetness, sparkling, region, grapes and description (both as texts of Latin tokens). Requests:
+    request_id, dish, category, sweetness, region, body (``light``, ``full``) and excluded (ids); a filled field of the first three must
+    be the card's. Rules (dish, field, value, weight) are weights of a dish for ``category``, ``sweetness``, ``grape``, ``sparkling``: a category
+    that has none counts -1, of several grapes the largest counts. A body adds 1 where the grapes or oak bear it out, else takes off
+    0.5. Reasons: ``dish``, ``grape``, ``light``, ``full``, ``oak``.
+
+    Requests and rules are few rows and go to the cards; what is shuffled is the best card of each maker for a request, as tasks see it.
     """
-    pairs = cards.select("id", F.explode("fields").alias("f")).select("id", "f.field", "f.value")
-    wanted = requests.select("request_id", "dish", F.explode_outer("fields").alias("w")).select("request_id", "dish", "w.field", "w.value")
-    asked = requests.select("request_id", F.size("fields").alias("n"))
-    ok = wanted.filter("field IS NOT NULL").join(pairs, ["field", "value"]).groupBy("request_id", "id").agg(F.count_distinct("field").alias("met"))
-    free = asked.filter("n <= 0").crossJoin(cards.select("id")).select("request_id", "id")  # a request without wishes may have any card
-    fits = ok.join(asked, "request_id").filter("met = n").select("request_id", "id").unionByName(free)
-    best = pairs.join(rules, ["field", "value"]).groupBy("dish", "id", "field").agg(F.max("weight").alias("weight"))
-    ruled = best.groupBy("dish", "id").agg(F.sum("weight").alias("score"), F.bool_or(F.col("field") == "category").alias("placed"))
-    choosy = rules.groupBy("dish").agg(F.bool_or(F.col("field") == "category").alias("choosy"))
-    met = fits.join(requests.select("request_id", "dish"), "request_id").join(ruled, ["dish", "id"], "left").join(choosy, "dish", "left")
-    off = F.when(F.coalesce("choosy", F.lit(False)) & ~F.coalesce("placed", F.lit(False)), 1.0).otherwise(0.0)
-    scored = met.withColumn("score", F.coalesce("score", F.lit(0.0)) - off).join(cards.select("id", "maker", "name"), "id")
-    w = Window.partitionBy("request_id", "maker").orderBy(F.desc("score"), "name", "id")
-    one = scored.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
-    order = Window.partitionBy("request_id").orderBy(F.desc("score"), "name", "id")
-    return one.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("request_id", "id", F.round("score", 3).alias("score"), "rank")
+    by_value = F.map_from_entries(F.collect_list(F.struct("value", "weight")))
+    tables = rules.groupBy("dish").pivot("field", ["category", "sweetness", "grape", "sparkling"]).agg(by_value)
+    asked = requests.withColumnsRenamed({c: f"r_{c}" for c in ("category", "sweetness", "region")}).join(tables.withColumnsRenamed({c: f"w_{c}" for c in ("category", "sweetness", "grape", "sparkling")}), "dish", "left")
+    one = lambda name: F.col(f"r_{name}").isNull() | F.coalesce(F.col(name) == F.col(f"r_{name}"), F.lit(False))
+    met = cards.join(F.broadcast(asked), one("category") & one("sweetness") & one("region") & ~F.coalesce(F.array_contains("excluded", F.col("id")), F.lit(False)))
+    weight = lambda table, key, none: F.coalesce(F.try_element_at(F.col(table), key), F.lit(none))
+    ruled = F.col("dish").isNotNull()
+    category = F.when(ruled, weight("w_category", F.coalesce("category", F.lit("")), -1.0)).otherwise(0.0)
+    sweet = weight("w_sweetness", F.coalesce("sweetness", F.lit("")), 0.0)
+    text, said = F.coalesce("grapes", F.lit("")), F.split(F.coalesce("description", F.lit("")), " ")
+    grape = F.coalesce(F.array_max(F.map_values(F.map_filter(F.col("w_grape"), lambda g, _: F.contains(text, g)))), F.lit(0.0))
+    bubbles = F.when(F.coalesce("sparkling", F.lit(False)), weight("w_sparkling", F.lit("true"), 0.0)).otherwise(0.0)
+    among = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    whole = F.array_join(said, " ")
+    oak = F.exists(F.array(*[F.lit(w) for w in OAK_TOKENS]), lambda w: F.contains(whole, w))
+    light, full = among(LIGHT_GRAPES) & ~oak, among(FULL_GRAPES) | oak
+    body = F.when(F.col("body") == "light", F.when(light, 1.0).otherwise(-0.5)).when(F.col("body") == "full", F.when(full, 1.0).otherwise(-0.5)).otherwise(0.0)
+    reasons = F.array_compact(F.array(
+        F.when(ruled & (category > 0) & ((sweet > 0) | (grape > 0)), "dish"), F.when(grape > 0, "grape"), F.when((F.col("body") == "light") & light, "light"),
+        F.when((F.col("body") == "full") & full, "full"), F.when((F.col("body") == "full") & full & oak, "oak"),
+    ))
+    scored = met.select("request_id", "id", "maker", "name", F.round(category + sweet + grape + bubbles + body, 6).alias("score"), reasons.alias("reasons"))
+    best = scored.groupBy("request_id", "maker").agg(F.min(F.struct((-F.col("score")).alias("low"), "name", "id", "reasons")).alias("b")).select("request_id", "b.*")
+    order = Window.partitionBy("request_id").orderBy("low", "name", "id")
+    top = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return top.select("request_id", "id", F.round(-F.col("low"), 3).alias("score"), "rank", "reasons")
 
 
 def shelf_order(items: DataFrame, group: str, tagged: Column, ruled: Column, fit: str, relevance: str, id_col: str) -> DataFrame:
@@ -144,6 +200,23 @@ def phrases_found(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     return exact.unionByName(near).groupBy("id").agg(F.min(F.struct("step", "pos", "slug")).alias("m")).select("id", "m.slug", "m.step")
 
 
+def foreign_analogs(texts: DataFrame, references: DataFrame, styles: DataFrame, items: DataFrame, k: int = 12) -> DataFrame:
+    """(id, label, slug, item, rank): what stands in for labels of elsewhere: the entry that a text (id, text) names, the style that it is asked for by, that style's items.
+
+    ``references`` (phrase, slug, label, resolve_query), ``styles`` (slug, name, color, still, sugar) and ``items`` as for ``analogs``. Texts that
+    name no entry, and entries whose query resolves to no style, give nothing.
+    """
+    from . import intents
+
+    known = references.withColumn("entry", F.col("slug"))
+    found = phrases_found(texts, known.select("phrase", "slug")).select("id", F.col("slug").alias("entry"))
+    entries = known.dropDuplicates(["entry"]).select("entry", "label", "resolve_query")
+    asked = entries.join(found.select("entry").distinct(), "entry", "left_semi").select(F.col("entry").alias("query_id"), F.col("resolve_query").alias("text"))
+    style = intents.resolve_style(asked, styles).select(F.col("query_id").alias("entry"), "slug")  # one an entry, not one a text
+    ranked = analogs(items, styles.select("slug", "color", "still", "sugar"), k).select("slug", F.col("id").alias("item"), "rank")
+    return found.join(entries.select("entry", "label"), "entry").join(style, "entry").join(ranked, "slug").select("id", "label", "slug", "item", "rank")
+
+
 # ---- records of users
 
 

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.similarity import token_set_ratio
 from ..functions.text import word_list, words
 from ..functions.vectors import dot
 from ..sources.scratch import written
@@ -331,10 +332,13 @@ def matched(color: Column | None = None, grapes: Column | None = None, **equal:
     return out
 
 
-def fuse_scores(visual: DataFrame, text: DataFrame, weight: float = 0.2, pad: float = 0.03, penalty: Column | None = None) -> DataFrame:
+def fuse_scores(
+    visual: DataFrame, text: DataFrame, weight: float = 0.2, pad: float = 0.03, penalty: Column | None = None, makers: DataFrame | None = None, unconfirmed: float = 1.0, least_recall: float = 0.5
+) -> DataFrame:
     """(query_id, id, cv, relative, final): visual plus weighted relative text score over the union of both candidate sets.
 
-    A candidate without a visual score gets the best one less ``pad``; relative is the mass over the query's largest.
+    A candidate without a visual score gets the best one less ``pad``; relative is the mass over the query's largest. With ``makers`` (query_id, id, recall)
+    the relative score of a candidate whose maker the text confirms by less than ``least_recall`` is multiplied by ``unconfirmed``, after that.
     """
     best = visual.groupBy("query_id").agg(F.max("score").alias("_top"))
     both = visual.select("query_id", "id", F.col("score").alias("cv")).join(text.select("query_id", "id", "mass"), ["query_id", "id"], "full")
@@ -342,5 +346,61 @@ def fuse_scores(visual: DataFrame, text: DataFrame, weight: float = 0.2, pad: fl
     w = Window.partitionBy("query_id")
     relative = F.coalesce(F.try_divide(F.coalesce("mass", F.lit(0.0)), F.max("mass").over(w)), F.lit(0.0))
     both = both.withColumn("relative", relative).withColumn("cv", F.coalesce("cv", F.col("_top") - pad))
+    if makers is not None:
+        both = both.join(makers.select("query_id", "id", F.col("recall").alias("_recall")), ["query_id", "id"], "left")
+        both = both.withColumn("relative", F.col("relative") * F.when(F.coalesce("_recall", F.lit(0.0)) < least_recall, unconfirmed).otherwise(1.0))
     final = F.col("cv") + weight * F.col("relative")
     return both.withColumn("final", final if penalty is None else final - penalty).select("query_id", "id", "cv", "relative", "final")
+
+
+def confident(fused: DataFrame, families: DataFrame, cv_floor: float = 0.80, gap_floor: float = 0.03) -> DataFrame:
+    """(query_id, id, cv, final, gap, confident) of each query's best: ``gap`` is its lead over the best of another family (id, family).
+
+    Ids without a family are families of their own. The gap is null where no other family is among the candidates; then the visual
+    floor alone decides.
+    """
+    held = fused.join(families.select("id", "family"), "id", "left")
+    w = Window.partitionBy("query_id").orderBy(F.desc("final"), "id")
+    placed = held.withColumn("_n", F.row_number().over(w)).withColumn("_best", F.first("family", ignorenulls=False).over(w))
+    other = (F.col("_n") > 1) & ~F.coalesce(F.col("family") == F.col("_best"), F.lit(False))
+    first = lambda c: F.max(F.when(F.col("_n") == 1, F.col(c))).alias(c)
+    best = placed.groupBy("query_id").agg(first("id"), first("cv"), first("final"), F.max(F.when(other, F.col("final"))).alias("_next"))
+    gap = F.col("final") - F.col("_next")
+    return best.select("query_id", "id", "cv", "final", gap.alias("gap"), ((F.col("cv") >= cv_floor) & (gap.isNull() | (gap >= gap_floor))).alias("confident"))
+
+
+#: Weight of the token set ratio beside the shared idf mass.
+FUZZY_WEIGHT = 0.35
+
+
+def distinctive_idf(idf: DataFrame) -> float:
+    """The upper median of a vocabulary's idf (word, idf): words from it on tell something."""
+    from .metrics import at_places
+
+    found = at_places(idf, [], "idf", {"m": F.floor(F.col("total") / 2)}).first()
+    return float(found.m) if found and found.m is not None else 0.0
+
+
+def rerank_by_text(hits: DataFrame, queries: DataFrame, cards: DataFrame, idf: DataFrame, k: int = 10, weight: float = 1.0, least_idf: float | None = None) -> DataFrame:
+    """(query_id, id, score, final, rank): ``hits`` (query_id, id, score, rank) of which the first ``k`` are ordered anew by text.
+
+    To the score of these comes ``weight`` times the share of the card's idf mass (word, idf; unknown words count 1) that the query's tokens have, plus 0.35
+    times the token set ratio. Queries (query_id, text) and cards (id, text) are normalised texts. A query without a word of
+    ``least_idf``, a blank one and unknown cards add nothing. Later hits keep score and place; equal ones keep their order.
+    """
+    tokens = lambda c: F.array_distinct(F.filter(F.split(c, " +"), lambda x: x != ""))
+    q = queries.select("query_id", F.trim("text").alias("q"), tokens(F.col("text")).alias("qs")).filter("q <> ''")
+    if least_idf is not None:
+        asked = q.select("query_id", F.explode("qs").alias("word"))
+        q = q.join(asked.join(idf.filter(F.col("idf") >= least_idf), "word", "left_semi").select("query_id").distinct(), "query_id", "left_semi")
+    head = hits.filter(F.col("rank") <= k)
+    c = cards.select("id", F.trim("text").alias("c"), tokens(F.col("text")).alias("cs")).filter("c <> ''").join(head.select("id").distinct(), "id", "left_semi")
+    met = head.select("query_id", "id").join(q, "query_id").join(c, "id")
+    each = met.select("query_id", "id", F.explode("cs").alias("word"), "qs").join(idf.select("word", "idf"), "word", "left")
+    value = F.coalesce("idf", F.lit(1.0))
+    mass = each.groupBy("query_id", "id").agg(F.try_divide(F.sum(F.when(F.array_contains("qs", F.col("word")), value).otherwise(0.0)), F.sum(value)).alias("_share"))
+    added = met.select("query_id", "id", (token_set_ratio("q", "c") / 100).alias("_ratio")).join(mass, ["query_id", "id"])
+    out = hits.join(added.select("query_id", "id", (F.coalesce("_share", F.lit(0.0)) + FUZZY_WEIGHT * F.col("_ratio")).alias("_text")), ["query_id", "id"], "left")
+    out = out.withColumn("final", F.when(F.col("rank") <= k, F.col("score") + weight * F.coalesce("_text", F.lit(0.0))).otherwise(F.col("score")))
+    order = Window.partitionBy("query_id").orderBy((F.col("rank") > k).cast("int"), F.when(F.col("rank") <= k, -F.round("final", 9)), "rank")
+    return out.withColumn("_new", F.row_number().over(order)).select("query_id", "id", "score", "final", F.col("_new").alias("rank"))

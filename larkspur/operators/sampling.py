@@ -22,6 +22,14 @@ def halves(df: DataFrame, seed: str, id_col: str) -> DataFrame:
     return df.withColumn("fold", (hash_share(seed, F.col(id_col)) >= 0.5).cast("int"))
 
 
+def unseen(ids: DataFrame, id_col: str, models: list[tuple[str, Column]]) -> DataFrame:
+    """``ids`` that no model was trained on: a model (seed, trained) saw the first half by its seed of the ids that it was ``trained`` on."""
+    kept = F.lit(True)
+    for seed, trained in models:
+        kept = kept & (~F.coalesce(trained, F.lit(False)) | (hash_share(seed, F.col(id_col)) >= 0.5))
+    return ids.filter(kept)
+
+
 def sample_per_key(pairs: DataFrame, key: str, id_col: str, seed: str, k: int) -> DataFrame:
     w = Window.partitionBy(key).orderBy(stable_order(F.lit(seed), F.col(key).cast("string"), F.col(id_col).cast("string")))
     return pairs.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= k).drop("_place")

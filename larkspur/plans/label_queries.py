@@ -62,14 +62,6 @@ def small_scalars(t):
     )
 
 
-@query(_sql("base, file_hash, ext, key, variant, noise", ["'ab', '0123456789', 'jpg', 'ab', FALSE, 'other'", "'Vino', NULL, 'png', 'vino', FALSE, 'other'", "'thumbnail_x', NULL, 'webp', 'thumbnailx', TRUE, 'other'", "'IMG_1234', NULL, 'jpeg', 'img1234', FALSE, 'camera'", "'clip.mp4', NULL, '', 'clipmp4', FALSE, 'video'", "'a.pdf', NULL, '', 'apdf', FALSE, 'document'"]))
-def upload_names(t):
-    """File names of uploads: what they are of, their hash, whether a thumbnail, and what kind of noise they look like."""
-    d = _dealt(t, ["ab_0123456789.JPG", "Vino.png", "thumbnail_x.webp", "IMG_1234.jpeg", "clip.mp4", "a.pdf"], "file")
-    d = d.withColumn("p", T.upload_parts(F.col("file")))
-    return d.select("conv_id", "p.base", "p.file_hash", "p.ext", "p.key", T.is_variant_name(F.col("file")).alias("variant"), T.noise_class(F.col("file")).alias("noise"))
-
-
 @query(_sql("year, sweetness, sparkling, volume_l", ["2019, 'extra_brut', TRUE, 0.75::DOUBLE", "2011, 'semi_dry', FALSE, NULL", "NULL, NULL, TRUE, NULL", "1998, 'sweet', FALSE, 1.5"]))
 def name_attributes(t):
     """What a catalog's names and slugs say of year, sweetness, sparkle and volume."""
@@ -126,21 +118,6 @@ def overlapping_boxes(t):
     return found.withColumn("iou", F.round("iou", 6))
 
 
-@query("""WITH n AS (SELECT DISTINCT replace(lower(p_name), ' ', '') AS name FROM part), k AS (SELECT DISTINCT left(name, 9) AS key FROM n WHERE length(name) % 2 = 0),
-o AS (SELECT name, CASE WHEN length(name) % 4 = 1 THEN NULL ELSE 'fixed' END AS key FROM n WHERE name LIKE 'a%'),
-x AS (SELECT name FROM n WHERE name NOT LIKE 'a%'), e AS (SELECT name, name AS key FROM x JOIN k ON k.key = x.name),
-c AS (SELECT name, key FROM x, k WHERE name NOT IN (SELECT name FROM e) AND length(name) >= 6 AND length(key) >= 6 AND (contains(key, name) OR contains(name, key)) AND least(length(name), length(key)) >= 0.5 * greatest(length(name), length(key))),
-u AS (SELECT name, count(*) AS n, min(key) AS key FROM c GROUP BY 1)
-SELECT name, key, CASE WHEN key IS NULL THEN 'rejected' ELSE 'override' END AS status FROM o UNION ALL SELECT name, key, 'exact' FROM e UNION ALL
-SELECT x.name, CASE WHEN u.n = 1 THEN u.key END, CASE WHEN u.n = 1 THEN 'substring' WHEN u.n > 1 THEN 'ambiguous' ELSE 'no_ref' END FROM x LEFT JOIN u USING (name) WHERE x.name NOT IN (SELECT name FROM e)""")
-def match_cascade(t):
-    """Names to keys: by override, by equality, by the one key that is a part of them; the rest by why not."""
-    n = t("part").select(F.replace(F.lower("p_name"), F.lit(" "), F.lit("")).alias("name")).distinct()
-    k = n.filter(F.length("name") % 2 == 0).select(F.substring("name", 1, 9).alias("key")).distinct()
-    o = n.filter(F.col("name").startswith("a")).select("name", F.when(F.length("name") % 4 != 1, "fixed").alias("key"))
-    return matching.cascade(n, k, o)
-
-
 @query("""WITH e(i, names) AS (VALUES (0, 'Мерло'), (1, 'Пино нуар|Мерло'), (2, 'Неизвестный сорт'), (3, 'Пино чёрный|Мерло'), (4, 'Каберне и тайна'))
 SELECT conv_id, e.names, CASE conv_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 3 THEN 2 ELSE 0 END AS known FROM (SELECT DISTINCT conv_id FROM conversations) JOIN e ON e.i = conv_id % 5""")
 def grape_lists(t):
