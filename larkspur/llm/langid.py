@@ -3,6 +3,10 @@
 Counting is distributed: each task adds up a (language, bucket) matrix of the texts that it reads, and the matrices meet in
 one small aggregation. The log-probability matrix, of at most 4 * CELLS bytes (32 MB), is broadcast;
 texts are scored in numpy by batches, as the product of a sparse n-gram count matrix and that matrix.
+
+A matrix has room for BLOCK languages. More of them make several matrices of the same buckets, each counted and scored in a pass of
+its own: a pass keeps the best language so far and the sum that turns its evidence into a probability, so the result
+is that of one large matrix.
 """
 
 from __future__ import annotations
@@ -15,8 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets, halved until the matrix has no more than CELLS cells.
+from .tables import materialise
+
+#: Buckets, cells of a matrix at most and so its languages; sizes of the n-grams.
 BUCKETS, CELLS, SIZES = 1 << 15, 1 << 23, (1, 2, 3)
+BLOCK = CELLS // BUCKETS
+#: More values of the language column than this are taken for a mistake and refused with an error.
+MOST = 1 << 15
 ALPHA = 0.5
 UNKNOWN = "und"
 #: Evidence counts as that of so many n-grams at most when it is turned into a probability.
@@ -29,6 +38,7 @@ class Model:
     languages: list[str]
     log_p: np.ndarray  # (buckets, languages), float32
     prior: np.ndarray
+    rest: tuple[Model, ...] = ()  # of the languages that have no room in this one, in the order of their names
 
 
 def grams(texts: list[str], buckets_: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -74,16 +84,29 @@ def _chunks(lengths: list[int]) -> Iterator[slice]:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", alpha: float = ALPHA) -> Model:
-    """A model of every language in ``labelled``; rows with a null text or language don't count."""
+    """A model of every language in ``labelled``; rows with a null text or language don't count.
+
+    MOST values of the language column or more are an error. From BLOCK languages on the labelled rows are read once more for each
+    further BLOCK of them.
+    """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    per_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(CELLS >> 8).collect()
-    if len(per_lang) == CELLS >> 8:
-        raise ValueError(f"{CELLS >> 8} values of {lang_col} or more: these are no languages")
-    languages = [r.lang for r in per_lang]
-    index = {lang: i for i, lang in enumerate(languages)}
-    buckets = BUCKETS
-    while buckets * len(languages) > CELLS:
-        buckets //= 2
+    per_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MOST).collect()
+    if len(per_lang) == MOST:
+        raise ValueError(f"{MOST} values of {lang_col} or more: these are no languages")
+    seen = sum(r.n for r in per_lang)
+    blocks = []
+    for at in range(0, max(1, len(per_lang)), BLOCK):
+        part = per_lang[at : at + BLOCK]
+        own = rows if len(per_lang) <= BLOCK else rows.filter(F.col("lang").isin([r.lang for r in part]))
+        prior = np.log(np.array([r.n for r in part], float) / max(1, seen))
+        blocks.append(Model([r.lang for r in part], _counted(own, [r.lang for r in part], alpha), prior))
+    blocks[0].rest = tuple(blocks[1:])
+    return blocks[0]
+
+
+def _counted(rows: DataFrame, languages: list[str], alpha: float) -> np.ndarray:
+    """(bucket, language) log probabilities of the languages of ``rows`` (text, lang)."""
+    index, buckets = {lang: i for i, lang in enumerate(languages)}, BUCKETS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(index), buckets), np.int64)
@@ -105,8 +128,30 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", a
     total = np.zeros(len(languages) * buckets)
     total[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.float64)
     total = total.reshape(-1, buckets).T + alpha
-    seen = np.array([r.n for r in per_lang], float)
-    return Model(languages, np.log(total / total.sum(axis=0)).astype(np.float32), np.log(seen / max(1, seen.sum())))
+    return np.log(total / total.sum(axis=0)).astype(np.float32)
+
+
+def _evidence(block: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: its best language among the block's, that one's evidence, the logarithm of the sum of all even evidence,
+    and the factor that makes evidence even. All as if texts of more than EVIDENCE n-grams had no more."""
+    best, raw, spread, factor = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts))
+    for part in _chunks([len(t) for t in texts]):
+        bucket, owner = grams(texts[part], len(block.log_p))
+        n = len(texts[part])
+        sums = np.zeros((n, len(block.languages)))
+        for k in range(len(block.languages)):
+            sums[:, k] = np.bincount(owner, block.log_p[bucket, k], minlength=n)
+        seen = np.bincount(owner, minlength=n).astype(float)[:, None]
+        even = np.minimum(1.0, EVIDENCE / np.maximum(seen, 1))
+        sums += block.prior
+        best[part], raw[part], factor[part] = sums.argmax(axis=1), sums.max(axis=1), even[:, 0]
+        top = sums.max(axis=1, keepdims=True) * even
+        spread[part] = top[:, 0] + np.log(np.exp(sums * even - top).sum(axis=1))
+    return best, raw, spread, factor
+
+
+def _has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def classify(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -115,45 +160,53 @@ def classify(model: Model, texts: list[str | None]) -> tuple[list[str], list[flo
     The evidence of a text is taken as if it had at most EVIDENCE n-grams, so the probability says how clearly its
     n-grams speak for the language, and does not go to 1 with the length alone. Ties go to the first language by name.
     """
-    whole = [t if t and model.languages and any(map(str.isalpha, t)) else "" for t in texts]
-    langs, scores = [], []
-    for part in _chunks([len(t) for t in whole]):
-        bucket, owner = grams(whole[part], len(model.log_p))
-        n = len(whole[part])
-        sums = np.zeros((n, len(model.languages)))
-        for k in range(len(model.languages)):
-            sums[:, k] = np.bincount(owner, model.log_p[bucket, k], minlength=n)
-        seen = np.bincount(owner, minlength=n).astype(float)[:, None]
-        best = (sums + model.prior).argmax(axis=1) if model.languages else np.zeros(n, int)
-        even = (sums + model.prior) * np.minimum(1.0, EVIDENCE / np.maximum(seen, 1))
-        p = np.exp(even - even.max(axis=1, keepdims=True)) if model.languages else np.ones((n, 1))
-        p /= p.sum(axis=1, keepdims=True)
-        for i, t in enumerate(whole[part]):
-            langs.append(model.languages[best[i]] if t else UNKNOWN)
-            scores.append(float(p[i, best[i]]) if t else 0.0)
-    return langs, scores
+    langs, raw, spread, factor = _folded(model, texts, None)
+    for block in model.rest:
+        langs, raw, spread, factor = _folded(block, texts, (langs, raw, spread))
+    return langs, [float(p) if lang != UNKNOWN else 0.0 for lang, p in zip(langs, np.exp(raw * factor - spread), strict=True)]
+
+
+def _folded(block: Model, texts: list[str | None], held: tuple | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(languages, evidence, spread, factor) of texts after one more block; a language of an earlier block keeps ties."""
+    real = [bool(block.languages) and _has_letter(t) for t in texts]
+    whole = [t if ok else "" for t, ok in zip(texts, real, strict=True)]
+    best, raw, spread, factor = _evidence(block, whole) if block.languages else (None, *(np.zeros(len(texts)) for _ in range(3)))
+    langs = [block.languages[best[i]] if ok else UNKNOWN for i, ok in enumerate(real)]
+    if held is not None:
+        before, most, sums = held
+        langs = [new if r > old else lang for lang, new, r, old in zip(before, langs, raw, most, strict=True)]
+        raw, spread = np.maximum(raw, most), np.logaddexp(spread, sums)
+    return langs, raw, spread, factor
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` with all its columns and two more; columns of those names are replaced.
 
     A null text, and one without a letter, is ``und`` with score 0; so is every text if no language was learned. The
-    rows stay where they are: no shuffle. Repeated rows stay repeated; texts are scored whole, however long.
+    rows stay where they are: no shuffle; between the passes of a model of several matrices they are written. Repeated rows stay repeated; texts are scored whole, however long.
     """
     kept = [c for c in docs.columns if c not in (lang_out, score_out)]
     held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])  # any names on the way to the tasks
-    at, names = kept.index(text_col), [*held.columns, "lang", "score"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, scores = classify(shared.value, batch.column(at).to_pylist())
-            columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema)
-    found = held.mapInArrow(run, f"{schema}, lang string, score double")
-    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("lang").alias(lang_out), F.col("score").alias(score_out))
+    at, blocks = kept.index(text_col), [model, *model.rest]
+    for number, block in enumerate(blocks):
+        shared, first, last = docs.sparkSession.sparkContext.broadcast(block), not number, number == len(blocks) - 1
+        names = [*(held.columns if first else held.columns[:-3]), "lang", "raw", "spread"]
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last, names=names) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                before = None if first else (batch.column(len(kept)).to_pylist(), *(batch.column(len(kept) + i).to_numpy(zero_copy_only=False) for i in (1, 2)))
+                texts = batch.column(at).to_pylist()
+                langs, raw, spread, factor = _folded(shared.value, texts, before)
+                if last:  # the score instead of the evidence
+                    raw = np.where([x == UNKNOWN for x in langs], 0.0, np.exp(raw * factor - spread))
+                columns = [*batch.columns[: len(kept)], pa.array(langs, pa.string()), pa.array(raw, pa.float64()), pa.array(spread, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema.fields[: len(kept)])
+        held = held.mapInArrow(run, f"{schema}, lang string, raw double, spread double")
+        if not last:
+            held = materialise(held, "languages")
+    return held.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("lang").alias(lang_out), F.col("raw").alias(score_out))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -242,6 +242,45 @@ def test_tags_and_scores_against_brute_force(spark, make):
         assert got[i].spans == ",".join(spans)
 
 
+def test_many_languages_are_as_one_matrix(spark, make, monkeypatch):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzéßñøж"
+    speak = {f"l{i:02}": rng.sample(letters, 8) for i in range(23)}
+    say = lambda lang, n: " ".join("".join(rng.choice(speak[lang]) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    docs = make([(i, say(lang, 12), lang, "s") for i, lang in enumerate(list(speak) * 6)])
+    asked = make([(i, say(lang, 3), lang, "s") for i, lang in enumerate(list(speak) * 4)] + [(900, None, None, None), (901, "12", None, None), (902, "", None, None)])
+    whole = langid.train(docs)
+    want = sorted(map(tuple, langid.identify(asked, whole).select("doc_id", "lang_pred", "score").collect()))
+    assert whole.rest == () and sum(x[1] == langid.UNKNOWN for x in want) == 3
+    monkeypatch.setattr(langid, "BLOCK", 5)
+    parts = langid.train(docs)
+    assert len(parts.rest) == 4 and [x for m in (parts, *parts.rest) for x in m.languages] == sorted(speak)
+    assert all(len(m.log_p) == langid.BUCKETS for m in (parts, *parts.rest))
+    got = sorted(map(tuple, langid.identify(asked, parts).select("doc_id", "lang_pred", "score").collect()))
+    assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+    texts = [r.text for r in asked.orderBy("doc_id").collect()]
+    assert langid.classify(parts, texts)[0] == langid.classify(whole, texts)[0] == [x[1] for x in want]
+    monkeypatch.setattr(langid, "MOST", 23)
+    with pytest.raises(ValueError, match="no languages"):
+        langid.train(docs)
+
+
+def test_odd_rows_meet_the_chain(spark, make, odd):
+    rng = random.Random(9)
+    part = ["sun", "moon", "tree", "ri", "sto", "bir", "clo", "fie", "na", "to"]
+    plain = lambda: " ".join(rng.choice(part) + rng.choice(part) for _ in range(12))
+    texts = [(100 + i, f"{plain()} {rng.choice(['awful', 'nasty'])} {plain()}" if i % 4 == 0 else plain(), "en", "s") for i in range(240)]
+    docs = odd.unionByName(make(texts), allowMissingColumns=True)
+    labels = spark.createDataFrame([(100 + i, int(i % 4 == 0)) for i in range(240)] + [(1, 1), (2, 0), (3, 1), (6, 0), (7, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, labels).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+    by = {r.doc_id: r for r in got}
+    assert all(by[100 + i].predicted == (i % 4 == 0) for i in range(240))
+    empty = [by[i] for i in (1, 2, 3, 9)]
+    assert {(r.spans, r.toxic_tokens) for r in empty} == {("", 0.0)} and len({r.score for r in empty}) == 1 and not any(r.predicted for r in empty)
+    assert len([r for r in got if r.doc_id == 5]) == 2 and by[7].predicted == 0
+
+
 def test_toxicity_on_held_out_documents(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     told = docs.join(labels.select("doc_id", "toxic"), "doc_id", "left")
