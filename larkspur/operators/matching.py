@@ -129,10 +129,10 @@ def content_groups(files: DataFrame, group: str, most: int = 6) -> DataFrame:
     """(group, file, root): files (group, file, digest, bits, score, area, mtime) of a group that are equal, or whose hashes are ``most`` bits apart at most, directly
     or through others; root is the group's file with the best score, then area, then time, then name.
 
-    Equal digests meet as stars; different hashes of a group meet on pairs of blocks, so a large group is no square.
+    Equal digests, and equal hashes, meet as stars; different hashes of a group meet on pairs of blocks, so a large group is no square.
     """
-    digests = files.groupBy(group, "digest").agg(F.min("file").alias("v"))
-    same = files.join(digests, [group, "digest"]).select(F.col("file").alias("u"), "v")
+    star = lambda key: files.join(files.filter(F.col(key).isNotNull()).groupBy(group, key).agg(F.min("file").alias("v")), [group, key]).select(F.col("file").alias("u"), "v")
+    same = files.select(F.col("file").alias("u"), F.col("file").alias("v")).unionByName(star("digest")).unionByName(star("bits"))
     near = joins.near_hashes_within(files, group, "file", "bits", most)
     edges = same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
     members = families.family_of(files, families.components(edges), "file")

@@ -198,17 +198,6 @@ def style_analogs(t):
     return P.analogs(items, styles, 5)
 
 
-@query("""WITH e(i, slug, step) AS (VALUES (0, 'pinot-noir', 0), (1, 'merlot', 1), (2, 'merlot', 2))
-SELECT conv_id, slug, step FROM (SELECT DISTINCT conv_id FROM conversations) JOIN e ON e.i = conv_id % 4""")
-def dictionary_phrases(t):
-    """Entries that texts name: by two words, by one, by one with a letter wrong; a fourth names none."""
-    texts = ["a glass of Pinot Noir, merlot", "old MERLOT 2019", "some merlott here", "nothing at all"]
-    ids = t("conversations").select("conv_id").distinct()
-    d = ids.select(F.col("conv_id").alias("id"), F.element_at(F.array(*[F.lit(x) for x in texts]), (F.pmod("conv_id", F.lit(4)) + 1).cast("int")).alias("text"))
-    known = ids.sparkSession.createDataFrame([("Pinot Noir", "pinot-noir"), ("Merlot", "merlot")], "phrase string, slug string")
-    return P.phrases_found(d, known).withColumnRenamed("id", "conv_id")
-
-
 # ---- records
 
 
@@ -220,15 +209,6 @@ def upgraded_guests(t):
     return P.upgraded(P.alive(c), accounts, "c_custkey", "confirmed").drop("deleted_at")
 
 
-@query("""SELECT o_custkey AS user, o_orderdate::TIMESTAMP AS ts, 'order' AS kind FROM orders WHERE o_custkey % 50 = 0 UNION ALL SELECT user_id, ts, 'event' FROM events WHERE user_id % 50 = 0""")
-def exported_records(t):
-    """All rows of some users, from all tables, as records."""
-    o = t("orders").filter("o_custkey % 50 = 0").select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), "o_orderkey")
-    e = t("events").filter("user_id % 50 = 0").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
-    out = P.exported({"order": o, "event": e}, "user_id", "ts")
-    return out.filter(F.get_json_object("record", "$.user_id") == F.col("user").cast("string")).select("user", "ts", "kind")
-
-
 @query("""SELECT user_id, list(event_id ORDER BY ts, event_id) AS events FROM events WHERE event_type = 'purchase' GROUP BY 1""")
 def ordered_purchases(t):
     e = t("events").filter("event_type = 'purchase'").withColumn("order", F.struct("ts", "event_id"))

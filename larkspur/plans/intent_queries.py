@@ -1,5 +1,4 @@
-"""Queries of intents, filters and names. The questions are a fixed list that the turns of conversations are dealt to; what must
-come out of each stands in the SQL as it follows from the rules."""
+"""Queries of filters, fallbacks and names."""
 
 from __future__ import annotations
 
@@ -8,50 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import intents as I
 from .registry import query
 
-QUESTIONS = [
-    ("Расскажи про Рубин от Винодельня Орлова", "pairing", "wines", None, None, None),
-    ("Расскажите про винодельню Орлова", "travel", "wineries,knowledge", None, None, None),
-    ("Куда поехать на экскурсию?", "travel", "wineries,knowledge", None, None, None),
-    ("Что такое танины", "fact", "knowledge", None, None, None),
-    ("Чем отличается брют", "fact", "knowledge", None, "брют", None),
-    ("Красное вино к стейку", "pairing", "wines", "красное", None, None),
-    ("Посоветуй что-нибудь к рыбе", "pairing", "wines", None, None, None),
-    ("Посоветуй фильм ужасов", "default", "wines,knowledge", None, None, None),
-    ("Белое полусухое до 1500", "pairing", "wines", "белое", "полусухое", None),
-    ("", "default", "wines,knowledge", None, None, None),
-    ("Расскажи подробнее, к чему может привести долгая выдержка", "default", "wines,knowledge", None, None, None),
-    ("что взять к сырам", "pairing", "wines", None, None, None),
-    ("Розовое экстра-брют из Крыма", "pairing", "wines", "розовое", "экстра брют", "krym"),
-    ("Хочу что-нибудь с Дона", "pairing", "wines", None, None, "don"),
-]
-REGIONS = {"krym": "Крым", "don": "Долина Дона", "kuban": "Кубань"}
-
-
-def _value(v) -> str:
-    return "NULL" if v is None else "'" + v + "'"
-
-
-EXPECTED = "e(i, intent, collections, color, sugar, region) AS (VALUES " + ", ".join(f"({i}, {', '.join(_value(v) for v in row[1:])})" for i, row in enumerate(QUESTIONS)) + ")"
-
-
-def _asked(t):
-    texts = F.array(*[F.lit(q[0]) for q in QUESTIONS])
-    return t("conversations").select("conv_id", "turn", F.element_at(texts, (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(QUESTIONS))) + 1).cast("int")).alias("text"))
-
-
-@query(f"""WITH {EXPECTED} SELECT conv_id, turn, e.intent, e.collections, e.color, coalesce(CASE WHEN conv_id % 7 = 0 THEN 'сухое' END, e.sugar) AS sugar, e.region
-FROM conversations JOIN e ON e.i = (conv_id + turn) % {len(QUESTIONS)}""")
-def intent_routing(t):
-    """Intent, collections and filters of questions; a seventh asks for dry wine in a field of its own, which doesn't change the intent here."""
-    asked = _asked(t).withColumn("found", I.extracted_filters(F.col("text"), REGIONS))
-    fields = ["color", "sugar", "region"]
-    explicit = F.struct(F.lit(None).cast("string").alias("color"), F.when(F.col("conv_id") % 7 == 0, "сухое").alias("sugar"), F.lit(None).cast("string").alias("region"))
-    asked = asked.withColumn("merged", I.merged_filters(explicit, F.col("found"), fields))
-    intent = I.intent(F.col("text"), I.filters_active(F.col("found"), fields))
-    asked = asked.withColumn("intent", intent)
-    return asked.select("conv_id", "turn", "intent", F.array_join(I.collections(F.col("intent")), ",").alias("collections"), "merged.*")
-
-
 @query("""WITH i AS (SELECT p_partkey AS id, ['wines', 'wineries', 'knowledge'][p_partkey % 3 + 1] AS kind, p_type, p_brand FROM part)
 SELECT id, kind FROM i WHERE CASE kind WHEN 'wines' THEN p_type = 'PROMO' AND p_brand = 'Brand#11' WHEN 'wineries' THEN p_brand = 'Brand#11' ELSE TRUE END""")
 def filter_modes(t):

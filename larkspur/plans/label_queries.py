@@ -1,5 +1,4 @@
-"""Queries of label text, boxes and matching. Texts from a fixed list are dealt to the rows of a table; what must come out of each
-stands in the SQL as it follows from the rules."""
+"""Queries of boxes, matching and keys."""
 
 from __future__ import annotations
 
@@ -12,64 +11,6 @@ from ..operators import decisions, families, labels, matching
 from .registry import query
 
 
-def _dealt(t, texts: list, name: str = "text"):
-    """Conversations with one of ``texts`` each."""
-    listed = F.array(*[F.lit(x) for x in texts])
-    ids = t("conversations").select("conv_id").distinct()
-    return ids.select("conv_id", F.pmod("conv_id", F.lit(len(texts))).cast("int").alias("i"), F.element_at(listed, (F.pmod("conv_id", F.lit(len(texts))) + 1).cast("int")).alias(name))
-
-
-def _sql(columns: str, rows: list[str]) -> str:
-    return f"WITH e(i, {columns}) AS (VALUES {', '.join(f'({i}, {r})' for i, r in enumerate(rows))}) SELECT conv_id, {columns} FROM (SELECT DISTINCT conv_id FROM conversations) JOIN e ON e.i = conv_id % {len(rows)}"
-
-
-@query(_sql("tokens", ["'2019 camapa samara'", "'polusuhoe'", "'oleg'", "'po3e roze'", "''", "'bryut ekstra'", "'chateau'"]))
-def label_tokens(t):
-    """Look-alike letters, foreign sweetness, Greek capitals, digits for letters, numbers and short words, in Latin letters."""
-    texts = ["CAMAPA, 2019", "semi-dry 750", "ОЛΕΓ", "PO3E", "a 12 (b)", "Extra Brut", "«Chateau»"]
-    found = _dealt(t, texts).withColumn("t", labels.query_tokens(F.col("text")))
-    return found.select("conv_id", F.array_join(F.array_sort("t"), " ").alias("tokens"))
-
-
-@query(_sql("sweetness, color", ["'polusuhoe', 'white'", "'suhoe', 'red'", "'bryut', NULL", "'', NULL", "'sladkoe', 'rose'", "'ekstra bryut', NULL"]))
-def label_categories(t):
-    """Sweetness by slug, then photo, then name, and the one color that a text names."""
-    slugs = ["vino-polusuhoe-2019", "vino-suhoe", "vino", "vino", "vino", "ekstra-bryut-x"]
-    photos = ["a.jpg", "сладкое.jpg", "Брют белое красное.jpg", "a.jpg", "Розе сл.", "b.jpg"]
-    names = ["Белое", "Красное", "Белое и красное", "Вино", "rosé", "Вино"]
-    at = F.col("i") + 1
-    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), at)
-    d = _dealt(t, names, "name")
-    return d.select("conv_id", labels.sweetness_of(pick(slugs), F.array(pick(photos)), F.col("name")).alias("sweetness"), labels.text_color(F.col("name")).alias("color"))
-
-
-@query(_sql("stems", ["'красн вин дагеста'", "'крымск вин'", "'полусух рислинг'", "'красив'", "'oak 2019 été'", "''"]))
-def russian_stems(t):
-    texts = ["Красное вино Дагестана", "крымское вино", "полусухой рислинг", "красивейшая", "Oak 2019, été", ""]
-    return _dealt(t, texts).select("conv_id", F.array_join(T.words(F.col("text")), " ").alias("stems"))
-
-
-@query(_sql("seconds, width, plain, cited, age_word", ["90.0::DOUBLE, 1200, 'a b', '2', 'год'", "30.0, NULL, 'x', '1,2,3', 'года'", "300.0, 64, '', '3', 'лет'", "NULL, NULL, 'q w', '1,2,3', 'лет'", "5400.0, NULL, 'z', '1', 'года'"]))
-def small_scalars(t):
-    """Durations, sizes, squeezed blanks, citations and plural forms."""
-    d = _dealt(t, ["1m30s", "30", "5 m", "5x", "1h30m"])
-    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("i") + 1)
-    cited = T.citations(pick(["see [2]", "none", "[3] [9]", "[7]", "[1][1]"]), F.lit(3))
-    return d.select(
-        "conv_id", S.seconds_of(F.col("text")).alias("seconds"), S.size_of(pick(["1200x1600", "12", "64X32", "ax1", "x"])).width.alias("width"),
-        T.squeeze(pick([" a   b", "x ", " ", "q\n w", "z"])).alias("plain"), F.array_join(cited, ",").alias("cited"),
-        S.plural(pick([1, 2, 11, 25, 33]), "год", "года", "лет").alias("age_word"),
-    )
-
-
-@query(_sql("year, sweetness, sparkling, volume_l", ["2019, 'extra_brut', TRUE, 0.75::DOUBLE", "2011, 'semi_dry', FALSE, NULL", "NULL, NULL, TRUE, NULL", "1998, 'sweet', FALSE, 1.5"]))
-def name_attributes(t):
-    """What a catalog's names and slugs say of year, sweetness, sparkle and volume."""
-    d = _dealt(t, ["Игристое экстра брют 2019, 0,75 л", "Каберне полусухое", "Prosecco", "Мускат сладкий 1998 1,5 л"], "name")
-    slug = F.element_at(F.array(F.lit("x-y"), F.lit("kaberne-2011"), F.lit("prosecco"), F.lit("muskat")), F.col("i") + 1)
-    return d.select("conv_id", T.attributes(F.col("name"), slug).alias("a")).select("conv_id", "a.*")
-
-
 @query("""WITH s AS (SELECT l_orderkey AS k, l_linenumber AS n, l_discount * 10 AS a, l_tax * 10 AS b FROM lineitem)
 SELECT k, n, CASE WHEN n % 5 = 0 THEN 'm' WHEN a > b THEN 'l' ELSE 'm' END AS max_score, CASE WHEN n % 5 = 0 THEN 'm' WHEN b >= 0.4 THEN 'm' ELSE 'l' END AS confident_else_cv,
   CASE WHEN n % 5 = 0 OR n % 3 = 0 THEN 'm' WHEN a > b THEN 'l' ELSE 'm' END AS agree_else_cv, 'm' AS agree_else_llm FROM s""")
@@ -118,23 +59,6 @@ def overlapping_boxes(t):
     return found.withColumn("iou", F.round("iou", 6))
 
 
-@query("""WITH e(i, names) AS (VALUES (0, 'Мерло'), (1, 'Пино нуар|Мерло'), (2, 'Неизвестный сорт'), (3, 'Пино чёрный|Мерло'), (4, 'Каберне и тайна'))
-SELECT conv_id, e.names, CASE conv_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 3 THEN 2 ELSE 0 END AS known FROM (SELECT DISTINCT conv_id FROM conversations) JOIN e ON e.i = conv_id % 5""")
-def grape_lists(t):
-    """Lists of names made ready for lookup, and how many of them are known by name or synonym."""
-    lists = [["Мерло", "Красные сорта"], ["Пино нуар (клон)", "мерло "], ["Неизвестный сорт"], ["Пино чёрный (Пино нуар) и Мерло"], ["Каберне и тайна", " "]]
-    ids = t("conversations").select("conv_id").distinct()
-    listed = F.array(*[F.array(*[F.lit(x) for x in xs]) for xs in lists])
-    rows = ids.select("conv_id", F.element_at(listed, (F.pmod("conv_id", F.lit(5)) + 1).cast("int")).alias("names"))
-    spark = rows.sparkSession
-    words = spark.createDataFrame([("Мерло", "merlo"), ("Пино нуар", "pino"), ("Пино чёрный", "pino"), ("Каберне", "kaberne")], "word string, card string")
-    made = matching.expand_names(rows, "conv_id", "names", words, spark.createDataFrame([("красные сорта",)], "word string"))
-    one = matching.resolve_synonyms(made.select("id", F.explode("names").alias("name")), "name", words)
-    known = one.groupBy("id").agg(F.count("card").cast("int").alias("known"))
-    title = F.array_join(F.transform("names", lambda x: F.when(F.lower(x) == "мерло", "Мерло").otherwise(x)), "|")
-    return made.join(known, "id").select(F.col("id").alias("conv_id"), title.alias("names"), "known")
-
-
 @query("""WITH c AS (SELECT user_id AS key, event_id AS item, event_id * 10 + g AS grp, ts + to_minutes((g * 900)::INT) AS ts FROM events, range(2) r(g) WHERE event_type = 'view'),
 a AS (SELECT user_id AS key, ts FROM events WHERE event_type = 'purchase'), d AS (SELECT item, grp, min(abs(epoch_us(c.ts) - epoch_us(a.ts))) / 3.6e9 AS hours FROM c JOIN a USING (key) GROUP BY 1, 2),
 r AS (SELECT *, lead(hours) OVER (PARTITION BY item ORDER BY hours, grp) AS next_hours, row_number() OVER (PARTITION BY item ORDER BY hours, grp) AS n FROM d)
@@ -159,16 +83,6 @@ def token_groups(t):
     return matching.dense_ids(matching.token_clusters(t("part").withColumn("tokens", tokens), "p_partkey", "tokens", 2, 4)).select("node", "root", "group_id")
 
 
-@query("""WITH f AS (SELECT p_brand AS grp, p_partkey AS file, md5(p_name || p_size % 3) AS digest, p_retailprice AS score FROM part), s AS (SELECT grp, digest, min(file) AS v FROM f GROUP BY 1, 2)
-SELECT f.grp AS "group", f.file, first_value(f.file) OVER (PARTITION BY f.grp, f.digest ORDER BY score DESC, f.file) AS root FROM f""")
-def content_groups(t):
-    """Files of a group that are equal, and the best of them; hashes that are all far apart add nothing here."""
-    # hashes that differ in over six bits wherever digests do: eight copies of a hash of eight bits would not, so digests make them
-    bits = F.when(F.lit(False), F.lit(0).cast("long"))
-    f = t("part").select(F.col("p_brand").alias("group"), F.col("p_partkey").alias("file"), F.md5(F.concat("p_name", (F.col("p_size") % 3).cast("string"))).alias("digest"), bits.alias("bits"), F.col("p_retailprice").alias("score"), F.lit(0).alias("area"), F.lit(0).alias("mtime"))
-    return matching.content_groups(f, "group")
-
-
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' WHEN o_orderkey % 10 = 5 THEN NULL ELSE o_orderstatus END AS o_orderstatus FROM orders""")
 def overridden_rows(t):
     """A tenth of the orders has its status overridden, a tenth emptied."""
@@ -210,20 +124,6 @@ def unit_vectors(t):
     return e.select("vec_id", F.round(V.unit(F.col("e"))[0], 6).alias("first"), F.round(V.masked_distance(axes(0), axes(2), ["a", "b"]), 6).alias("apart"))
 
 
-@query(_sql("sweetness, acidity, tannin, body, oak, aromatic, bubbles, confidence", ["0.05::DOUBLE, 0.6::DOUBLE, 0.55::DOUBLE, 0.73::DOUBLE, 0.6::DOUBLE, NULL::DOUBLE, 0.0::DOUBLE, 0.67::DOUBLE", "0.08, NULL, 0.1, 0.8, 0.1, 0.5, 0.6, 0.83", "NULL, NULL, 0.05, 0.46, 0.1, NULL, 0.0, 0.0"]))
-def sensory_profiles(t):
-    """The axes of three cards: a red one in oak, a white brut, a rosé of which nothing is known but its strength."""
-    from ..operators import recommend
-
-    d = _dealt(t, ["дуб", "", ""])
-    pick = lambda xs, kind: F.element_at(F.array(*[F.lit(x) for x in xs]).cast(f"array<{kind}>"), F.col("i") + 1)
-    axes = {"acidity": [0.6, None, None], "tannin": [None, 0.3, None], "body": [0.7, 0.9, None], "aromatic_intensity": [None, 0.5, None]}
-    profile = F.struct(*[pick(v, "double").alias(k) for k, v in axes.items()])
-    s = recommend.sensory(pick(["сухое", "брют", None], "string"), F.col("text"), pick(["красное", "белое", "розовое"], "string"), profile, pick([13.0, None, 14.0], "double"))
-    named = ("sweetness", "acidity", "tannin", "body", "oak", "aromatic_intensity", "bubbles", "confidence")
-    return d.select("conv_id", s.alias("s")).select("conv_id", *[F.round(f"s.{n}", 6).alias(n.removesuffix("_intensity")) for n in named])
-
-
 @query("""SELECT p_partkey, 'size=' || printf('%.2f', p_size::DOUBLE) || ' price=' || printf('%.2f', p_retailprice) AS shown, '[1] ' || p_name || chr(10) || '[2] ' || p_brand AS block, CASE WHEN p_size % 3 = 0 THEN 'host' WHEN p_size % 3 = 1 THEN '1.2.3.4' ELSE 'unknown' END AS ip,
   split_part(p_name || '__' || p_size, '__', 1) AS slug FROM part""")
 def scalar_texts(t):

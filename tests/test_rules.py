@@ -148,3 +148,9 @@ def test_reports(spark):
     both = {r.i for r in sampling.unseen(ids, "i", [("a", F.lit(True)), ("b", F.col("i") < 500)]).collect()}
     one = {r.i for r in sampling.unseen(ids, "i", [("a", F.lit(True))]).collect()}
     assert both < one and 400 < len(one) < 600 and {i for i in one if i >= 500} == {i for i in both if i >= 500}
+
+
+def test_files_of_one_hash_are_one_content(spark):
+    rows = [("g", "a", "x", 7, 1.0), ("g", "b", "y", 7, 3.0), ("g", "c", "z", 7 | 1 << 40, 2.0), ("g", "d", "w", None, 9.0), ("h", "e", "v", 7, 1.0), ("g", "f", None, 0x7FFF << 20, 5.0)]
+    df = spark.createDataFrame(rows, "group string, file string, digest string, bits long, score double").withColumn("area", F.lit(0)).withColumn("mtime", F.lit(0))
+    assert {r.file: r.root for r in matching.content_groups(df, "group").collect()} == {"a": "b", "b": "b", "c": "b", "d": "d", "e": "e", "f": "f"}
