@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 # Least score of a style, least number of shared axes, bonus of a typical grape.
 THRESHOLD, MIN_SHARED, BONUS = 0.80, 3, 0.10
 
@@ -41,6 +43,60 @@ def one_per_maker(scored: DataFrame, item: str, maker: str, other: str, score: s
     return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+#: Cards that are compared with all others at once.
+BLOCK = 2048
+# Weights of grapes, region and description; from which likeness on a description is a reason; names of grapes that say nothing.
+GRAPES, REGION, DESCRIPTION, ALIKE = 3.0, 1.0, 2.0, 0.25
+GENERIC_GRAPES = ("белые сорта винограда", "красные сорта винограда", "розовые сорта винограда", "купаж", "белые сорта", "красные сорта")
+
+
+def description_vectors(cards: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
+    """(id, vector): of cards (id, words) a map of (1 + ln tf) ln((1 + N) / (1 + df)) by word, of length one; cards without words have an empty one."""
+    n = cards.count()
+    tf = cards.select("id", F.explode("words").alias("word")).filter(~F.coalesce(F.col("word").isin(*stop), F.lit(False))).groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    w = tf.join(df, "word").select("id", "word", ((1 + F.log("tf")) * F.log((1 + F.lit(n)) / (1 + F.col("df")))).alias("w"))
+    by = w.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "w")))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    scaled = F.transform_values("m", lambda _, v: v / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0))
+    none = F.create_map().cast("map<string, double>")
+    return cards.select("id").join(by.select("id", scaled.alias("vector")), "id", "left").select("id", F.coalesce("vector", none).alias("vector"))
+
+
+def analogs(cards: DataFrame, asked: DataFrame, n: int = 6, block: int = BLOCK) -> DataFrame:
+    """(item, other, maker, score, rank, reasons): for the ``asked`` cards (id) the ``n`` most like them, of one category and sparkle, of other makers, one of each.
+
+    Cards: id, maker, category, sparkling, grapes (array), sweetness (a step), region and vector (of ``description_vectors``). 1, and 3 times the Jaccard
+    index of the grapes that say something, 2 for equal and 0.7 for neighbouring sweetness, 1 for the region, twice the cosine of the
+    descriptions. Reasons: ``color``, ``grapes``, ``sweetness``, ``sparkling``, ``region``, ``description``. Equal scores go by id.
+
+    Asked cards go to the tasks in blocks of about ``block`` rows, against all cards; a task sends on its best card of each maker only.
+    """
+    plain = F.filter(F.array_distinct(F.transform(F.coalesce("grapes", F.array().cast("array<string>")), F.lower)), lambda g: ~g.isin(*GENERIC_GRAPES))
+    held = cards.withColumns({"sparkling": F.coalesce("sparkling", F.lit(False)), "grapes": plain}).select("id", "maker", "category", "sparkling", "grapes", "sweetness", "region", "vector")
+    own = held.join(asked.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("item"), "category", "sparkling", *[F.col(c).alias(f"_{c}") for c in ("maker", "grapes", "sweetness", "region", "vector")])
+    own = written(own, "asked-cards")
+    blocks = max(1, -(-own.count() // block))
+    share = jaccard(F.col("grapes"), F.col("_grapes"))
+    near = F.coalesce(sweetness_score(F.col("sweetness"), F.col("_sweetness")), F.lit(0.0))
+    region = F.coalesce(F.col("region") == F.col("_region"), F.lit(False))
+    both = F.map_filter(F.col("vector"), lambda k, _: F.map_contains_key("_vector", k))
+    alike = F.aggregate(F.map_entries(both), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("_vector", e["key"]), F.lit(0.0)))
+    score = 1 + GRAPES * F.col("share") + F.col("near") + F.when(F.col("here"), REGION).otherwise(0.0) + DESCRIPTION * F.col("alike")
+    reasons = F.array_compact(F.array(
+        F.lit("color"), F.when(F.col("share") > 0, "grapes"), F.when(F.col("near") == 2, "sweetness"), F.when(F.col("sparkling"), "sparkling"), F.when(F.col("here"), "region"), F.when(F.col("alike") >= ALIKE, "description")
+    ))
+    found = None
+    for b in range(blocks):
+        part = F.broadcast(own.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b))
+        met = held.join(part, ["category", "sparkling"]).filter((F.col("id") != F.col("item")) & ~F.coalesce(F.col("maker") == F.col("_maker"), F.lit(False)))
+        met = met.select("item", F.col("id").alias("other"), "maker", "sparkling", share.alias("share"), near.alias("near"), region.alias("here"), F.round(alike, 9).alias("alike"))
+        best = F.min(F.struct((-F.round(score, 6)).alias("low"), "other", reasons.alias("reasons"))).alias("b")
+        top = met.groupBy("item", "maker").agg(best).select("item", "maker", "b.*")
+        found = top if found is None else found.unionByName(top)
+    w = Window.partitionBy("item").orderBy("low", "other")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("item", "other", "maker", (-F.col("low")).alias("score"), "rank", "reasons")
+
+
 def sensory(sugar: Column, text: Column, color: Column, profile: Column, abv: Column) -> Column:
     """The seven axes from a catalog card by fixed rules, with the share of axes that were really derived.
 

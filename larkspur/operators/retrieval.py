@@ -7,6 +7,7 @@ each batch only, so what is shuffled doesn't grow with documents times queries.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.similarity import token_set_ratio
 from ..functions.text import word_list, words
@@ -99,8 +101,8 @@ def _blocks(weights: DataFrame, cells: int = CELLS) -> Iterator[tuple[list, list
     """
     weights = written(weights, "asked")
     rows, queries = weights.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()
-    side = max(1, int(cells**0.5))
-    n = max(1, -(-rows // (4 * side)), -(-queries // side))
+    # a block has about queries / n columns, and no more terms than its rows: rows / n
+    n = max(1, math.ceil(math.sqrt(rows * queries / cells)))
     for block in range(n):
         own = weights.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).toArrow()
         if not len(own):
@@ -221,6 +223,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, per_group: bool = Fa
     return ranking.top_k(out, ["query_id", "group"] if per_group else ["query_id"], "score", "id", k)
 
 
+def nearest_centres(vectors: DataFrame, centres: DataFrame, k: int = 2) -> DataFrame:
+    """(id, centre, score, rank): of every vector (id, vector) the ``k`` centres (centre, vector) with the largest cosine, rounded to nine digits.
+
+    Centres are few: they go to all tasks as a matrix (at most CELLS numbers, else an error), and each batch of vectors is multiplied by it. Equal
+    scores go by centre; no pair is shuffled.
+    """
+    held = centres.orderBy("centre").select("centre", "vector").collect()
+    matrix = np.array([r.vector for r in held], float).reshape(len(held), -1)
+    if matrix.size > CELLS:
+        raise ValueError(f"{len(held)} centres are too many for a matrix of {CELLS} numbers")
+    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300) if len(held) else matrix
+    names, shared = [r.centre for r in held], vectors.sparkSession.sparkContext.broadcast(matrix)
+    types = [vectors.schema["id"].dataType.simpleString(), centres.schema["centre"].dataType.simpleString()]
+    kind = to_arrow_type(centres.schema["centre"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch.column(0), batch.column(1)
+            if not len(names) or not len(ids):
+                continue
+            scores = np.round(lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1) @ shared.value.T, 9) + 0.0
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            at = np.repeat(np.arange(len(ids)), order.shape[1])
+            columns = [ids.take(pa.array(at)), pa.array([names[j] for j in order.ravel()], kind), pa.array(np.take_along_axis(scores, order, axis=1).ravel()), pa.array(np.tile(np.arange(1, order.shape[1] + 1, dtype=np.int32), len(ids)))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "centre", "score", "rank"])
+
+    return vectors.select("id", "vector").mapInArrow(run, f"id {types[0]}, centre {types[1]}, score double, rank int")
+
+
 def nearest_of_several(vectors: DataFrame, queries: DataFrame, k: int, extra: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank): the largest product of an item with any of a question's vectors (query_id, part, vector); the best ``k``, and the
     ``extra`` items (query_id, id) that are to be scored too.

@@ -201,12 +201,36 @@ s AS (SELECT a.id AS item, b.id AS other, b.maker, 1 + 3.0::DOUBLE * len(list_in
 f AS (SELECT *, row_number() OVER (PARTITION BY item, maker ORDER BY round(score, 6) DESC, other) AS m FROM s), r AS (SELECT item, other, maker, round(score, 6) AS score, row_number() OVER (PARTITION BY item ORDER BY round(score, 6) DESC, other) AS rank FROM f WHERE m = 1)
 SELECT * FROM r WHERE rank <= 6""")
 def analog_jaccard(t):
-    p = t("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("maker"), F.col("p_type").alias("kind"), (F.col("p_size") % 4).alias("step"), F.split("p_name", " ").alias("tags"))
-    asked = p.filter("id % 100 = 0").select(F.col("id").alias("item"), F.col("maker").alias("own"), "kind", F.col("step").alias("s2"), F.col("tags").alias("t2"))
-    met = p.join(asked, "kind").filter("maker <> own")
-    score = 1 + 3.0 * recommend.jaccard(F.col("tags"), F.col("t2")) + recommend.sweetness_score(F.col("step"), F.col("s2"))
-    scored = met.select("item", F.col("id").alias("other"), "maker", F.round(score, 6).alias("score"))
-    return recommend.one_per_maker(scored, "item", "maker", "other", "score", 6)
+    """The six parts most like each hundredth one, of other brands: by the words of their names and by a step."""
+    none = F.create_map().cast("map<string, double>")
+    cards = t("part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("maker"), F.col("p_type").alias("category"), F.lit(False).alias("sparkling"), F.split("p_name", " ").alias("grapes"),
+        (F.col("p_size") % 4).alias("sweetness"), F.lit(None).cast("string").alias("region"), none.alias("vector"),
+    )
+    return recommend.analogs(cards, cards.filter("id % 100 = 0")).drop("reasons")
+
+
+_WORDED = """p AS (SELECT p_partkey AS id, p_brand AS maker, p_type AS category, p_size % 6 = 0 AS sparkling, list_filter(list_distinct(string_split(p_name, ' ')), lambda x: p_size % 5 > 0) AS grapes, CASE WHEN p_size % 7 > 0 THEN p_size % 4 END AS step,
+  CASE WHEN p_size % 8 > 0 THEN p_size % 3 END AS region, list_concat(string_split(p_name, ' '), ['w' || (p_size % 9), 'w' || (p_partkey % 11), 'w' || (p_partkey % 4)]) AS words FROM part)"""
+
+
+@query(f"""WITH {_WORDED}, tf AS (SELECT id, word, count(*) AS tf FROM (SELECT id, unnest(words) AS word FROM p) GROUP BY 1, 2), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1), nd AS (SELECT count(*) AS n FROM p),
+w AS (SELECT id, word, (1 + ln(tf)) * ln((1 + n) / (1 + df)::DOUBLE) AS w FROM tf JOIN df USING (word), nd), v AS (SELECT id, word, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w),
+m AS (SELECT a.id AS item, b.id AS other, b.maker, b.sparkling, len(list_intersect(a.grapes, b.grapes)) / nullif(len(list_distinct(list_concat(a.grapes, b.grapes))), 0)::DOUBLE AS share, CASE abs(a.step - b.step) WHEN 0 THEN 2.0::DOUBLE WHEN 1 THEN 0.7::DOUBLE ELSE 0 END AS near,
+  coalesce(a.region = b.region, FALSE) AS here, round(coalesce((SELECT sum(x.w * y.w) FROM v x JOIN v y USING (word) WHERE x.id = a.id AND y.id = b.id), 0), 9) AS alike FROM p a JOIN p b ON a.category = b.category AND a.sparkling = b.sparkling AND a.maker <> b.maker AND a.id <> b.id WHERE a.id % 100 = 0),
+s AS (SELECT *, round(1 + 3.0::DOUBLE * coalesce(share, 0) + near + here::INT + 2.0::DOUBLE * alike, 6) AS score FROM m),
+o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item, maker ORDER BY score DESC, other) = 1)
+SELECT item, other, maker, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, other)::INT AS rank,
+  list_filter(['color', CASE WHEN share > 0 THEN 'grapes' END, CASE WHEN near = 2 THEN 'sweetness' END, CASE WHEN sparkling THEN 'sparkling' END, CASE WHEN here THEN 'region' END, CASE WHEN alike >= 0.25 THEN 'description' END], lambda x: x IS NOT NULL) AS reasons FROM o QUALIFY rank <= 6""")
+def card_analogs(t):
+    """The parts most like each hundredth one with their reasons: grapes, sweetness, region and the words of their descriptions."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    word = lambda c: F.concat(F.lit("w"), c.cast("string"))
+    cards = t("part").select(
+        key.alias("id"), F.col("p_brand").alias("maker"), F.col("p_type").alias("category"), (size % 6 == 0).alias("sparkling"), F.filter(F.split("p_name", " "), lambda _: size % 5 > 0).alias("grapes"), F.when(size % 7 > 0, size % 4).alias("sweetness"),
+        F.when(size % 8 > 0, size % 3).alias("region"), F.concat(F.split("p_name", " "), F.array(word(size % 9), word(key % 11), word(key % 4))).alias("words"),
+    )
+    return recommend.analogs(cards.join(recommend.description_vectors(cards.select("id", "words")), "id"), cards.filter("id % 100 = 0"))
 
 
 @query("""SELECT event_type, count(*) AS n, sum((value < 5)::INT)::BIGINT AS errors, round(min(value) FILTER (WHERE value >= 5), 6) AS least, round(avg(value) FILTER (WHERE value >= 5), 6) AS mean,

@@ -83,8 +83,8 @@ def zero_shot_margin(t):
     e = t("embeddings").select("vec_id", F.col("label").alias("truth"), V.doubles("embedding").alias("v"))
     means = e.select("truth", F.posexplode("v").alias("i", "x")).groupBy("truth", "i").agg(F.avg("x").alias("x"))
     means = means.groupBy(F.col("truth").alias("label")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
-    scored = e.join(means).select("vec_id", "truth", "label", (V.dot(F.col("v"), F.col("m")) / V.norm(F.col("m"))).alias("score"))
-    best = R.margin(scored, ["vec_id"], "score", "label")
+    top = retrieval.nearest_centres(e.select(F.struct("vec_id", "truth").alias("id"), F.col("v").alias("vector")), means.select(F.col("label").alias("centre"), F.col("m").alias("vector")))
+    best = R.margin(top.select("id.*", F.col("centre").alias("label"), "score"), ["vec_id"], "score", "label")
     return best.select("vec_id", "truth", "label", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), (F.col("margin") >= 0.05).alias("sure"))
 
 
