@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
+from .exact_dedup import misra_gries
 from .tables import join_hot, materialise, width
 
 RADIUS = 3
@@ -152,18 +153,29 @@ def _met(own: np.ndarray, fps: np.ndarray, copies: np.ndarray, table: int, masks
     return found
 
 
+def _crowded(tables: DataFrame, crowd: int) -> DataFrame:
+    """(table, key, n): the keys of more than ``crowd`` rows among those that Misra-Gries summaries find; 1,023 rows at most."""
+    hashed = tables.select("table", "key", F.xxhash64("table", "key").alias("at"))
+    found = materialise(misra_gries(hashed, "at"), "frequent-keys")
+    counted = hashed.join(F.broadcast(found.select("at")), "at").groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"))
+    return materialise(counted.filter(F.col("n") > crowd), "crowded-keys")
+
+
 def neighbour_counts(distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """(fp, near): for each fp of ``distinct`` (fp, copies), how many rows have another one within the radius.
 
     Only counts leave a task, never pairs. Of a key that more than ``crowd`` fingerprints share, blocks of about that many are
-    compared two by two, each in a task of its own.
+    compared two by two, each in a task of its own; keys of more than a five-hundredth of all rows go to their blocks from
+    where they are read, so no task gets all of such a key.
     """
     masks = np.array(block_tables(radius), np.uint64)
     signed = masks.view(np.int64).tolist()
     keys = F.array(*[F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
     tables = distinct.select("fp", "copies", F.explode(keys).alias("at")).select("at.table", "at.key", "fp", "copies")
     here = Window.partitionBy("table", "key")
-    tables = tables.repartition(width(distinct), "table", "key").withColumn("n", F.count(F.lit(1)).over(here))
+    crowded = _crowded(tables, crowd) if distinct.count() > crowd else None  # else no key can have so many
+    known = tables.withColumn("n", F.lit(None).cast("long")) if crowded is None else tables.join(F.broadcast(crowded), ["table", "key"], "left").select("table", "key", "fp", "copies", "n")
+    rest = known.filter("n IS NULL").repartition(width(distinct), "table", "key").withColumn("n", F.count(F.lit(1)).over(here))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, runs in _runs(batches):
@@ -177,9 +189,12 @@ def neighbour_counts(distinct: DataFrame, radius: int = RADIUS, crowd: int = CRO
                 yield pa.RecordBatch.from_pydict({"fp": found, "near": near})
 
     both = [F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(True).alias("asks"), F.lit(True).alias("asked")]
-    few = tables.filter((F.col("n") > 1) & (F.col("n") <= crowd)).select("table", "key", *both, "fp", "copies")
+    few = rest.filter((F.col("n") > 1) & (F.col("n") <= crowd)).select("table", "key", *both, "fp", "copies")
     blocks = F.ceil(F.col("n") / crowd).cast("int")
-    many = tables.filter(F.col("n") > crowd).withColumn("mine", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    many = rest.filter(F.col("n") > crowd)
+    if crowded is not None:
+        many = many.unionByName(known.filter("n IS NOT NULL"))
+    many = many.withColumn("mine", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     # block a asks block b
     side = lambda a, b, asks: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(asks).alias("asks"), F.lit(not asks).alias("asked"))
     many = many.select("table", "key", F.explode(F.array(side("mine", "other", True), side("other", "mine", False))).alias("at"), "fp", "copies")
