@@ -63,9 +63,11 @@ def heuristic_profile(color: Column, name: Column, description: Column, abv: Col
     """The axes by color and by the words of name and description, with ``abv_percent``; null without one of the known colors."""
     text = F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(description, F.lit("")))
     known = F.lower(F.trim(color))
-    table = {key: dict(zip(AXES, values, strict=True)) for key, values in BY_COLOR.items()}
-    axes = vector_of(known, ~keyword_sparkling(text), table, {"sweetness": keyword_sweetness(text)})
-    whole = F.struct(*[axes[a].alias(a) for a in AXES], F.coalesce(abv.cast("double"), F.lit(STRENGTH)).alias("abv_percent"))
+    rows = [(F.lit(f"{c}:{still}"), F.array(*[F.lit(float(v)) for v in values])) for (c, still), values in BY_COLOR.items()]
+    table = F.create_map(*[x for row in rows for x in row])
+    axes = F.try_element_at(table, F.concat_ws(":", known, F.when(keyword_sparkling(text), "False").otherwise("True")))
+    first = F.coalesce(keyword_sweetness(text), axes[0]).alias(AXES[0])
+    whole = F.struct(first, *[axes[i].alias(a) for i, a in enumerate(AXES) if i], F.coalesce(abv.cast("double"), F.lit(STRENGTH)).alias("abv_percent"))
     return F.when(known.isin(*{c for c, _ in BY_COLOR}), whole)
 
 

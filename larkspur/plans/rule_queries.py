@@ -213,7 +213,7 @@ q AS (SELECT p_partkey AS query_id, {_READ} AS a FROM part WHERE p_partkey % 100
 h AS (SELECT query_id, a, query_id + j AS id, round(1 - j / 50.0::DOUBLE, 6) AS score, j::INT AS rank FROM q, range(1, 13) r(j) WHERE query_id + j IN (SELECT id FROM c)),
 p AS (SELECT query_id, h.id, a, c.text AS b FROM h JOIN c USING (id) WHERE rank <= 10 AND EXISTS (SELECT 1 FROM i, med WHERE idf >= m AND list_contains(string_split(h.a, ' '), word))),
 {_likeness_sql("SELECT * FROM p")},
-g AS (SELECT query_id, id, (SELECT sum(CASE WHEN list_contains(string_split(a, ' '), word) THEN idf ELSE 0 END) / sum(idf) FROM words JOIN i USING (word) WHERE words.id = scored.id) AS share, score_1 FROM (SELECT query_id, id, a, score AS score_1 FROM scored) scored),
+g AS (SELECT query_id, id, (SELECT sum(CASE WHEN list_contains(string_split(a, ' '), word) THEN idf ELSE 0 END) / sum(idf) FROM words JOIN i USING (word) WHERE words.id = scored.id) AS share, score_1 FROM (SELECT query_id, id, a, 100 * CASE WHEN n > 0 AND len(c) IN (len(s), len(t)) THEN 1 WHEN n > 0 THEN greatest(whole, 2.0::DOUBLE * n / (n + least(length(x), length(y)))) ELSE whole END AS score_1 FROM scored) scored),
 f AS (SELECT h.query_id, h.id, h.score, rank AS was, CASE WHEN rank <= 10 THEN round(h.score + 0.5::DOUBLE * coalesce(share + 0.35::DOUBLE * score_1 / 100, 0), 6) ELSE h.score END AS final FROM h LEFT JOIN g USING (query_id, id))
 SELECT query_id, id, score, final, row_number() OVER (PARTITION BY query_id ORDER BY was > 10, CASE WHEN was <= 10 THEN -final END, was)::INT AS rank FROM f""")
 def text_rerank(t):
