@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import discard, written
 from .joins import skewed
 
 
@@ -18,19 +18,22 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
     links = written(links.union(links.select("v", "u")).distinct())
-    labels = written(links.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("root"), F.count(F.lit(1)).alias("degree")))
+    held = written(links.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("root"), F.count(F.lit(1)).alias("degree")))
     while True:
+        labels = held.select("node", "root", "degree")
         # of as many links as a node has, so many ask for its label
         asked = labels.select(F.col("node").alias("v"), F.col("root").alias("near"), "degree")
         near = skewed(links, asked, "v", "degree").groupBy("u").agg(F.min("near").alias("near"))
         step = written(labels.join(near, F.col("node") == F.col("u")).select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"), "degree"))
         shares = step.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("far")).join(shares, "root")
-        after = written(skewed(step, written(jump), "root", "n").select("node", "was", F.least("root", "far").alias("root"), "degree"))
-        changed = after.filter("root <> was").limit(1).count()
-        labels = after.select("node", "root", "degree")
-        if not changed:
-            return labels.select("node", "root")
+        jump = written(step.select(F.col("node").alias("root"), F.col("root").alias("far")).join(shares, "root"))
+        after = written(skewed(step, jump, "root", "n").select("node", "was", F.least("root", "far").alias("root"), "degree"))
+        for old in (held, step, jump):  # the last round's labels and what led from them to these
+            discard(old)
+        held = after
+        if not after.filter("root <> was").limit(1).count():
+            discard(links)
+            return after.select("node", "root")
 
 
 def families(items: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:

@@ -94,6 +94,11 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_and_total(df: DataFrame, name: str, id_col: str, offset: int, limit: int) -> DataFrame:
+    """A page of ``df`` in the order of names in lower case, then ids, with ``total``, how many rows there are in all."""
+    return page(df, [F.lower(name), F.col(id_col)], offset, limit).withColumn("total", F.lit(df.count()))
+
+
 def union_first(parts: list[DataFrame], key: str) -> DataFrame:
     """The rows of all parts; of a key that comes again, that of the first part."""
     marked = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]

@@ -100,6 +100,14 @@ def word_skeletons(t):
     return words.select("token", T.skeleton(F.col("token")).alias("skeleton"))
 
 
+@query("SELECT p_partkey, p_name, (SELECT count(*) FROM part WHERE p_size > 5) AS total FROM part WHERE p_size > 5 ORDER BY lower(p_name), p_partkey LIMIT 20 OFFSET 40")
+def catalog_page(t):
+    """The third page of twenty parts by name, and how many there are."""
+    from ..operators import ranking
+
+    return ranking.page_and_total(t("part").filter("p_size > 5").select("p_partkey", "p_name"), "p_name", "p_partkey", 40, 20)
+
+
 # ---- filters
 
 
