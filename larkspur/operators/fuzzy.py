@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.similarity import common_subsequence
 from ..sources.scratch import discard, written
+from .retrieval import spread
 
 #: Queries of a block; names that are bounded at once.
 BLOCK, NAMES = 8192, 4096
@@ -118,7 +119,7 @@ def most_alike(queries: DataFrame, names: DataFrame, least: float, k: int) -> Da
     blocks = max(1, -(-asked.count() // BLOCK))
     of = [queries.schema["query_id"].dataType, names.schema["id"].dataType]
     kinds, types = [t.simpleString() for t in of], [*map(to_arrow_type, of), pa.string(), pa.float64()]
-    scanned = names.select("id", "name", "n").filter("n <> '' AND id IS NOT NULL")
+    scanned = spread(names.select("id", "name", "n").filter("n <> '' AND id IS NOT NULL"))
     for b in range(blocks):
         held = [(r.query_id, r.q) for r in asked.filter(F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks)) == b).collect()]  # about BLOCK rows
         shared = spark.sparkContext.broadcast(held)

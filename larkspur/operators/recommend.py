@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .retrieval import spread
 
 # Least score of a style, least number of shared axes, bonus of a typical grape.
 THRESHOLD, MIN_SHARED, BONUS = 0.80, 3, 0.10
@@ -72,7 +73,7 @@ def analogs(cards: DataFrame, asked: DataFrame, n: int = 6, block: int = BLOCK)
     Asked cards go to the tasks in blocks of about ``block`` rows, against all cards; a task sends on its best card of each maker only.
     """
     plain = F.filter(F.array_distinct(F.transform(F.coalesce("grapes", F.array().cast("array<string>")), F.lower)), lambda g: ~g.isin(*GENERIC_GRAPES))
-    held = cards.withColumns({"sparkling": F.coalesce("sparkling", F.lit(False)), "grapes": plain}).select("id", "maker", "category", "sparkling", "grapes", "sweetness", "region", "vector")
+    held = spread(cards).withColumns({"sparkling": F.coalesce("sparkling", F.lit(False)), "grapes": plain}).select("id", "maker", "category", "sparkling", "grapes", "sweetness", "region", "vector")
     own = held.join(asked.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("item"), "category", "sparkling", *[F.col(c).alias(f"_{c}") for c in ("maker", "grapes", "sweetness", "region", "vector")])
     own = written(own, "asked-cards")
     blocks = max(1, -(-own.count() // block))

@@ -52,7 +52,7 @@ class Index:
         return Index(self.rows.join(ids, "id", "left_semi"), self.n, self.avgdl)
 
 
-def _spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where it comes in fewer partitions than these; such a table is small, and a few files hold it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
@@ -60,7 +60,7 @@ def _spread(df: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, id_col: str, text_col: str) -> Index:
     """The index of all documents, those without words too. Counting happens within a row, so only a table of few partitions is shuffled."""
-    held = _spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    held = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     term = pa.struct([("term", pa.string()), ("tf", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
