@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ ALPHA = 0.5
 UNKNOWN = "und"
 #: Evidence counts as that of so many n-grams at most when it is turned into a probability.
 EVIDENCE = 40.0
-CHUNK = 1 << 19  # characters scored at once
+CHUNK = 1 << 17  # characters scored at once
 
 
 @dataclass
@@ -83,6 +84,13 @@ def _chunks(lengths: list[int]) -> Iterator[slice]:
         yield slice(start, len(lengths))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut where the texts of column ``at`` reach CHUNK bytes; strings of a whole batch are never held together."""
+    for batch in batches:
+        for part in _chunks(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()):
+            yield batch.slice(part.start, part.stop - part.start)
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", alpha: float = ALPHA) -> Model:
     """A model of every language in ``labelled``; rows with a null text or language don't count.
 
@@ -110,17 +118,15 @@ def _counted(rows: DataFrame, languages: list[str], alpha: float) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(index), buckets), np.int64)
-        for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in _chunks([len(t) for t in texts]):
-                bucket, owner = grams(texts[part], buckets)
-                of = np.array([index[x] for x in langs[part]], np.int64)
-                cells = of[owner] * buckets + bucket
-                if total.size <= 1 << 20:
-                    total += np.bincount(cells, minlength=total.size).reshape(total.shape)
-                else:  # a matrix for each chunk would be the larger part of the work
-                    found, n = np.unique(cells, return_counts=True)
-                    total.ravel()[found] += n
+        for batch in _parts(batches, 0):
+            bucket, owner = grams(batch.column(0).to_pylist(), buckets)
+            of = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
+            cells = of[owner] * buckets + bucket
+            if total.size <= 1 << 20:
+                total += np.bincount(cells, minlength=total.size).reshape(total.shape)
+            else:  # a matrix for each chunk would be the larger part of the work
+                found, n = np.unique(cells, return_counts=True)
+                total.ravel()[found] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"cell": at, "n": total.ravel()[at]})
 
@@ -193,7 +199,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
         names = [*(held.columns if first else held.columns[:-3]), "lang", "raw", "spread"]
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last, names=names) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _parts(batches, at):
                 before = None if first else (batch.column(len(kept)).to_pylist(), *(batch.column(len(kept) + i).to_numpy(zero_copy_only=False) for i in (1, 2)))
                 texts = batch.column(at).to_pylist()
                 langs, raw, spread, factor = _folded(shared.value, texts, before)

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 from pathlib import Path
 from zlib import crc32
 
@@ -26,7 +27,7 @@ from .tables import materialise, width
 SEQUENCE, END = 2048, 0
 #: Pieces of a packing shard.
 SHARD = 32_768
-#: Words whose ids a worker remembers, about 150 bytes each, and as many that it has met before those.
+#: Words whose ids a task remembers, about 150 bytes each, and as many that it has met before those.
 REMEMBERED = 500_000
 
 _stop = re.compile(rb"[.,](?<=[a-z].)")
@@ -87,10 +88,14 @@ class WordEncoder:
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             self.known.update((w.encode(), np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+    def forget(self) -> None:
+        """Let go of the words, as the worker lives on for tasks of other stages."""
+        self.known, self.before = {}, {}
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text (null: none)."""
-        for at in range(0, len(texts), 64):
-            part = [t or "" for t in texts[at : at + 64]]
+        for some in batched(texts, 64):
+            part = [t or "" for t in some]
             # special tokens are told by their case
             split = [self.words(t) if self.by_word and "<|" not in t else None for t in part]
             if len(self.known) > REMEMBERED:
@@ -116,19 +121,23 @@ def pieces(docs: DataFrame, text_col: str, id_col: str, tokenizer: str, size: in
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {"at": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-            # the texts are read a few at a time: ids of a whole batch are never held together
-            for row, ids in enumerate(encoder(tokenizer).encode(batch.column(2).to_pylist())):
-                ids += last
-                for piece, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
-                    for name, value in zip(out, (row, piece, at // 4, len(part) // 4, crc32(part)), strict=True):
-                        out[name].append(value)
-            at = pa.array(out.pop("at"), pa.int64())
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(out.pop("piece"), pa.int32())]
-            columns += [pa.array(v, pa.int64()) for v in out.values()]
-            yield pa.RecordBatch.from_arrays(columns, ["row_no", "id", "piece", "start", "length", "ids_crc32"])
+        known = encoder(tokenizer)
+        try:
+            for batch in batches:
+                out: dict[str, list] = {"at": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
+                # the texts are read a few at a time: strings and ids of a whole batch are never held together
+                for row, ids in enumerate(known.encode(t.as_py() for t in batch.column(2))):
+                    ids += last
+                    for piece, at in enumerate(range(0, len(ids), 4 * size)):
+                        part = ids[at : at + 4 * size]
+                        for name, value in zip(out, (row, piece, at // 4, len(part) // 4, crc32(part)), strict=True):
+                            out[name].append(value)
+                at = pa.array(out.pop("at"), pa.int64())
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(out.pop("piece"), pa.int32())]
+                columns += [pa.array(v, pa.int64()) for v in out.values()]
+                yield pa.RecordBatch.from_arrays(columns, ["row_no", "id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            known.forget()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import pytest
 from pyspark.sql import types as T
 
@@ -31,3 +33,27 @@ def odd(make):
     for name in ("id", "fp", "row", "shard", "score", "kept", "size", "text_sha256", "_id"):
         df = df.withColumn(name, F.lit("clash"))
     return df
+
+
+@pytest.fixture
+def sent(spark, monkeypatch):
+    """The functions given to mapInArrow, in turn."""
+    frame, functions = type(spark.range(0)), []
+    real = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **k: functions.append(f) or real(self, f, *a, **k))
+    return functions
+
+
+@pytest.fixture(scope="session")
+def held():
+    """Rows that a function makes of one Arrow batch, and how many MB of its own it holds meanwhile at most."""
+
+    def measure(function, batch):
+        tracemalloc.start()
+        try:
+            rows = sum(len(b) for b in function(iter([batch])))
+            return rows, tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    return measure

@@ -7,6 +7,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -70,6 +71,18 @@ def test_packing(spark, make, odd):
     assert check_pack(docs, packing.pack(docs, shard=32).collect()) > 0
 
 
+def test_packing_leaves_no_words_to_later_stages(make, sent, held):
+    """A worker that has cut its documents keeps none of their words, and never has the strings of a whole batch together."""
+    packing.pieces(make(["x"]), "text", "doc_id", packing.default_tokenizer())
+    cut = sent[0]
+    texts = [f"w{i} " + "some words of a text " * 100 for i in range(8000)]
+    n, mb = held(cut, pa.record_batch({"row_no": pa.array(range(8000)), "id": pa.array(range(8000)), "text": texts}))
+    assert n == 8000 and mb < 16
+    encoder = packing.encoder(packing.default_tokenizer())
+    assert not encoder.known and not encoder.before
+    assert list(encoder.encode(["some words"])) == [encoder.whole("some words")]
+
+
 def sainte_lague(votes, seats):
     """One seat at a time, by the highest quotient."""
     won = dict.fromkeys(votes, 0)

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,22 @@ def test_naive_bayes_against_brute_force(spark, make):
         assert langid.classify(model, [text])[0] == [model.languages[int(np.argmax(sums))]]
 
 
+def test_language_id_never_holds_a_whole_batch(make, sent, held):
+    """Neither counting nor scoring has the strings or n-grams of a batch together, however many rows it has."""
+    docs = make([(1, "some words", "en", "s"), (2, "ein paar Worte", "de", "s")])
+    model = langid.train(docs)
+    got = langid.identify(docs, model)
+    count, score = sent
+    texts = [None if i % 500 == 0 else f"{i} " + "some words of a text " * 100 for i in range(4000)]
+    there = [t for t in texts if t]
+    n, mb = held(count, pa.record_batch({"text": there, "lang": ["en"] * len(there)}))
+    assert n > 0 and mb < 30
+    columns = {"c0": pa.array(range(4000)), "c1": texts, "c2": ["en"] * 4000, "c3": ["s"] * 4000, "c4": pa.nulls(4000, pa.int64())}
+    n, mb = held(score, pa.record_batch(columns))
+    assert n == 4000 and mb < 30
+    assert got.count() == 2
+
+
 def brute_marginals(e, chain):
     from itertools import product
 
