@@ -177,6 +177,26 @@ def test_query_blocks_lose_nothing(spark, monkeypatch):
     assert len(whole[0]) == 80 and len(whole[1]) == 45
 
 
+def test_dense_search_holds_few_scores_at_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    v, group = rng.integers(-3, 4, (300, 4)).astype(float), rng.integers(0, 3, 300).tolist()  # many equal scores
+    held, sizes, first = [pa.RecordBatch.from_pydict({"id": list(range(a, a + 60)), "vector": v[a : a + 60].tolist(), "group": group[a : a + 60]}) for a in range(0, 300, 60)], [], retrieval._first
+    monkeypatch.setattr(retrieval, "CELLS", 4000)
+    monkeypatch.setattr(retrieval, "_first", lambda scores, *rest: sizes.append(scores.size) or first(scores, *rest))
+    cases = {(): lambda q, i: True, ("other_groups",): lambda q, i: group[q] != group[i], ("own_group",): lambda q, i: group[q] == group[i]}
+    for flags, fits in cases.items():
+        found: dict = {}
+        for b in retrieval._search(iter(held), pa.array(range(200)), v[:200], group[:200], 3, **dict.fromkeys(flags, True)):
+            for q, i, _, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found.setdefault(q, []).append((-s, i))
+        for q in range(200):
+            assert sorted(found[q])[:3] == sorted((-float(v[q] @ v[i]), i) for i in range(300) if i != q and fits(q, i))[:3]
+    assert max(sizes) <= 1000
+
+
 def test_components_of_a_hub(spark):
     edges = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(2999, 3000), (5000, 5001)], "a int, b int")
     got = {r.node: r.root for r in families.components(edges).collect()}
