@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (two columns): the smallest node that each can reach.
 
     Every node takes the least label among itself and its neighbours and then its label's label, until none changes;
-    jumping labels makes long chains settle in logarithmic rounds. The links of a hub are met by a bounded broadcast.
+    jumping labels makes long chains settle in logarithmic rounds. The links of a hub are met by a bounded broadcast; nothing else is,
+    as files of ten megabytes can hold more rows than the driver has room for.
     """
     a, b = edges.columns
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
@@ -24,9 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         # of as many links as a node has, so many ask for its label
         asked = labels.select(F.col("node").alias("v"), F.col("root").alias("near"), "degree")
         near = skewed(links, asked, "v", "degree").groupBy("u").agg(F.min("near").alias("near"))
-        step = written(labels.join(near, F.col("node") == F.col("u")).select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"), "degree"))
+        step = written(labels.hint("merge").join(near, F.col("node") == F.col("u")).select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"), "degree"))
         shares = step.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-        jump = written(step.select(F.col("node").alias("root"), F.col("root").alias("far")).join(shares, "root"))
+        jump = written(step.select(F.col("node").alias("root"), F.col("root").alias("far")).hint("merge").join(shares, "root"))
         after = written(skewed(step, jump, "root", "n").select("node", "was", F.least("root", "far").alias("root"), "degree"))
         for old in (held, step, jump):  # the last round's labels and what led from them to these
             discard(old)
@@ -39,13 +40,13 @@ def components(edges: DataFrame) -> DataFrame:
 def families(items: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
     """(family_id, members) of components of two or more: the smallest member and how many there are."""
     c = components(edges)
-    known = c.join(items.select(F.col(id_col).alias("node")), "node", "left_semi")
+    known = c.hint("merge").join(items.select(F.col(id_col).alias("node")), "node", "left_semi")
     return known.groupBy(F.col("root").alias("family_id")).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
 
 
 def family_of(ids: DataFrame, components_: DataFrame, id_col: str) -> DataFrame:
     """Every id with its family, itself if it is alone."""
-    met = ids.join(components_, ids[id_col] == components_["node"], "left")
+    met = ids.join(components_.hint("merge"), ids[id_col] == components_["node"], "left")
     return met.select(*[ids[c] for c in ids.columns], F.coalesce("root", ids[id_col]).alias("family"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from . import families, joins
 
 
@@ -129,12 +130,13 @@ def content_groups(files: DataFrame, group: str, most: int = 6) -> DataFrame:
     """(group, file, root): files (group, file, digest, bits, score, area, mtime) of a group that are equal, or whose hashes are ``most`` bits apart at most, directly
     or through others; root is the group's file with the best score, then area, then time, then name.
 
-    Equal digests, and equal hashes, meet as stars; different hashes of a group meet on pairs of blocks, so a large group is no square.
+    Equal digests, and equal hashes, meet as stars; different hashes of a group are linked within pairs of blocks, so a large group is no square.
     """
-    star = lambda key: files.join(files.filter(F.col(key).isNotNull()).groupBy(group, key).agg(F.min("file").alias("v")), [group, key]).select(F.col("file").alias("u"), "v")
-    same = files.select(F.col("file").alias("u"), F.col("file").alias("v")).unionByName(star("digest")).unionByName(star("bits"))
-    near = joins.near_hashes_within(files, group, "file", "bits", most)
-    edges = same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    edges = joins.near_hash_links(files, group, "file", "bits", most).toDF("u", "v")
+    for key in ("digest", "bits"):
+        keyed = files.filter(F.col(group).isNotNull() & F.col(key).isNotNull()).select(F.col("file").alias("u"), F.struct(group, key).alias("k"))
+        firsts = written(keyed.groupBy("k").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "firsts")
+        edges = edges.unionByName(joins.skewed(keyed, firsts, "k", "n").filter("u <> v").select("u", "v"))
     members = families.family_of(files, families.components(edges), "file")
     best = Window.partitionBy("family").orderBy(F.desc("score"), F.desc("area"), F.desc("mtime"), "file")
     return members.withColumn("root", F.first("file").over(best)).select(group, "file", "root")

@@ -100,6 +100,29 @@ def test_near_hashes_against_brute_force(spark):
     assert {(r.a, r.b) for r in joins.near_hashes_within(frame(both), "g", "id", "bits", 6).collect()} == pairs
 
 
+def test_hashes_near_each_other_are_linked_not_paired(spark):
+    import numpy as np
+
+    from larkspur.operators import families, joins, matching
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(1 << 62), 1 << 62, 12)
+    crowd = np.unique([int(base[0]) ^ (1 << i) ^ (1 << j) ^ (1 << k) for i in range(20) for j in range(20, 30) for k in range(30, 34)])  # 6 bits apart at most
+    chain = [int(base[1])]
+    for i in range(8):
+        chain.append(chain[-1] ^ (0b111111 << 7 * i))
+    bits = [*map(int, crowd), *chain, *map(int, base[2:])]
+    df = spark.createDataFrame([(i, b, "gh"[i % 7 == 0]) for i, b in enumerate(bits)], "id long, bits long, g string")
+    links = joins.near_hash_links(df, "g", "id", "bits", 6)
+    assert links.count() < 10 * len(bits)  # of 318,000 pairs
+    pairs = df.crossJoin(df.toDF("id2", "bits2", "g2")).filter("g = g2 AND id < id2 AND bit_count(bits ^ bits2) <= 6").select("id", "id2")
+    whole = lambda edges: sorted(map(tuple, families.components(edges).collect()))
+    assert whole(links) == whole(pairs)
+    files = df.selectExpr("g AS group", "id AS file", "string(id) AS digest", "bits", "double(id) AS score", "0 AS area", "0 AS mtime")
+    best = {(r.group, r.root) for r in matching.content_groups(files, "group").filter(f"file < {len(crowd)}").collect()}
+    assert len(best) == 2
+
+
 def test_stems():
     pairs = {"вино": "вин", "вина": "вин", "красное": "красн", "красного": "красн", "полусухое": "полусух", "важность": "важност", "длинный": "длин", "ёлка": "елк", "wine": "wine", "был": "был"}
     assert {w: T.stem_word(w) for w in pairs} == pairs
