@@ -25,7 +25,7 @@ r(u, root) AS (SELECT u, u FROM e UNION SELECT e.v, r.root FROM r JOIN e ON e.u
 SELECT root AS family_id, count(*) AS members FROM (SELECT u, min(root) AS root FROM r GROUP BY 1) GROUP BY 1""")
 def name_families(t):
     p = t("part").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    edges = joins.similar_names(p, "g", "id", "name").select("a", "b")
+    edges = joins.similar_name_links(p, "g", "id", "name")
     return families.families(p, edges, "id")
 
 

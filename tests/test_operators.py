@@ -42,6 +42,18 @@ def test_names_within_two_edits(spark):
     assert got == want
 
 
+def test_names_that_many_have_are_compared_once(spark):
+    df = spark.range(300).selectExpr("'g' AS g", "id", "CASE WHEN id < 200 THEN 'merlot' WHEN id < 290 THEN 'merlo' ELSE 'syrah' || id END AS name")
+    links = joins.similar_name_links(df, "g", "id", "name")
+    assert links.count() < 400  # of 41,950 pairs
+    c = families.components(links)
+    assert rows(families.families(df, links, "id")) == [(0, 290), (290, 10)] and c.count() == 300
+    found = joins.similar_names(df, "g", "id", "name")
+    assert found.groupBy("edits").count().orderBy("edits").collect() == [(0, 199 * 100 + 89 * 45), (1, 200 * 90 + 45)] and found.filter("a >= b").count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString() + links._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 4  # what rows are multiplied in is not broadcast, however small it seems
+
+
 def test_nearest_in_time(spark):
     h = lambda x: datetime(2024, 1, 1) + timedelta(hours=x)
     left = spark.createDataFrame([("w", 1, h(10)), ("w", 2, h(50))], "k string, l_id int, l_ts timestamp")
