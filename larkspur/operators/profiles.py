@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .joins import skewed
+
 
 def averaged_profile(rows: DataFrame, id_col: str, names: str, profiles: DataFrame, axes: list[str], digits: int = 3) -> DataFrame:
     """(id, axes): per axis the mean of the profiles (name, axes) of an item's names, null where none of them says it."""
@@ -184,7 +187,7 @@ def analogs(items: DataFrame, styles: DataFrame, k: int) -> DataFrame:
 
 def phrases_found(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """(id, slug, step): the entry (phrase, slug) that a text (id, text) names: by two words that follow each other, else by one, else by one
-    that is an edit away (of five letters at least). Of several the first in the text counts."""
+    that is an edit away (of five letters at least). Of several the first in the text counts. Each distinct word is looked up once."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     held = texts.select("id", words.alias("w")).filter(F.size("w") > 0)
     singles = F.transform("w", lambda w, i: F.struct(F.lit(1).alias("step"), i.alias("pos"), w.alias("p")))
@@ -192,14 +195,20 @@ def phrases_found(texts: DataFrame, phrases: DataFrame) -> DataFrame:
         F.transform("w", lambda w, i: F.struct(F.lit(0).alias("step"), i.alias("pos"), F.concat(w, F.lit(" "), F.try_element_at("w", i + 2)).alias("p"))), lambda s: s["p"].isNotNull()
     )
     asked = held.select("id", F.explode(F.concat(doubles, singles)).alias("a")).select("id", "a.*")
-    known = phrases.select(F.lower("phrase").alias("p"), "slug").dropDuplicates(["p"])
-    exact = asked.join(known, "p").select("id", "step", "pos", "slug")
+    counts = written(asked.groupBy("p").agg(F.count(F.lit(1)).alias("n")), "words")
+    known = written(phrases.select(F.lower("phrase").alias("p"), "slug").dropDuplicates(["p"]), "phrases")
     # an edit leaves one of the halves as it was, at its place from the start or from the end
     half = lambda c: F.array(F.concat(F.lit("a"), F.substring(c, 1, 2)), F.concat(F.lit("z"), F.right(c, F.lit(2))))
-    one = asked.filter((F.col("step") == 1) & (F.length("p") >= 5)).withColumn("k", F.explode(half(F.col("p"))))
-    other = known.filter((F.length("p") >= 5) & ~F.contains(F.col("p"), F.lit(" "))).select(F.col("p").alias("q"), "slug", F.explode(half(F.col("p"))).alias("k"))
-    near = one.join(other, "k").filter((F.abs(F.length("p") - F.length("q")) <= 1) & (F.levenshtein("p", "q") == 1)).select("id", F.lit(2).alias("step"), "pos", "slug").distinct()
-    return exact.unionByName(near).groupBy("id").agg(F.min(F.struct("step", "pos", "slug")).alias("m")).select("id", "m.slug", "m.step")
+    single = (F.length("p") >= 5) & ~F.contains(F.col("p"), F.lit(" "))
+    one = counts.filter(single).select("p", F.explode(half(F.col("p"))).alias("k"))
+    other = known.filter(single).select(F.col("p").alias("q"), "slug", F.explode(half(F.col("p"))).alias("k"))
+    near = one.hint("merge").join(other, "k").filter((F.abs(F.length("p") - F.length("q")) <= 1) & (F.levenshtein("p", "q") == 1)).groupBy("p").agg(F.min("slug").alias("_near"))
+    told = counts.hint("merge").join(known.withColumn("_known", F.lit(True)), "p", "left").hint("merge").join(near, "p", "left")
+    step = F.when(F.col("_known"), 0).when(F.col("_near").isNotNull(), 2)
+    told = told.select("p", "n", F.coalesce("slug", "_near").alias("slug"), step.alias("_least"))
+    # words that tell nothing are in the table too, so that frequent ones among them are not shuffled
+    met = skewed(asked, written(told, "told"), "p", "n").filter("_least IS NOT NULL").withColumn("step", F.greatest("step", "_least"))
+    return met.groupBy("id").agg(F.min(F.struct("step", "pos", "slug")).alias("m")).select("id", "m.slug", "m.step")
 
 
 def foreign_analogs(texts: DataFrame, references: DataFrame, styles: DataFrame, items: DataFrame, k: int = 12) -> DataFrame:

@@ -56,6 +56,16 @@ def test_phrases(spark):
     assert sorted(map(tuple, profiles.phrases_found(texts, known).collect())) == [(0, "pinot-noir", 0), (1, "merlot", 1), (2, "merlot", 2)]
 
 
+def test_phrases_in_very_many_texts(spark):
+    said = ["a glass of Pinot Noir, merlot", "merlott merlot", "some merlott here", "the pinnt noirr", "merlox Noir", ""]
+    texts = spark.range(6000).select("id", F.element_at(F.array(*map(F.lit, said)), (F.col("id") % 6 + 1).cast("int")).alias("text"))
+    known = spark.createDataFrame([("Pinot Noir", "pinot-noir"), ("Merlot", "merlot"), ("MERLON", "b"), ("merlod", "a"), ("noir", "n")], "phrase string, slug string")
+    found = profiles.phrases_found(texts, known)
+    got = found.groupBy((F.col("id") % 6).alias("r"), "slug", "step").count().orderBy("r").collect()
+    assert list(map(tuple, got)) == [(0, "pinot-noir", 0, 1000), (1, "merlot", 1, 1000), (2, "merlot", 2, 1000), (4, "n", 1, 1000)]
+    assert "levenshtein" not in found._jdf.queryExecution().executedPlan().toString()  # looked up for distinct words, not for each text's
+
+
 def test_questions(spark):
     asked = {
         "Расскажи про Янтарь от хозяйства Север": ("pairing", None, None, None), "Какие винодельни стоит посетить?": ("travel", None, None, None), "Почему вино бывает мутным": ("fact", None, None, None),
