@@ -54,6 +54,17 @@ def test_names_that_many_have_are_compared_once(spark):
     assert plan.count("SortMergeJoin") >= 4  # what rows are multiplied in is not broadcast, however small it seems
 
 
+def test_proposals_against_exploded_lists(spark):
+    from larkspur.operators import diagnostics
+
+    p = spark.createDataFrame([(1, 0, 5, "x"), (1, 0, 9, " "), (2, 7, 3, "x")], "query_id long, slot long, id long, evidence string")
+    asked = spark.range(1, 3).select(F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("slot"))
+    listed = spark.range(1, 3).select(F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("id"))
+    found = diagnostics.proposal_report(p, asked, listed)
+    assert rows(found) == [("duplicate", 2), ("missing", 3), ("no_evidence", 1), ("out_of_shortlist", 1), ("unknown", 1)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()  # a list is many times the rows that its size tells
+
+
 def test_nearest_in_time(spark):
     h = lambda x: datetime(2024, 1, 1) + timedelta(hours=x)
     left = spark.createDataFrame([("w", 1, h(10)), ("w", 2, h(50))], "k string, l_id int, l_ts timestamp")
