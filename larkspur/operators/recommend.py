@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.scratch import written
+from .joins import skewed
 from .retrieval import spread
 
 # Least score of a style, least number of shared axes, bonus of a typical grape.
@@ -26,16 +33,6 @@ def match_styles(pairs: DataFrame, item: str, style: str, score: str = "score",
     return pairs.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= n) & (F.col(score) >= least))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
-
-
-def sweetness_score(a: Column, b: Column) -> Column:
-    """2 for equal steps, 0.7 for neighbouring ones."""
-    apart = F.abs(a - b)
-    return F.when(apart == 0, 2.0).when(apart == 1, 0.7).otherwise(0.0)
-
-
 def one_per_maker(scored: DataFrame, item: str, maker: str, other: str, score: str, n: int) -> DataFrame:
     """Per item the best of each maker, then the first ``n``."""
     best = Window.partitionBy(item, maker).orderBy(F.desc(score), other)
@@ -44,8 +41,8 @@ def one_per_maker(scored: DataFrame, item: str, maker: str, other: str, score: s
     return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-#: Cards that are compared with all others at once.
-BLOCK = 2048
+#: Cards that go to the tasks at once; cells (asked cards by cards, or by words) that a task holds of them.
+BLOCK, CELLS = 16384, 1 << 20
 # Weights of grapes, region and description; from which likeness on a description is a reason; names of grapes that say nothing.
 GRAPES, REGION, DESCRIPTION, ALIKE = 3.0, 1.0, 2.0, 0.25
 GENERIC_GRAPES = ("белые сорта винограда", "красные сорта винограда", "розовые сорта винограда", "купаж", "белые сорта", "красные сорта")
@@ -55,12 +52,13 @@ def description_vectors(cards: DataFrame, stop: tuple[str, ...] = ()) -> DataFra
     """(id, vector): of cards (id, words) a map of (1 + ln tf) ln((1 + N) / (1 + df)) by word, of length one; cards without words have an empty one."""
     n = cards.count()
     tf = cards.select("id", F.explode("words").alias("word")).filter(~F.coalesce(F.col("word").isin(*stop), F.lit(False))).groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    w = tf.join(df, "word").select("id", "word", ((1 + F.log("tf")) * F.log((1 + F.lit(n)) / (1 + F.col("df")))).alias("w"))
+    df = written(tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("rows", F.col("df")), "words")
+    w = skewed(tf, df, "word", "rows").select("id", "word", ((1 + F.log("tf")) * F.log((1 + F.lit(n)) / (1 + F.col("df")))).alias("w"))
     by = w.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "w")))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     scaled = F.transform_values("m", lambda _, v: v / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0))
     none = F.create_map().cast("map<string, double>")
-    return cards.select("id").join(by.select("id", scaled.alias("vector")), "id", "left").select("id", F.coalesce("vector", none).alias("vector"))
+    held = cards.select("id").join(by.select("id", scaled.alias("vector")).hint("merge"), "id", "left").select("id", F.coalesce("vector", none).alias("vector"))
+    return held.hint("merge")  # maps are not to be broadcast, however small they seem
 
 
 def analogs(cards: DataFrame, asked: DataFrame, n: int = 6, block: int = BLOCK) -> DataFrame:
@@ -70,32 +68,120 @@ def analogs(cards: DataFrame, asked: DataFrame, n: int = 6, block: int = BLOCK)
     index of the grapes that say something, 2 for equal and 0.7 for neighbouring sweetness, 1 for the region, twice the cosine of the
     descriptions. Reasons: ``color``, ``grapes``, ``sweetness``, ``sparkling``, ``region``, ``description``. Equal scores go by id.
 
-    Asked cards go to the tasks in blocks of about ``block`` rows, against all cards; a task sends on its best card of each maker only.
+    Asked cards go to the tasks in blocks of about ``block`` rows, against all cards; tasks score CELLS pairs at once and send on what may be among
+    the best of each asked card only, the best card of each maker.
     """
     plain = F.filter(F.array_distinct(F.transform(F.coalesce("grapes", F.array().cast("array<string>")), F.lower)), lambda g: ~g.isin(*GENERIC_GRAPES))
-    held = spread(cards).withColumns({"sparkling": F.coalesce("sparkling", F.lit(False)), "grapes": plain}).select("id", "maker", "category", "sparkling", "grapes", "sweetness", "region", "vector")
-    own = held.join(asked.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("item"), "category", "sparkling", *[F.col(c).alias(f"_{c}") for c in ("maker", "grapes", "sweetness", "region", "vector")])
-    own = written(own, "asked-cards")
-    blocks = max(1, -(-own.count() // block))
-    share = jaccard(F.col("grapes"), F.col("_grapes"))
-    near = F.coalesce(sweetness_score(F.col("sweetness"), F.col("_sweetness")), F.lit(0.0))
-    region = F.coalesce(F.col("region") == F.col("_region"), F.lit(False))
-    both = F.map_filter(F.col("vector"), lambda k, _: F.map_contains_key("_vector", k))
-    alike = F.aggregate(F.map_entries(both), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("_vector", e["key"]), F.lit(0.0)))
-    score = 1 + GRAPES * F.col("share") + F.col("near") + F.when(F.col("here"), REGION).otherwise(0.0) + DESCRIPTION * F.col("alike")
-    reasons = F.array_compact(F.array(
-        F.lit("color"), F.when(F.col("share") > 0, "grapes"), F.when(F.col("near") == 2, "sweetness"), F.when(F.col("sparkling"), "sparkling"), F.when(F.col("here"), "region"), F.when(F.col("alike") >= ALIKE, "description")
-    ))
-    found = None
+    rows = spread(cards).select("id", "maker", "category", F.coalesce("sparkling", F.lit(False)).alias("sparkling"), plain.alias("grapes"), F.col("sweetness").cast("double"), "region", F.map_entries(F.col("vector").cast("map<string, double>")).alias("words"))
+    held = written(rows, "cards")
+    own = written(held.join(asked.select("id").distinct(), "id", "left_semi"), "asked-cards")
+    types = held.schema["id"].dataType, held.schema["maker"].dataType
+    kinds, blocks, found = [t.simpleString() for t in types], max(1, -(-own.count() // block)), None
     for b in range(blocks):
-        part = F.broadcast(own.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b))
-        met = held.join(part, ["category", "sparkling"]).filter((F.col("id") != F.col("item")) & ~F.coalesce(F.col("maker") == F.col("_maker"), F.lit(False)))
-        met = met.select("item", F.col("id").alias("other"), "maker", "sparkling", share.alias("share"), near.alias("near"), region.alias("here"), F.round(alike, 9).alias("alike"))
-        best = F.min(F.struct((-F.round(score, 6)).alias("low"), "other", reasons.alias("reasons"))).alias("b")
-        top = met.groupBy("item", "maker").agg(best).select("item", "maker", "b.*")
-        found = top if found is None else found.unionByName(top)
+        shared = held.sparkSession.sparkContext.broadcast(own.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow().combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            yield from _compared(batches, shared.value, n, to_arrow_type(types[0]), to_arrow_type(types[1]))
+
+        part = held.mapInArrow(run, f"item {kinds[0]}, other {kinds[0]}, maker {kinds[1]}, score double, why int")
+        found = part if found is None else found.unionByName(part)
+    top = found.groupBy("item", "maker").agg(F.min(F.struct((-F.col("score")).alias("low"), "other", "why")).alias("b")).select("item", "maker", "b.*")
     w = Window.partitionBy("item").orderBy("low", "other")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("item", "other", "maker", (-F.col("low")).alias("score"), "rank", "reasons")
+    reasons = F.array_compact(F.array(*[F.when(F.col("why").bitwiseAND(F.lit(1 << i)) != 0, name) for i, name in enumerate(("color", "grapes", "sweetness", "sparkling", "region", "description"))]))
+    return top.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("item", "other", "maker", (-F.col("low")).alias("score"), "rank", reasons.alias("reasons"))
+
+
+def _codes(column: pa.Array, known: pa.Array, unknown: int) -> np.ndarray:
+    """The places of values in ``known``; ``unknown`` for others and nulls."""
+    return pc.fill_null(pc.index_in(column, known), unknown).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The values of lists one after the other, and how many each has."""
+    return column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+
+
+def _products(matrix: np.ndarray, place: np.ndarray, weight: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(asked cards, cards): for each card the sum of the rows ``place`` of ``matrix`` (terms, asked cards) times their weights; places under 0 count nothing."""
+    out = np.zeros((len(sizes), matrix.shape[1]))
+    owner, known = np.repeat(np.arange(len(sizes)), sizes), place >= 0
+    owner, place, weight = owner[known], place[known], weight[known]
+    step = max(1, CELLS // max(1, matrix.shape[1]))
+    for at in range(0, len(owner), step):
+        own = owner[at : at + step]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        out[own[starts]] += np.add.reduceat(matrix[place[at : at + step]] * weight[at : at + step, None], starts, axis=0)
+    return out.T
+
+
+def _compared(batches: Iterator[pa.RecordBatch], asked: pa.Table, n: int, id_type: pa.DataType, maker_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """(item, other, maker, score, why): of each asked card what may be among its ``n`` best cards of different makers; ``why`` has a bit for each reason."""
+    if not len(asked):
+        return
+    column = lambda name: asked.column(name).combine_chunks()
+    whole = lambda x: x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+    distinct = lambda name: whole(pc.unique(asked.column(name)).drop_null())
+    kinds, regions, makers, items = distinct("category"), distinct("region"), distinct("maker"), column("id")
+    kind = np.where((k := _codes(column("category"), kinds, -1)) < 0, -1, 2 * k + column("sparkling").to_numpy(zero_copy_only=False))
+    region, maker, sweetness = _codes(column("region"), regions, -1), _codes(column("maker"), makers, -1), column("sweetness").to_numpy(zero_copy_only=False)
+    grapes, g_sizes = _lists(column("grapes"))
+    words, w_sizes = _lists(column("words"))
+    floor = np.full(len(asked), np.iinfo(np.int64).min)  # millionths that a card needs here
+    for batch in (b.slice(at, 1 << 16) for b in batches for at in range(0, b.num_rows, 1 << 16)):
+        batch = batch.take(pc.sort_indices(batch.column(0)))
+        of = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
+        its_kind = np.where((k := _codes(of["category"], kinds, -1)) < 0, -1, 2 * k + of["sparkling"].to_numpy(zero_copy_only=False))
+        own_maker = of["maker"].dictionary_encode(null_encoding="encode").indices.to_numpy()
+        for each in np.intersect1d(its_kind[its_kind >= 0], kind):
+            rows = np.flatnonzero(its_kind == each)
+            rows = rows[np.argsort(own_maker[rows], kind="stable")]  # by maker, then id
+            part = batch.take(pa.array(rows))
+            of = {f: part.column(i) for i, f in enumerate(part.schema.names)}
+            (g, g_n), (w, w_n) = _lists(of["grapes"]), _lists(of["words"])
+            same_maker, same_region, step_of = _codes(of["maker"], makers, -2), _codes(of["region"], regions, -2), of["sweetness"].to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.diff(own_maker[rows], prepend=-1))
+            mine = np.flatnonzero(kind == each)
+            size = max(1, CELLS // max(len(rows), 256))
+            for at in range(0, len(mine), size):
+                here = mine[at : at + size]
+                terms = lambda values, sizes, here=here: (np.repeat(np.arange(len(here)), sizes[here]), values.take(pa.array(np.concatenate([np.arange(e - m, e) for e, m in zip(np.cumsum(sizes)[here], sizes[here], strict=True)]).astype(np.int64))))
+                owner, said = terms(grapes, g_sizes)
+                vocabulary = said.unique()
+                matrix = np.zeros((len(vocabulary), len(here)))
+                matrix[_codes(said, vocabulary, -1), owner] = 1
+                both = _products(matrix, _codes(g, vocabulary, -1), np.ones(len(g)), g_n)
+                union = g_sizes[here][:, None] + g_n[None, :] - both
+                share = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+                owner, said = terms(words, w_sizes)
+                vocabulary = said.field(0).unique()
+                matrix = np.zeros((len(vocabulary), len(here)))
+                matrix[_codes(said.field(0), vocabulary, -1), owner] = said.field(1).to_numpy(zero_copy_only=False)
+                alike = np.round(_products(matrix, _codes(w.field(0), vocabulary, -1), w.field(1).to_numpy(zero_copy_only=False), w_n), 9)
+                apart = np.abs(sweetness[here][:, None] - step_of[None, :])
+                near = np.where(apart == 0, 2.0, np.where(apart == 1, 0.7, 0.0))
+                there = region[here][:, None] == same_region[None, :]
+                millionths = np.rint((1 + GRAPES * share + near + REGION * there + DESCRIPTION * alike) * 1e6).astype(np.int64)
+                # a number of the score and, for equal ones, of the place by id: the largest of a maker is its best card
+                key = ((millionths + (1 << 41)) << 20) + ((1 << 20) - 1 - rows[None, :])
+                itself = _codes(of["id"], items.take(pa.array(here)), -1)
+                key[maker[here][:, None] == same_maker[None, :]] = -1
+                key[itself[itself >= 0], np.flatnonzero(itself >= 0)] = -1
+                best = np.maximum.reduceat(key, starts, axis=1)
+                if best.shape[1] > n:
+                    best = np.partition(best, best.shape[1] - n, axis=1)[:, -n:]
+                if best.shape[1] == n:
+                    least = best.min(axis=1)
+                    floor[here] = np.maximum(floor[here], np.where(least < 0, np.iinfo(np.int64).min, (least >> 20) - (1 << 41)))
+                a, place = np.nonzero((best >= 0) & ((best >> 20) - (1 << 41) >= floor[here][:, None]))
+                found = best[a, place]
+                row = (1 << 20) - 1 - (found & ((1 << 20) - 1))
+                back = np.empty(len(batch), np.int64)
+                back[rows] = np.arange(len(rows))
+                r = back[row]
+                why = 1 + 2 * (share[a, r] > 0) + 4 * (near[a, r] == 2) + 8 * int(each % 2) + 16 * there[a, r] + 32 * (alike[a, r] >= ALIKE)
+                yield pa.RecordBatch.from_arrays([
+                    items.take(pa.array(here[a])).cast(id_type), of["id"].take(pa.array(r)).cast(id_type), of["maker"].take(pa.array(r)).cast(maker_type), pa.array(((found >> 20) - (1 << 41)) / 1e6), pa.array(why.astype(np.int32)),
+                ], ["item", "other", "maker", "score", "why"])
 
 
 def sensory(sugar: Column, text: Column, color: Column, profile: Column, abv: Column) -> Column:

@@ -93,3 +93,33 @@ def test_analogs_have_reasons_and_other_makers(spark):
         assert got[0].score == pytest.approx(1 + 3 + 2 + 1 + 2) and got[0].reasons == ["color", "grapes", "sweetness", "region", "description"]
         assert got[1].score == pytest.approx(1 + 1.5 + 0.7) and got[1].reasons == ["color", "grapes"] and got[2].score == 1.0
     assert recommend.analogs(held.limit(0), cards).count() == 0
+
+
+def test_analogs_against_brute_force(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    some = lambda xs, k: rng.sample(xs, rng.randint(0, k))
+    cards = [(i, rng.choice([*"ABCDEFGHI", None]), rng.choice(["red", "white", None]), rng.random() < 0.3, some(["x", "y", "z", "v"], 3), rng.choice([0, 1, 2, None]), rng.choice(["n", "s", None]), {w: rng.choice([0.25, 0.5]) for w in some(["p", "q", "r"], 3)}) for i in range(400)]
+    df = spark.createDataFrame(cards, "id long, maker string, category string, sparkling boolean, grapes array<string>, sweetness int, region string, vector map<string, double>")
+    want = []
+    for q in cards[:40]:
+        best: dict = {}
+        for c in cards:
+            if c[0] == q[0] or None in (c[2], q[2]) or c[2:4] != q[2:4] or c[1] is not None and c[1] == q[1]:
+                continue
+            share = len({*c[4]} & {*q[4]}) / max(1, len({*c[4]} | {*q[4]}))
+            near = 0.0 if None in (c[5], q[5]) else {0: 2.0, 1: 0.7}.get(abs(c[5] - q[5]), 0.0)
+            here, alike = c[6] is not None and c[6] == q[6], sum(v * q[7].get(w, 0) for w, v in c[7].items())
+            why = ["color"] + [n for n, x in (("grapes", share > 0), ("sweetness", near == 2), ("sparkling", q[3]), ("region", here), ("description", alike >= 0.25)) if x]
+            best[c[1]] = min(best.get(c[1], (9, 0)), (-round(1 + 3 * share + near + here + 2 * alike, 6), c[0], why))
+        want += [(q[0], other, -low, rank, why) for rank, (low, other, why) in enumerate(sorted(best.values())[:4], 1)]
+    monkeypatch.setattr(recommend, "CELLS", 600)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")  # many batches a task
+    try:
+        found = recommend.analogs(df, df.filter("id < 40"), 4)
+        assert sorted((r.item, r.other, r.score, r["rank"], r.reasons) for r in found.collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()  # pairs are made in matrices, not by a join
