@@ -14,9 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.similarity import common_subsequence
 from ..sources.scratch import discard, written
@@ -113,32 +112,38 @@ def most_alike(queries: DataFrame, names: DataFrame, least: float, k: int) -> Da
 
     Texts are lower case, their tokens parted by blanks; an id with several names counts by its best. Queries and names without
     tokens, and names without an id, find nothing. A task's best of each query; the best of all are left to the caller.
+
+    Distinct texts are compared, however many ids have them, and stand for the ``k`` smallest of these. An id can be the first of as many
+    texts as it has names, so ``k`` times the most names of an id are found.
     """
     spark, parts = names.sparkSession, []
-    asked = written(queries.select("query_id", "q").filter("q <> ''"), "queries")
-    blocks = max(1, -(-asked.count() // BLOCK))
-    of = [queries.schema["query_id"].dataType, names.schema["id"].dataType]
-    kinds, types = [t.simpleString() for t in of], [*map(to_arrow_type, of), pa.string(), pa.float64()]
-    scanned = spread(names.select("id", "name", "n").filter("n <> '' AND id IS NOT NULL"))
+    asked = written(queries.select("query_id", "q").filter("q <> ''").distinct(), "queries")
+    texts = written(asked.select("q").distinct(), "texts")
+    blocks = max(1, -(-texts.count() // BLOCK))
+    once = written(names.filter("n <> '' AND id IS NOT NULL").groupBy("n", "id").agg(F.min("name").alias("name")), "names")
+    most = k * (once.groupBy("id").count().agg(F.max("count")).first()[0] or 1)
+    held = written(once.withColumn("_r", F.row_number().over(Window.partitionBy("n").orderBy("id"))).filter(F.col("_r") <= k), "firsts")
+    scanned = spread(held.filter("_r = 1").select("id", "n"))
     for b in range(blocks):
-        held = [(r.query_id, r.q) for r in asked.filter(F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks)) == b).collect()]  # about BLOCK rows
-        shared = spark.sparkContext.broadcast(held)
+        own = [r.q for r in texts.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()]  # about BLOCK rows
+        shared = spark.sparkContext.broadcast(own)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            texts = [Text(q) for _, q in shared.value]
-            best = [_Best(k, least) for _ in texts]
+            texts = [Text(q) for q in shared.value]
+            best = [_Best(most, least) for _ in texts]
             for batch in batches:
                 for at in range(0, batch.num_rows, NAMES):
-                    part = Names(list(zip(*(c.to_pylist() for c in batch.slice(at, NAMES).columns), strict=True)))
+                    ids, said = (c.to_pylist() for c in batch.slice(at, NAMES).columns)
+                    part = Names([((i, n), n, n) for i, n in zip(ids, said, strict=True)])
                     for text, found in zip(texts, best, strict=True):
                         part.search(text, found)
-            rows = [(query_id, id_, name, score) for (query_id, _), found in zip(shared.value, best, strict=True) for score, id_, name in found.rows]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["query_id", "id", "name", "score"])
+            rows = [(q, n, score) for q, found in zip(shared.value, best, strict=True) for score, _, n in found.rows]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()), strict=True)], ["q", "n", "score"])
 
-        parts.append(scanned.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, name string, score double"))
-    discard(asked)
+        parts.append(scanned.mapInArrow(run, "q string, n string, score double"))
+    discard(once)
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    return found
+    return found.join(held.select("n", "id", "name").hint("merge"), "n").join(asked.hint("merge"), "q").select("query_id", "id", "name", "score")

@@ -53,6 +53,23 @@ def test_most_alike_is_complete(spark, monkeypatch, least, k, block):
         assert sorted(got.get(query_id, [])) == want, text
 
 
+def test_a_text_of_many_ids_is_compared_once(spark, monkeypatch):
+    seen, spread = [], fuzzy.spread
+    monkeypatch.setattr(fuzzy, "spread", lambda df: seen.append(df) or spread(df))
+    texts = ["old oak", "oak old", "oak, old", "old oaks", "zzz"]  # three are alike in full
+    n = spark.createDataFrame([(900 - i, texts[i % 5]) for i in range(900)] + [(3, "old oak"), (1, "old oak"), (1, "Oak Old"), (2, "oak old")], "id int, name string")
+    q = spark.createDataFrame([(1, "old oak"), (2, "old oak"), (3, "zz")], "query_id int, text string")
+    got = sorted((r.query_id, r["rank"], r.id, r.name, r.score) for r in intents.resolved(q, n, 60, 4).collect())
+    near = [(rank, i, "zzz", 80.0) for rank, i in enumerate((1, 6, 11, 16), 1)]
+    assert [r for r in got if r[0] == 3] == [(3, *r) for r in near]
+    best: dict = {}
+    for r in n.filter("name <> 'zzz' AND name <> 'old oaks'").collect():
+        best[r.id] = min(best.get(r.id, "~"), r.name)
+    first = [(rank, i, best[i], 100.0) for rank, i in enumerate(sorted(best)[:4], 1)]
+    assert [r for r in got if r[0] < 3] == [(x, *r) for x in (1, 2) for r in first]
+    assert seen[0].count() == len({t.replace(",", " ") for t in texts}) <= 5
+
+
 def test_lost_first_letters_are_found(spark):
     q = spark.createDataFrame([(1, "ouge petit"), (2, "PETIT, rouge!")], "query_id int, text string")
     n = spark.createDataFrame([("a", "Rouge betit"), ("b", "Petit Rouge"), ("c", "zzz")], "id string, name string")
