@@ -32,7 +32,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def box_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as boxes: a supplier is a camera, a day a frame, five days end a track; frames come in four parts, a few files a batch."""
+    """Line items as boxes: a supplier is a camera, a day a frame, five days end a track; frames come in parts of a year, a batch each."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     left, top = F.col("l_linenumber") * 100 + F.col("l_quantity"), F.col("l_discount") * 200
     size = 60 + F.col("l_partkey") % 40
@@ -43,10 +43,13 @@ def box_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = li.groupBy(F.col("l_suppkey").alias("camera"), F.date_trunc("day", "l_shipdate").alias("ts")).agg(F.sort_array(F.collect_list(box)).alias("boxes"))
     at = f"{folder(spark)}/frames-{uuid.uuid4().hex}"
     years = frames.withColumn("part", F.year("ts"))
-    for part in [r.part for r in years.select("part").distinct().orderBy("part").collect()]:  # files in the order of time, a camera's in one
-        years.filter(F.col("part") == part).drop("part").repartition("camera").write.mode("append").parquet(at)
-    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 8).parquet(at)
-    return state.drain(tracking.tracked(stream, "camera", "ts", "boxes", gap_ms=5 * 86_400_000), rocksdb=True)
+    tracks = spark.createDataFrame([], "camera long, at long, n int, track long, seen long, confirmed boolean")
+    for part in [r.part for r in years.select("part").distinct().orderBy("part").collect()]:
+        years.filter(F.col("part") == part).drop("part").repartition("camera").write.mode("append").parquet(f"{at}/in")
+        # all files of a part are one batch: the watermark moves to a batch's last frame, and earlier ones of other files would be late after that
+        stream = spark.readStream.schema(frames.schema).parquet(f"{at}/in")
+        tracks = state.drain(tracking.tracked(stream, "camera", "ts", "boxes", gap_ms=5 * 86_400_000), rocksdb=True, at=f"{at}/tracks")
+    return tracks
 
 
 def taste_profile_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,13 +21,15 @@ def _folder(spark: SparkSession) -> str:
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def drain(stream: DataFrame, mode: str = "append", rocksdb: bool = False) -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", rocksdb: bool = False, at: str | None = None) -> DataFrame:
     """Run a stream over all that is there, and return what it has written; state with lists and timers needs ``rocksdb``.
 
     In append mode it goes to files with exactly-once commits; in update and complete mode each batch's rows are written under
-    the batch's number, and of complete results the last batch counts.
+    the batch's number, and of complete results the last batch counts. A stream that is carried on in a folder ``at`` goes over what is
+    new, and all that it has ever written is returned.
     """
-    spark, at = stream.sparkSession, _folder(stream.sparkSession)
+    spark = stream.sparkSession
+    at = at or _folder(spark)
     writer = stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)

@@ -93,3 +93,24 @@ def test_segments_are_as_a_rebuild(spark, tmp_path):
     other = spark.createDataFrame([(1, [1.0, 2.0, 3.0], "n")], "id int, vector array<double>, name string")
     assert segments.ensured(spark, str(tmp_path / "t"), 3, other).path.endswith("t-3")
     assert segments.ensured(spark, str(tmp_path / "t"), 3, other).read().count() == 1
+
+
+def test_frames_in_very_many_files_are_not_late(spark, tmp_path):
+    import duckdb
+
+    from larkspur.plans import stream_queries
+
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE lineitem AS SELECT s * 100 + d AS l_orderkey, d AS l_partkey, s AS l_suppkey, 1 AS l_linenumber, 1.0::DOUBLE AS l_quantity, 0.1::DOUBLE AS l_discount, 0.05::DOUBLE AS l_tax, 'A' AS l_returnflag,
+      TIMESTAMP '2000-12-20' + to_days(d::INT * 3) AS l_shipdate FROM range(80) s(s), range(8) d(d)""")
+    con.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet'")
+    conf = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = sorted(map(tuple, stream_queries.QUERIES["box_tracks"](spark, str(tmp_path)).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted(con.execute(stream_queries.ORACLES["box_tracks"]).fetchall()) and len(got) == 640
