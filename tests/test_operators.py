@@ -220,6 +220,20 @@ def test_dense_search_holds_few_scores_at_once(monkeypatch):
     assert max(sizes) <= 1000
 
 
+def test_questions_take_few_passes(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "CELLS", 4000)
+    weights = spark.range(2000).selectExpr("id % 40 AS query_id", "'t' || (id div 20) AS term", "double(id) AS w")
+    blocks, seen = list(retrieval._blocks(weights)), []
+    assert len(blocks) == 2  # a pass over the index each
+    for queries, vocabulary, query, term, w in blocks:
+        for first, terms, matrix in retrieval._matrices(len(queries), query, term, w):
+            assert matrix.size <= 4000 and matrix.shape[1] > 1
+            seen += [(queries[first + int(c)].as_py(), vocabulary[int(terms[r])].as_py(), matrix[r, c]) for r, c in zip(*np.nonzero(matrix), strict=True)]
+    assert sorted(seen) == rows(weights.filter("w <> 0"))
+
+
 def test_components_of_a_hub(spark):
     edges = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(2999, 3000), (5000, 5001)], "a int, b int")
     got = {r.node: r.root for r in families.components(edges).collect()}
